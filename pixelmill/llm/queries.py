@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .exact_dups import exact_duplicates
+from .mixing import mixture
 from .near_dups import near_duplicates
+from .packing import best_fit_packing
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +20,62 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup,)}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A quarter of the rows, by a hash of their id, plays the batch that meets the snapshot of the others.
+    return exact_duplicates(_table(spark, sf_dir, "documents"), is_new=F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
+
+
+QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup, op6_exact_dedup, op8_best_fit_packing, op9_source_mixing, op10_toxicity)}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY body)
+    """,
+    "op9_source_mixing": """
+        WITH sizes AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled
+            FROM documents),
+        per AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_rank
+            FROM sizes GROUP BY source),
+        weighed AS (
+            SELECT *, CASE source_rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS most FROM per),
+        levels AS (
+            SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - (sum(most) OVER o - most))
+                      / CAST(sum(weight) OVER () - (sum(weight) OVER o - weight) AS DOUBLE) AS level,
+                   CAST(most AS DOUBLE) / CAST(weight AS DOUBLE) AS ratio
+            FROM weighed WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / CAST(weight AS DOUBLE), source_rank)),
+        targets AS (
+            SELECT source, source_size,
+                   coalesce(least((SELECT min(level) FROM levels WHERE level <= ratio) * weight, CAST(most AS DOUBLE)), CAST(most AS DOUBLE)) AS target
+            FROM levels),
+        queued AS (
+            SELECT s.doc_id, s.size, t.source_size, t.target,
+                   sum(s.size) OVER (PARTITION BY s.source ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) - s.size AS before
+            FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(greatest(0, least(size, floor(target + 0.5) - before))
+                  + greatest(0, least(size, floor(target + 0.5) - before - source_size)) AS BIGINT) AS taken
+        FROM queued
+    """,
+}
