@@ -6,10 +6,11 @@ stop once all bins of a document are full, which most texts reach in one or two,
 to be full after ``2 t``.
 
 Documents with equal shingle sets are one class. Classes that share a band meet the smallest class of that
-bucket, its pivot, and the full sets decide. What a bucket has left - members of other components than their
-bucket mates - is compared among itself, but for pairs that the pivot's exact distances rule out: Jaccard
-distance is a metric, so ``|d(a, p) - d(b, p)|`` beyond the threshold cannot link. So no bucket is expanded
-into all pairs of a group of copies, and none is capped.
+bucket, its pivot, and the full sets decide. As long as buckets hold many pairs of different components, those
+meet further pivots, chosen by hash. What is left then - members of other components than their bucket mates -
+is compared among itself, but for pairs that the first pivot's exact distances rule out: Jaccard distance is a
+metric, so ``|d(a, p) - d(b, p)|`` beyond the threshold cannot link. So no bucket is expanded into all pairs of
+a group of copies, and none is capped.
 
 Edge cases: null and empty texts, and texts of white space only, have no shingles, are linked with nothing and
 stay, as their own component. Rows that repeat a doc_id are judged by their own text. A null doc_id never wins
@@ -22,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, blocks, cut, mix, shingle_hashes, shingle_sets, span_hashes, text_bytes, word_spans
 from .components import components
 
 WIDTH, BINS, ROWS = 5, 100, 5
+#: Pivot rounds at most; the exact comparison of what is left follows in any case.
+MOST_TURNS = 8
 _FULL = np.uint64(2**64 - 1)
 
 
@@ -131,8 +134,13 @@ def _verify(width: int):  # noqa: ANN202
     return run
 
 
+def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``pairs(m1, m2, p1, p2)`` with their exact ``n_both`` and ``n_union``."""
+    """``pairs(m1, m2, p1, p2)`` with their exact ``n_both`` and ``n_union``; texts are merged, never broadcast."""
+    texts = texts.hint("merge")
     member = pairs.join(texts.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), "text"), ["m1", "m2"])
     both = member.join(texts.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("text").alias("pivot_text")), ["p1", "p2"])
     return both.select("m1", "m2", "p1", "p2", "text", "pivot_text").mapInArrow(_verify(width), "m1 long, m2 long, p1 long, p2 long, n_both long, n_union long")
@@ -154,38 +162,47 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     key = F.struct("k1", "k2")
     banded = full.dropDuplicates(["k1", "k2"]).select(key.alias("c"), "n_shingles", F.explode("bands").alias("band"))
     banded = scratch.table(banded, "banded")
-    pivots = banded.groupBy("band").agg(F.min("c").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pivots = banded.groupBy("band").agg(F.min(F.struct("c", "n_shingles")).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", F.col("p.c").alias("p"))
     met = scratch.table(banded.join(pivots, "band"), "met")
     scratch.drop("banded")
-    pairs = scratch.table(met.where("c <> p").select(F.col("c.k1").alias("m1"), F.col("c.k2").alias("m2"), F.col("p.k1").alias("p1"), F.col("p.k2").alias("p2")).distinct(), "pairs")
-
-    needed = pairs.select(F.col("m1").alias("k1"), F.col("m2").alias("k2")).union(pairs.select("p1", "p2")).distinct()
     keyed = docs.mapInArrow(_keyed_texts(width), "k1 long, k2 long, text string")
-    texts = scratch.table(keyed.join(needed, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "texts")
-    checked = scratch.table(_verified(pairs, texts, width), "checked")
+    texts = scratch.table(keyed.join(met.select("c.k1", "c.k2").distinct().hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "texts")
+
     linked = F.col("n_both") * 100 >= F.col("n_union") * percent
     ends = [F.struct(F.col("m1").alias("k1"), F.col("m2").alias("k2")).alias("a"), F.struct(F.col("p1").alias("k1"), F.col("p2").alias("k2")).alias("b")]
-    edges = checked.where(linked).select(*ends)
-    comp = scratch.table(components(edges, scratch, "first"), "comp1")
-
-    # What is left of each bucket: pairs in different components that the pivot's distances allow.
+    flat = [F.col("c.k1").alias("m1"), F.col("c.k2").alias("m2"), F.col("p.k1").alias("p1"), F.col("p.k2").alias("p2")]
+    checked = scratch.table(_verified(met.where("c <> p").select(*flat).distinct(), texts, width), "checked")
+    comp = scratch.table(components(checked.where(linked).select(*ends), scratch, "first"), "comp0")
     dist = checked.select(*ends, (1 - F.col("n_both") / F.col("n_union")).alias("d")).withColumnsRenamed({"a": "c", "b": "p"})
-    at = met.join(dist, ["c", "p"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    at = at.join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "c", "n_shingles", "d", F.coalesce("comp", "c").alias("comp"))
-    at = scratch.table(at, "at")
+    far = scratch.table(met.join(dist, ["c", "p"], "left").select("band", "c", "n_shingles", F.coalesce("d", F.lit(0.0)).alias("d")), "far")
+    scratch.drop("met")
+
+    # Large buckets of several components meet further pivots, other ones each round, until few pairs are open.
+    for turn in range(1, MOST_TURNS + 1):
+        at = scratch.table(far.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")), f"at{turn}")
+        by_comp = at.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        by_comp = by_comp.where("n * n > same")
+        open_ = by_comp.agg(F.sum(F.col("n") * F.col("n") - F.col("same")), F.sum("n")).first()
+        if turn == MOST_TURNS or not open_[0] or open_[0] <= 8 * open_[1]:
+            break
+        order = F.xxhash64("c.k1", "c.k2", "band", F.lit(turn))
+        pivot = at.join(by_comp.select("band"), "band").groupBy("band").agg(F.min_by(F.struct("c", "comp", "n_shingles"), order).alias("v"))
+        pairs = at.join(pivot, "band").where(F.col("comp") != F.col("v.comp")).where(_sizes_allow(F.col("n_shingles"), F.col("v.n_shingles"), percent)).select("c", F.col("v.c").alias("p"))
+        more = _verified(pairs.select(*flat).distinct(), texts, width).where(linked).select(*ends)
+        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, f"turn{turn}"), f"comp{turn}")
+        scratch.drop(f"at{turn}")
+
+    # What is left of each bucket: pairs in different components that the first pivot's distances allow.
     reach = 1 - percent / 100 + 1e-9
-    far = at.where(F.col("d") > reach)
-    x, y = far.alias("x"), at.alias("y")
+    x, y = at.where(F.col("d") > reach).alias("x"), at.where("d > 0").alias("y")
     rest = x.join(
         y,
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.d") > 0) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach)
-        & ((F.col("y.d") <= reach) | (F.col("x.c") < F.col("y.c")))
-        & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent),
-    )
-    rest = scratch.table(rest.select(F.col("x.c.k1").alias("m1"), F.col("x.c.k2").alias("m2"), F.col("y.c.k1").alias("p1"), F.col("y.c.k2").alias("p2")).distinct(), "rest")
-    more = scratch.table(_verified(rest, texts, width).where(linked).select(*ends), "more")
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach)
+        & ((F.col("y.d") <= reach) | (F.col("x.c") < F.col("y.c"))) & _sizes_allow(F.col("x.n_shingles"), F.col("y.n_shingles"), percent),
+    ).select(F.col("x.c").alias("c"), F.col("y.c").alias("p"))
+    more = scratch.table(_verified(rest.select(*flat).distinct(), texts, width).where(linked).select(*ends), "more")
     if not more.isEmpty():
-        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "second"), "comp2")
+        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "last"), "comp_last")
 
     # The smallest doc_id of each component, and so back to the rows.
     named = full.select("doc_id", key.alias("node")).groupBy("node").agg(F.min("doc_id").alias("own")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
