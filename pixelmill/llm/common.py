@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel works on at once; a longer document is worked on alone.
@@ -47,22 +46,26 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/pixelmill-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
+        self.spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of plans that are done
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_all_but(self, *names: str) -> None:
+        for name in self.names.difference(names):
+            self.drop(name)
+        self.names &= set(names)
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 # ---- bytes --------------------------------------------------------------------------------------
 
 
@@ -192,4 +195,4 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
             yield lo + i, s
 
 
-__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "StorageLevel", "blocks", "cut", "mix", "row_count", "shared_dir", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "word_spans"]
+__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "blocks", "cut", "mix", "shared_dir", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "word_spans"]

@@ -5,12 +5,7 @@ Sketch (Dahlgaard, Knudsen and Thorup, 2017): in round ``i < t`` every shingle f
 stop once all bins of a document are full, which most texts reach in one or two, and every coordinate is sure
 to be full after ``2 t``.
 
-Documents with equal shingle sets are one class. Classes that share a band meet the smallest class of that
-bucket, its pivot, and the full sets decide. As long as buckets hold many pairs of different components, those
-meet further pivots, chosen by hash. What is left then - members of other components than their bucket mates -
-is compared among itself, but for pairs that the first pivot's exact distances rule out: Jaccard distance is a
-metric, so ``|d(a, p) - d(b, p)|`` beyond the threshold cannot link. So no bucket is expanded into all pairs of
-a group of copies, and none is capped.
+Documents with equal shingle sets are one class; ``set_links`` compares and connects the classes.
 
 Edge cases: null and empty texts, and texts of white space only, have no shingles, are linked with nothing and
 stay, as their own component. Rows that repeat a doc_id are judged by their own text. A null doc_id never wins
@@ -20,18 +15,18 @@ a component while another id is there. Other columns are ignored. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, blocks, cut, mix, shingle_hashes, shingle_sets, span_hashes, text_bytes, word_spans
-from .components import components
+from .set_links import passes, set_components
 
 WIDTH, BINS, ROWS = 5, 100, 5
-#: Pivot rounds at most; the exact comparison of what is left follows in any case.
-MOST_TURNS = 8
 _FULL = np.uint64(2**64 - 1)
 
 
@@ -60,7 +55,13 @@ def _bands(sk: np.ndarray, rows: int) -> np.ndarray:
     return acc + np.arange(t // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+def set_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A hash of each set of distinct elements ``hashes[cuts[i]:cuts[i + 1]]``."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes, 101))])
+    return mix(sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)
+
+
+_SKETCH = "doc_id long, n_shingles long, k1 long, bands array<long>"
 
 
 def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202
@@ -73,7 +74,7 @@ def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202
                 starts, ends, firsts = word_spans(part, own)
                 h, d = shingle_hashes(span_hashes(part, starts, ends), firsts, width)
                 cuts = np.searchsorted(d, np.arange(hi - lo + 1))
-                size, k1, k2 = (np.zeros(hi - lo, np.int64) for _ in range(3))
+                size = np.zeros(hi - lo, np.int64)
                 keep = np.zeros(len(h), bool)
                 for i in range(hi - lo):
                     a, b = cuts[i], cuts[i + 1]
@@ -85,67 +86,37 @@ def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202
                         np.not_equal(s[1:], s[:-1], out=new[1:])
                         size[i] = np.count_nonzero(new)
                 h, d = h[keep], d[keep]
-                cuts = np.concatenate([[0], np.cumsum(size)])
-                for out, seed in ((k1, 101), (k2, 202)):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h, seed))])
-                    out[:] = (sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)
+                k1 = set_keys(h, np.concatenate([[0], np.cumsum(size)]))
                 bands = _bands(sketch(h, d, hi - lo, bins), rows).view(np.int64)
                 full = size > 0
                 per = np.where(full, bands.shape[1], 0)
                 arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(bands[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size), pa.array(k1), pa.array(k2), arr], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size), pa.array(k1), arr], names=["doc_id", "n_shingles", "k1", "bands"])
 
     return run
 
 
-def _keyed_texts(width: int):  # noqa: ANN202
-    """Each text with its class key, to fetch the sets of candidates."""
+def _keyed_texts(width: int, bitmap: Broadcast):  # noqa: ANN202
+    """Texts whose class key passes the screen, with that key; each class once a task as long as its memory lasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            n = batch.num_rows
-            k1, k2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            k1 = np.zeros(batch.num_rows, np.int64)
             for i, s in shingle_sets(batch.column("text"), width):
-                k1[i] = mix(s, 101).sum(dtype=np.uint64).view(np.int64)
-                k2[i] = mix(s, 202).sum(dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), batch.column("text")], names=["k1", "k2", "text"])
+                k1[i] = set_keys(s, np.array([0, len(s)]))[0]
+            keep = []
+            for i in np.flatnonzero(passes(bitmap.value, k1)).tolist():
+                if k1[i] not in seen:
+                    seen.add(k1[i])
+                    keep.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(k1), batch.column("text")], names=["k1", "text"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def _verify(width: int):  # noqa: ANN202
-    """Pairs with both texts to pairs with the sizes of intersection and union; one pivot's set is kept between rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            p1, texts = batch.column("p1").to_numpy(zero_copy_only=False), batch.column("pivot_text")
-            inter = np.zeros(batch.num_rows, np.int64)
-            union = np.zeros(batch.num_rows, np.int64)
-            for i, s in shingle_sets(batch.column("text"), width):
-                if last != p1[i]:
-                    last, pivot = p1[i], next(shingle_sets(texts.slice(i, 1), width))[1]
-                at = np.searchsorted(pivot, s)
-                at[at == len(pivot)] = 0
-                inter[i] = np.count_nonzero(pivot[at] == s) if len(pivot) else 0
-                union[i] = len(pivot) + len(s) - inter[i]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m1", "m2", "p1", "p2")), pa.array(inter), pa.array(union)], names=["m1", "m2", "p1", "p2", "n_both", "n_union"])
-
-    return run
-
-
-def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``pairs(m1, m2, p1, p2)`` with their exact ``n_both`` and ``n_union``; texts are merged, never broadcast."""
-    texts = texts.hint("merge")
-    member = pairs.join(texts.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), "text"), ["m1", "m2"])
-    both = member.join(texts.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("text").alias("pivot_text")), ["p1", "p2"])
-    return both.select("m1", "m2", "p1", "p2", "text", "pivot_text").mapInArrow(_verify(width), "m1 long, m2 long, p1 long, p2 long, n_both long, n_union long")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """``docs(doc_id, text)`` to one row per row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -158,57 +129,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     sk = scratch.table(docs.mapInArrow(_sketches(width, bins, rows), _SKETCH), "sketch")
     full = sk.where("n_shingles > 0")
 
-    # Classes of equal sets; from here on a class stands for its rows.
-    key = F.struct("k1", "k2")
-    banded = full.dropDuplicates(["k1", "k2"]).select(key.alias("c"), "n_shingles", F.explode("bands").alias("band"))
-    banded = scratch.table(banded, "banded")
-    pivots = banded.groupBy("band").agg(F.min(F.struct("c", "n_shingles")).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", F.col("p.c").alias("p"))
-    met = scratch.table(banded.join(pivots, "band"), "met")
-    scratch.drop("banded")
-    keyed = docs.mapInArrow(_keyed_texts(width), "k1 long, k2 long, text string")
-    texts = scratch.table(keyed.join(met.select("c.k1", "c.k2").distinct().hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "texts")
-
-    linked = F.col("n_both") * 100 >= F.col("n_union") * percent
-    ends = [F.struct(F.col("m1").alias("k1"), F.col("m2").alias("k2")).alias("a"), F.struct(F.col("p1").alias("k1"), F.col("p2").alias("k2")).alias("b")]
-    flat = [F.col("c.k1").alias("m1"), F.col("c.k2").alias("m2"), F.col("p.k1").alias("p1"), F.col("p.k2").alias("p2")]
-    checked = scratch.table(_verified(met.where("c <> p").select(*flat).distinct(), texts, width), "checked")
-    comp = scratch.table(components(checked.where(linked).select(*ends), scratch, "first"), "comp0")
-    dist = checked.select(*ends, (1 - F.col("n_both") / F.col("n_union")).alias("d")).withColumnsRenamed({"a": "c", "b": "p"})
-    far = scratch.table(met.join(dist, ["c", "p"], "left").select("band", "c", "n_shingles", F.coalesce("d", F.lit(0.0)).alias("d")), "far")
-    scratch.drop("met")
-
-    # Large buckets of several components meet further pivots, other ones each round, until few pairs are open.
-    for turn in range(1, MOST_TURNS + 1):
-        at = scratch.table(far.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")), f"at{turn}")
-        by_comp = at.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        by_comp = by_comp.where("n * n > same")
-        open_ = by_comp.agg(F.sum(F.col("n") * F.col("n") - F.col("same")), F.sum("n")).first()
-        if turn == MOST_TURNS or not open_[0] or open_[0] <= 8 * open_[1]:
-            break
-        order = F.xxhash64("c.k1", "c.k2", "band", F.lit(turn))
-        pivot = at.join(by_comp.select("band"), "band").groupBy("band").agg(F.min_by(F.struct("c", "comp", "n_shingles"), order).alias("v"))
-        pairs = at.join(pivot, "band").where(F.col("comp") != F.col("v.comp")).where(_sizes_allow(F.col("n_shingles"), F.col("v.n_shingles"), percent)).select("c", F.col("v.c").alias("p"))
-        more = _verified(pairs.select(*flat).distinct(), texts, width).where(linked).select(*ends)
-        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, f"turn{turn}"), f"comp{turn}")
-        scratch.drop(f"at{turn}")
-
-    # What is left of each bucket: pairs in different components that the first pivot's distances allow.
-    reach = 1 - percent / 100 + 1e-9
-    x, y = at.where(F.col("d") > reach).alias("x"), at.where("d > 0").alias("y")
-    rest = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach)
-        & ((F.col("y.d") <= reach) | (F.col("x.c") < F.col("y.c"))) & _sizes_allow(F.col("x.n_shingles"), F.col("y.n_shingles"), percent),
-    ).select(F.col("x.c").alias("c"), F.col("y.c").alias("p"))
-    more = scratch.table(_verified(rest.select(*flat).distinct(), texts, width).where(linked).select(*ends), "more")
-    if not more.isEmpty():
-        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "last"), "comp_last")
+    nodes = full.dropDuplicates(["k1"])
+
+    def texts_of(bitmap: np.ndarray) -> DataFrame:
+        return docs.mapInArrow(_keyed_texts(width, spark.sparkContext.broadcast(bitmap)), "k1 long, text string")
+
+    comp = set_components(nodes, texts_of, partial(shingle_sets, width=width), percent, scratch)
 
     # The smallest doc_id of each component, and so back to the rows.
-    named = full.select("doc_id", key.alias("node")).groupBy("node").agg(F.min("doc_id").alias("own")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = full.groupBy("k1").agg(F.min("doc_id").alias("own")).join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
     least = named.groupBy("comp").agg(F.min("own").alias("component_id"))
-    classes = named.join(least, "comp").select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "component_id")
-    rows_out = full.join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    rows_out = full.join(named.join(least, "comp").select("k1", "component_id"), "k1").select("doc_id", "n_shingles", "component_id")
     alone = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = cut(rows_out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
     scratch.drop()

@@ -5,17 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .exact_dups import exact_duplicates
+from .line_dups import dropped_lines
 from .mixing import mixture
 from .near_dups import near_duplicates
 from .packing import best_fit_packing
 from .toxicity import toxicity
+from .unit_dups import unit_report
+from .url_filter import url_verdicts
+from .vector_search import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that go, by document; documents without such lines have an empty list."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark)
+    gone = scratch.table(dropped_lines(docs, scratch), "gone").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.array_sort("gone").alias("gone"))
+    scratch.drop_all_but("gone")
+    ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+    joined = ids.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+    return joined.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("dropped"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -25,6 +49,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), is_new=F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
 
 
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,11 +67,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup, op6_exact_dedup, op8_best_fit_packing, op9_source_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": f"""
+        WITH parts AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+')) AS part,
+                   generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+'), 1) AS k
+            FROM documents),
+        placed AS (
+            SELECT doc_id, part, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+                   trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ') AS unit
+            FROM parts),
+        units AS (
+            SELECT doc_id, stop - length(part) AS start, stop,
+                   row_number() OVER (PARTITION BY unit ORDER BY doc_id, stop) AS k
+            FROM placed WHERE NOT regexp_full_match(part, '[.!?\\n]+') AND length(unit) - length(replace(unit, ' ', '')) + 1 >= 6),
+        per AS (
+            SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE k > 1) AS n_removed,
+                   CAST(sum(stop - start) FILTER (WHERE k > 1) AS BIGINT) AS chars,
+                   string_agg(CASE WHEN k > 1 THEN start || '-' || stop END, ',' ORDER BY start) AS removed
+            FROM units GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
+               coalesce(chars, 0) AS removed_chars, coalesce(removed, '') AS removed
+        FROM documents d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id
+    """,
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
