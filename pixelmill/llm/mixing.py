@@ -93,3 +93,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     each = per.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int"))))
     share = F.floor(F.col("taken") / F.col("rows")) + F.when(F.col("k") < F.col("taken") % F.col("rows"), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
+    """The rows of ``docs`` with all their columns, as often as the mix takes each, as whole documents."""
+    copies = mix_copies(docs, weights, budget, repeats, cut_last=False, everything=True)
+    used = F.count(F.when((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("copy") == 1)), 1))
+    times = copies.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.ceil(used / F.count(F.when(F.col("copy") == 1, 1))).cast("int").alias("_times")).where("_times > 0")
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in docs.columns])

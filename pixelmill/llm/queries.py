@@ -11,6 +11,7 @@ from .line_dups import dropped_lines
 from .mixing import mixture
 from .near_dups import near_duplicates
 from .packing import best_fit_packing
+from .substring_dups import without_repeats
 from .toxicity import toxicity
 from .unit_dups import unit_report
 from .url_filter import url_verdicts
@@ -25,6 +26,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that go, by document; documents without such lines have an empty list."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

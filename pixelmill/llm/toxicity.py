@@ -223,6 +223,10 @@ def _design(feats: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(feats)), np.clip(feats[:, 1], 0, 60) / 10, np.log1p(feats[:, 2])], 1)
 
 
+def _probability(model: Model, feats: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_design(feats) @ np.array(model.weights), -30, 30)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -323,12 +327,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = cast.value
         for batch, feats, passages, _ in _features(m, batches):
-            p = 1 / (1 + np.exp(-np.clip(_design(feats) @ np.array(m.weights), -30, 30))) if m.trained else np.zeros(batch.num_rows)
+            p = _probability(m, feats) if m.trained else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, score double, passages {_PASSAGES}")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labels: int = MOST_LABELS) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; texts are not shuffled."""
+    model = train(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))), most_labels)
+    if not model.trained:
+        return docs
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = cast.value
+        for batch, feats, _, _ in _features(m, batches):
+            yield batch.filter(pa.array(_probability(m, feats) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no label is learned from: crc32 of the id as text divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
