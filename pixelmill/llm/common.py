@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelmill.runtime import ship
+
 #: Bytes of text that a kernel works on at once; a longer document is worked on alone.
 BLOCK_BYTES = 2_000_000
 
@@ -45,6 +47,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/pixelmill-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 

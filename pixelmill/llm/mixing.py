@@ -40,8 +40,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     order = everything.orderBy(F.col("most") / F.col("weight"), "source_rank")
     src = src.withColumn("words", F.sum("source_size").over(everything)).withColumn("all_weight", F.sum("weight").over(everything))
     src = src.withColumn("most_before", F.sum("most").over(order) - F.col("most")).withColumn("weight_before", F.sum("weight").over(order) - F.col("weight"))
+    # The level without the first that does not stop; further on it only sinks, as too much is taken off.
     level = (F.col("words") * F.lit(float(budget)) - F.col("most_before")) / (F.col("all_weight") - F.col("weight_before"))
-    src = src.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))).over(everything))
+    src = src.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))).over(everything))
     target = F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("most").cast("double")), F.col("most").cast("double"))
     return src.select("source", "source_rank", "source_size", "weight", target.alias("target"))
 

@@ -122,7 +122,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM weighed WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / CAST(weight AS DOUBLE), source_rank)),
         targets AS (
             SELECT source, source_size,
-                   coalesce(least((SELECT min(level) FROM levels WHERE level <= ratio) * weight, CAST(most AS DOUBLE)), CAST(most AS DOUBLE)) AS target
+                   coalesce(least((SELECT max(level) FROM levels WHERE level <= ratio) * weight, CAST(most AS DOUBLE)), CAST(most AS DOUBLE)) AS target
             FROM levels),
         queued AS (
             SELECT s.doc_id, s.size, t.source_size, t.target,
