@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix
 from .near_dups import _bands, set_keys, sketch
-from .set_links import passes, set_components
+from .set_links import passes, set_components, signature_bits
 
 WIDTH, BINS, ROWS = 6, 50, 5
 MIN_CHARS = 16
@@ -116,13 +116,16 @@ def _units(width: int, min_chars: int):  # noqa: ANN202
                         new[i] = True
                 fresh = np.repeat(new, size)
                 number = np.cumsum(new) - 1
-                bands = _bands(sketch(hashes[fresh], np.repeat(number, size)[fresh], int(new.sum()), BINS), ROWS).view(np.int64)
+                sk = sketch(hashes[fresh], np.repeat(number, size)[fresh], int(new.sum()), BINS)
+                s1, s2 = (np.zeros(n, np.int64) for _ in range(2))
+                s1[new], s2[new] = signature_bits(sk)
+                bands = _bands(sk, ROWS).view(np.int64)
                 per = np.where(new, bands.shape[1], 0)
                 arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(bands.reshape(-1)))
                 who = pa.array(rows[at : at + n], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(numbers[at : at + n], pa.int32()), pa.array(size), pa.array(k1), arr],
-                    names=["doc_id", "text_hash", "line", "n_shingles", "k1", "bands"],
+                    [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(numbers[at : at + n], pa.int32()), pa.array(size), pa.array(k1), pa.array(s1), pa.array(s2), arr],
+                    names=["doc_id", "text_hash", "line", "n_shingles", "k1", "s1", "s2", "bands"],
                 )
 
     return run
@@ -164,14 +167,14 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_char
     """``docs(doc_id, text)`` to ``doc_id, text_hash, gone``: the numbers of the lines that go, by document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    units = docs.mapInArrow(_units(width, min_chars), "doc_id long, text_hash long, line int, n_shingles long, k1 long, bands array<long>")
+    units = docs.mapInArrow(_units(width, min_chars), "doc_id long, text_hash long, line int, n_shingles long, k1 long, s1 long, s2 long, bands array<long>")
     units = scratch.table(units, "units")
 
     def texts_of(bitmap: np.ndarray) -> DataFrame:
         return docs.mapInArrow(_keyed_lines(width, min_chars, spark.sparkContext.broadcast(bitmap)), "k1 long, text string")
 
-    nodes = units.where(F.size("bands") > 0).select("k1", "n_shingles", "bands")
-    comp = set_components(nodes, texts_of, partial(line_sets, width=width), percent, scratch)
+    nodes = units.where(F.size("bands") > 0).select("k1", "n_shingles", "s1", "s2", "bands")
+    comp = set_components(nodes, texts_of, partial(line_sets, width=width), percent, BINS, scratch)
 
     # The first line of each set, then of each component; lines that share either are the only ones that can go.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, blocks, cut, mix, shingle_hashes, shingle_sets, span_hashes, text_bytes, word_spans
-from .set_links import passes, set_components
+from .set_links import passes, set_components, signature_bits
 
 WIDTH, BINS, ROWS = 5, 100, 5
 _FULL = np.uint64(2**64 - 1)
@@ -61,7 +61,7 @@ def set_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return mix(sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, k1 long, bands array<long>"
+_SKETCH = "doc_id long, n_shingles long, k1 long, s1 long, s2 long, bands array<long>"
 
 
 def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202
@@ -87,11 +87,13 @@ def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202
                         size[i] = np.count_nonzero(new)
                 h, d = h[keep], d[keep]
                 k1 = set_keys(h, np.concatenate([[0], np.cumsum(size)]))
-                bands = _bands(sketch(h, d, hi - lo, bins), rows).view(np.int64)
+                sk = sketch(h, d, hi - lo, bins)
+                s1, s2 = signature_bits(sk)
+                bands = _bands(sk, rows).view(np.int64)
                 full = size > 0
                 per = np.where(full, bands.shape[1], 0)
                 arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(bands[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size), pa.array(k1), arr], names=["doc_id", "n_shingles", "k1", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size), pa.array(k1), pa.array(s1), pa.array(s2), arr], names=["doc_id", "n_shingles", "k1", "s1", "s2", "bands"])
 
     return run
 
@@ -134,7 +136,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     def texts_of(bitmap: np.ndarray) -> DataFrame:
         return docs.mapInArrow(_keyed_texts(width, spark.sparkContext.broadcast(bitmap)), "k1 long, text string")
 
-    comp = set_components(nodes, texts_of, partial(shingle_sets, width=width), percent, scratch)
+    comp = set_components(nodes, texts_of, partial(shingle_sets, width=width), percent, bins, scratch)
 
     # The smallest doc_id of each component, and so back to the rows.
     named = full.groupBy("k1").agg(F.min("doc_id").alias("own")).join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))

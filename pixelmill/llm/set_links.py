@@ -1,12 +1,11 @@
 """Exact links between sets that share a band of their sketches, and the components of those links.
 
 Sets are known by a 64-bit hash of their elements' hashes, equal sets being one node (among n sets, some n^2 / 2^65
-pairs of different ones are taken for equal). Every band bucket compares its members with
-its smallest node, its pivot, over the full sets. As long as buckets hold many pairs of different components,
-those meet further pivots, chosen by hash. What is left then - members of other components than their bucket
-mates - is compared among itself, but for pairs that the first pivot's exact distances rule out: Jaccard distance
-is a metric, so ``|d(a, p) - d(b, p)|`` beyond the threshold cannot link. So no bucket is expanded into all pairs
-of a group of copies, and none is capped.
+pairs of different ones are taken for equal). The members of a band bucket first meet three pivots of the bucket.
+Pairs whose sizes or whose sketches' signatures rule a link out are not looked at; the others are decided over the
+full sets. Links make components, and where a bucket holds several then, the members of all but its largest
+component meet everything in the bucket. So a group of copies is not expanded into all pairs, and none is capped:
+a link is lost only if no band finds it, or with its signature one in a million.
 """
 
 from __future__ import annotations
@@ -18,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, mix
 from .components import components
 
-#: Pivot rounds at most; the exact comparison of what is left follows in any case.
-MOST_TURNS = 8
 #: A column of texts to (position, sorted distinct hashes) of each.
 Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
 #: 64-bit words of the screen; its size does not depend on the data.
@@ -77,54 +74,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     return both.select("c", "p", "text", "pivot_text").mapInArrow(_verify(sets), "c long, p long, n_both long, n_union long")
 
 
-def set_components(nodes: DataFrame, texts_of: Callable[[np.ndarray], DataFrame], sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
-    """``nodes(k1, n_shingles, bands)``, one row or more for each set, to ``(node, comp)`` of all sets with links.
+def signature_bits(sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest bit of every bin of sketches, as two words of up to 60 bits."""
+    bits = (mix(sk, 77) & np.uint64(1)).astype(np.uint64)
+    return tuple((part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for part in (bits[:, :60], bits[:, 60:]))
+
+
+def _bits_allow(a: Callable[[str], Column], b: Callable[[str], Column], bins: int, percent: int) -> Column:
+    """Whether two signatures agree as much as linked sets do but for 1 in a million: bins agree by similarity,
+    and half of the others by chance."""
+    agree = (1 + percent / 100) / 2
+    least = bins * agree - 4.8 * (bins * agree * (1 - agree)) ** 0.5
+    differ = F.bit_count(a("s1").bitwiseXOR(b("s1"))) + F.bit_count(a("s2").bitwiseXOR(b("s2")))
+    return differ <= int(bins - least)
+
+
+#: Orders in which a bucket's least node becomes a pivot: numbers xored with these.
+_ORDERS = (0, 0x1B873593CC9E2D51, 0x52DCE729E6546B64)
+
+
+def set_components(nodes: DataFrame, texts_of: Callable[[np.ndarray], DataFrame], sets: Sets, percent: int, bins: int, scratch: Scratch) -> DataFrame:
+    """``nodes(k1, n_shingles, s1, s2, bands)``, a row or more for each set, to ``(node, comp)`` of all sets with links.
 
     Linked are sets with ``100 * |A and B| >= percent * |A or B|``. ``texts_of`` gives ``(k1, text)`` of all texts
     whose key passes a screen, and ``sets`` their sets.
     """
-    banded = nodes.select(F.col("k1").alias("c"), "n_shingles", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").drop("q")
+    banded = nodes.select(F.col("k1").alias("c"), "n_shingles", "s1", "s2", F.explode("bands").alias("band"))
+    keys = [F.min(F.col("c").bitwiseXOR(F.lit(k))).bitwiseXOR(F.lit(k)).alias(f"p{i}") for i, k in enumerate(_ORDERS)]
+    pivots = banded.groupBy("band").agg(*keys, F.max("c").alias("q")).where("p0 < q").drop("q")
     met = scratch.table(banded.join(pivots, "band").distinct(), "met")
-    in_met = met.select(F.col("c").alias("k1")).distinct()
-    texts = texts_of(screen(in_met))
-    texts = scratch.table(texts.join(in_met.hint("merge"), "k1", "left_semi").dropDuplicates(["k1"]), "texts")
+    known = scratch.table(met.select("c", "n_shingles", "s1", "s2").distinct(), "known")
+
+    def candidates(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        return _sizes_allow(x("n_shingles"), y("n_shingles"), percent) & _bits_allow(x, y, bins, percent)
+
+    def of(name: str) -> Callable[[str], Column]:
+        return lambda c: F.col(f"{name}.{c}")
+
+    pairs = met.select("c", "n_shingles", "s1", "s2", F.explode(F.array("p0", "p1", "p2")).alias("p")).where("c <> p").distinct().alias("x")
+    pairs = pairs.join(known.alias("y"), F.col("x.p") == F.col("y.c")).where(candidates(of("x"), of("y")))
+    # A pair met from both sides is one.
+    pairs = pairs.select(F.greatest("x.c", "x.p").alias("c"), F.least("x.c", "x.p").alias("p")).distinct()
+    pairs = scratch.table(pairs, "pairs")
+    needed = pairs.select(F.col("c").alias("k1")).union(pairs.select("p")).distinct()
+    texts = scratch.table(texts_of(screen(needed)).join(needed.hint("merge"), "k1", "left_semi").dropDuplicates(["k1"]), "texts")
 
     linked = F.col("n_both") * 100 >= F.col("n_union") * percent
-    sizes = in_met.join(met.groupBy("c").agg(F.first("n_shingles").alias("p_size")).withColumnRenamed("c", "k1"), "k1").withColumnRenamed("k1", "p")
-    first = met.where("c <> p").select("c", "p", "n_shingles").distinct().join(sizes, "p")
-    allowed = _sizes_allow(F.col("n_shingles"), F.col("p_size"), percent)
-    checked = scratch.table(_verified(first.where(allowed).select("c", "p"), texts, sets), "checked")
     edges = [F.col("c").alias("a"), F.col("p").alias("b")]
-    comp = scratch.table(components(checked.where(linked).select(*edges), scratch, "first"), "comp0")
-    # Pairs whose sizes rule a link out have no exact distance; they are not used to rule out others.
-    far = met.join(checked.select("c", "p", (1 - F.col("n_both") / F.col("n_union")).alias("d")), ["c", "p"], "left")
-    far = scratch.table(far.select("band", "c", "n_shingles", F.when(F.col("c") == F.col("p"), 0.0).otherwise(F.col("d")).alias("d")), "far")
-    scratch.drop("met")
+    comp = scratch.table(components(_verified(pairs, texts, sets).where(linked).select(*edges), scratch, "first"), "comp")
 
-    # Large buckets of several components meet further pivots, other ones each round, until few pairs are open.
-    for turn in range(1, MOST_TURNS + 1):
-        at = scratch.table(far.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")), f"at{turn}")
-        by_comp = at.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        by_comp = by_comp.where("n * n > same")
-        open_ = by_comp.agg(F.sum(F.col("n") * F.col("n") - F.col("same")), F.sum("n")).first()
-        if turn == MOST_TURNS or not open_[0] or open_[0] <= 8 * open_[1]:
-            break
-        order = F.xxhash64("c", "band", F.lit(turn))
-        pivot = at.join(by_comp.select("band"), "band").groupBy("band").agg(F.min_by(F.struct("c", "comp", "n_shingles"), order).alias("v"))
-        pairs = at.join(pivot, "band").where(F.col("comp") != F.col("v.comp")).where(_sizes_allow(F.col("n_shingles"), F.col("v.n_shingles"), percent)).select("c", F.col("v.c").alias("p"))
-        more = _verified(pairs.distinct(), texts, sets).where(linked).select(*edges)
-        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, f"turn{turn}"), f"comp{turn}")
-        scratch.drop(f"at{turn}")
-
-    # What is left of each bucket: pairs in different components that the first pivot's distances allow.
-    reach = 1 - percent / 100 + 1e-9
-    x, y = at.where(F.coalesce(F.col("d") > reach, F.lit(True))).alias("x"), at.where(F.coalesce(F.col("d") > 0, F.lit(True))).alias("y")
-    close = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= reach, F.lit(True))
-    once = F.coalesce(F.col("y.d") <= reach, F.lit(False)) | (F.col("x.c") < F.col("y.c"))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & close & once & _sizes_allow(F.col("x.n_shingles"), F.col("y.n_shingles"), percent))
-    rest = rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("p")).distinct()
-    more = scratch.table(_verified(rest, texts, sets).where(linked).select(*edges), "more")
-    if not more.isEmpty():
-        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "last"), "comp_last")
+    # Buckets that still hold several components: all but the largest one's members meet all of the bucket.
+    at = met.select("band", "c", "n_shingles", "s1", "s2").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    at = scratch.table(at, "at")
+    scratch.drop("met")
+    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", "n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    rest_of = scratch.table(at.join(sizes.select("band", "most"), "band"), "open")
+    x, y = rest_of.where("comp <> most").alias("x"), rest_of.alias("y")
+    once = (F.col("y.comp") == F.col("y.most")) | (F.col("x.c") < F.col("y.c"))
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & candidates(of("x"), of("y")))
+    rest = rest.select(F.greatest("x.c", "y.c").alias("c"), F.least("x.c", "y.c").alias("p")).distinct()
+    rest = scratch.table(rest.join(pairs, ["c", "p"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        needed = rest.select(F.col("c").alias("k1")).union(rest.select("p")).distinct()
+        texts = scratch.table(texts_of(screen(needed)).join(needed.hint("merge"), "k1", "left_semi").dropDuplicates(["k1"]), "texts2")
+        more = scratch.table(_verified(rest, texts, sets).where(linked).select(*edges), "more")
+        if not more.isEmpty():
+            comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "last"), "comp_last")
     return comp
