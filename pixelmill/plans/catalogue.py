@@ -1,10 +1,403 @@
-"""The queries over the driver's tables, each with its DuckDB SQL."""
+"""The queries over the driver's tables, each with its DuckDB SQL.
+
+Each is the semantic twin of a reference operator: the texts' UTF-8 bytes stand in for file content, and the
+relational tables for image lists, catalogues and selections. Byte queries run as kernels that aggregate inside
+each text; their SQL explodes the bytes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelmill.operators import pixels as P
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Bytes of all texts in SQL: doc_id, i, v.
+_BYTES = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    k AS (SELECT doc_id, x, unnest(range(length(x) // 2)) AS i FROM h),
+    b AS (SELECT doc_id, i, CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) AS v FROM k)
+"""
+#: RGB triples of all texts in SQL: doc_id, i, r, g, b.
+_PIXELS = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    k AS (SELECT doc_id, x, unnest(range(length(x) // 6)) AS i FROM h),
+    p AS (SELECT doc_id, i, CAST('0x' || substr(x, 6 * i + 1, 2) AS BIGINT) AS r, CAST('0x' || substr(x, 6 * i + 3, 2) AS BIGINT) AS g,
+                 CAST('0x' || substr(x, 6 * i + 5, 2) AS BIGINT) AS b FROM k)
+"""
+_LUMA = "least(255, CAST(trunc(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b) AS BIGINT))"
+
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", "text")
+
+
+def _same(name: str, tables: str, sql: str, duck: str | None = None) -> None:
+    """A query whose text both engines run; ``duck`` where their dialects differ."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(sql.replace("\\", "\\\\"), **{t: _table(spark, d, t) for t in tables.split()})
+
+    QUERIES[name] = run
+    out = duck or sql
+    for t in tables.split():
+        out = out.replace("{" + t + "}", t)
+    ORACLE_SQL[name] = out
+
+
+# ---- aggregates ---------------------------------------------------------------------------------
+
+
+@_query(_PIXELS + f"SELECT {_LUMA} AS bin, count(*) AS n FROM p GROUP BY 1")
+def luma_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return P.luma_histogram(_docs(spark, d), "doc_id", P.text_blob())
+
+
+@_query(_PIXELS + "SELECT channel, bin, count(*) AS n FROM (SELECT 'r' AS channel, r AS bin FROM p UNION ALL SELECT 'g', g FROM p UNION ALL SELECT 'b', b FROM p) GROUP BY 1, 2")
+def channel_histograms(spark: SparkSession, d: str) -> DataFrame:
+    return P.channel_histograms(_docs(spark, d), "doc_id", P.text_blob())
+
+
+@_query(_PIXELS + "SELECT d.doc_id, count(DISTINCT r * 65536 + g * 256 + b) AS colors FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY 1")
+def distinct_colors(spark: SparkSession, d: str) -> DataFrame:
+    return P.distinct_colors(_docs(spark, d), "doc_id", P.text_blob())
+
+
+@_query(_PIXELS + f", l AS (SELECT doc_id, {_LUMA} AS bin FROM p) SELECT doc_id, CAST(sum(bin) // count(*) AS BIGINT) AS mean, min(bin) AS low, max(bin) AS high FROM l GROUP BY 1")
+def luma_mean_range(spark: SparkSession, d: str) -> DataFrame:
+    return P.luma_statistics(_docs(spark, d), "doc_id", P.text_blob())
+
+
+@_query(
+    _PIXELS + """, c AS (SELECT doc_id, r * 65536 + g * 256 + b AS rgb, count(*) AS n FROM p GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rgb) AS rank FROM c)
+    SELECT doc_id, rgb, n, rank FROM k WHERE rank <= 16"""
+)
+def top_colors(spark: SparkSession, d: str) -> DataFrame:
+    return P.top_colors(_docs(spark, d), "doc_id", P.text_blob(), 16)
+
+
+_same(
+    "type_rollup_counts", "orders",
+    "SELECT o_orderpriority, count(*) AS entries, count(*) FILTER (WHERE o_orderstatus <> 'P') AS files, count(*) FILTER (WHERE o_orderstatus = 'F') AS images FROM {orders} GROUP BY o_orderpriority",
+)
+
+# ---- classifier statistics ----------------------------------------------------------------------
+
+
+@_query(
+    _BYTES + """, n AS (SELECT doc_id, v // 16 AS q FROM b UNION ALL SELECT doc_id, v % 16 FROM b),
+    c AS (SELECT doc_id, q, count(*) AS o FROM n GROUP BY 1, 2),
+    t AS (SELECT doc_id, sum(o) AS total FROM c GROUP BY 1)
+    SELECT t.doc_id, round(sum(power(coalesce(o, 0) - total / 16.0, 2) / (total / 16.0)), 6) AS chi_square, count(*) FILTER (WHERE o > total / 100.0) AS frequent
+    FROM t CROSS JOIN (SELECT unnest(range(16)) AS q) z LEFT JOIN c ON c.doc_id = t.doc_id AND c.q = z.q GROUP BY 1"""
+)
+def nibble_chi_square(spark: SparkSession, d: str) -> DataFrame:
+    return P.nibble_statistics(_docs(spark, d), "doc_id", P.text_blob())
+
+
+@_query(_BYTES + """SELECT d.doc_id, count(y.v) AS pairs, count(*) FILTER (WHERE abs(x.v - y.v) < 64) AS near
+    FROM documents d LEFT JOIN b x ON x.doc_id = d.doc_id LEFT JOIN b y ON y.doc_id = x.doc_id AND y.i = x.i - 16 GROUP BY 1""")
+def row_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return P.row_correlation(_docs(spark, d), "doc_id", P.text_blob(), 16)
+
+
+@_query(
+    _BYTES + """SELECT d.doc_id, CAST(coalesce(sum(bit_count(xor(v, v >> 1) & 127)), 0) AS BIGINT) AS transitions,
+    CAST(coalesce(sum(CAST((v >> 6) % 4 IN (1, 2) AS INT) + CAST((v >> 4) % 4 IN (1, 2) AS INT) + CAST((v >> 2) % 4 IN (1, 2) AS INT) + CAST(v % 4 IN (1, 2) AS INT)), 0) AS BIGINT) AS mixed,
+    count(*) FILTER (WHERE v IN (0, 255)) AS solid FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY 1"""
+)
+def bit_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return P.bit_statistics(_docs(spark, d), "doc_id", P.text_blob())
+
+
+@_query(
+    _BYTES + """, s AS (SELECT doc_id, i // 2048 AS blk, count(DISTINCT v) AS n FROM b WHERE i % 2048 < 100 GROUP BY 1, 2)
+    SELECT d.doc_id, (SELECT count(*) FROM s WHERE s.doc_id = d.doc_id AND n > 50) AS rich_blocks,
+           (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id AND i < 1024 AND v = 0) AS early_zeros FROM documents d"""
+)
+def block_distinct_score(spark: SparkSession, d: str) -> DataFrame:
+    return P.block_scores(_docs(spark, d), "doc_id", P.text_blob())
+
+
+_same(
+    "first_match_route", "pages documents",
+    """SELECT 'page' AS kind, page_id AS id, CASE WHEN lower(url) LIKE '%.png' OR lower(url) LIKE '%.jpg' THEN 'modern' WHEN url LIKE 'http://%/en/%' THEN 'english'
+       WHEN length(html) BETWEEN 5000 AND 10000 THEN 'sized' WHEN substr(html, 1, 2) = '<!' THEN 'markup' ELSE 'unknown' END AS route FROM {pages}
+       UNION ALL SELECT 'document', doc_id, CASE WHEN lang = 'de' THEN 'german' WHEN n_chars BETWEEN 1000 AND 2000 THEN 'sized' WHEN source = 'src0' THEN 'first' ELSE 'unknown' END FROM {documents}""",
+)
+_same(
+    "dimension_default", "events",
+    """SELECT e.event_type, coalesce(a.label, w.label, '$' || upper(substr(e.event_type, 1, 2))) AS label, count(*) AS n
+       FROM {events} e LEFT JOIN (VALUES ('click', 1, 'odd click')) AS a(event_type, aux, label) ON a.event_type = e.event_type AND a.aux = e.user_id % 2
+       LEFT JOIN (VALUES ('click', 'any click'), ('view', 'look')) AS w(event_type, label) ON w.event_type = e.event_type GROUP BY 1, 2""",
+)
+_same("catalog_filter", "part", "SELECT p_partkey, p_name, p_type FROM {part} WHERE (lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%steel%') AND p_size > 10")
+
+# ---- selection and edits ------------------------------------------------------------------------
+
+
+@_query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
+def selection_semi(spark: SparkSession, d: str) -> DataFrame:
+    chosen = _table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, d, "customer").join(chosen, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@_query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
+def selection_anti(spark: SparkSession, d: str) -> DataFrame:
+    chosen = _table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, d, "customer").join(chosen, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+_same("selection_toggle", "events", "SELECT user_id FROM {events} WHERE event_type = 'click' GROUP BY user_id HAVING count(*) % 2 = 1")
+_same("append_union_all", "supplier customer", "SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation FROM {supplier} UNION ALL SELECT c_custkey, c_name, c_nationkey FROM {customer}")
+_same("first_wins_dedup", "documents", "SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM {documents}) WHERE k = 1")
+_same(
+    "recent_top10", "events",
+    "SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events}) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 10",
+)
+_same("undo_window", "events", "SELECT user_id, event_id, seq FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS seq FROM {events}) WHERE seq <= 10")
+_same(
+    "undo_last", "events",
+    """SELECT user_id, max(event_id) AS restored FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events})
+       WHERE k > 1 GROUP BY user_id""",
+)
+
+# ---- windows ------------------------------------------------------------------------------------
+
+
+@_query(
+    """WITH e AS (SELECT event_id, user_id, ts, event_id % 4 AS c, event_id % 16 AS v FROM events)
+    SELECT event_id, coalesce(last_value(CASE WHEN c IN (0, 2) THEN v END IGNORE NULLS) OVER w, 0) AS r,
+           coalesce(last_value(CASE WHEN c IN (0, 3) THEN v END IGNORE NULLS) OVER w, 0) AS g,
+           coalesce(last_value(CASE WHEN c IN (0, 1) THEN v END IGNORE NULLS) OVER w, 0) AS b
+    FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def hold_and_modify(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events").select("event_id", "user_id", "ts")
+    return P.hold_and_modify(e, "user_id", ["ts", "event_id"], F.col("event_id") % 4, F.col("event_id") % 16).select("event_id", "r", "g", "b")
+
+
+@_query(
+    _BYTES + """, k2 AS (SELECT doc_id, i, v, unnest(range(7)) AS j FROM b), bits AS (SELECT doc_id, i * 7 + j AS x, i // 40 AS y, v >= 128 AS high, (v >> j) % 2 AS bit FROM k2),
+    n AS (SELECT *, lead(bit, 1, 0) OVER (PARTITION BY doc_id, y ORDER BY x) AS nxt FROM bits),
+    c AS (SELECT doc_id, CASE WHEN bit = 0 THEN 0 WHEN nxt = 1 THEN 3 WHEN x % 280 % 2 = 0 THEN CASE WHEN high THEN 5 ELSE 2 END ELSE CASE WHEN high THEN 4 ELSE 1 END END AS color FROM n)
+    SELECT doc_id, color, count(*) AS n FROM c GROUP BY 1, 2"""
+)
+def next_bit_artifact(spark: SparkSession, d: str) -> DataFrame:
+    """Colours from each bit, the next one in its row of 40 bytes, the column's parity and the byte's high bit."""
+
+    def kernel(b: np.ndarray) -> tuple:
+        bits = ((b[:, None] >> np.arange(7, dtype=np.uint8)) & 1).reshape(-1).astype(np.int64)
+        x, high = np.arange(len(bits)) % 280, np.repeat(b >= 128, 7)
+        nxt = np.concatenate([bits[1:], [0]])[: len(bits)]
+        nxt[x == 279] = 0
+        color = np.where(bits == 0, 0, np.where(nxt == 1, 3, np.where(x % 2 == 0, np.where(high, 5, 2), np.where(high, 4, 1))))
+        return np.unique(color, return_counts=True)
+
+    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "color long, n long")
+
+
+_same(
+    "running_offsets", "part",
+    "SELECT p_partkey, coalesce(sum(p_size * 256) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_byte FROM {part}",
+    "SELECT p_partkey, CAST(coalesce(sum(p_size * 256) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte FROM part",
+)
+_same(
+    "slideshow_timeline", "orders",
+    """WITH s AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key, 3 * 30 AS hold FROM {orders}),
+       f AS (SELECT *, hold - CASE WHEN next_key IS NULL THEN 0 ELSE 15 END AS shown, CASE WHEN next_key IS NULL THEN 0 ELSE 15 END AS changing FROM s)
+       SELECT o_orderkey, next_key, shown, changing, CAST(sum(shown + changing) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - shown - changing AS BIGINT) AS first_frame FROM f""",
+)
+
+# ---- recursion and directories ------------------------------------------------------------------
+
+_CHAIN = "(VALUES (2, 5), (3, 0), (5, 7), (7, 3), (9, 11), (11, 9)) AS fat(cluster, next)"
+_same(
+    "pointer_walk", "nation",
+    f"""WITH RECURSIVE walk(start, cluster, step) AS (
+          SELECT n_nationkey, n_nationkey, 0 FROM {{nation}} WHERE n_nationkey IN (2, 9)
+          UNION ALL SELECT w.start, f.next, w.step + 1 FROM walk w JOIN {_CHAIN.replace('AS fat', 'AS f')} ON f.cluster = w.cluster WHERE f.next > 0 AND w.step < 5)
+        SELECT start, cluster, step FROM walk""",
+)
+_same(
+    "dir_size_rollup", "region nation customer",
+    """SELECT r_name AS directory, n_name AS entry, count(c_custkey) AS files, CAST(coalesce(sum(c_custkey), 0) AS BIGINT) AS size FROM {region} JOIN {nation} ON n_regionkey = r_regionkey
+       LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY r_name, n_name
+       UNION ALL SELECT r_name, '', count(c_custkey), CAST(coalesce(sum(c_custkey), 0) AS BIGINT) FROM {region} JOIN {nation} ON n_regionkey = r_regionkey LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY r_name""",
+)
+
+
+@_query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey) AS extents, count(*) AS n FROM lineitem GROUP BY 1")
+def group_extents(spark: SparkSession, d: str) -> DataFrame:
+    pairs = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    text = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["l_linenumber"], p["l_partkey"])), " ")
+    return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(text.alias("extents"), F.count("*").alias("n"))
+
+
+# ---- bytes and layouts --------------------------------------------------------------------------
+
+#: File-system sector of each of a track's 16 sectors.
+SECTOR_ORDER = (0, 7, 14, 6, 13, 5, 12, 4, 11, 3, 10, 2, 9, 1, 8, 15)
+_PLACE = "CASE i // 4 % 16 " + " ".join(f"WHEN {a} THEN {b}" for a, b in enumerate(SECTOR_ORDER)) + " END"
+
+
+@_query(_BYTES + f"""SELECT d.doc_id, count(i) AS bytes, CAST(coalesce(sum(v * ((i // 64 * 64 + {_PLACE} * 4 + i % 4) % 251 + 1)), 0) AS BIGINT) AS weighted
+    FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.i < octet_length(encode(d.text)) // 64 * 64 GROUP BY 1""")
+def permute_sectors(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of 16 sectors of 4 bytes put in file-system order; what is left of the text is dropped."""
+    place = np.argsort(SECTOR_ORDER)
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.grid(b, 64).reshape(-1, 16, 4)[:, place].reshape(-1))
+
+
+@_query(
+    _BYTES + """, s AS (SELECT doc_id, i // 512 AS slice, count(*) FILTER (WHERE v NOT IN (32, 101)) AS filled FROM b GROUP BY 1, 2 HAVING count(*) = 512)
+    SELECT doc_id, slice * 512 AS first_byte, filled, row_number() OVER (PARTITION BY doc_id ORDER BY slice) AS number FROM s WHERE filled > 100"""
+)
+def tumbling_slices(spark: SparkSession, d: str) -> DataFrame:
+    def kernel(b: np.ndarray) -> tuple:
+        filled = ((P.grid(b, 512) != 32) & (P.grid(b, 512) != 101)).sum(1)
+        at = np.flatnonzero(filled > 100)
+        return at * 512, filled[at], np.arange(1, len(at) + 1)
+
+    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "first_byte long, filled long, number long")
+
+
+def _recolored(spark: SparkSession, d: str, palette: np.ndarray) -> DataFrame:
+    def kernel(b: np.ndarray) -> tuple:
+        return np.unique(palette[P.nibbles(b)], return_counts=True)
+
+    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "rgb long, n long")
+
+
+_NIBBLES = _BYTES + ", n AS (SELECT doc_id, v // 16 AS q FROM b UNION ALL SELECT doc_id, v % 16 FROM b)"
+
+
+@_query(_NIBBLES + "SELECT doc_id, q * 17 * 65793 AS rgb, count(*) AS n FROM n GROUP BY 1, 2")
+def palette_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return _recolored(spark, d, np.arange(16) * 17 * 0x010101)
+
+
+@_query(_NIBBLES + "SELECT doc_id, CASE WHEN q = 6 THEN 16711680 ELSE q * 17 * 65793 END AS rgb, count(*) AS n FROM n GROUP BY 1, 2")
+def palette_recolor(spark: SparkSession, d: str) -> DataFrame:
+    palette = np.arange(16) * 17 * 0x010101
+    palette[6] = 0xFF0000
+    return _recolored(spark, d, palette)
+
+
+@_query(
+    _BYTES + """, c AS (SELECT x.doc_id, a.v AS attribute, x.v AS v FROM b x JOIN b a ON a.doc_id = x.doc_id AND a.i = x.i // 64 * 64 WHERE x.i % 64 > 0)
+    SELECT doc_id, attribute, count(*) AS n, CAST(sum(CASE WHEN v >= attribute THEN attribute % 8 ELSE attribute // 8 % 8 END) AS BIGINT) AS ink FROM c GROUP BY 1, 2"""
+)
+def cell_attribute_join(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of 64 bytes whose first is the attribute that gives the others one of two colours."""
+
+    def kernel(b: np.ndarray) -> tuple:
+        v, at = b.astype(np.int64), np.arange(len(b))
+        a = v[at // 64 * 64]
+        keep = at % 64 > 0
+        ink = np.where(v >= a, a % 8, a // 8 % 8)[keep]
+        kinds, inverse = np.unique(a[keep], return_inverse=True)
+        return kinds, np.bincount(inverse, minlength=len(kinds)), np.bincount(inverse, ink, len(kinds)).astype(np.int64)
+
+    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "attribute long, n long, ink long")
+
+
+def _weighted(place: str, value: str = "v", where: str = "true") -> str:
+    return _BYTES + f""", s AS (SELECT doc_id, length(x) // 64 AS rows FROM h), g AS (SELECT b.doc_id, i // 32 AS y, i % 32 AS x, v, rows FROM b JOIN s ON s.doc_id = b.doc_id WHERE i // 32 < rows)
+    SELECT s.doc_id, count(v) AS bytes, CAST(coalesce(sum({value} * (({place}) % 251 + 1)), 0) AS BIGINT) AS weighted FROM s LEFT JOIN (SELECT * FROM g WHERE {where}) g ON g.doc_id = s.doc_id GROUP BY 1"""
+
+
+@_query(_weighted("(31 - x) * g.rows + y"))
+def geom_rotate(spark: SparkSession, d: str) -> DataFrame:
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.rotate(P.grid(b, 32)).reshape(-1))
+
+
+@_query(_weighted("y * 32 + 31 - x"))
+def geom_flip(spark: SparkSession, d: str) -> DataFrame:
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.flip(P.grid(b, 32), horizontal=True).reshape(-1))
+
+
+@_query(_weighted("(y - 2) * 16 + x - 8", where="x BETWEEN 8 AND 23 AND y BETWEEN 2 AND 9"))
+def geom_crop(spark: SparkSession, d: str) -> DataFrame:
+    def change(b: np.ndarray) -> np.ndarray:
+        part = P.crop(P.grid(b, 32), (24, 10), (8, 2))
+        return np.zeros(0, np.uint8) if part is None else part.reshape(-1)
+
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), change)
+
+
+@_query(_weighted("y * 32 + x", "(255 - v)"))
+def invert(spark: SparkSession, d: str) -> DataFrame:
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.invert(P.grid(b, 32)).reshape(-1))
+
+
+@_query(_weighted("y * 32 + x", "CAST(least(255, greatest(0, trunc((v - 128) * CAST(2.5 AS DOUBLE) + 128 + 255 * CAST(0.1 AS DOUBLE)))) AS BIGINT)"))
+def tone_adjust(spark: SparkSession, d: str) -> DataFrame:
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.adjust(P.grid(b, 32), 0.1, 0.5).reshape(-1))
+
+
+@_query(_BYTES + """, s AS (SELECT doc_id, length(x) // 64 AS rows FROM h), g AS (SELECT b.doc_id, i // 32 AS y, i % 32 AS x, v, rows FROM b JOIN s ON s.doc_id = b.doc_id WHERE i // 32 < rows),
+    u AS (SELECT doc_id, y * 2 + dy AS y, x * 2 + dx AS x, v FROM g, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) c(dx))
+    SELECT s.doc_id, count(v) AS bytes, CAST(coalesce(sum(v * ((y * 64 + x) % 251 + 1)), 0) AS BIGINT) AS weighted FROM s LEFT JOIN u ON u.doc_id = s.doc_id GROUP BY 1""")
+def upscale_nn(spark: SparkSession, d: str) -> DataFrame:
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.upscale(P.grid(b, 32), 2).reshape(-1))
+
+
+@_query(
+    """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)
+    SELECT doc_id, CASE WHEN length(x) >= 8 THEN CAST('0x' || substr(x, 1, 8) AS BIGINT) ELSE 0 END AS be32,
+           CASE WHEN length(x) >= 8 THEN CAST('0x' || substr(x, 5, 4) AS BIGINT) ELSE 0 END AS be16,
+           CASE WHEN length(x) >= 8 THEN CAST('0x' || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) AS BIGINT) ELSE 0 END AS le32 FROM h"""
+)
+def be_le_ints(spark: SparkSession, d: str) -> DataFrame:
+    from pixelmill.functions.binary import be_uint, le_uint
+
+    blob = P.text_blob()
+    return _docs(spark, d).select("doc_id", be_uint(blob, 0, 4).alias("be32"), be_uint(blob, 2, 2).alias("be16"), le_uint(blob, 0, 4).alias("le32"))
+
+
+@_query(_NIBBLES + "SELECT d.doc_id, coalesce(string_agg(DISTINCT CAST(q AS VARCHAR), ',' ORDER BY CAST(q AS VARCHAR)), '') AS used FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1")
+def array_pal_from_used(spark: SparkSession, d: str) -> DataFrame:
+    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), lambda b: ([",".join(sorted(str(v) for v in np.unique(P.nibbles(b))))],), "used string")
+
+
+# ---- naming and export --------------------------------------------------------------------------
+
+_same(
+    "letterbox_fit", "part",
+    """SELECT p_partkey, round(p_size * least(1920.0D / p_size, 1080.0D / (p_size + 7)), 6) AS w, round((p_size + 7) * least(1920.0D / p_size, 1080.0D / (p_size + 7)), 6) AS h FROM {part}""",
+    """SELECT p_partkey, round(p_size * least(CAST(1920 AS DOUBLE) / p_size, CAST(1080 AS DOUBLE) / (p_size + 7)), 6) AS w,
+       round((p_size + 7) * least(CAST(1920 AS DOUBLE) / p_size, CAST(1080 AS DOUBLE) / (p_size + 7)), 6) AS h FROM part""",
+)
+_same("rename_pattern", "customer", "SELECT c_custkey, replace(replace('img_{{n}}_{{name}}', '{{n}}', CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS STRING)), '{{name}}', c_name) AS out_name FROM {customer}".replace("{{", "[").replace("}}", "]"))
+_same(
+    "export_cross_product", "region nation",
+    """SELECT out_name, count(*) AS copies FROM (SELECT substr(n_name, 1, 3) || '.' || f.ext AS out_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('png'), ('jpg'), ('gif')) AS f(ext)) GROUP BY 1""",
+)
+_same("hex_color", "part", "SELECT p_partkey, format_string('#%02X%02X%02X', p_size, p_size * 5, 255 - p_size) AS hex FROM {part}", "SELECT p_partkey, printf('#%02X%02X%02X', p_size, p_size * 5, 255 - p_size) AS hex FROM part")
+_same(
+    "size_label", "lineitem",
+    "SELECT l_orderkey, max(l_partkey) AS bytes, CASE WHEN max(l_partkey) < 1024 THEN concat(max(l_partkey), ' B') ELSE concat(max(l_partkey) div 1024, ' KB') END AS label FROM {lineitem} GROUP BY l_orderkey",
+    "SELECT l_orderkey, max(l_partkey) AS bytes, CASE WHEN max(l_partkey) < 1024 THEN concat(max(l_partkey), ' B') ELSE concat(max(l_partkey) // 1024, ' KB') END AS label FROM lineitem GROUP BY l_orderkey",
+)
+_same("screensaver_names", "nation", "SELECT n_nationkey, format_string('%03d_%s.png', row_number() OVER (ORDER BY n_nationkey), n_name) AS out_name FROM {nation}", "SELECT n_nationkey, printf('%03d_%s.png', row_number() OVER (ORDER BY n_nationkey), n_name) AS out_name FROM nation")
