@@ -89,8 +89,8 @@ def luma_mean_range(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     _PIXELS + """, c AS (SELECT doc_id, r * 65536 + g * 256 + b AS rgb, count(*) AS n FROM p GROUP BY 1, 2),
-    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rgb) AS rank FROM c)
-    SELECT doc_id, rgb, n, rank FROM k WHERE rank <= 16"""
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rgb) AS rank FROM c)
+    SELECT doc_id, rgb, n, rank FROM o WHERE rank <= 16"""
 )
 def top_colors(spark: SparkSession, d: str) -> DataFrame:
     return P.top_colors(_docs(spark, d), "doc_id", P.text_blob(), 16)
@@ -131,9 +131,9 @@ def bit_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    _BYTES + """, s AS (SELECT doc_id, i // 2048 AS blk, count(DISTINCT v) AS n FROM b WHERE i % 2048 < 100 GROUP BY 1, 2)
-    SELECT d.doc_id, (SELECT count(*) FROM s WHERE s.doc_id = d.doc_id AND n > 50) AS rich_blocks,
-           (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id AND i < 1024 AND v = 0) AS early_zeros FROM documents d"""
+    _BYTES + """, s AS (SELECT doc_id, i // 2048 AS blk, count(DISTINCT v) AS n FROM b WHERE i % 2048 < 100 GROUP BY 1, 2),
+    r AS (SELECT doc_id, count(*) FILTER (WHERE n > 50) AS rich FROM s GROUP BY 1), z AS (SELECT doc_id, count(*) FILTER (WHERE i < 1024 AND v = 0) AS zeros FROM b GROUP BY 1)
+    SELECT d.doc_id, coalesce(rich, 0) AS rich_blocks, coalesce(zeros, 0) AS early_zeros FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id"""
 )
 def block_distinct_score(spark: SparkSession, d: str) -> DataFrame:
     return P.block_scores(_docs(spark, d), "doc_id", P.text_blob())
@@ -151,7 +151,7 @@ _same(
        FROM {events} e LEFT JOIN (VALUES ('click', 1, 'odd click')) AS a(event_type, aux, label) ON a.event_type = e.event_type AND a.aux = e.user_id % 2
        LEFT JOIN (VALUES ('click', 'any click'), ('view', 'look')) AS w(event_type, label) ON w.event_type = e.event_type GROUP BY 1, 2""",
 )
-_same("catalog_filter", "part", "SELECT p_partkey, p_name, p_type FROM {part} WHERE (lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%steel%') AND p_size > 10")
+_same("catalog_filter", "part", "SELECT p_partkey, p_name, p_type FROM {part} WHERE (lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%a%') AND p_size > 10")
 
 # ---- selection and edits ------------------------------------------------------------------------
 
@@ -175,7 +175,7 @@ _same(
     "recent_top10", "events",
     "SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events}) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 10",
 )
-_same("undo_window", "events", "SELECT user_id, event_id, seq FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS seq FROM {events}) WHERE seq <= 10")
+_same("undo_window", "events", "SELECT user_id, event_id, CAST(seq AS BIGINT) AS seq FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS seq FROM {events}) WHERE seq <= 10")
 _same(
     "undo_last", "events",
     """SELECT user_id, max(event_id) AS restored FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events})
@@ -201,7 +201,7 @@ def hold_and_modify(spark: SparkSession, d: str) -> DataFrame:
     _BYTES + """, k2 AS (SELECT doc_id, i, v, unnest(range(7)) AS j FROM b), bits AS (SELECT doc_id, i * 7 + j AS x, i // 40 AS y, v >= 128 AS high, (v >> j) % 2 AS bit FROM k2),
     n AS (SELECT *, lead(bit, 1, 0) OVER (PARTITION BY doc_id, y ORDER BY x) AS nxt FROM bits),
     c AS (SELECT doc_id, CASE WHEN bit = 0 THEN 0 WHEN nxt = 1 THEN 3 WHEN x % 280 % 2 = 0 THEN CASE WHEN high THEN 5 ELSE 2 END ELSE CASE WHEN high THEN 4 ELSE 1 END END AS color FROM n)
-    SELECT doc_id, color, count(*) AS n FROM c GROUP BY 1, 2"""
+    SELECT doc_id, CAST(color AS BIGINT) AS color, count(*) AS n FROM c GROUP BY 1, 2"""
 )
 def next_bit_artifact(spark: SparkSession, d: str) -> DataFrame:
     """Colours from each bit, the next one in its row of 40 bytes, the column's parity and the byte's high bit."""
