@@ -369,9 +369,9 @@ def test_toxicity(spark, empty):
     assert sum(got[i]["predicted"] == (i % 4 == 0) for i in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert got[1000]["score"] == got[1001]["score"] and got[None]["held_out"] is False
-    hit = next(i for i in held if got[i]["predicted"] == 1)
-    span = got[hit]["passages"][0]
-    assert b"vile" in rows[hit][1].encode()[span["start"] : span["stop"]] or b"nasty" in rows[hit][1].encode()[span["start"] : span["stop"]]
+    for i in range(400):
+        for p in got[i]["passages"]:
+            assert re.search(b"vile|nasty", rows[i][1].encode()[p["start"] : p["stop"]])
     kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, lab).collect()}
     assert kept == {k for k, r in got.items() if r["predicted"] == 0}
     assert toxicity.toxicity(empty, lab).count() == 0
