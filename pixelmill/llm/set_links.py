@@ -1,7 +1,8 @@
 """Exact links between sets that share a band of their sketches, and the components of those links.
 
 Sets are known by a 64-bit hash of their elements' hashes, equal sets being one node (among n sets, some n^2 / 2^65
-pairs of different ones are taken for equal). The members of a band bucket first meet three pivots of the bucket.
+pairs of different ones are taken for equal). The members of a band bucket first meet three pivots of the bucket,
+one of which is the node that meets the most others, as a text does that many copies were made from.
 Pairs whose sizes or whose sketches' signatures rule a link out are not looked at; the others are decided over the
 full sets. Links make components, and where a bucket holds several then, the members of all but its largest
 component meet everything in the bucket. So a group of copies is not expanded into all pairs, and none is capped:
@@ -90,7 +91,7 @@ def _bits_allow(a: Callable[[str], Column], b: Callable[[str], Column], bins: in
 
 
 #: Orders in which a bucket's least node becomes a pivot: numbers xored with these.
-_ORDERS = (0, 0x1B873593CC9E2D51, 0x52DCE729E6546B64)
+_ORDERS = (0, 0x1B873593CC9E2D51)
 
 
 def set_components(nodes: DataFrame, texts_of: Callable[[np.ndarray], DataFrame], sets: Sets, percent: int, bins: int, scratch: Scratch) -> DataFrame:
@@ -100,10 +101,14 @@ def set_components(nodes: DataFrame, texts_of: Callable[[np.ndarray], DataFrame]
     whose key passes a screen, and ``sets`` their sets.
     """
     banded = nodes.select(F.col("k1").alias("c"), "n_shingles", "s1", "s2", F.explode("bands").alias("band"))
-    keys = [F.min(F.col("c").bitwiseXOR(F.lit(k))).bitwiseXOR(F.lit(k)).alias(f"p{i}") for i, k in enumerate(_ORDERS)]
-    pivots = banded.groupBy("band").agg(*keys, F.max("c").alias("q")).where("p0 < q").drop("q")
-    met = scratch.table(banded.join(pivots, "band").distinct(), "met")
-    known = scratch.table(met.select("c", "n_shingles", "s1", "s2").distinct(), "known")
+    full = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").select("band", "n")
+    met = scratch.table(banded.join(full, "band").distinct(), "met")
+    # A node's weight is the number of others it meets: the text that copies were made from meets the most of them.
+    known = met.groupBy("c").agg(F.first("n_shingles").alias("n_shingles"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum("n").alias("weight"))
+    known = scratch.table(known, "known")
+    keys = [F.min(F.col("c").bitwiseXOR(F.lit(k))).bitwiseXOR(F.lit(k)).alias(f"p{i}") for i, k in enumerate(_ORDERS, 1)]
+    weighed = met.drop("n").join(known.select("c", "weight"), "c")
+    pivots = weighed.groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), *keys).withColumn("p0", F.col("p0.c"))
 
     def candidates(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
         return _sizes_allow(x("n_shingles"), y("n_shingles"), percent) & _bits_allow(x, y, bins, percent)
@@ -111,7 +116,7 @@ def set_components(nodes: DataFrame, texts_of: Callable[[np.ndarray], DataFrame]
     def of(name: str) -> Callable[[str], Column]:
         return lambda c: F.col(f"{name}.{c}")
 
-    pairs = met.select("c", "n_shingles", "s1", "s2", F.explode(F.array("p0", "p1", "p2")).alias("p")).where("c <> p").distinct().alias("x")
+    pairs = met.join(pivots, "band").select("c", "n_shingles", "s1", "s2", F.explode(F.array("p0", "p1", "p2")).alias("p")).where("c <> p").distinct().alias("x")
     pairs = pairs.join(known.alias("y"), F.col("x.p") == F.col("y.c")).where(candidates(of("x"), of("y")))
     # A pair met from both sides is one.
     pairs = pairs.select(F.greatest("x.c", "x.p").alias("c"), F.least("x.c", "x.p").alias("p")).distinct()
