@@ -24,6 +24,7 @@ MSX_EXT = {"msx2": "sc1 sc2 sr2 ge1 ge2".split(), "msx5": "sc5 sr5 sc7 ge5 ge7 g
 BBC_EXT = {0: "bbm0 mode0", 1: "bbm1 mode1 bbc", 2: "bbm2 mode2", 4: "bbm4 mode4", 5: "bbm5 mode5"}
 COCO_EXT = "max cm3 pi3 mg3 pic pix bin".split()
 ATARI_EXT = {"gr8": "gr8", "gr9": "gr9", "gr11": "gr11", "gr15": "gr15 gr7 gr1 gr2 gr3 gr4 gr6 mic"}
+DISK_EXT = "2mg hdv po do dsk d64 adf st msa atr ssd dsd trd img xdf".split()
 PRODOS = {"#c00000": "paintworks", "#c00001": "shr_packed", "#c00002": "apf", "#c00003": "apf", "#c08005": "dreamgrafix_packed", "#c10000": "shr", "#c10002": "shr3200", "#c18003": "dreamgrafix"}
 
 
@@ -71,6 +72,17 @@ def _by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(kinds, pa.string())], names=[*rest, "kernel"])
 
 
+def paintworks_palette(content: Column) -> Column:
+    """Whether the high nibbles of the first 16 little-endian words are 0."""
+    return F.forall(F.sequence(F.lit(0), F.lit(15)), lambda k: F.substring(F.hex(F.substring(content, 1, 32)), k * 4 + 3, F.lit(1)) == "0")
+
+
+def is_disk(name: Column, content: Column) -> Column:
+    """Whether a file goes to the disk readers: by its extension, unless it starts as a modern image does."""
+    magic = starts_with(content, b"\x89PNG") | starts_with(content, b"\xff\xd8") | starts_with(content, b"GIF") | starts_with(content, b"BM") | starts_with(content, b"\x0a")
+    return extension(name).isin(DISK_EXT) & ~magic
+
+
 def kernel_of(name: Column, content: Column) -> Column:
     """The kernel's name from metadata and signatures; ``?size`` where the content has to decide, null for unknown."""
     ext, size, low = extension(name), F.length(content), F.lower(name)
@@ -103,7 +115,8 @@ def kernel_of(name: Column, content: Column) -> Column:
         (size.isin(20480, 20736), "bbc1"), (size.isin(10240, 10496), "bbc4"), (size == 7680, "gr8"), (size == 1024, "trs80"), (size == 6144, "?6144"), (size == 32000, "coco3_320"),
         (ext.isin("mac", "pntg") & (size >= 512), "macpaint"),
         (size.isin(32034, 32066) & (first == 0) & (second <= 2), "degas"),
-        (size >= 38400, "shr3200"), (size.between(32000, 38399), "shr"), (size.between(8184, 8200), "hgr"), (size.between(16384, 16400), "dhgr"),
+        (size.between(32767, 32768), "shr"), (size >= 38400, "shr3200"), (size.between(8184, 8200), "hgr"),
+        ((size >= 546) & paintworks_palette(content), "paintworks"), (size.between(24000, 33000), "coco3_320"), (size.between(20000, 100000), "macpaint"),
     ]
     out = F.lit(None).cast("string")
     for test, value in reversed(rules):
