@@ -107,10 +107,16 @@ def _sort_shards(length: int):  # noqa: ANN202
     """Pieces in order of their anchors to the starts of their repeated windows, shard after shard."""
 
     def solve(keys: list[tuple[int, int]], bodies: list[bytes]) -> pa.RecordBatch:
-        found = repeated_windows(bodies, length)
-        some = [i for i, f in enumerate(found) if len(f)]
-        starts = pa.array([found[i].astype(np.int32) for i in some], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array([keys[i][0] for i in some], pa.int64()), pa.array([keys[i][1] for i in some], pa.int64()), starts], names=["k1", "content", "starts"])
+        k1, content, starts, counts = [], [], [], []
+        for key, f in zip(keys, repeated_windows(bodies, length)):
+            if len(f):  # neighbouring windows are one run
+                new = np.flatnonzero(np.diff(f, prepend=-2) > 1)
+                n = np.diff(np.concatenate([new, [len(f)]]))
+                k1 += [key[0]] * len(new)
+                content += [key[1]] * len(new)
+                starts += f[new].tolist()
+                counts += n.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(content, pa.int64()), pa.array(starts, pa.int32()), pa.array(counts, pa.int16())], names=["k1", "content", "at", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int]] = []
@@ -152,22 +158,26 @@ def _outcome(length: int, with_text: bool):  # noqa: ANN202
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             lists = batch.column("ranges")
-            ranges = lists.to_pylist()
+            per = np.diff(lists.offsets.to_numpy())
+            flat, at = lists.flatten(), 0
+            starts, counts = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
             n_bytes, n_removed, n_spans = np.diff(offs), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             sha, spans, kept_all = [], [], []
-            for i, own in enumerate(ranges):
+            for i, n in enumerate(np.where(lists.is_valid().to_numpy(zero_copy_only=False), per, 0).tolist()):
                 body = data[offs[i] : offs[i + 1]]
                 runs: list[dict] = []
-                if own:
-                    edge = np.zeros(len(body) + 1, np.int64)
-                    a = np.array([r["start"] for r in own])
-                    np.add.at(edge, a, 1)
-                    np.subtract.at(edge, a + np.array([r["n"] for r in own]) + length - 1, 1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    runs = [{"start": int(x), "stop": int(y)} for x, y in zip(turns[::2], turns[1::2])]
-                    n_removed[i], n_spans[i] = gone.sum(), len(runs)
-                    body = body[~gone]
+                if n:
+                    # Runs in order, and those that touch as one.
+                    a = starts[at : at + n]
+                    order = np.argsort(a)
+                    a, z = a[order], np.maximum.accumulate((a + counts[at : at + n] + length - 1)[order])
+                    new = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))
+                    a, z = a[new], z[np.concatenate([new[1:], [n]]) - 1]
+                    at += n
+                    n_removed[i], n_spans[i] = (z - a).sum(), len(a)
+                    runs = [{"start": x, "stop": y} for x, y in zip(a.tolist(), z.tolist())] if with_text else []
+                    edges = [0, *np.stack([a, z], 1).reshape(-1).tolist(), len(body)]
+                    body = np.concatenate([body[x:y] for x, y in zip(edges[::2], edges[1::2])])
                 kept = body.tobytes()
                 sha.append(hashlib.sha256(kept).hexdigest())
                 spans.append(runs)
@@ -213,16 +223,16 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, mos
         bodies = scratch.table(bodies, "bodies")
     spread = (bodies.join(hot, "k1", "left_anti") if has_hot else bodies).select("k1", "content", "body")
     shards = spread.repartition(_shards(kinds), "k1").sortWithinPartitions("k1", "content")
-    marks = scratch.table(shards.mapInArrow(_sort_shards(length), "k1 long, content long, starts array<int>"), "marks")
+    marks = scratch.table(shards.mapInArrow(_sort_shards(length), "k1 long, content long, at int, windows smallint"), "marks")
     if has_hot:
         windows = scratch.table(bodies.join(hot, "k1", "left_semi").select("k1", "content", "body").dropDuplicates(["k1", "content"]).mapInArrow(_windows(length), "k1 long, content long, at int, window long"), "windows")
         twice = windows.groupBy("k1", "window").count().where("count > 1").select("k1", "window")
-        marks = marks.unionByName(windows.join(twice, ["k1", "window"]).groupBy("k1", "content").agg(F.collect_list("at").alias("starts")))
-    ruled = kinds.select("k1", "content", "places").join(marks.withColumnsRenamed({"k1": "_k1", "content": "_content"}), (F.col("k1") == F.col("_k1")) & (F.col("content") == F.col("_content")), "left").drop("_k1", "_content")
-    ruled = ruled.where("places > 1 or starts is not null")
-    part = open_.join(ruled, ["k1", "content"])
-    whole = whole.unionByName(part.where("places > 1").select("doc_id", "text_hash", "start", "n"))
-    single = part.where("places = 1").select("doc_id", "text_hash", F.explode("starts").alias("k"), "start").select("doc_id", "text_hash", (F.col("start") + F.col("k")).alias("start"), F.lit(1).cast("smallint").alias("n"))
+        marks = marks.unionByName(windows.join(twice, ["k1", "window"]).select("k1", "content", "at", F.lit(1).cast("smallint").alias("windows")))
+    # Pieces that stand in several places repeat there as a whole; of the others, which have one place, parts do.
+    several = open_.join(kinds.where("places > 1").select("k1", "content"), ["k1", "content"], "left_semi")
+    whole = whole.unionByName(several.select("doc_id", "text_hash", "start", "n"))
+    single = kinds.where("places = 1").join(marks.withColumnRenamed("at", "mark"), ["k1", "content"])
+    single = single.select("at.doc_id", "at.text_hash", (F.col("at.start") + F.col("mark")).cast("int").alias("start"), F.col("windows").alias("n"))
     ranges = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))  # bounded by the text
     ranges = scratch.table(ranges, "ranges")
     scratch.drop_all_but("ranges")
