@@ -115,8 +115,8 @@ def nibble_chi_square(spark: SparkSession, d: str) -> DataFrame:
     return P.nibble_statistics(_docs(spark, d), "doc_id", P.text_blob())
 
 
-@_query(_BYTES + """SELECT d.doc_id, count(y.v) AS pairs, count(*) FILTER (WHERE abs(x.v - y.v) < 64) AS near
-    FROM documents d LEFT JOIN b x ON x.doc_id = d.doc_id LEFT JOIN b y ON y.doc_id = x.doc_id AND y.i = x.i - 16 GROUP BY 1""")
+@_query(_BYTES + """, l AS (SELECT doc_id, v, lag(v, 16) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM b)
+    SELECT d.doc_id, count(above) AS pairs, count(*) FILTER (WHERE abs(v - above) < 64) AS near FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY 1""")
 def row_correlation(spark: SparkSession, d: str) -> DataFrame:
     return P.row_correlation(_docs(spark, d), "doc_id", P.text_blob(), 16)
 
