@@ -21,14 +21,15 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Bytes of all texts in SQL: doc_id, i, v.
 _BYTES = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-    k AS (SELECT doc_id, x, unnest(range(length(x) // 2)) AS i FROM h),
-    b AS (SELECT doc_id, i, CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) AS v FROM k)
+    l AS (SELECT doc_id, regexp_extract_all(x, '..') AS parts FROM h),
+    k AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM l),
+    b AS (SELECT doc_id, i, CAST('0x' || part AS BIGINT) AS v FROM k)
 """
 #: RGB triples of all texts in SQL: doc_id, i, r, g, b.
 _PIXELS = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-    k AS (SELECT doc_id, x, unnest(range(length(x) // 6)) AS i FROM h),
-    p AS (SELECT doc_id, i, CAST('0x' || substr(x, 6 * i + 1, 2) AS BIGINT) AS r, CAST('0x' || substr(x, 6 * i + 3, 2) AS BIGINT) AS g,
-                 CAST('0x' || substr(x, 6 * i + 5, 2) AS BIGINT) AS b FROM k)
+    m AS (SELECT doc_id, regexp_extract_all(x, '......') AS parts FROM h),
+    k AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM m),
+    p AS (SELECT doc_id, i, CAST('0x' || part[1:2] AS BIGINT) AS r, CAST('0x' || part[3:4] AS BIGINT) AS g, CAST('0x' || part[5:6] AS BIGINT) AS b FROM k)
 """
 _LUMA = "least(255, CAST(trunc(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b) AS BIGINT))"
 
@@ -115,8 +116,8 @@ def nibble_chi_square(spark: SparkSession, d: str) -> DataFrame:
     return P.nibble_statistics(_docs(spark, d), "doc_id", P.text_blob())
 
 
-@_query(_BYTES + """, l AS (SELECT doc_id, v, lag(v, 16) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM b)
-    SELECT d.doc_id, count(above) AS pairs, count(*) FILTER (WHERE abs(v - above) < 64) AS near FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY 1""")
+@_query(_BYTES + """, w AS (SELECT doc_id, v, lag(v, 16) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM b)
+    SELECT d.doc_id, count(above) AS pairs, count(*) FILTER (WHERE abs(v - above) < 64) AS near FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY 1""")
 def row_correlation(spark: SparkSession, d: str) -> DataFrame:
     return P.row_correlation(_docs(spark, d), "doc_id", P.text_blob(), 16)
 
