@@ -1,13 +1,15 @@
 """Substring dedup by hashing units: lines and the sentences inside them.
 
-A unit is a run without line feed or sentence end (``.``, ``!``, ``?``) together with the ends that follow it; so
-a passage that stands inside other text still has its inner sentences as units. Units are compared with A-Z
-lower-cased and blanks collapsed; those of fewer than ``min_words`` words then, such as headings, stay whatever
-happens. Units are digested (128 bits) and counted globally; of equal ones the first by (doc_id, start) stays,
-and the others are removed. Results keep the original character offsets.
+A line is what stands between line feeds, and a sentence a run in it without sentence end (``.``, ``!``, ``?`` and
+their ideographic forms) together with the ends that follow it; so a passage that stands inside other text still
+has its inner sentences as units. Units are compared with A-Z lower-cased and blanks collapsed. Every line counts
+that is not empty then, so a repeated paragraph goes line by line whatever its length; sentences of fewer than
+``min_words`` words stay where their line does. In scripts without blanks each character counts as a word. Units are
+digested (128 bits) and counted globally; of equal ones the first by (doc_id, start) stays, and the others are
+removed. Results keep the original character offsets; a line that goes is one span, whatever goes inside it.
 
-Partial counts go before the shuffle by digest, and the join back to units is a plain equi-join that Spark splits
-where a unit is hot.
+A line of one sentence is one unit, as line and sentence are equal then. Partial counts go before the shuffle by
+digest, and the join back to units is a plain equi-join that Spark splits where a unit is hot.
 
 Edge cases: null and empty texts have no units; rows with one doc_id rank by their text's hash; null doc_ids rank
 last and are reported with a null doc_id; a text may lose all its units; other columns are ignored; an empty
@@ -26,30 +28,58 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-UNIT = re.compile(r"[^.!?\n]+[.!?]*")
+LINE = re.compile(r"[^\n]+")
+UNIT = re.compile(r"[^.!?\u3002\uff01\uff1f\uff61\n]+[.!?\u3002\uff01\uff1f\uff61]*")
 BLANKS = re.compile(r"[ \t\r\f\v]+")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and ideographs, which are written without blanks.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 MIN_WORDS = 6
 _AZ = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
+def _enough(unit: str, min_words: int) -> bool:
+    n = unit.count(" ") + 1
+    return n >= min_words or (not unit.isascii() and n + len(UNSPACED.findall(unit)) - 1 >= min_words)
+
+
+def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, int, bool, bool, str]]:
+    """Start, stop, start of the line, whether it is the line, whether it is a sentence of enough words, and the unit."""
+    for line in LINE.finditer(text):
+        at, end = line.span()
+        whole = BLANKS.sub(" ", line[0]).strip(" ")
+        if not whole:
+            continue
+        alone = False
+        for m in UNIT.finditer(text, at, end):
+            unit = BLANKS.sub(" ", m[0]).strip(" ")
+            if _enough(unit, min_words):
+                if unit == whole:
+                    alone = True
+                else:
+                    yield m.start(), m.end(), at, False, True, unit
+        yield at, end, at, True, alone, whole
+
+
 def _units(min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, starts, stops, k1, k2 = [], [], [], [], []
+            rows, starts, stops, lines, whole, sentence, k1, k2 = ([] for _ in range(8))
             for row, text in enumerate(batch.column("text").to_pylist()):
-                for m in UNIT.finditer(text or ""):
-                    unit = BLANKS.sub(" ", m[0]).strip(" ")
-                    if unit.count(" ") + 1 >= min_words:
-                        digest = hashlib.blake2b(unit.translate(_AZ).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        rows.append(row)
-                        starts.append(m.start())
-                        stops.append(m.end())
-                        k1.append(int.from_bytes(digest[:8], "little", signed=True))
-                        k2.append(int.from_bytes(digest[8:], "little", signed=True))
+                for start, stop, line, is_line, is_sentence, unit in text_units(text or "", min_words):
+                    digest = hashlib.blake2b(unit.translate(_AZ).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    rows.append(row)
+                    starts.append(start)
+                    stops.append(stop)
+                    lines.append(line)
+                    whole.append(is_line)
+                    sentence.append(is_sentence)
+                    k1.append(int.from_bytes(digest[:8], "little", signed=True))
+                    k2.append(int.from_bytes(digest[8:], "little", signed=True))
             at = pa.array(rows, pa.int64())
+            flags = [pa.array(c, pa.bool_()) for c in (whole, sentence)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *(pa.array(c, pa.int64()) for c in (starts, stops, k1, k2))],
-                names=["doc_id", "text_hash", "start", "stop", "k1", "k2"],
+                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *(pa.array(c, pa.int64()) for c in (starts, stops, lines)), *flags, *(pa.array(c, pa.int64()) for c in (k1, k2))],
+                names=["doc_id", "text_hash", "start", "stop", "line", "whole", "sentence", "k1", "k2"],
             )
 
     return run
@@ -58,21 +88,33 @@ def _units(min_words: int):  # noqa: ANN202
 def repeated_units(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """All units of ``docs(doc_id, text)`` that may be removed, and those that are, with the document that keeps each."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    units = scratch.table(docs.mapInArrow(_units(min_words), "doc_id long, text_hash long, start long, stop long, k1 long, k2 long"), "units")
+    units = scratch.table(docs.mapInArrow(_units(min_words), "doc_id long, text_hash long, start long, stop long, line long, whole boolean, sentence boolean, k1 long, k2 long"), "units")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "start")
     groups = units.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     removed = units.join(groups, ["k1", "k2"]).where(~place.eqNullSafe(F.col("first")))
-    return units, removed.select("doc_id", "text_hash", "start", "stop", F.col("first.doc_id").alias("kept_in"))
+    return units, removed.select("doc_id", "text_hash", "start", "stop", "line", "whole", F.col("first.doc_id").alias("kept_in"))
+
+
+def removed_spans(removed: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, spans``: the sorted spans that go; sentences of a line that goes are in its span."""
+    span = F.struct("start", "stop")
+    lines = removed.groupBy("doc_id", "text_hash", "line").agg(F.max(F.when(F.col("whole"), span)).alias("all"), F.collect_list(span).alias("some"))
+    lines = lines.select("doc_id", "text_hash", F.when(F.col("all").isNull(), F.col("some")).otherwise(F.array("all")).alias("spans"))
+    return lines.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # no more than a document's units
 
 
 def unit_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_units, n_removed, removed_chars, removed`` (``start-stop,...``)."""
+    """One row per row of ``docs``: ``doc_id, n_units, n_removed, removed_chars, removed`` (``start-stop,...``).
+
+    ``n_units`` counts the sentences of enough words, and ``n_removed`` the spans: lines, and sentences of other lines.
+    """
     scratch = Scratch(docs.sparkSession)
     units, removed = repeated_units(docs, scratch, min_words)
-    tally = units.select("doc_id", "text_hash", F.lit(1).alias("unit"), *(F.lit(None).cast("long").alias(c) for c in ("start", "stop")))
-    gone = removed.select("doc_id", "text_hash", F.lit(0).alias("unit"), "start", "stop")
-    spans = F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "stop"))))  # no more than a document's units
-    per = tally.unionByName(gone).groupBy("doc_id", "text_hash").agg(F.sum("unit").alias("n_units"), F.count("start").alias("n_removed"), F.sum(F.col("stop") - F.col("start")).alias("chars"), spans.alias("spans"))
+    per = units.groupBy("doc_id", "text_hash").agg(F.count_if("sentence").alias("n_units"))
+    gone = removed_spans(removed).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    per = per.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_doc", "_hash")
+    chars = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    per = per.withColumn("n_removed", F.size("spans").cast("long")).withColumn("chars", chars)
     per = scratch.table(per, "per_doc").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
     scratch.drop("units")
     ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
@@ -86,7 +128,7 @@ def without_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed units cut out of ``text`` and their original offsets in ``removed``."""
     scratch = Scratch(docs.sparkSession)
     _, removed = repeated_units(docs.select("doc_id", "text"), scratch, min_words)
-    spans = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    spans = removed_spans(removed).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash", "spans": "removed"})
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left").drop("_doc", "_hash")
     # What stays lies between the removed spans.
     stop = F.length("text").cast("long")

@@ -182,6 +182,17 @@ def test_units(spark, corpus, empty):
     assert unit_dups.unit_report(empty).count() == 0
 
 
+def test_units_are_whole_lines_too(spark):
+    short, dense, dense_sentence = "Yes. No. I see. So be it.", "\u6625\u7720\u4e0d\u89c9\u6653", "\u5904\u5904\u95fb\u557c\u9e1f\u591c\u6765\u3002"
+    texts = [f"{short}\nA first line.\n{dense}", f"Before.\n  {short.upper()} \nAfter, yes.\n\n{dense}\n", f"Yes. No.\n\u6211{dense_sentence}{dense_sentence}\u5b8c\u3002", f"\u4f60\u3002{dense_sentence}", "One. Two. A sentence of more than six words.\nOne. Two. A sentence of more than six words."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in unit_dups.without_units(df).collect()}
+    assert got == {0: texts[0], 1: "Before.\n\nAfter, yes.\n\n\n", 2: texts[2], 3: "\u4f60\u3002", 4: texts[4].split("\n")[0] + "\n"}
+    report = {r["doc_id"]: r for r in unit_dups.unit_report(df).collect()}
+    assert (report[4]["n_units"], report[4]["n_removed"], report[4]["removed_chars"], report[4]["removed"]) == (2, 1, 44, "45-89")
+    assert report[1]["n_removed"] == 2
+
+
 # ---- op5 ----
 
 
