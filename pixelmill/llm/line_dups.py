@@ -4,8 +4,8 @@ A line is what stands between line feeds. It is compared with A-Z lower-cased an
 blank; lines of fewer than ``min_chars`` characters then, such as list marks and headings, take no part and stay.
 A line's set is its distinct runs of ``WIDTH`` characters. Linked are lines with
 ``100 * |A and B| >= percent * |A or B|``; of each component the line that comes first by (doc_id, number) stays,
-in the document where it stands, and all others go. Candidates share one of 10 bands of 5 sketch bins, which finds
-a pair at 0.85 with probability 0.997 and at 0.9 with 0.9999; ``set_links`` verifies and connects them.
+in the document where it stands, and all others go. Candidates share one of 16 bands of 3 sketch bins, which misses
+a pair at 0.8 with probability 1e-5 and at 0.85 with 2e-7; ``set_links`` verifies and connects them.
 
 Edge cases: a null text stays null and an empty one empty, without lines to drop; a document may lose all lines,
 and stays with an empty text; rows with one doc_id count their lines together in the order of their texts; a null
@@ -28,7 +28,7 @@ from .common import Scratch, mix
 from .near_dups import _bands, set_keys, sketch
 from .set_links import passes, set_components, signature_bits
 
-WIDTH, BINS, ROWS = 6, 50, 5
+WIDTH, BINS, ROWS = 6, 48, 3
 MIN_CHARS = 16
 #: Characters that a kernel works on at once.
 BLOCK_CHARS = 1_000_000

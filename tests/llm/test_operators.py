@@ -154,6 +154,15 @@ def test_lines(spark, corpus, empty):
     assert line_dups.dedup_lines(empty).count() == 0
 
 
+def test_line_bands_at_threshold():
+    rng = np.random.default_rng(3)
+    n = 2000
+    sets = rng.integers(0, 2**63, (n, 100)).astype(np.uint64)
+    one, other = sets[:, :90], np.concatenate([sets[:, :80], sets[:, 90:]], axis=1)  # 80 of 100 in both
+    bands = [near_dups._bands(near_dups.sketch(x.reshape(-1), np.repeat(np.arange(n), 90), n, line_dups.BINS), line_dups.ROWS) for x in (one, other)]
+    assert (bands[0] == bands[1]).any(axis=1).all()
+
+
 # ---- op4 ----
 
 
