@@ -1,8 +1,9 @@
 """Fuzzy line dedup: character shingles, sketches, banding, exact verification and connected components.
 
 A line is what stands between line feeds. It is compared with A-Z lower-cased and runs of white space made one
-blank; lines of fewer than ``min_chars`` characters then, such as list marks and headings, take no part and stay.
-A line's set is its distinct runs of ``WIDTH`` characters. Linked are lines with
+blank; empty lines then take no part and stay. Lines of fewer than ``min_chars`` characters, such as list marks and
+headings, are linked if they are equal: they are known by a 64-bit digest and have no bands. Of a longer line, the
+set is its distinct runs of ``WIDTH`` characters. Linked are those with
 ``100 * |A and B| >= percent * |A or B|``; of each component the line that comes first by (doc_id, number) stays,
 in the document where it stands, and all others go. Candidates share one of 16 bands of 3 sketch bins, which misses
 a pair at 0.8 with probability 1e-5 and at 0.85 with 2e-7; ``set_links`` verifies and connects them.
@@ -14,6 +15,7 @@ doc_id comes last; other columns are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -84,26 +86,45 @@ def line_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at + i, hashes[cuts[i] : cuts[i + 1]]
 
 
-def _batch_lines(batch: pa.RecordBatch, min_chars: int) -> tuple[list[int], list[int], list[str]]:
-    """Row, number and normalised text of each line that takes part."""
-    rows, numbers, lines = [], [], []
+_Lines = tuple[list[int], list[int], list[str]]
+
+
+def _batch_lines(batch: pa.RecordBatch, min_chars: int) -> tuple[_Lines, _Lines]:
+    """Row, number and normalised text of each line that has a set, and of each shorter one that is not empty."""
+    full, short = ([], [], []), ([], [], [])
     for row, text in enumerate(batch.column("text").to_pylist()):
         if text:
             for k, line in enumerate(normal_lines(text)):
-                if len(line) >= min_chars:
+                if line:
+                    rows, numbers, lines = full if len(line) >= min_chars else short
                     rows.append(row)
                     numbers.append(k)
                     lines.append(line)
-    return rows, numbers, lines
+    return full, short
+
+
+def line_key(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _units(width: int, min_chars: int):  # noqa: ANN202
-    """All lines that take part, with their set's key; bands only where a task meets a set for the first time."""
+    """All lines that take part, with their key; bands only where a task meets a set for the first time."""
+
+    def out(batch: pa.RecordBatch, rows: list[int], numbers: list[int], *rest) -> pa.RecordBatch:  # noqa: ANN002
+        who = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(numbers, pa.int32()), *rest],
+            names=["doc_id", "text_hash", "line", "n_shingles", "k1", "s1", "s2", "bands"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows, numbers, lines = _batch_lines(batch, min_chars)
+            (rows, numbers, lines), (short_rows, short_numbers, short) = _batch_lines(batch, min_chars)
+            if short:
+                zero = pa.array(np.zeros(len(short), np.int64))
+                keys = pa.array([line_key(line) for line in short], pa.int64())
+                yield out(batch, short_rows, short_numbers, zero, keys, zero, zero, pa.array([[]] * len(short), pa.list_(pa.int64())))
             for at, hashes, cuts in _line_sets(lines, width):
                 n = len(cuts) - 1
                 k1, size = set_keys(hashes, cuts), np.diff(cuts)
@@ -122,11 +143,7 @@ def _units(width: int, min_chars: int):  # noqa: ANN202
                 bands = _bands(sk, ROWS).view(np.int64)
                 per = np.where(new, bands.shape[1], 0)
                 arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(bands.reshape(-1)))
-                who = pa.array(rows[at : at + n], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(numbers[at : at + n], pa.int32()), pa.array(size), pa.array(k1), pa.array(s1), pa.array(s2), arr],
-                    names=["doc_id", "text_hash", "line", "n_shingles", "k1", "s1", "s2", "bands"],
-                )
+                yield out(batch, rows[at : at + n], numbers[at : at + n], pa.array(size), pa.array(k1), pa.array(s1), pa.array(s2), arr)
 
     return run
 
@@ -137,7 +154,7 @@ def _keyed_lines(width: int, min_chars: int, bitmap: Broadcast):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            _, _, lines = _batch_lines(batch, min_chars)
+            (_, _, lines), _ = _batch_lines(batch, min_chars)
             for at, hashes, cuts in _line_sets(lines, width):
                 k1 = set_keys(hashes, cuts)
                 keep = [i for i in np.flatnonzero(passes(bitmap.value, k1)).tolist() if k1[i] not in seen]

@@ -154,6 +154,13 @@ def test_lines(spark, corpus, empty):
     assert line_dups.dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark):
+    texts = ["Menu\n\n* a", "Menus\n menu \n\nMENU\n* b", None, "* A\n \n\u83dc\u5355\n", "\u83dc\u5355"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dups.dedup_lines(df).collect()}
+    assert got == {0: (texts[0], 0), 1: ("Menus\n\n* b", 2), 2: (None, 0), 3: (" \n\u83dc\u5355\n", 1), 4: ("", 1)}
+
+
 def test_line_bands_at_threshold():
     rng = np.random.default_rng(3)
     n = 2000
