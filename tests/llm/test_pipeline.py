@@ -1,7 +1,9 @@
 """The pipeline's stages, each on what the one before has kept, against brute-force versions."""
 
+import numpy as np
+
 import corpus_pipeline
-from pixelmill.llm import toxicity
+from pixelmill.llm import near_dups, toxicity
 
 from tests.llm.test_operators import brute_near
 
@@ -34,6 +36,16 @@ def test_stages(spark, tmp_path):
     assert after.where("piece = 0").count() == before.count()
 
 
+def test_near_bands_at_threshold():
+    rng = np.random.default_rng(4)
+    n = 20000
+    sets = rng.integers(0, 2**63, (n, 50)).astype(np.uint64)
+    one, other = sets[:, :45], np.concatenate([sets[:, :40], sets[:, 45:]], axis=1)  # 40 of 50 in both
+    assert corpus_pipeline.NEAR["percent"] == 80
+    bands = [near_dups._bands(near_dups.sketch(x.reshape(-1), np.repeat(np.arange(n), 45), n), corpus_pipeline.NEAR["rows"]) for x in (one, other)]
+    assert (bands[0] == bands[1]).any(axis=1).all()
+
+
 def test_empty_and_nulls(spark, tmp_path):
     schema = spark.read.parquet(f"{D}/documents.parquet").schema
     for rows in ([], [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0)]):
