@@ -2,9 +2,11 @@
 
 A source's documents queue in a shuffled order (md5 of the doc_id), twice, as a document may be taken twice. A
 copy's virtual finish time is the source's words up to its end divided by the source's target. The mix is all
-copies sorted by that time over the whole cluster, cut where the total budget is used up. As the targets add up to
-the budget, that is at virtual time 1: what has finished is taken whole, and of what is under way then either
-the words served so far (``cut_last``) or, for whole documents, the copy if half of it has been served.
+copies in the order of that time up to where the total budget is used up. As the targets add up to the budget, that
+is at virtual time 1, which is evaluated in each source, as its running words against its target; ``mixture`` and
+``mixed_documents`` neither sort by it nor cut at the total. What has finished is taken whole, and of what is under
+way then either the words served so far (``cut_last``) or, for whole documents, the copy if half of it has been
+served; their rounding is not bounded by the total.
 
 Targets: the sources in code-point order, null last, weigh ``weights`` in turn and share ``budget`` times all
 words; a target stops at ``repeats`` times its source's words, and the excess is shared anew by weight. Sorted by
