@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage works on all that the one before has kept.
 
-Edge cases are those of the operators; rows that repeat a doc_id count as one document in the near-duplicate stage.
-Extra columns pass through all stages but the last. Empty tables pass through.
+Edge cases are those of the operators. Extra columns of any name pass through all stages but the last. Empty tables
+pass through.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import Scratch
+from pixelmill.llm.common import Scratch, unused
 from pixelmill.llm.line_dups import dedup_lines
 from pixelmill.llm.mixing import mixed_documents
-from pixelmill.llm.near_dups import near_duplicates
+from pixelmill.llm.near_dups import without_near_duplicates
 from pixelmill.llm.packing import best_fit_packing
 from pixelmill.llm.toxicity import drop_toxic
 
@@ -31,16 +31,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate lines the first stays; all documents stay, if with an empty text, and n_chars follows."""
-    out = dedup_lines(docs)
+    (count,) = unused(docs, "n_dropped")
+    out = dedup_lines(docs, count=count)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: word 5-shingles, similarity of 0.8 or more."""
-    keep = near_duplicates(docs, **NEAR).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi")
+    """One document of each near-duplicate group stays, the first by doc_id: word 5-shingles, similarity of 0.8 or more."""
+    return without_near_duplicates(docs, **NEAR)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

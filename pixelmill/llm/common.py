@@ -69,6 +69,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any(f"{prefix}{n}" in taken for n in names):
+        prefix += "_"
+    return [f"{prefix}{n}" for n in names]
+
+
 # ---- bytes --------------------------------------------------------------------------------------
 
 
@@ -125,11 +134,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (the public splitmix64 constants)."""
     h = h + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
-    h ^= h >> np.uint64(30)
+    t = h >> np.uint64(30)
+    h ^= t
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
+    np.right_shift(h, np.uint64(27), out=t)
+    h ^= t
     h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    np.right_shift(h, np.uint64(31), out=t)
+    h ^= t
     return h
 
 
@@ -183,19 +195,45 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[n
     return full, docs
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each text in turn, the sorted distinct hashes of its lower-cased word shingles."""
+def distinct(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of each ``hashes[cuts[i]:cuts[i + 1]]`` sorted and once, and their offsets; sorts in place."""
+    keep = np.zeros(len(hashes), bool)
+    size = np.zeros(len(cuts) - 1, np.int64)
+    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if b > a:
+            s = hashes[a:b]
+            s.sort()
+            new = keep[a:b]
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            size[i] = np.count_nonzero(new)
+    return hashes[keep], np.concatenate([[0], np.cumsum(size)])
+
+
+def set_keys(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of 128 bits, as two words, of each set of elements ``hashes[cuts[i]:cuts[i + 1]]``."""
+    out = []
+    for seed in (101, 102):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes, seed))])
+        out.append(mix(sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
+def word_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks ``lo, hi`` of texts with the distinct hashes of their lower-cased word shingles, sorted by text."""
     data, offs = text_bytes(column)
     for lo, hi in blocks(offs):
         part, own = LOWER[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo]
         starts, ends, firsts = word_spans(part, own)
         hashes, docs = shingle_hashes(span_hashes(part, starts, ends), firsts, width)
-        cuts = np.searchsorted(docs, np.arange(hi - lo + 1))
+        yield lo, hi, *distinct(hashes, np.searchsorted(docs, np.arange(hi - lo + 1)))
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text in turn, the sorted distinct hashes of its lower-cased word shingles."""
+    for lo, hi, hashes, cuts in word_sets(column, width):
         for i in range(hi - lo):
-            s = np.sort(hashes[cuts[i] : cuts[i + 1]])
-            if len(s) > 1:
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            yield lo + i, s
+            yield lo + i, hashes[cuts[i] : cuts[i + 1]]
 
 
-__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "blocks", "cut", "mix", "shared_dir", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "word_spans"]
+__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "blocks", "cut", "distinct", "mix", "set_keys", "shared_dir", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "unused", "word_sets", "word_spans"]

@@ -2,15 +2,19 @@
 
 A line is what stands between line feeds. It is compared with A-Z lower-cased and runs of white space made one
 blank; empty lines then take no part and stay. Lines of fewer than ``min_chars`` characters, such as list marks and
-headings, are linked if they are equal: they are known by a 64-bit digest and have no bands. Of a longer line, the
+headings, are linked if they are equal: they are known by a 128-bit digest and have no bands. Of a longer line, the
 set is its distinct runs of ``WIDTH`` characters. Linked are those with
 ``100 * |A and B| >= percent * |A or B|``; of each component the line that comes first by (doc_id, number) stays,
-in the document where it stands, and all others go. Candidates share one of 16 bands of 3 sketch bins, which misses
-a pair at 0.8 with probability 1e-5 and at 0.85 with 2e-7; ``set_links`` verifies and connects them.
+in the document where it stands, and all others go. Candidates share one of 22 bands of 4 sketch bins, which misses
+a pair at 0.8 with probability 9e-6 and at 0.85 with 1e-7; ``set_links`` verifies and connects them.
+
+All texts are split and sketched once, in blocks of lines; only the lines that share a band are read again, by their
+place. Memory is bounded by an Arrow batch and some 60 times a block, which is half a megabyte or one longer line.
 
 Edge cases: a null text stays null and an empty one empty, without lines to drop; a document may lose all lines,
-and stays with an empty text; rows with one doc_id count their lines together in the order of their texts; a null
-doc_id comes last; other columns are kept; an empty table gives an empty result.
+and stays with an empty text; rows with one doc_id count their lines together in the order of their texts; of rows
+that repeat doc_id and text, all keep or lose the same lines; a null doc_id comes last; other columns are kept,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,193 +26,167 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
-from .near_dups import _bands, set_keys, sketch
-from .set_links import passes, set_components, signature_bits
+from .common import Scratch, cut, distinct, mix, text_bytes, unused
+from .line_kernel import Lines, line_blocks
+from .near_dups import band_lists, sketch
+from .set_links import DESCRIBED, PARITY, parities, set_components
 
-WIDTH, BINS, ROWS = 6, 48, 3
+WIDTH, BINS, ROWS = 6, 88, 4
 MIN_CHARS = 16
-#: Characters that a kernel works on at once.
-BLOCK_CHARS = 1_000_000
 _BLANKS = re.compile(r"\s+")
 _AZ = {c: c + 32 for c in range(0x41, 0x5B)}
-_MULT = mix(np.arange(21, 21 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
 def normal_lines(text: str) -> list[str]:
+    """What ``line_kernel`` makes of a text, line by line."""
     return [_BLANKS.sub(" ", line).strip() for line in text.translate(_AZ).split("\n")]
 
 
-def _line_sets(lines: list[str], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Blocks of lines: the first one's number, all distinct shingle hashes line by line, and the ``len + 1`` offsets."""
-    at = 0
-    while at < len(lines):
-        stop, chars = at, 0
-        while stop < len(lines) and (stop == at or chars + len(lines[stop]) <= BLOCK_CHARS):
-            chars += len(lines[stop])
-            stop += 1
-        codes = np.frombuffer("".join(lines[at:stop]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        ends = np.cumsum([len(x) for x in lines[at:stop]])
-        starts = np.concatenate([[0], ends[:-1]])
-        acc = np.zeros(max(0, len(codes) - width + 1), np.uint64)
-        for k in range(width):
-            acc += (codes[k : k + len(acc)] + np.uint64(1)) * _MULT[k]
-        acc = mix(acc)
-        out, sizes = [], np.zeros(stop - at, np.int64)
-        for i in range(stop - at):
-            a, n = starts[i], ends[i] - starts[i] - width + 1
-            if n <= 0:  # a shorter line is one shingle
-                s = mix(np.array([hash_short(lines[at + i])], np.uint64))
-            else:
-                s = np.sort(acc[a : a + n])
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            out.append(s)
-            sizes[i] = len(s)
-        yield at, np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
-        at = stop
-
-
-def hash_short(line: str) -> int:
-    h = 7
-    for c in line:
-        h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
-    return h
-
-
 def line_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """The sorted distinct shingle hashes of each line of a column of normalised lines."""
-    for at, hashes, cuts in _line_sets(column.to_pylist(), width):
+    data, offs = text_bytes(column)
+    for lo in range(0, len(offs) - 1, 1000):
+        cuts = offs[lo : lo + 1001]
+        lines = Lines(np.arange(len(cuts) - 1), np.zeros(len(cuts) - 1, np.int64), data[cuts[0] : cuts[-1]], cuts - cuts[0])
+        hashes, cuts = distinct(*lines.shingles(width))
         for i in range(len(cuts) - 1):
-            yield at + i, hashes[cuts[i] : cuts[i + 1]]
-
+            yield lo + i, hashes[cuts[i] : cuts[i + 1]]
 
-_Lines = tuple[list[int], list[int], list[str]]
 
+_UNITS = "doc_id long, text_hash long, line int, k1 long, k2 long, bands array<long>"
 
-def _batch_lines(batch: pa.RecordBatch, min_chars: int) -> tuple[_Lines, _Lines]:
-    """Row, number and normalised text of each line that has a set, and of each shorter one that is not empty."""
-    full, short = ([], [], []), ([], [], [])
-    for row, text in enumerate(batch.column("text").to_pylist()):
-        if text:
-            for k, line in enumerate(normal_lines(text)):
-                if line:
-                    rows, numbers, lines = full if len(line) >= min_chars else short
-                    rows.append(row)
-                    numbers.append(k)
-                    lines.append(line)
-    return full, short
 
-
-def line_key(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _digest(line: np.ndarray) -> bytes:
+    return hashlib.blake2b(line.tobytes(), digest_size=16).digest()
 
 
 def _units(width: int, min_chars: int):  # noqa: ANN202
-    """All lines that take part, with their key; bands only where a task meets a set for the first time."""
+    """All lines that take part with their key, and the bands of those that have a set, once a block for equal lines.
 
-    def out(batch: pa.RecordBatch, rows: list[int], numbers: list[int], *rest) -> pa.RecordBatch:  # noqa: ANN002
-        who = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(numbers, pa.int32()), *rest],
-            names=["doc_id", "text_hash", "line", "n_shingles", "k1", "s1", "s2", "bands"],
-        )
+    The key of a line with a set is a hash of its shingles with repeats: lines of one key have one set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            (rows, numbers, lines), (short_rows, short_numbers, short) = _batch_lines(batch, min_chars)
-            if short:
-                zero = pa.array(np.zeros(len(short), np.int64))
-                keys = pa.array([line_key(line) for line in short], pa.int64())
-                yield out(batch, short_rows, short_numbers, zero, keys, zero, zero, pa.array([[]] * len(short), pa.list_(pa.int64())))
-            for at, hashes, cuts in _line_sets(lines, width):
-                n = len(cuts) - 1
-                k1, size = set_keys(hashes, cuts), np.diff(cuts)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                new = np.zeros(n, bool)
-                for i, key in enumerate(k1.tolist()):
-                    if key not in seen:
-                        seen.add(key)
-                        new[i] = True
-                fresh = np.repeat(new, size)
-                number = np.cumsum(new) - 1
-                sk = sketch(hashes[fresh], np.repeat(number, size)[fresh], int(new.sum()), BINS)
-                s1, s2 = (np.zeros(n, np.int64) for _ in range(2))
-                s1[new], s2[new] = signature_bits(sk)
-                bands = _bands(sk, ROWS).view(np.int64)
-                per = np.where(new, bands.shape[1], 0)
-                arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(bands.reshape(-1)))
-                yield out(batch, rows[at : at + n], numbers[at : at + n], pa.array(size), pa.array(k1), pa.array(s1), pa.array(s2), arr)
+            data, offs = text_bytes(batch.column("text"))
+            for lines in line_blocks(data, offs):
+                hashes, cuts = lines.shingles(width)
+                size = np.diff(cuts)
+                full = size + width - 1 >= min_chars
+                k1 = mix(np.add.reduceat(hashes, cuts[:-1])).view(np.int64)
+                again = hashes >> np.uint64(29)
+                again ^= hashes
+                again *= np.uint64(0x9E3779B97F4A7C15)
+                k2 = mix(np.add.reduceat(again, cuts[:-1])).view(np.int64)
+                short = np.flatnonzero(~full)
+                if len(short):
+                    digests = b"".join(_digest(lines.data[lines.cuts[i] : lines.cuts[i + 1]]) for i in short.tolist())
+                    k1[short], k2[short] = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+                fresh = np.zeros(len(k1), bool)
+                fresh[np.unique(k1, return_index=True)[1]] = True
+                fresh &= full
+                number = np.cumsum(fresh) - 1
+                take = np.repeat(fresh, size)
+                sk = np.zeros((len(k1), BINS), np.uint64)
+                sk[fresh] = sketch(hashes[take], np.repeat(number, size)[take], int(fresh.sum()), BINS)
+                who = pa.array(lines.rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(lines.numbers.astype(np.int32)), pa.array(k1), pa.array(k2), band_lists(sk, ROWS, fresh)],
+                    names=["doc_id", "text_hash", "line", "k1", "k2", "bands"],
+                )
 
     return run
 
 
-def _keyed_lines(width: int, min_chars: int, bitmap: Broadcast):  # noqa: ANN202
-    """Lines whose set's key passes the screen, each set once a task as long as its memory lasts."""
+def _wanted_lines(width: int):  # noqa: ANN202
+    """The lines of texts that ``wanted`` lists as (number, node), normalised and described."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            (_, _, lines), _ = _batch_lines(batch, min_chars)
-            for at, hashes, cuts in _line_sets(lines, width):
-                k1 = set_keys(hashes, cuts)
-                keep = [i for i in np.flatnonzero(passes(bitmap.value, k1)).tolist() if k1[i] not in seen]
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(k1[keep].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(k1[keep]), pa.array([lines[at + i] for i in keep], pa.string())], names=["k1", "text"])
+            data, offs = text_bytes(batch.column("text"))
+            lists = batch.column("wanted")
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            line, node = (lists.flatten().field(i).to_numpy() for i in range(2))
+            order = np.lexsort((line, rows))
+            line, node = line[order], node[order]
+            places = (rows[order] << 32) + line
+            for lines in line_blocks(data, offs):
+                own = (lines.rows << 32) + lines.numbers
+                at = np.minimum(np.searchsorted(places, own), len(places) - 1)
+                hit = np.flatnonzero(places[at] == own)
+                cuts = lines.cuts.astype(np.int64)
+                texts = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(cuts), pa.py_buffer(lines.data)).take(pa.array(hit)).cast(pa.string())
+                part, ends = text_bytes(texts)
+                chosen = Lines(lines.rows[hit], lines.numbers[hit], part, ends)
+                h, cuts = distinct(*chosen.shingles(width))
+                yield pa.RecordBatch.from_arrays([pa.array(node[at[hit]]), texts, pa.array(np.diff(cuts)), *parities(h, cuts)], names=["c", "text", "n_shingles", *PARITY])
 
     return run
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines whose numbers are in ``gone``."""
-    for batch in batches:
-        texts, counts = batch.column("text").to_pylist(), [0] * batch.num_rows
-        for i, gone in enumerate(batch.column("gone").to_pylist()):
-            if gone and texts[i]:
-                drop = set(gone)
-                lines = texts[i].split("\n")
-                texts[i] = "\n".join(line for k, line in enumerate(lines) if k not in drop)
-                counts[i] = len(drop)
-        rest = [c for c in batch.schema.names if c not in ("text", "gone")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[*rest, "text", "n_dropped"])
+def _without(text: str, gone: str, n: str):  # noqa: ANN202
+    """Texts without the lines whose numbers are in ``gone``, and their number as ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, column = batch.column(gone), batch.column(text)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64())
+            new: list[str | None] = [None] * batch.num_rows
+            for i in np.flatnonzero(counts.to_numpy()).tolist():
+                drop = set(lists[i].as_py())
+                new[i] = "\n".join(line for k, line in enumerate(column[i].as_py().split("\n")) if k not in drop)
+            changed = pa.array(new, column.type)
+            rest = [c for c in batch.schema.names if c not in (text, gone)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pc.coalesce(changed, column), counts], names=[*rest, text, n])
+
+    return run
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, text_hash, gone``: the numbers of the lines that go, by document."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    units = docs.mapInArrow(_units(width, min_chars), "doc_id long, text_hash long, line int, n_shingles long, k1 long, s1 long, s2 long, bands array<long>")
-    units = scratch.table(units, "units")
+    units = scratch.table(docs.where("text <> ''").mapInArrow(_units(width, min_chars), _UNITS), "units")
 
-    def texts_of(bitmap: np.ndarray) -> DataFrame:
-        return docs.mapInArrow(_keyed_lines(width, min_chars, spark.sparkContext.broadcast(bitmap)), "k1 long, text string")
+    # Lines of one key; a node is known by the first word of its key, as classes of documents are in ``near_dups``.
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
+    keys = scratch.table(units.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "keys")
 
-    nodes = units.where(F.size("bands") > 0).select("k1", "n_shingles", "s1", "s2", "bands")
-    comp = set_components(nodes, texts_of, partial(line_sets, width=width), percent, BINS, scratch)
+    def node_keys(nodes: DataFrame) -> DataFrame:
+        return keys.join(nodes.withColumnRenamed("c", "k1"), "k1").groupBy("k1").agg(F.min(F.struct("k2", "first")).alias("at")).select("k1", "at.*")
 
-    # The first line of each set, then of each component; lines that share either are the only ones that can go.
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
-    sets = units.groupBy("k1").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(comp.withColumnRenamed("node", "k1"), "k1", "left").where("n > 1 or comp is not null")
-    sets = sets.withColumn("comp", F.coalesce("comp", "k1"))
-    keep = sets.groupBy("comp").agg(F.min("first").alias("stays"))
-    gone = units.select("k1", "doc_id", "text_hash", "line").join(sets.join(keep, "comp").select("k1", "stays"), "k1").where(~place.eqNullSafe(F.col("stays")))
+    def describe(wanted: DataFrame) -> DataFrame:
+        by_text = node_keys(wanted).groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")).agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
+        texts = docs.join(by_text, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+        return texts.select("text", "wanted").mapInArrow(_wanted_lines(width), f"c long, {DESCRIBED}").dropDuplicates(["c"])
+
+    nodes = units.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands")
+    comp = set_components(nodes, describe, partial(line_sets, width=width), percent, scratch)
+    comp = node_keys(comp.withColumnRenamed("node", "c")).join(comp, F.col("k1") == F.col("node")).select("k1", "k2", "comp")
+
+    # The first line of each key, then of each component; lines that share either are the only ones that can go.
+    keyed = keys.join(comp, ["k1", "k2"], "left").where("n > 1 or comp is not null")
+    stays = keyed.where("comp is not null").groupBy("comp").agg(F.min("first").alias("stays"))
+    keyed = keyed.join(stays, "comp", "left").select("k1", "k2", F.coalesce("stays", "first").alias("stays"))
+    gone = units.select("k1", "k2", "doc_id", "text_hash", "line").join(keyed, ["k1", "k2"]).where(~place.eqNullSafe(F.col("stays")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))  # no more than a document's lines
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with near-duplicate lines dropped from ``text``, and their number as ``n_dropped``."""
+def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS, count: str = "n_dropped") -> DataFrame:
+    """``docs`` with near-duplicate lines dropped from ``text``, and their number as a column ``count`` that ``docs`` lacks.
+
+    The result reads a small table of dropped lines in the shared folder.
+    """
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.table(dropped_lines(docs.select("doc_id", "text"), scratch, percent, min_chars), "gone").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    scratch.drop_all_but("gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left").drop("_doc", "_hash")
+    doc, text_hash, lines = unused(docs, "doc", "hash", "gone")
+    gone = cut(dropped_lines(docs.select("doc_id", "text"), scratch, percent, min_chars))
+    scratch.drop()
+    gone = gone.withColumnsRenamed({"doc_id": doc, "text_hash": text_hash, "gone": lines})
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left").drop(doc, text_hash)
     rest = [f for f in docs.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    out = joined.select(*[f"`{f.name}`" for f in rest], "text", "gone").mapInArrow(_without, f"{schema}, text string, n_dropped long")
-    return out.select(*[f"`{c}`" for c in docs.columns], "n_dropped")
+    out = joined.select(*[f"`{f.name}`" for f in rest], "text", lines).mapInArrow(_without("text", lines, count), f"{schema}, text string, `{count}` long")
+    return out.select(*[f"`{c}`" for c in docs.columns], count)

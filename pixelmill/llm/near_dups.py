@@ -5,7 +5,8 @@ Sketch (Dahlgaard, Knudsen and Thorup, 2017): in round ``i < t`` every shingle f
 stop once all bins of a document are full, which most texts reach in one or two, and every coordinate is sure
 to be full after ``2 t``.
 
-Documents with equal shingle sets are one class; ``set_links`` compares and connects the classes.
+Documents with equal shingle sets are one class, known by 128 bits of hash; ``set_links`` compares and connects the
+classes.
 
 Edge cases: null and empty texts, and texts of white space only, have no shingles, are linked with nothing and
 stay, as their own component. Rows that repeat a doc_id are judged by their own text. A null doc_id never wins
@@ -19,12 +20,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, blocks, cut, mix, shingle_hashes, shingle_sets, span_hashes, text_bytes, word_spans
-from .set_links import passes, set_components, signature_bits
+from .common import Scratch, cut, mix, set_keys, shingle_sets, unused, word_sets
+from .set_links import PARITY, parities, set_components
 
 WIDTH, BINS, ROWS = 5, 100, 5
 _FULL = np.uint64(2**64 - 1)
@@ -35,15 +35,27 @@ def sketch(hashes: np.ndarray, docs: np.ndarray, n_docs: int, t: int = BINS) ->
     out = np.full((n_docs, t), _FULL, np.uint64)
     flat = out.reshape(-1)
     h, d = hashes, docs.astype(np.int64)
+    at, rest, still = d * t, np.arange(n_docs), np.zeros(n_docs, bool)
     for i in range(2 * t):
         if not len(h):
             break
-        x = mix(h, i + 1)
-        bins = ((x >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else np.full(len(h), i - t)
-        np.minimum.at(flat, d * t + bins, (x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(8)) | np.uint64(i << 56))
-        todo = (out == _FULL).any(axis=1)[d]
-        if not todo.all():
-            h, d = h[todo], d[todo]
+        x = mix(h, i) if i else h  # hashes come mixed: the high half chooses the bin, the low half is the value
+        if i < t:
+            bins = x >> np.uint64(32)
+            bins *= np.uint64(t)
+            bins >>= np.uint64(32)
+            place = bins.view(np.int64)
+            place += at
+        else:
+            place = at + (i - t)
+        np.minimum.at(flat, place, (x & np.uint64(0xFFFFFFFF)) | np.uint64(i << 32))
+        full = (out[rest] != _FULL).all(axis=1)
+        if full.any():
+            rest = rest[~full]
+            still[:] = False
+            still[rest] = True
+            todo = still[d]
+            h, d, at = h[todo], d[todo], at[todo]
     return out
 
 
@@ -55,68 +67,65 @@ def _bands(sk: np.ndarray, rows: int) -> np.ndarray:
     return acc + np.arange(t // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def set_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A hash of each set of distinct elements ``hashes[cuts[i]:cuts[i + 1]]``."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes, 101))])
-    return mix(sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)
+_SKETCH = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{b} long" for b in PARITY)
 
 
-_SKETCH = "doc_id long, n_shingles long, k1 long, s1 long, s2 long, bands array<long>"
+def band_lists(sk: np.ndarray, rows: int, has: np.ndarray) -> pa.Array:
+    """The bands of each sketch, and an empty list where ``has`` is false."""
+    bands = _bands(sk, rows).view(np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.where(has, bands.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[has].reshape(-1)))
 
 
 def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            ids = batch.column("doc_id")
-            for lo, hi in blocks(offs):
-                part, own = LOWER[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo]
-                starts, ends, firsts = word_spans(part, own)
-                h, d = shingle_hashes(span_hashes(part, starts, ends), firsts, width)
-                cuts = np.searchsorted(d, np.arange(hi - lo + 1))
-                size = np.zeros(hi - lo, np.int64)
-                keep = np.zeros(len(h), bool)
-                for i in range(hi - lo):
-                    a, b = cuts[i], cuts[i + 1]
-                    if b > a:
-                        s = h[a:b]
-                        s.sort()
-                        new = keep[a:b]
-                        new[0] = True
-                        np.not_equal(s[1:], s[:-1], out=new[1:])
-                        size[i] = np.count_nonzero(new)
-                h, d = h[keep], d[keep]
-                k1 = set_keys(h, np.concatenate([[0], np.cumsum(size)]))
-                sk = sketch(h, d, hi - lo, bins)
-                s1, s2 = signature_bits(sk)
-                bands = _bands(sk, rows).view(np.int64)
-                full = size > 0
-                per = np.where(full, bands.shape[1], 0)
-                arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(bands[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size), pa.array(k1), pa.array(s1), pa.array(s2), arr], names=["doc_id", "n_shingles", "k1", "s1", "s2", "bands"])
+            who = batch.select(["doc_id", "text_hash"])
+            for lo, hi, h, cuts in word_sets(batch.column("text"), width):
+                size = np.diff(cuts)
+                k1, k2 = set_keys(h, cuts)
+                bands = band_lists(sketch(h, np.repeat(np.arange(hi - lo), size), hi - lo, bins), rows, size > 0)
+                own = [*who.slice(lo, hi - lo).columns, pa.array(size), pa.array(k1), pa.array(k2), bands, *parities(h, cuts)]
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands", *PARITY])
 
     return run
 
 
-def _keyed_texts(width: int, bitmap: Broadcast):  # noqa: ANN202
-    """Texts whose class key passes the screen, with that key; each class once a task as long as its memory lasts."""
+def near_rows(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """``docs(doc_id, text)`` to one row per row: ``doc_id, text_hash, n_shingles, component_id, first``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            k1 = np.zeros(batch.num_rows, np.int64)
-            for i, s in shingle_sets(batch.column("text"), width):
-                k1[i] = set_keys(s, np.array([0, len(s)]))[0]
-            keep = []
-            for i in np.flatnonzero(passes(bitmap.value, k1)).tolist():
-                if k1[i] not in seen:
-                    seen.add(k1[i])
-                    keep.append(i)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(k1), batch.column("text")], names=["k1", "text"]).take(pa.array(keep, pa.int64()))
+    ``first`` tells the row of its component that comes first by (doc_id, text_hash), nulls last; rows that repeat
+    both are first together.
+    """
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    sk = scratch.table(docs.mapInArrow(_sketches(width, bins, rows), _SKETCH), "sketch")
+    full = sk.where("n_shingles > 0")
 
-    return run
+    # A class of equal sets is a node, known by the first word of its key; should two classes share that, the one with
+    # the smaller second word is the node and the other is linked with nothing.
+    place = F.struct("k2", F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_shingles", *PARITY)
+    classes = scratch.table(full.groupBy("k1").agg(F.min(place).alias("at")).select(F.col("k1").alias("c"), "at.*"), "classes")
+
+    def describe(wanted: DataFrame) -> DataFrame:
+        at = classes.join(wanted, "c").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+        found = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+        return found.select("c", "text", "n_shingles", *PARITY).dropDuplicates(["c"])
+
+    comp = set_components(full.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("c"), "bands"), describe, partial(shingle_sets, width=width), percent, scratch)
+    comp = comp.join(classes.select("c", "k2"), F.col("node") == F.col("c")).select(F.col("node").alias("k1"), "k2", "comp")
+
+    # The first row of each component, and so back to the rows.
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    named = full.groupBy("k1", "k2").agg(F.min(row).alias("own")).join(comp, ["k1", "k2"], "left")
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("own").alias("least"))
+    named = named.join(least, "comp", "left").select("k1", "k2", F.coalesce("least", "own").alias("least"))
+    rows_out = full.join(named, ["k1", "k2"]).select("doc_id", "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"), (row == F.col("least")).alias("first"))
+    alone = sk.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    out = cut(rows_out.unionByName(alone))
+    scratch.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -125,24 +134,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     Linked are documents with ``100 * |A and B| >= percent * |A or B|`` over full sets of ``width``-word
     shingles. At 0.85 a band of 5 rows of 100 bins misses a linked pair with probability 8e-6.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sk = scratch.table(docs.mapInArrow(_sketches(width, bins, rows), _SKETCH), "sketch")
-    full = sk.where("n_shingles > 0")
-
-    nodes = full.dropDuplicates(["k1"])
-
-    def texts_of(bitmap: np.ndarray) -> DataFrame:
-        return docs.mapInArrow(_keyed_texts(width, spark.sparkContext.broadcast(bitmap)), "k1 long, text string")
-
-    comp = set_components(nodes, texts_of, partial(shingle_sets, width=width), percent, bins, scratch)
-
-    # The smallest doc_id of each component, and so back to the rows.
-    named = full.groupBy("k1").agg(F.min("doc_id").alias("own")).join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
-    least = named.groupBy("comp").agg(F.min("own").alias("component_id"))
-    rows_out = full.join(named.join(least, "comp").select("k1", "component_id"), "k1").select("doc_id", "n_shingles", "component_id")
-    alone = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = cut(rows_out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    scratch.drop()
-    return out
+    found = near_rows(docs, percent, width, bins, rows)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each component, the first; documents without shingles stay, each row of them."""
+    doc, text_hash, n, size = unused(docs, "doc", "hash", "rows", "size")
+    found = near_rows(docs.select("doc_id", "text"), percent, width, bins, rows).where("first")
+    keep = found.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).agg(F.count("*").alias(n), F.max("n_shingles").alias(size))
+    here = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(text_hash))
+    kept = docs.join(keep, here)
+    # Rows that repeat an id and a text are rare, but may be many: one of them stays.
+    once = kept.where((F.col(n) > 1) & (F.col(size) > 0)).dropDuplicates([doc, text_hash])
+    return kept.where((F.col(n) == 1) | (F.col(size) == 0)).unionByName(once).select(*[f"`{c}`" for c in docs.columns])

@@ -1,12 +1,23 @@
 """Exact links between sets that share a band of their sketches, and the components of those links.
 
-Sets are known by a 64-bit hash of their elements' hashes, equal sets being one node (among n sets, some n^2 / 2^65
-pairs of different ones are taken for equal). The members of a band bucket first meet three pivots of the bucket,
-one of which is the node that meets the most others, as a text does that many copies were made from.
-Pairs whose sizes or whose sketches' signatures rule a link out are not looked at; the others are decided over the
-full sets. Links make components, and where a bucket holds several then, the members of all but its largest
-component meet everything in the bucket. So a group of copies is not expanded into all pairs, and none is capped:
-a link is lost only if no band finds it, or with its signature one in a million.
+Linked are sets with ``100 * |A and B| >= percent * |A or B|``, which is ``|A xor B| <= (|A| + |B|) * c`` with
+``c = (100 - percent) / (100 + percent)``. A pair is looked at if it shares a band, and decided over the full sets:
+
+1. Members of a bucket of at most ``SMALL`` sets meet each other, those of a larger one meet two pivots of it. One
+   pivot is the set that meets the most others, as a text does that many copies were made from. Sizes and parities
+   (below) rule pairs out before their texts are fetched.
+2. Links make components. Where a larger bucket still holds several, each member is described by its difference
+   ``D`` to the bucket's first pivot. Sets of different components are linked only if
+   ``|Da and Db| >= k = (|Da| + |Db| - c * (|A| + |B|)) / 2``, and then ``k >= 1``: with ``k <= 0`` both would be
+   linked with the pivot. So differences are joined on their rarest elements (prefix filter): as ``|B| <= |A| / p``
+   and ``|Db| >= |Da| - c * (|A| + |B|)``, ``k`` is at least ``|Da| - |A| * (100 - percent) / percent``, and of any
+   linked pair one of the first ``|Da| - k + 1`` elements is shared. Elements that stand in one component only come
+   first in that order and join nothing.
+
+No pair is lost but those that share no band, and no bucket is capped or expanded into all its pairs.
+
+A set's parity is 512 bits, each telling whether an odd number of its elements falls there. Parities differ in at
+most ``|A xor B|`` bits, so that more of them than a link allows rule it out for certain.
 """
 
 from __future__ import annotations
@@ -23,126 +34,180 @@ from .components import components
 
 #: A column of texts to (position, sorted distinct hashes) of each.
 Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
-#: 64-bit words of the screen; its size does not depend on the data.
-SCREEN_WORDS = 1 << 20
+#: Members of a bucket that all meet each other.
+SMALL = 12
+PARITY = [f"b{i}" for i in range(8)]
+#: What ``describe`` gives of a set besides its node ``c``.
+DESCRIBED = "text string, n_shingles long, " + ", ".join(f"{b} long" for b in PARITY)
+
+
+def parities(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """The parity words of the sets ``hashes[cuts[i]:cuts[i + 1]]``, a column for each word."""
+    n = len(cuts) - 1
+    out = np.zeros(n * 8, np.uint64)
+    at = mix(hashes, 5) >> np.uint64(55)
+    np.bitwise_xor.at(out, np.repeat(np.arange(n) * 8, np.diff(cuts)) + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return [pa.array(x) for x in np.ascontiguousarray(out.reshape(n, 8).T).view(np.int64)]
+
+
+# ---- buckets ------------------------------------------------------------------------------------
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (band, c) rows, each once, without bands that only one ``c`` has; those at the ends of a task stay."""
+    band, c, left = np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(1, bool)
+    for batch in batches:
+        band, c = (np.concatenate([have, batch.column(name).to_numpy()]) for have, name in ((band, "band"), (c, "c")))
+        if not len(band):
+            continue
+        same = band[1:] == band[:-1]
+        new = np.append(True, ~same | (c[1:] != c[:-1]))
+        band, c = band[new], c[new]
+        same = band[1:] == band[:-1]
+        left = np.append(left, same)
+        keep = left[:-1] | same
+        yield pa.RecordBatch.from_arrays([pa.array(band[:-1][keep]), pa.array(c[:-1][keep])], names=["band", "c"])
+        band, c, left = band[-1:], c[-1:], left[-1:]
+    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(c)], names=["band", "c"])
+
+
+def _buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes(c, bands)`` to ``band, c, n`` where ``n > 1`` sets share a band.
+
+    One exchange by ranges of (band, c), so that a band that many sets have is spread over tasks.
+    """
+    banded = nodes.select(F.explode("bands").alias("band"), "c").repartitionByRange("band", "c").sortWithinPartitions("band", "c")
+    met = scratch.table(banded.mapInArrow(_shared, "band long, c long").distinct(), "links_met")
+    counts = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.table(met.join(counts, "band"), "links_buckets")
 
 
-def screen(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds every ``k1`` of ``keys`` (and lets some others pass)."""
-    word = F.col("k1").bitwiseAND(F.lit(SCREEN_WORDS - 1)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("k1", 20).bitwiseAND(F.lit(63)).cast("int"))
-    got = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(SCREEN_WORDS, np.uint64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
+# ---- pairs --------------------------------------------------------------------------------------
 
 
-def passes(bitmap: np.ndarray, k1: np.ndarray) -> np.ndarray:
-    """Whether the screen lets each key pass."""
-    k = k1.view(np.uint64)
-    return (bitmap[(k & np.uint64(SCREEN_WORDS - 1)).astype(np.int64)] >> ((k >> np.uint64(20)) & np.uint64(63))) & np.uint64(1) == 1
+def _set_pairs(sets: Sets, batch: pa.RecordBatch, kept: list[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each pair both sets, and which elements of the pivot's the other has; ``kept`` holds the last pivot's set."""
+    pivots, texts = batch.column("p").to_numpy(), batch.column("pivot_text")
+    for i, s in sets(batch.column("text")):
+        if not kept or kept[0][0] != pivots[i]:
+            kept[:] = [(pivots[i], next(sets(texts.slice(i, 1)))[1])]
+        pivot = kept[0][1]
+        at = np.searchsorted(s, pivot)
+        at[at == len(s)] = 0
+        yield s, pivot, s[at] == pivot if len(s) else np.zeros(len(pivot), bool)
 
 
 def _verify(sets: Sets):  # noqa: ANN202
-    """Pairs with both texts to pairs with the sizes of intersection and union; one pivot's set is kept between rows."""
+    """Pairs with both texts to pairs with the sizes of intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, np.zeros(0, np.uint64)
+        kept: list[tuple[int, np.ndarray]] = []
         for batch in batches:
-            pivots, texts = batch.column("p").to_numpy(), batch.column("pivot_text")
-            inter, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, s in sets(batch.column("text")):
-                if last != pivots[i]:
-                    last, pivot = pivots[i], next(sets(texts.slice(i, 1)))[1]
-                at = np.searchsorted(pivot, s)
-                at[at == len(pivot)] = 0
-                inter[i] = np.count_nonzero(pivot[at] == s) if len(pivot) else 0
-                union[i] = len(pivot) + len(s) - inter[i]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("p"), pa.array(inter), pa.array(union)], names=["c", "p", "n_both", "n_union"])
+            sizes = [(np.count_nonzero(both), len(s) + len(p)) for s, p, both in _set_pairs(sets, batch, kept)]
+            inter, total = np.array(sizes, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("p"), pa.array(inter), pa.array(total - inter)], names=["c", "p", "n_both", "n_union"])
 
     return run
 
 
-def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
-    """``pairs(c, p)`` with their exact ``n_both`` and ``n_union``; texts are merged, never broadcast."""
-    texts = texts.hint("merge")
-    member = pairs.join(texts.select(F.col("k1").alias("c"), "text"), "c")
-    both = member.join(texts.select(F.col("k1").alias("p"), F.col("text").alias("pivot_text")), "p")
-    return both.select("c", "p", "text", "pivot_text").mapInArrow(_verify(sets), "c long, p long, n_both long, n_union long")
-
-
-def signature_bits(sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest bit of every bin of sketches, as two words of up to 60 bits."""
-    bits = (mix(sk, 77) & np.uint64(1)).astype(np.uint64)
-    return tuple((part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for part in (bits[:, :60], bits[:, 60:]))
-
+def _differ(sets: Sets):  # noqa: ANN202
+    """Pairs with both texts to the elements in which they differ."""
 
-def _bits_allow(a: Callable[[str], Column], b: Callable[[str], Column], bins: int, percent: int) -> Column:
-    """Whether two signatures agree as much as linked sets do but for 1 in a million: bins agree by similarity,
-    and half of the others by chance."""
-    agree = (1 + percent / 100) / 2
-    least = bins * agree - 4.8 * (bins * agree * (1 - agree)) ** 0.5
-    differ = F.bit_count(a("s1").bitwiseXOR(b("s1"))) + F.bit_count(a("s2").bitwiseXOR(b("s2")))
-    return differ <= int(bins - least)
-
-
-#: Orders in which a bucket's least node becomes a pivot: numbers xored with these.
-_ORDERS = (0, 0x1B873593CC9E2D51)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            diffs = [np.concatenate([np.setdiff1d(s, p, assume_unique=True), p[~both]]) for s, p, both in _set_pairs(sets, batch, kept)]
+            ends = np.cumsum([0, *map(len, diffs)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *diffs]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("p"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["c", "p", "diff"])
 
+    return run
 
-def set_components(nodes: DataFrame, texts_of: Callable[[np.ndarray], DataFrame], sets: Sets, percent: int, bins: int, scratch: Scratch) -> DataFrame:
-    """``nodes(k1, n_shingles, s1, s2, bands)``, a row or more for each set, to ``(node, comp)`` of all sets with links.
 
-    Linked are sets with ``100 * |A and B| >= percent * |A or B|``. ``texts_of`` gives ``(k1, text)`` of all texts
-    whose key passes a screen, and ``sets`` their sets.
+def _with_texts(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """``pairs(c, p)`` with both texts; merged by pivot, so that a task reads a pivot's pairs one after the other."""
+    texts = described.select(F.col("c").alias("k"), F.col("text").alias("t")).hint("merge")
+    both = pairs.join(texts, F.col("c") == F.col("k")).select("c", "p", F.col("t").alias("text"))
+    return both.join(texts, F.col("p") == F.col("k")).select("c", "p", "text", F.col("t").alias("pivot_text"))
+
+
+def _verified(pairs: DataFrame, described: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The edges ``a, b`` of those pairs that are linked."""
+    exact = _with_texts(pairs, described).mapInArrow(_verify(sets), "c long, p long, n_both long, n_union long")
+    return exact.where(F.col("n_both") * 100 >= F.col("n_union") * percent).select(F.col("c").alias("a"), F.col("p").alias("b"))
+
+
+def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether sizes and parities leave a link possible."""
+    a, b = x("n_shingles"), y("n_shingles")
+    differ = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in PARITY[1:]), F.bit_count(x(PARITY[0]).bitwiseXOR(y(PARITY[0]))))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (differ * (100 + percent) <= (a + b) * (100 - percent))
+
+
+def _first_pairs(buckets: DataFrame, pivots: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``c, p`` of small buckets and each member with the pivots of large ones, where a link is possible."""
+    small = buckets.where(F.col("n") <= SMALL).select("band", "c")
+    within = small.join(small.withColumnRenamed("c", "p"), "band").where("c > p").select("c", "p")
+    large = buckets.where(F.col("n") > SMALL).join(pivots, "band").select("c", F.explode(F.array("p0", "p1")).alias("p")).where("c <> p")
+    pairs = within.unionByName(large.select(F.greatest("c", "p").alias("c"), F.least("c", "p").alias("p"))).distinct()
+    light = described.select(F.col("c").alias("k"), "n_shingles", *PARITY)
+    x, y = light.alias("x"), light.alias("y")
+    joined = pairs.join(x, F.col("c") == F.col("x.k")).join(y, F.col("p") == F.col("y.k"))
+    return joined.where(_may_link(lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}"), percent)).select("c", "p")
+
+
+def _second_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
+    """``members(p, c, comp)`` of large buckets' pivots to pairs ``c, p`` of different components that may be linked."""
+    diffs = _with_texts(members.where("c <> p").select("c", "p"), described).mapInArrow(_differ(sets), "c long, p long, diff array<long>")
+    known = members.join(described.select("c", "n_shingles"), "c")
+    diffs = scratch.table(diffs.join(known, ["c", "p"]).withColumn("n_diff", F.size("diff").cast("long")), "links_diffs")
+    elements = diffs.select("p", "c", "comp", "n_shingles", "n_diff", F.explode("diff").alias("e"))
+    common = elements.groupBy("p", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("p", "e", "df")
+    matchable = elements.join(common, ["p", "e"])
+    # The elements of one difference, rarest first; those that join nothing count as the first of them.
+    listed = matchable.groupBy("p", "c", "comp", "n_shingles", "n_diff").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    listed = listed.withColumn("m", F.size("es").cast("long"))
+    k = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("n_diff") * percent - F.col("n_shingles") * (100 - percent)) / percent))
+    prefix = F.slice("es", F.lit(1), F.greatest(F.lit(0).cast("long"), F.col("m") - k + 1).cast("int"))
+    keys = scratch.table(listed.where(k <= F.col("m")).select("p", "c", "comp", "n_shingles", "n_diff", "m", F.explode(prefix).alias("key")).withColumn("e", F.col("key.e")).drop("key"), "links_keys")
+    x, y = keys.alias("x"), keys.alias("y")
+    a, b = F.col("x.n_shingles"), F.col("y.n_shingles")
+    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    twice_k = (F.col("x.n_diff") + F.col("y.n_diff")) * (100 + percent) - (a + b) * (100 - percent)
+    enough = F.least("x.m", "y.m") * (2 * (100 + percent)) >= twice_k
+    joined = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & sizes & enough)
+    return joined.select(F.greatest("x.c", "y.c").alias("c"), F.least("x.c", "y.c").alias("p")).distinct()
+
+
+def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
+    """``nodes(c, bands)``, a row or more for each set, to ``(node, comp)`` of all sets with links.
+
+    ``describe`` gives ``c`` and ``DESCRIBED`` for the sets of a table ``c``; ``sets`` are the sets of such texts.
     """
-    banded = nodes.select(F.col("k1").alias("c"), "n_shingles", "s1", "s2", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").select("band", "n")
-    met = scratch.table(banded.join(full, "band").distinct(), "met")
-    # A node's weight is the number of others it meets: the text that copies were made from meets the most of them.
-    known = met.groupBy("c").agg(F.first("n_shingles").alias("n_shingles"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum("n").alias("weight"))
-    known = scratch.table(known, "known")
-    keys = [F.min(F.col("c").bitwiseXOR(F.lit(k))).bitwiseXOR(F.lit(k)).alias(f"p{i}") for i, k in enumerate(_ORDERS, 1)]
-    weighed = met.drop("n").join(known.select("c", "weight"), "c")
-    pivots = weighed.groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), *keys).withColumn("p0", F.col("p0.c"))
-
-    def candidates(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
-        return _sizes_allow(x("n_shingles"), y("n_shingles"), percent) & _bits_allow(x, y, bins, percent)
-
-    def of(name: str) -> Callable[[str], Column]:
-        return lambda c: F.col(f"{name}.{c}")
-
-    pairs = met.join(pivots, "band").select("c", "n_shingles", "s1", "s2", F.explode(F.array("p0", "p1", "p2")).alias("p")).where("c <> p").distinct().alias("x")
-    pairs = pairs.join(known.alias("y"), F.col("x.p") == F.col("y.c")).where(candidates(of("x"), of("y")))
-    # A pair met from both sides is one.
-    pairs = pairs.select(F.greatest("x.c", "x.p").alias("c"), F.least("x.c", "x.p").alias("p")).distinct()
-    pairs = scratch.table(pairs, "pairs")
-    needed = pairs.select(F.col("c").alias("k1")).union(pairs.select("p")).distinct()
-    texts = scratch.table(texts_of(screen(needed)).join(needed.hint("merge"), "k1", "left_semi").dropDuplicates(["k1"]), "texts")
-
-    linked = F.col("n_both") * 100 >= F.col("n_union") * percent
-    edges = [F.col("c").alias("a"), F.col("p").alias("b")]
-    comp = scratch.table(components(_verified(pairs, texts, sets).where(linked).select(*edges), scratch, "first"), "comp")
-
-    # Buckets that still hold several components: all but the largest one's members meet all of the bucket.
-    at = met.select("band", "c", "n_shingles", "s1", "s2").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    at = scratch.table(at, "at")
-    scratch.drop("met")
-    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", "n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    rest_of = scratch.table(at.join(sizes.select("band", "most"), "band"), "open")
-    x, y = rest_of.where("comp <> most").alias("x"), rest_of.alias("y")
-    once = (F.col("y.comp") == F.col("y.most")) | (F.col("x.c") < F.col("y.c"))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & candidates(of("x"), of("y")))
-    rest = rest.select(F.greatest("x.c", "y.c").alias("c"), F.least("x.c", "y.c").alias("p")).distinct()
-    rest = scratch.table(rest.join(pairs, ["c", "p"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        needed = rest.select(F.col("c").alias("k1")).union(rest.select("p")).distinct()
-        texts = scratch.table(texts_of(screen(needed)).join(needed.hint("merge"), "k1", "left_semi").dropDuplicates(["k1"]), "texts2")
-        more = scratch.table(_verified(rest, texts, sets).where(linked).select(*edges), "more")
+    buckets = _buckets(nodes, scratch)
+    scratch.drop("links_met")
+    described = scratch.table(describe(buckets.select("c").distinct()), "links_described")
+    weights = buckets.groupBy("c").agg(F.sum("n").alias("weight"))
+    weighed = buckets.where(F.col("n") > SMALL).join(weights, "c")
+    pivots = weighed.groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
+    pivots = scratch.table(pivots.select("band", F.col("p0.c").alias("p0"), "p1"), "links_pivots")
+
+    pairs = scratch.table(_first_pairs(buckets, pivots, described, percent), "links_pairs")
+    edges = scratch.table(_verified(pairs, described, sets, percent), "links_edges")
+    comp = scratch.table(components(edges, scratch, "first"), "comp")
+
+    # Large buckets that still hold several components.
+    own = F.coalesce("comp", "c").alias("comp")
+    at = buckets.where(F.col("n") > SMALL).join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "c", own)
+    several = at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    members = at.join(several, "band").join(pivots.select("band", F.col("p0").alias("p")), "band").select("p", "c", "comp").distinct()
+    members = scratch.table(members, "links_members")
+    if not members.isEmpty():
+        rest = _second_pairs(members, described, sets, percent, scratch).join(pairs, ["c", "p"], "left_anti")
+        rest = scratch.table(rest, "links_rest")
+        more = scratch.table(_verified(rest, described, sets, percent), "links_more")
         if not more.isEmpty():
             comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "last"), "comp_last")
+    for name in [name for name in scratch.names if name.startswith("links_")]:
+        scratch.drop(name)
     return comp

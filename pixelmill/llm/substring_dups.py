@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .anchors import pieces, window_hashes
 from .common import Scratch, blocks, cut, text_bytes
-from .set_links import passes, screen
+from .screens import passes, screen
 from .suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH = 200
