@@ -13,11 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixelmill.runtime import ship
 
 #: Bytes of text that a kernel works on at once; a longer document is worked on alone.
 BLOCK_BYTES = 2_000_000
+#: Whether the shuffle files of a write go when it ends; no later plan reads those of a written table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # ---- lineage ------------------------------------------------------------------------------------
@@ -40,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_place(docs: DataFrame, places: DataFrame, columns: list[str], wanted: list[str]) -> DataFrame:
+    """``columns`` of ``docs(doc_id, text_hash, ...)`` and ``wanted`` of those ``places(doc_id, text_hash, ...)`` that are
+    there, once each: of rows that repeat a place one is taken. A null id is a place's, too.
+    """
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash")]
+    names = ["_id", "_none", "_hash"]
+    found = docs.select(*keys, *columns).join(places.select(*keys, *wanted), names)
+    return found.groupBy(*names).agg(*[F.first(c).alias(c) for c in [*columns, *wanted]]).drop(*names)
+
+
 class Scratch:
     """Parquet tables in the shared folder that live as long as one call of an operator.
 
@@ -53,9 +66,14 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         self.names.add(name)
-        self.spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of plans that are done
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop_all_but(self, *names: str) -> None:
@@ -236,4 +254,4 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
             yield lo + i, hashes[cuts[i] : cuts[i + 1]]
 
 
-__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "blocks", "cut", "distinct", "mix", "set_keys", "shared_dir", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "unused", "word_sets", "word_spans"]
+__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "blocks", "by_place", "cut", "distinct", "mix", "set_keys", "shared_dir", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "unused", "word_sets", "word_spans"]

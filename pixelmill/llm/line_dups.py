@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, distinct, mix, text_bytes, unused
+from .common import Scratch, by_place, cut, distinct, mix, text_bytes, unused
 from .line_kernel import Lines, line_blocks
 from .near_dups import band_lists, sketch
 from .set_links import DESCRIBED, PARITY, parities, set_components
@@ -159,9 +159,8 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_char
         return keys.join(nodes.withColumnRenamed("c", "k1"), "k1").groupBy("k1").agg(F.min(F.struct("k2", "first")).alias("at")).select("k1", "at.*")
 
     def describe(wanted: DataFrame) -> DataFrame:
-        by_text = node_keys(wanted).groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")).agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
-        texts = docs.join(by_text, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
-        return texts.select("text", "wanted").mapInArrow(_wanted_lines(width), f"c long, {DESCRIBED}").dropDuplicates(["c"])
+        places = node_keys(wanted).groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
+        return by_place(docs, places, ["text"], ["wanted"]).mapInArrow(_wanted_lines(width), f"c long, {DESCRIBED}")
 
     nodes = units.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands")
     comp = set_components(nodes, describe, partial(line_sets, width=width), percent, scratch)

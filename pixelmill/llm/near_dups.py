@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, mix, set_keys, shingle_sets, unused, word_sets
+from .common import Scratch, by_place, cut, mix, set_keys, shingle_sets, unused, word_sets
 from .set_links import PARITY, parities, set_components
 
 WIDTH, BINS, ROWS = 5, 100, 5
@@ -109,9 +109,7 @@ def near_rows(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int
     classes = scratch.table(full.groupBy("k1").agg(F.min(place).alias("at")).select(F.col("k1").alias("c"), "at.*"), "classes")
 
     def describe(wanted: DataFrame) -> DataFrame:
-        at = classes.join(wanted, "c").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-        found = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
-        return found.select("c", "text", "n_shingles", *PARITY).dropDuplicates(["c"])
+        return by_place(docs, classes.join(wanted, "c"), ["text"], ["c", "n_shingles", *PARITY])
 
     comp = set_components(full.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("c"), "bands"), describe, partial(shingle_sets, width=width), percent, scratch)
     comp = comp.join(classes.select("c", "k2"), F.col("node") == F.col("c")).select(F.col("node").alias("k1"), "k2", "comp")

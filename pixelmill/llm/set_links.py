@@ -36,6 +36,8 @@ from .components import components
 Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
 #: Members of a bucket that all meet each other.
 SMALL = 12
+#: Bands that are dealt by member as well.
+COMMON = 10_000
 PARITY = [f"b{i}" for i in range(8)]
 #: What ``describe`` gives of a set besides its node ``c``.
 DESCRIBED = "text string, n_shingles long, " + ", ".join(f"{b} long" for b in PARITY)
@@ -54,30 +56,35 @@ def parities(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, c) rows, each once, without bands that only one ``c`` has; those at the ends of a task stay."""
-    band, c, left = np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(1, bool)
+    """Rows (band, c, common) sorted by band, without bands of one row, unless they are known to be common."""
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    left = np.zeros(1, bool)
     for batch in batches:
-        band, c = (np.concatenate([have, batch.column(name).to_numpy()]) for have, name in ((band, "band"), (c, "c")))
-        if not len(band):
+        rows = [np.concatenate([have, new.to_numpy(zero_copy_only=False)]) for have, new in zip(kept, batch.columns)]
+        if not len(rows[0]):
             continue
+        band, c, common = rows
         same = band[1:] == band[:-1]
-        new = np.append(True, ~same | (c[1:] != c[:-1]))
-        band, c = band[new], c[new]
-        same = band[1:] == band[:-1]
-        left = np.append(left, same)
-        keep = left[:-1] | same
+        keep = np.append(left, same)[:-1] | same | common[:-1]
         yield pa.RecordBatch.from_arrays([pa.array(band[:-1][keep]), pa.array(c[:-1][keep])], names=["band", "c"])
-        band, c, left = band[-1:], c[-1:], left[-1:]
-    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(c)], names=["band", "c"])
+        kept, left = [x[-1:] for x in rows], np.append(left, same)[-1:]
+    keep = left[: len(kept[0])] | kept[2]
+    yield pa.RecordBatch.from_arrays([pa.array(kept[0][keep]), pa.array(kept[1][keep])], names=["band", "c"])
 
 
 def _buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``nodes(c, bands)`` to ``band, c, n`` where ``n > 1`` sets share a band.
 
-    One exchange by ranges of (band, c), so that a band that many sets have is spread over tasks.
+    One exchange by band. The most common bands, as a sample shows them, are dealt by ``c`` as well: all their rows
+    are shared anyway. There are at most ``COMMON`` of these; every other band holds a smaller part of the rows.
     """
-    banded = nodes.select(F.explode("bands").alias("band"), "c").repartitionByRange("band", "c").sortWithinPartitions("band", "c")
-    met = scratch.table(banded.mapInArrow(_shared, "band long, c long").distinct(), "links_met")
+    sample = nodes.sample(0.01, seed=1).select(F.explode("bands").alias("band")).groupBy("band").count()
+    common = sample.where("count >= 20").orderBy(F.desc("count"), "band").limit(COMMON).select("band", F.lit(True).alias("common"))
+    common = scratch.table(common, "links_common")
+    banded = nodes.select(F.explode("bands").alias("band"), "c").join(F.broadcast(common), "band", "left")
+    banded = banded.select("band", "c", F.coalesce("common", F.lit(False)).alias("common"))
+    dealt = banded.repartition("band", F.when(F.col("common"), F.col("c"))).sortWithinPartitions("band")
+    met = scratch.table(dealt.mapInArrow(_shared, "band long, c long").distinct(), "links_met")
     counts = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     return scratch.table(met.join(counts, "band"), "links_buckets")
 
