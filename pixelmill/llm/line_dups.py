@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_place, cut, distinct, mix, text_bytes, unused
 from .line_kernel import Lines, line_blocks
 from .near_dups import band_lists, sketch
-from .set_links import DESCRIBED, PARITY, parities, set_components
+from .set_links import SIGNS, SIGNS_SCHEMA, set_components, signs
 
 WIDTH, BINS, ROWS = 6, 88, 4
 MIN_CHARS = 16
@@ -57,7 +57,7 @@ def line_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, hashes[cuts[i] : cuts[i + 1]]
 
 
-_UNITS = "doc_id long, text_hash long, line int, k1 long, k2 long, bands array<long>"
+_UNITS = "doc_id long, text_hash long, line int, k1 long, k2 long, bands array<long>, " + SIGNS_SCHEMA
 
 
 def _digest(line: np.ndarray) -> bytes:
@@ -93,39 +93,34 @@ def _units(width: int, min_chars: int):  # noqa: ANN202
                 take = np.repeat(fresh, size)
                 sk = np.zeros((len(k1), BINS), np.uint64)
                 sk[fresh] = sketch(hashes[take], np.repeat(number, size)[take], int(fresh.sum()), BINS)
+                bits = signs(hashes, cuts)
                 who = pa.array(lines.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(lines.numbers.astype(np.int32)), pa.array(k1), pa.array(k2), band_lists(sk, ROWS, fresh)],
-                    names=["doc_id", "text_hash", "line", "k1", "k2", "bands"],
+                    [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(lines.numbers.astype(np.int32)), pa.array(k1), pa.array(k2), band_lists(sk, ROWS, fresh), *bits],
+                    names=["doc_id", "text_hash", "line", "k1", "k2", "bands", *SIGNS],
                 )
 
     return run
 
 
-def _wanted_lines(width: int):  # noqa: ANN202
-    """The lines of texts that ``wanted`` lists as (number, node), normalised and described."""
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of texts that ``wanted`` lists as (number, node), normalised."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            lists = batch.column("wanted")
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            line, node = (lists.flatten().field(i).to_numpy() for i in range(2))
-            order = np.lexsort((line, rows))
-            line, node = line[order], node[order]
-            places = (rows[order] << 32) + line
-            for lines in line_blocks(data, offs):
-                own = (lines.rows << 32) + lines.numbers
-                at = np.minimum(np.searchsorted(places, own), len(places) - 1)
-                hit = np.flatnonzero(places[at] == own)
-                cuts = lines.cuts.astype(np.int64)
-                texts = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(cuts), pa.py_buffer(lines.data)).take(pa.array(hit)).cast(pa.string())
-                part, ends = text_bytes(texts)
-                chosen = Lines(lines.rows[hit], lines.numbers[hit], part, ends)
-                h, cuts = distinct(*chosen.shingles(width))
-                yield pa.RecordBatch.from_arrays([pa.array(node[at[hit]]), texts, pa.array(np.diff(cuts)), *parities(h, cuts)], names=["c", "text", "n_shingles", *PARITY])
-
-    return run
+    for batch in batches:
+        data, offs = text_bytes(batch.column("text"))
+        lists = batch.column("wanted")
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        line, node = (lists.flatten().field(i).to_numpy() for i in range(2))
+        order = np.lexsort((line, rows))
+        line, node = line[order], node[order]
+        places = (rows[order] << 32) + line
+        for lines in line_blocks(data, offs):
+            own = (lines.rows << 32) + lines.numbers
+            at = np.minimum(np.searchsorted(places, own), len(places) - 1)
+            hit = np.flatnonzero(places[at] == own)
+            cuts = lines.cuts.astype(np.int64)
+            texts = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(cuts), pa.py_buffer(lines.data)).take(pa.array(hit)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(node[at[hit]]), texts], names=["c", "text"])
 
 
 def _without(text: str, gone: str, n: str):  # noqa: ANN202
@@ -160,9 +155,9 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_char
 
     def describe(wanted: DataFrame) -> DataFrame:
         places = node_keys(wanted).groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
-        return by_place(docs, places, ["text"], ["wanted"]).mapInArrow(_wanted_lines(width), f"c long, {DESCRIBED}")
+        return by_place(docs, places, ["text"], ["wanted"]).mapInArrow(_wanted_lines, "c long, text string")
 
-    nodes = units.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands")
+    nodes = units.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands", *SIGNS)
     comp = set_components(nodes, describe, partial(line_sets, width=width), percent, scratch)
     comp = node_keys(comp.withColumnRenamed("node", "c")).join(comp, F.col("k1") == F.col("node")).select("k1", "k2", "comp")
 

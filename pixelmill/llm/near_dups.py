@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_place, cut, mix, set_keys, shingle_sets, unused, word_sets
-from .set_links import PARITY, parities, set_components
+from .set_links import SIGNS, SIGNS_SCHEMA, set_components, signs
 
 WIDTH, BINS, ROWS = 5, 100, 5
 _FULL = np.uint64(2**64 - 1)
@@ -67,7 +67,7 @@ def _bands(sk: np.ndarray, rows: int) -> np.ndarray:
     return acc + np.arange(t // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-_SKETCH = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{b} long" for b in PARITY)
+_SKETCH = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>, " + SIGNS_SCHEMA
 
 
 def band_lists(sk: np.ndarray, rows: int, has: np.ndarray) -> pa.Array:
@@ -85,8 +85,8 @@ def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202
                 size = np.diff(cuts)
                 k1, k2 = set_keys(h, cuts)
                 bands = band_lists(sketch(h, np.repeat(np.arange(hi - lo), size), hi - lo, bins), rows, size > 0)
-                own = [*who.slice(lo, hi - lo).columns, pa.array(size), pa.array(k1), pa.array(k2), bands, *parities(h, cuts)]
-                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands", *PARITY])
+                own = [*who.slice(lo, hi - lo).columns, pa.array(size), pa.array(k1), pa.array(k2), bands, *signs(h, cuts)]
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands", *SIGNS])
 
     return run
 
@@ -105,13 +105,13 @@ def near_rows(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int
 
     # A class of equal sets is a node, known by the first word of its key; should two classes share that, the one with
     # the smaller second word is the node and the other is linked with nothing.
-    place = F.struct("k2", F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_shingles", *PARITY)
+    place = F.struct("k2", F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     classes = scratch.table(full.groupBy("k1").agg(F.min(place).alias("at")).select(F.col("k1").alias("c"), "at.*"), "classes")
 
     def describe(wanted: DataFrame) -> DataFrame:
-        return by_place(docs, classes.join(wanted, "c"), ["text"], ["c", "n_shingles", *PARITY])
+        return by_place(docs, classes.join(wanted, "c"), ["text"], ["c"])
 
-    comp = set_components(full.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("c"), "bands"), describe, partial(shingle_sets, width=width), percent, scratch)
+    comp = set_components(full.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("c"), "bands", *SIGNS), describe, partial(shingle_sets, width=width), percent, scratch)
     comp = comp.join(classes.select("c", "k2"), F.col("node") == F.col("c")).select(F.col("node").alias("k1"), "k2", "comp")
 
     # The first row of each component, and so back to the rows.

@@ -4,10 +4,11 @@ Linked are sets with ``100 * |A and B| >= percent * |A or B|``, which is ``|A xo
 ``c = (100 - percent) / (100 + percent)``. A pair is looked at if it shares a band, and decided over the full sets:
 
 1. Members of a bucket of at most ``SMALL`` sets meet each other, those of a larger one meet two pivots of it. One
-   pivot is the set that meets the most others, as a text does that many copies were made from. Sizes and parities
-   (below) rule pairs out before their texts are fetched.
-2. Links make components. Where a larger bucket still holds several, each member is described by its difference
-   ``D`` to the bucket's first pivot. Sets of different components are linked only if
+   pivot is the set that meets the most others, as a text does that many copies were made from. Bitmaps (below) rule
+   pairs out before their texts are fetched.
+2. Links make components. Where a bucket then still holds several, pairs of members of different components meet,
+   again behind their bitmaps, if it has at most ``MEDIUM`` members. In a larger one each member is described by its
+   difference ``D`` to the bucket's first pivot. Sets of different components are linked only if
    ``|Da and Db| >= k = (|Da| + |Db| - c * (|A| + |B|)) / 2``, and then ``k >= 1``: with ``k <= 0`` both would be
    linked with the pivot. So differences are joined on their rarest elements (prefix filter): as ``|B| <= |A| / p``
    and ``|Db| >= |Da| - c * (|A| + |B|)``, ``k`` is at least ``|Da| - |A| * (100 - percent) / percent``, and of any
@@ -16,8 +17,8 @@ Linked are sets with ``100 * |A and B| >= percent * |A or B|``, which is ``|A xo
 
 No pair is lost but those that share no band, and no bucket is capped or expanded into all its pairs.
 
-A set's parity is 512 bits, each telling whether an odd number of its elements falls there. Parities differ in at
-most ``|A xor B|`` bits, so that more of them than a link allows rule it out for certain.
+A set's bitmap is 512 bits, each telling whether an element falls there. Two of them differ in at most ``|A xor B|``
+bits, so that more of them than a link allows rule it out for certain.
 """
 
 from __future__ import annotations
@@ -29,27 +30,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
+from .common import Scratch
 from .components import components
 
 #: A column of texts to (position, sorted distinct hashes) of each.
 Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
-#: Members of a bucket that all meet each other.
-SMALL = 12
+#: Members of a bucket that all meet each other, and that do so across components.
+SMALL, MEDIUM = 12, 128
 #: Bands that are dealt by member as well.
 COMMON = 10_000
-PARITY = [f"b{i}" for i in range(8)]
-#: What ``describe`` gives of a set besides its node ``c``.
-DESCRIBED = "text string, n_shingles long, " + ", ".join(f"{b} long" for b in PARITY)
+#: A set's bitmap, and a bound of its size from above.
+SIGNS = ["most", *[f"b{i}" for i in range(8)]]
+SIGNS_SCHEMA = ", ".join(f"{name} long" for name in SIGNS)
 
 
-def parities(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
-    """The parity words of the sets ``hashes[cuts[i]:cuts[i + 1]]``, a column for each word."""
-    n = len(cuts) - 1
+def signs(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """The columns ``SIGNS`` of the sets of ``hashes[cuts[i]:cuts[i + 1]]``, which may repeat elements."""
+    n, size = len(cuts) - 1, np.diff(cuts)
     out = np.zeros(n * 8, np.uint64)
-    at = mix(hashes, 5) >> np.uint64(55)
-    np.bitwise_xor.at(out, np.repeat(np.arange(n) * 8, np.diff(cuts)) + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return [pa.array(x) for x in np.ascontiguousarray(out.reshape(n, 8).T).view(np.int64)]
+    at = hashes >> np.uint64(55)
+    word = at >> np.uint64(6)
+    word += np.repeat(np.arange(n, dtype=np.uint64) * np.uint64(8), size)
+    at &= np.uint64(63)
+    np.bitwise_or.at(out, word.view(np.int64), np.left_shift(np.uint64(1), at))
+    return [pa.array(size), *[pa.array(x) for x in np.ascontiguousarray(out.reshape(n, 8).T).view(np.int64)]]
 
 
 # ---- buckets ------------------------------------------------------------------------------------
@@ -118,15 +122,19 @@ def _verify(sets: Sets):  # noqa: ANN202
 
 
 def _differ(sets: Sets):  # noqa: ANN202
-    """Pairs with both texts to the elements in which they differ."""
+    """Pairs with both texts to the first one's size, and the elements in which they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[int, np.ndarray]] = []
         for batch in batches:
-            diffs = [np.concatenate([np.setdiff1d(s, p, assume_unique=True), p[~both]]) for s, p, both in _set_pairs(sets, batch, kept)]
-            ends = np.cumsum([0, *map(len, diffs)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *diffs]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("p"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["c", "p", "diff"])
+            size = np.zeros(batch.num_rows, np.int64)
+            diffs = [np.zeros(0, np.uint64)]
+            for i, (s, p, both) in enumerate(_set_pairs(sets, batch, kept)):
+                size[i] = len(s)
+                diffs.append(np.concatenate([np.setdiff1d(s, p, assume_unique=True), p[~both]]))
+            ends = np.cumsum([len(x) for x in diffs]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diffs).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("p"), pa.array(size), lists], names=["c", "p", "n_shingles", "diff"])
 
     return run
 
@@ -144,30 +152,34 @@ def _verified(pairs: DataFrame, described: DataFrame, sets: Sets, percent: int)
     return exact.where(F.col("n_both") * 100 >= F.col("n_union") * percent).select(F.col("c").alias("a"), F.col("p").alias("b"))
 
 
-def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
-    """Whether sizes and parities leave a link possible."""
-    a, b = x("n_shingles"), y("n_shingles")
-    differ = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in PARITY[1:]), F.bit_count(x(PARITY[0]).bitwiseXOR(y(PARITY[0]))))
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (differ * (100 + percent) <= (a + b) * (100 - percent))
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the bitmaps of two rows leave a link possible."""
+    differ = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in SIGNS[2:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+    return differ * (100 + percent) <= (F.col(f"{x}.most") + F.col(f"{y}.most")) * (100 - percent)
 
 
-def _first_pairs(buckets: DataFrame, pivots: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """All pairs ``c, p`` of small buckets and each member with the pivots of large ones, where a link is possible."""
-    small = buckets.where(F.col("n") <= SMALL).select("band", "c")
-    within = small.join(small.withColumnRenamed("c", "p"), "band").where("c > p").select("c", "p")
-    large = buckets.where(F.col("n") > SMALL).join(pivots, "band").select("c", F.explode(F.array("p0", "p1")).alias("p")).where("c <> p")
-    pairs = within.unionByName(large.select(F.greatest("c", "p").alias("c"), F.least("c", "p").alias("p"))).distinct()
-    light = described.select(F.col("c").alias("k"), "n_shingles", *PARITY)
-    x, y = light.alias("x"), light.alias("y")
-    joined = pairs.join(x, F.col("c") == F.col("x.k")).join(y, F.col("p") == F.col("y.k"))
-    return joined.where(_may_link(lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}"), percent)).select("c", "p")
+def _ordered(x: str = "x.c", y: str = "y.c") -> list[Column]:
+    return [F.greatest(x, y).alias("c"), F.least(x, y).alias("p")]
 
 
-def _second_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
+def _within(members: DataFrame, percent: int, other: Column) -> DataFrame:
+    """Pairs ``c, p`` of members of a band that may be linked and are ``other`` to each other."""
+    x, y = members.alias("x"), members.alias("y")
+    return x.join(y, (F.col("x.band") == F.col("y.band")) & other & _may_link("x", "y", percent)).select(*_ordered())
+
+
+def _first_pairs(signed: DataFrame, pivots: DataFrame, signs_of: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``c, p`` of small buckets and each member with the pivots of larger ones, where a link is possible."""
+    within = _within(signed.where(F.col("n") <= SMALL), percent, F.col("x.c") > F.col("y.c"))
+    larger = signed.where(F.col("n") > SMALL).join(pivots, "band").select("c", *SIGNS, F.explode(F.array("p0", "p1")).alias("p")).where("c <> p").distinct()
+    met = larger.alias("x").join(signs_of.alias("y"), (F.col("x.p") == F.col("y.c")) & _may_link("x", "y", percent)).select(*_ordered("x.c", "x.p"))
+    return within.unionByName(met).distinct()
+
+
+def _far_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
     """``members(p, c, comp)`` of large buckets' pivots to pairs ``c, p`` of different components that may be linked."""
-    diffs = _with_texts(members.where("c <> p").select("c", "p"), described).mapInArrow(_differ(sets), "c long, p long, diff array<long>")
-    known = members.join(described.select("c", "n_shingles"), "c")
-    diffs = scratch.table(diffs.join(known, ["c", "p"]).withColumn("n_diff", F.size("diff").cast("long")), "links_diffs")
+    diffs = _with_texts(members.where("c <> p").select("c", "p"), described).mapInArrow(_differ(sets), "c long, p long, n_shingles long, diff array<long>")
+    diffs = scratch.table(diffs.join(members, ["c", "p"]).withColumn("n_diff", F.size("diff").cast("long")), "links_diffs")
     elements = diffs.select("p", "c", "comp", "n_shingles", "n_diff", F.explode("diff").alias("e"))
     common = elements.groupBy("p", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("p", "e", "df")
     matchable = elements.join(common, ["p", "e"])
@@ -183,35 +195,43 @@ def _second_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent:
     twice_k = (F.col("x.n_diff") + F.col("y.n_diff")) * (100 + percent) - (a + b) * (100 - percent)
     enough = F.least("x.m", "y.m") * (2 * (100 + percent)) >= twice_k
     joined = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & sizes & enough)
-    return joined.select(F.greatest("x.c", "y.c").alias("c"), F.least("x.c", "y.c").alias("p")).distinct()
+    return joined.select(*_ordered()).distinct()
 
 
 def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
-    """``nodes(c, bands)``, a row or more for each set, to ``(node, comp)`` of all sets with links.
+    """``nodes(c, bands, *SIGNS)``, a row or more for each set, to ``(node, comp)`` of all sets with links.
 
-    ``describe`` gives ``c`` and ``DESCRIBED`` for the sets of a table ``c``; ``sets`` are the sets of such texts.
+    ``describe`` gives ``c, text`` for the sets of a table ``c``; ``sets`` are the sets of such texts.
     """
     buckets = _buckets(nodes, scratch)
     scratch.drop("links_met")
-    described = scratch.table(describe(buckets.select("c").distinct()), "links_described")
     weights = buckets.groupBy("c").agg(F.sum("n").alias("weight"))
-    weighed = buckets.where(F.col("n") > SMALL).join(weights, "c")
-    pivots = weighed.groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
+    signs_of = scratch.table(nodes.select("c", *SIGNS).join(weights.hint("merge"), "c").dropDuplicates(["c"]), "links_signs")
+    signed = scratch.table(buckets.join(signs_of, "c"), "links_signed")
+    pivots = signed.where(F.col("n") > SMALL).groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
     pivots = scratch.table(pivots.select("band", F.col("p0.c").alias("p0"), "p1"), "links_pivots")
 
-    pairs = scratch.table(_first_pairs(buckets, pivots, described, percent), "links_pairs")
-    edges = scratch.table(_verified(pairs, described, sets, percent), "links_edges")
-    comp = scratch.table(components(edges, scratch, "first"), "comp")
+    def needed(pairs: DataFrame) -> DataFrame:
+        return pairs.select("c").union(pairs.select("p")).distinct()
+
+    pairs = scratch.table(_first_pairs(signed, pivots, signs_of, percent), "links_pairs")
+    described = scratch.table(describe(needed(pairs)), "links_described")
+    comp = scratch.table(components(_verified(pairs, described, sets, percent), scratch, "first"), "comp")
 
-    # Large buckets that still hold several components.
+    # Larger buckets that still hold several components.
     own = F.coalesce("comp", "c").alias("comp")
-    at = buckets.where(F.col("n") > SMALL).join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "c", own)
+    at = signed.where(F.col("n") > SMALL).join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "n", "c", *SIGNS, own)
     several = at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    members = at.join(several, "band").join(pivots.select("band", F.col("p0").alias("p")), "band").select("p", "c", "comp").distinct()
+    open_ = scratch.table(at.join(several, "band"), "links_open")
+    rest = _within(open_.where(F.col("n") <= MEDIUM), percent, F.col("x.comp") < F.col("y.comp")).distinct()
+    members = open_.where(F.col("n") > MEDIUM).join(pivots.select("band", F.col("p0").alias("p")), "band").select("p", "c", "comp").distinct()
     members = scratch.table(members, "links_members")
     if not members.isEmpty():
-        rest = _second_pairs(members, described, sets, percent, scratch).join(pairs, ["c", "p"], "left_anti")
-        rest = scratch.table(rest, "links_rest")
+        described = scratch.table(describe(needed(members)), "links_described2")
+        rest = rest.unionByName(_far_pairs(members, described, sets, percent, scratch)).distinct()
+    rest = scratch.table(rest.join(pairs, ["c", "p"], "left_anti"), "links_rest")
+    if not rest.isEmpty():
+        described = scratch.table(describe(needed(rest)), "links_described3")
         more = scratch.table(_verified(rest, described, sets, percent), "links_more")
         if not more.isEmpty():
             comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "last"), "comp_last")
