@@ -1,18 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing. DataFrame functions only.
 
 A source's documents queue in a shuffled order (md5 of the doc_id), twice, as a document may be taken twice. A
-copy's virtual finish time is the source's words up to its end divided by the source's target. The mix is all
-copies in the order of that time up to where the total budget is used up. As the targets add up to the budget, that
-is at virtual time 1, which is evaluated in each source, as its running words against its target; ``mixture`` and
-``mixed_documents`` neither sort by it nor cut at the total. What has finished is taken whole, and of what is under
-way then either the words served so far (``cut_last``) or, for whole documents, the copy if half of it has been
-served; their rounding is not bounded by the total.
+copy's virtual finish time is the source's words up to its end divided by the source's target. All copies are
+sorted by that time, over ranges of it, and the mix is cut where their running words use up the total budget: what
+comes before is taken whole, and of the copy that the cut falls into the words before it (``mixed_documents`` takes
+whole documents and leaves that copy out). As the targets add up to the budget, the cut lies near virtual time 1, and
+a source's share is off its target by no more than the document that is under way.
 
 Targets: the sources in code-point order, null last, weigh ``weights`` in turn and share ``budget`` times all
 words; a target stops at ``repeats`` times its source's words, and the excess is shared anew by weight. Sorted by
 words per weight, the sources that stop are a prefix, so window sums find the level at once.
 
-Running sums go over hash ranges first and within one range then, so no source is one task.
+Running sums go over ranges first - of hashes in a source, of virtual time in the mix - and within one range then,
+so no source and no stretch of time is one task. Ranges of time behind the cut are not sorted.
 
 Edge cases: null and empty texts have size 0 and are taken with 0 words; null sources are one source; rows that
 repeat a doc_id are rows of their own; if there are no words at all, every target is 0; an empty table gives an
@@ -21,10 +21,10 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut
+from .common import Scratch, cut, unused
 
 WEIGHTS, BUDGET, REPEATS = (5, 2, 1), 1.5, 2
 #: Rows of a hash range on average; running sums within a range are one task's sort.
@@ -56,9 +56,9 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), key.alias("shuffled"), F.xxhash64("text").alias("text_hash"))
 
 
-def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, cut_last: bool = True, everything: bool = False) -> DataFrame:
-    """``docs(doc_id, text, source)`` to the copies taken, in the mix's order: ``doc_id, text_hash, source, size,
-    source_size, target, copy, virtual_finish, taken``. With ``everything``, copies of which nothing is taken, too."""
+def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
+    """``docs(doc_id, text, source)`` to all copies: ``doc_id, text_hash, source, size, source_size, target, copy,
+    virtual_finish, before, taken``; ``before`` is the mix's words before the copy, null far behind the cut."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sizes = scratch.table(sized(docs), "sizes")
@@ -77,31 +77,59 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: floa
     queued = queued.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("end", F.col("end") + (F.col("copy") - 1) * F.col("source_size"))
     finish = F.when(F.col("target") > 0, F.col("end") / F.col("target")).otherwise(F.lit(0.0))
-    served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 0.5) - (F.col("end") - F.col("size"))))
-    taken = served if cut_last else F.when(served * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    copies = copies.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copy", finish.alias("virtual_finish"), taken.cast("long").alias("taken"), "source_rank", "shuffled")
-    if not everything:
-        copies = copies.where((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("copy") == 1)))
-    return copies.orderBy("virtual_finish", "source_rank", "shuffled", "copy", "doc_id").drop("source_rank", "shuffled")
+    per_unit = max(1, repeats * n // RANGE_ROWS)  # ranges of virtual time up to time 1
+    copies = copies.withColumn("virtual_finish", finish).withColumn("range", F.least(F.floor(F.col("virtual_finish") * per_unit), F.lit(2 * per_unit)).cast("long"))
+    copies = scratch.table(copies, "copies")
+
+    total = targets.agg(F.floor(F.sum("source_size") * F.lit(float(budget)) + 0.5).cast("long").alias("total"))
+    spans = copies.groupBy("range").agg(F.sum("size").alias("words"))
+    spans = spans.select("range", (F.sum("words").over(Window.orderBy("range")) - F.col("words")).alias("words_before")).crossJoin(total)  # one row
+    spans = spans.withColumn("behind", F.col("words_before") >= F.col("total"))
+    mix = copies.join(spans, "range")
+    salt = F.when(F.col("behind"), F.pmod(F.xxhash64("shuffled"), F.lit(1 << 16))).otherwise(0)
+    order = Window.partitionBy("range", salt).orderBy("virtual_finish", "source_rank", "shuffled", "copy", "doc_id", "size", "text_hash")
+    running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    mix = mix.withColumn("before", F.when(~F.col("behind"), F.col("words_before") + running))
+    taken = F.when(F.col("behind"), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), F.col("total") - F.col("before"))))
+    mix = cut(mix.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copy", "virtual_finish", "before", taken.cast("long").alias("taken")))
+    scratch.drop()
+    return mix
+
+
+def _given(copies: DataFrame, used: Column) -> DataFrame:
+    """By row: what it is given in all copies; rows that agree in all that the mix looks at are one here."""
+    rows = F.count(F.when(F.col("copy") == 1, 1)).alias("rows")
+    return copies.groupBy("source", "doc_id", "text_hash", "size").agg(F.sum(used).alias("given"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), rows)
+
+
+def _repeated(df: DataFrame, n: str, portion: str, k: str) -> DataFrame:
+    """``n`` rows for each row of ``df``, numbered from 0 as ``k``; arrays hold 4096 numbers at most."""
+    some = df.where(F.col(n) > 0).withColumn(portion, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / 4096))))
+    last = F.least(F.lit(4096).cast("long"), F.col(n) - F.col(portion) * 4096) - 1
+    return some.withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(k, F.col(k) + F.col(portion) * 4096)
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``."""
-    copies = mix_copies(docs, weights, budget, repeats, everything=True)
-    first = F.col("copy") == 1
-    per = copies.groupBy("source", "doc_id", "text_hash", "size").agg(
-        F.sum("taken").alias("taken"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.count(F.when(first, 1)).alias("rows")
-    )
-    # Rows that agree in all that the mix looks at share what they were given, the first ones a word more.
-    each = per.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int"))))
-    share = F.floor(F.col("taken") / F.col("rows")) + F.when(F.col("k") < F.col("taken") % F.col("rows"), 1).otherwise(0)
+    per = _given(mix_copies(docs, weights, budget, repeats), F.col("taken"))
+    # Rows that agree share what they were given, the first ones a word more.
+    each = _repeated(per, "rows", "portion", "k")
+    share = F.floor(F.col("given") / F.col("rows")) + F.when(F.col("k") < F.col("given") % F.col("rows"), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
-    """The rows of ``docs`` with all their columns, as often as the mix takes each, as whole documents."""
-    copies = mix_copies(docs, weights, budget, repeats, cut_last=False, everything=True)
-    used = F.count(F.when((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("copy") == 1)), 1))
-    times = copies.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.ceil(used / F.count(F.when(F.col("copy") == 1, 1))).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` with all their columns, as often as the mix takes each, as whole documents.
+
+    Rows that agree in doc_id, text and source stand for each other: one of them comes as often as all are taken.
+    """
+    copies = mix_copies(docs, weights, budget, repeats)
+    whole = ((F.col("taken") == F.col("size")) & (F.col("size") > 0)) | ((F.col("size") == 0) & (F.col("copy") == 1))
+    names = unused(docs, "source", "doc", "hash", "times", "rows", "portion", "k")
+    source, doc, text_hash, times, rows, portion, k = names
+    per = _given(copies, whole.cast("long")).where("given > 0")
+    per = per.select(F.col("source").alias(source), F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("given").alias(times), F.col("rows").alias(rows))
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source)) & (F.xxhash64(docs["text"]) == F.col(text_hash))
+    found = docs.join(per, same)
+    once = found.where(F.col(rows) > 1).dropDuplicates([source, doc, text_hash])
+    return _repeated(found.where(F.col(rows) == 1).unionByName(once), times, portion, k).select(*[f"`{c}`" for c in docs.columns])

@@ -13,7 +13,7 @@ from .near_dups import near_duplicates
 from .packing import best_fit_packing
 from .substring_dups import without_repeats
 from .toxicity import toxicity
-from .unit_dups import unit_report
+from .unit_dups import UNSPACED, unit_report
 from .url_filter import url_verdicts
 from .vector_search import nearest
 
@@ -75,26 +75,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Sentence ends of ``unit_dups``.
+_ENDS = ".!?\u3002\uff01\uff1f\uff61"
+
+
+def _unit_sql(column: str) -> str:
+    return f"trim(regexp_replace(translate({column}, '{_UPPER}', '{_LOWER}'), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ')"
+
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": f"""
-        WITH parts AS (
-            SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+')) AS part,
-                   generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+'), 1) AS k
-            FROM documents),
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
         placed AS (
-            SELECT doc_id, part, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
-                   trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ') AS unit
+            SELECT doc_id, k, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(line) - 1 AS head,
+                   {_unit_sql("line")} AS whole
+            FROM lines),
+        parts AS (
+            SELECT doc_id, k, head, whole, unnest(regexp_extract_all(line, '[^{_ENDS}]+[{_ENDS}]*|[{_ENDS}]+')) AS part,
+                   generate_subscripts(regexp_extract_all(line, '[^{_ENDS}]+[{_ENDS}]*|[{_ENDS}]+'), 1) AS j
+            FROM placed WHERE whole <> ''),
+        sentences AS (
+            SELECT doc_id, k, whole, part, head + CAST(sum(length(part)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+                   {_unit_sql("part")} AS unit
             FROM parts),
+        counted AS (
+            SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 AS words, len(regexp_extract_all(unit, '{UNSPACED.pattern}')) AS dense
+            FROM sentences WHERE NOT regexp_full_match(part, '[{_ENDS}]+')),
+        enough AS (SELECT * FROM counted WHERE words >= 6 OR words + dense - 1 >= 6),
         units AS (
-            SELECT doc_id, stop - length(part) AS start, stop,
-                   row_number() OVER (PARTITION BY unit ORDER BY doc_id, stop) AS k
-            FROM placed WHERE NOT regexp_full_match(part, '[.!?\\n]+') AND length(unit) - length(replace(unit, ' ', '')) + 1 >= 6),
+            SELECT doc_id, k, stop - length(part) AS start, stop, FALSE AS whole_line, TRUE AS sentence, unit FROM enough WHERE unit <> whole
+            UNION ALL
+            SELECT p.doc_id, p.k, head, head + length(line), TRUE, a.k IS NOT NULL, whole
+            FROM placed p LEFT JOIN (SELECT DISTINCT doc_id, k FROM enough WHERE unit = whole) a ON p.doc_id IS NOT DISTINCT FROM a.doc_id AND p.k = a.k
+            WHERE whole <> ''),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS LAST, start) > 1 AS gone FROM units),
+        spans AS (SELECT *, bool_or(gone AND whole_line) OVER (PARTITION BY doc_id, k) AS line_gone FROM ranked),
         per AS (
-            SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE k > 1) AS n_removed,
-                   CAST(sum(stop - start) FILTER (WHERE k > 1) AS BIGINT) AS chars,
-                   string_agg(CASE WHEN k > 1 THEN start || '-' || stop END, ',' ORDER BY start) AS removed
-            FROM units GROUP BY doc_id)
+            SELECT doc_id, count(*) FILTER (WHERE sentence) AS n_units, count(*) FILTER (WHERE gone AND (whole_line OR NOT line_gone)) AS n_removed,
+                   CAST(sum(stop - start) FILTER (WHERE gone AND (whole_line OR NOT line_gone)) AS BIGINT) AS chars,
+                   string_agg(CASE WHEN gone AND (whole_line OR NOT line_gone) THEN start || '-' || stop END, ',' ORDER BY start) AS removed
+            FROM spans GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
                coalesce(chars, 0) AS removed_chars, coalesce(removed, '') AS removed
         FROM documents d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id
@@ -121,16 +142,19 @@ ORACLE_SQL: dict[str, str] = {
                    CAST(most AS DOUBLE) / CAST(weight AS DOUBLE) AS ratio
             FROM weighed WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / CAST(weight AS DOUBLE), source_rank)),
         targets AS (
-            SELECT source, source_size,
+            SELECT source, source_size, source_rank,
                    coalesce(least((SELECT max(level) FROM levels WHERE level <= ratio) * weight, CAST(most AS DOUBLE)), CAST(most AS DOUBLE)) AS target
             FROM levels),
-        queued AS (
-            SELECT s.doc_id, s.size, t.source_size, t.target,
-                   sum(s.size) OVER (PARTITION BY s.source ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) - s.size AS before
-            FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+        copies AS (
+            SELECT s.doc_id, s.size, t.source_size, t.target, t.source_rank, shuffled, copy,
+                   sum(s.size) OVER (PARTITION BY s.source, copy ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) + (copy - 1) * t.source_size AS stop
+            FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (1), (2)) AS c (copy)),
+        timed AS (
+            SELECT *, CASE WHEN target > 0 THEN CAST(stop AS DOUBLE) / target ELSE 0 END AS finish FROM copies),
+        mixed AS (
+            SELECT *, sum(size) OVER (ORDER BY finish, source_rank, shuffled, copy, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM timed)
         SELECT doc_id, size, source_size, target,
-               CAST(greatest(0, least(size, floor(target + 0.5) - before))
-                  + greatest(0, least(size, floor(target + 0.5) - before - source_size)) AS BIGINT) AS taken
-        FROM queued
+               CAST(sum(greatest(0, least(size, (SELECT floor(sum(source_size) * CAST(1.5 AS DOUBLE) + 0.5) FROM per) - before))) AS BIGINT) AS taken
+        FROM mixed GROUP BY ALL
     """,
 }
