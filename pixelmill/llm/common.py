@@ -6,7 +6,6 @@ fixed number of numpy passes. Nulls count as empty texts everywhere.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,11 +26,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="pixelmill-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pixelmill"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -69,8 +69,9 @@ class WordTokenizer:
     The vocabulary's pre-tokeniser always starts a new token at a single blank between two characters that are
     not white space, so a text's ids are those of its parts cut before such blanks, one after another. Words not
     met before are tokenised joined, many at once, and the ids cut again where their bytes add up to a word's.
-    The vocabulary comes from the given file of the tokenizers library; tiktoken, which merges by the same ranks,
-    runs it, and a probe at the start compares the two.
+    Added tokens are cut out first and stand for themselves, as in the tokenizers library. The vocabulary comes from
+    the given file of that library; tiktoken, which merges by the same ranks, runs it, and a probe at the start
+    compares the two.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -80,21 +81,27 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         model, byte = Tokenizer.from_file(path), _byte_of_char()
-        model.encode_special_tokens = True
-        special = {t.content for t in model.get_added_tokens_decoder().values()}
+        added = model.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"{path} has added tokens that do not stand for themselves alone")
+        special = {t.content: i for i, t in added.items()}
+        self.special = {t: k for k, t in enumerate(special, 1)}  # the numbers of added tokens among the words
+        self.special_ids = list(special.values())
+        self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")")
         ranks = {bytes(byte[c] for c in w): i for w, i in model.get_vocab().items() if w not in special}
         self.engine = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for w, i in ranks.items():
             self.n_bytes[i] = len(w)
-        probe = "It's a probe:  1234 \u00e4\u00f6 \u4f60\u597d,\n\tnaïve --- WORDS'll do.  "
-        if self.engine.encode_ordinary(probe) != model.encode(probe, add_special_tokens=False).ids:
-            raise ValueError(f"{path} is not a vocabulary of ranked byte-level merges")
         self.end_id = end_id
         self._clear()
+        probe = "".join(["It's a probe:  1234 \u00e4\u00f6 \u4f60\u597d,\n\tnaïve --- WORDS'll do. ", *special, " and so on "])
+        if self.encode([probe])[0].tolist()[:-1] != model.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path} is not a vocabulary of ranked byte-level merges")
 
     def _clear(self) -> None:
-        self.flat, self.bounds = array("I", [self.end_id]), array("q", [0, 1])
+        self.flat = array("I", [self.end_id, *self.special_ids])
+        self.bounds = array("q", range(len(self.flat) + 1))
         self.waiting: list[str] = []
         self.leading, self.spaced = _Words(self, ""), _Words(self, " ")
 
@@ -127,8 +134,14 @@ class WordTokenizer:
         numbers: list[int] = []
         ends = [0]
         first, spaced = self.leading.__getitem__, self.spaced.__getitem__
-        for t in texts:
-            if t:
+        for text in texts:
+            added = bool(self.special) and any(token in text for token in self.special)
+            for t in self.cuts.split(text) if added else [text]:
+                if not t:
+                    continue
+                if added and t in self.special:
+                    numbers.append(self.special[t])
+                    continue
                 odd = "  " in t or "\n " in t or " \n" in t or t[0] == " " or t[-1] == " " or any(c in t for c in _OTHER_SPACES)
                 parts = _INNER_BLANK.split(t) if odd else t.split(" ")
                 numbers.append(first(parts[0]))

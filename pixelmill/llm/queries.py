@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, cut
 from .exact_dups import exact_duplicates
 from .line_dups import dropped_lines
 from .mixing import mixture
@@ -34,8 +34,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that go, by document; documents without such lines have an empty list."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark)
-    gone = scratch.table(dropped_lines(docs, scratch), "gone").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.array_sort("gone").alias("gone"))
-    scratch.drop_all_but("gone")
+    gone = cut(dropped_lines(docs, scratch)).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.array_sort("gone").alias("gone"))
+    scratch.drop()
     ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     joined = ids.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     return joined.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("dropped"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, cut, unused
 
 LINE = re.compile(r"[^\n]+")
 UNIT = re.compile(r"[^.!?\u3002\uff01\uff1f\uff61\n]+[.!?\u3002\uff01\uff1f\uff61]*")
@@ -115,8 +115,8 @@ def unit_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per = per.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_doc", "_hash")
     chars = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     per = per.withColumn("n_removed", F.size("spans").cast("long")).withColumn("chars", chars)
-    per = scratch.table(per, "per_doc").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    scratch.drop("units")
+    per = cut(per).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    scratch.drop()
     ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
     joined = ids.join(per, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
@@ -124,15 +124,17 @@ def unit_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.select("doc_id", *(F.coalesce(c, zero).alias(n) for c, n in (("n_units", "n_units"), ("n_removed", "n_removed"), ("chars", "removed_chars"))), F.coalesce(text, F.lit("")).alias("removed"))
 
 
-def without_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the removed units cut out of ``text`` and their original offsets in ``removed``."""
+def without_units(docs: DataFrame, min_words: int = MIN_WORDS, removed_as: str = "removed") -> DataFrame:
+    """``docs`` with the removed units cut out of ``text`` and their original offsets in a column ``removed_as`` that ``docs`` lacks."""
     scratch = Scratch(docs.sparkSession)
+    doc, text_hash = unused(docs, "doc", "hash")
     _, removed = repeated_units(docs.select("doc_id", "text"), scratch, min_words)
-    spans = removed_spans(removed).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash", "spans": "removed"})
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left").drop("_doc", "_hash")
+    spans = cut(removed_spans(removed)).withColumnsRenamed({"doc_id": doc, "text_hash": text_hash, "spans": removed_as})
+    scratch.drop()
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left").drop(doc, text_hash)
     # What stays lies between the removed spans.
     stop = F.length("text").cast("long")
-    edges = F.concat(F.array(F.lit(0).cast("long")), F.col("removed.stop"))
-    starts = F.concat(F.col("removed.start"), F.array(stop))
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.col(f"`{removed_as}`.stop"))
+    starts = F.concat(F.col(f"`{removed_as}`.start"), F.array(stop))
     kept = F.array_join(F.zip_with(edges, starts, lambda a, b: F.substring("text", a.cast("int") + 1, (b - a).cast("int"))), "")
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    return joined.withColumn("text", F.when(F.col(f"`{removed_as}`").isNull(), F.col("text")).otherwise(kept))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixelmill.llm import exact_dups, line_dups, mixing, near_dups, packing, substring_dups, suffixes, toxicity, unit_dups, url_filter, vector_search
+from pixelmill.llm import exact_dups, line_dups, mixing, near_dups, packing, set_links, substring_dups, suffixes, toxicity, unit_dups, url_filter, vector_search
 from pixelmill.llm.components import components
 from pixelmill.llm.common import Scratch
 
@@ -231,6 +231,55 @@ def test_near(spark, corpus, empty, percent):
     assert near_dups.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("small, medium", [(2, 3), (2, 1000), (4, 9)])
+def test_links_of_larger_buckets(spark, monkeypatch, small, medium):
+    """Groups of copies near the threshold, with shared and own edits: components by pairs in buckets and by differences."""
+    monkeypatch.setattr(set_links, "SMALL", small)
+    monkeypatch.setattr(set_links, "MEDIUM", medium)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        base = words(rng, 80).split()
+        kinds = [(rng.randrange(80), f"kind{k}") for k in range(6)]
+        for i in range(30):
+            w = list(base)
+            for at, new in rng.sample(kinds, rng.randint(0, 3)):
+                w[at] = new
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(80)] = f"own{rng.randrange(10**6)}"
+            texts.append(" ".join(w if i % 5 else w[: rng.randint(50, 80)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sizes, roots = brute_near(texts, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(df, 80, rows=4).collect()}
+    assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))}
+    assert 5 < len(set(roots)) < len(texts)
+
+
+def test_near_rows(spark):
+    text = words(random.Random(3), 30)
+    rows = [(5, text), (5, text), (None, text), (None, text), (None, "other words"), (None, "other words"), (7, ""), (7, "")]
+    got = near_dups.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(5, text), (None, "other words"), (7, ""), (7, "")])
+
+
+def test_clashing_columns(spark):
+    text = words(random.Random(6), 40)
+    names = ["_doc", "_hash", "gone", "_gone", "n_dropped", "removed", "_times", "_copy", "_rows", "_size", "_portion", "_k", "_source", "c", "k1", "band", "comp", "shuffled", "range"]
+    rows = [(i, t, "s", *range(len(names))) for i, t in enumerate([text, text + " more", None, "", f"{text}\n{text}"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    for out in (line_dups.dedup_lines(df, count="n"), unit_dups.without_units(df, removed_as="spans"), near_dups.without_near_duplicates(df), mixing.mixed_documents(df), toxicity.drop_toxic(df, labels)):
+        got = out.collect()
+        assert out.columns[: len(df.columns)] == df.columns and got
+        assert all(r[n] == k for r in got for k, n in enumerate(names))
+    for run in (near_dups.near_duplicates, exact_dups_of, mixing.mixture, unit_dups.unit_report, substring_dups.without_repeats):
+        assert run(df).count() == 5
+
+
+def exact_dups_of(df):
+    return exact_dups.exact_duplicates(df, F.col("doc_id") % 2 == 0)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -328,6 +377,20 @@ def test_packing(spark, corpus, empty):
     assert packing.best_fit_packing(empty, TOKENS).count() == 0
 
 
+def test_added_tokens(spark):
+    tok, end = Tokenizer.from_file(TOKENS), "<|endoftext|>"
+    texts = [end, end * 2, f" {end} ", f"hello {end} world", f"a{end}", f"{end}b", f"{end[:6]}{end}", f"x  {end}\n{end} y", f"word {end} " * 1500]
+    got = defaultdict(list)
+    for r in packing.best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENS).collect():
+        got[r["doc_id"]].append(r)
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        pieces = sorted(got[i], key=lambda r: r["piece"])
+        assert sum(p["length"] for p in pieces) == len(ids) and all(p["length"] == 2048 for p in pieces[1:])
+        for p in pieces:
+            assert p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+
+
 def test_plan_covers():
     rng = np.random.default_rng(4)
     for n in (0, 1, 30, 4000):
@@ -357,18 +420,40 @@ def test_mixing(spark, corpus, empty):
         if not more:
             break
         full |= more
+    target = {t: float(2 * total[t]) if t in full else level * weight[t] for t in sources}
+    # All copies by virtual finish, cut where the budget is used up.
+    left, taken, whole = int(budget + 0.5), Counter(), Counter()
+    copies = []
+    for t in sources:
+        end = 0
+        for copy in (1, 2):
+            for i in sorted((i for i, r in enumerate(rows) if r[2] == t), key=lambda i: hashlib.md5(("" if rows[i][0] is None else str(rows[i][0])).encode()).hexdigest()):
+                end += size[i]
+                copies.append((end / target[t] if target[t] else 0.0, sources.index(t), copy, end, i))
+    for _, _, copy, _, i in sorted(copies):
+        given = min(left, size[i])
+        taken[i] += given
+        left -= given
+        whole[i] += given == size[i] if size[i] else copy == 1
     got = {r["doc_id"]: r for r in mixing.mixture(df).collect()}
-    taken = Counter()
     for i, r in enumerate(rows):
         g = got[r[0]]
-        assert g["size"] == size[i] and g["source_size"] == total[r[2]] and 0 <= g["taken"] <= 2 * size[i]
-        assert abs(g["target"] - (2 * total[r[2]] if r[2] in full else level * weight[r[2]])) < 1e-6
-        taken[r[2]] += g["taken"]
-    assert all(abs(taken[s] - (2 * total[s] if s in full else level * weight[s])) <= 1 for s in sources)
+        assert g["size"] == size[i] and g["source_size"] == total[r[2]] and g["taken"] == taken[i] <= 2 * size[i]
+        assert abs(g["target"] - target[r[2]]) < 1e-6
+    assert sum(taken.values()) == int(budget + 0.5)
     assert {r["doc_id"]: r["taken"] for r in mixing.mixture(df.repartition(3)).collect()} == {k: v["taken"] for k, v in got.items()}
     assert mixing.mixture(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
-    whole = mixing.mixed_documents(df)
-    assert whole.columns == df.columns and max(Counter(r["doc_id"] for r in whole.collect()).values()) <= 2
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and Counter(r["doc_id"] for r in mixed.collect()) == Counter({rows[i][0]: n for i, n in whole.items() if n})
+
+
+def test_mixing_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c", "s")] * 5 + [(1, "a b c", "t"), (None, "", None), (None, "", None)], "doc_id long, text string, source string").repartition(3)
+    got = mixing.mixture(df).collect()
+    assert len(got) == 8 and sum(r["taken"] for r in got) == 27 and max(r["taken"] for r in got) <= 6
+    mixed = Counter((r["doc_id"], r["source"]) for r in mixing.mixed_documents(df).collect())
+    assert mixed[(None, None)] == 2 and mixed[(1, "t")] == 2 and 6 <= mixed[(1, "s")] <= 7
+    assert mixing.mixed_documents(df.where("text = ''")).count() == 2
 
 
 # ---- op10 ----
