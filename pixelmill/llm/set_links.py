@@ -18,7 +18,8 @@ Linked are sets with ``100 * |A and B| >= percent * |A or B|``, which is ``|A xo
 No pair is lost but those that share no band, and no bucket is capped or expanded into all its pairs.
 
 A set's bitmap is 512 bits, each telling whether an element falls there. Two of them differ in at most ``|A xor B|``
-bits, so that more of them than a link allows rule it out for certain.
+bits, so that more of them than a link allows rule it out for certain. So do the parities of the sets of step 2,
+which tell more, but need sets without repeats.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SMALL, MEDIUM = 12, 128
 COMMON = 10_000
 #: A set's bitmap, and a bound of its size from above.
 SIGNS = ["most", *[f"b{i}" for i in range(8)]]
+#: A set's parity: 512 bits, each telling whether an odd number of elements falls there.
+ODD = [f"odd{i}" for i in range(8)]
 SIGNS_SCHEMA = ", ".join(f"{name} long" for name in SIGNS)
 
 
@@ -122,19 +125,23 @@ def _verify(sets: Sets):  # noqa: ANN202
 
 
 def _differ(sets: Sets):  # noqa: ANN202
-    """Pairs with both texts to the first one's size, and the elements in which they differ."""
+    """Pairs with both texts to the first one's size and parity, and the elements in which they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[int, np.ndarray]] = []
         for batch in batches:
             size = np.zeros(batch.num_rows, np.int64)
+            odd = np.zeros((batch.num_rows, 8), np.uint64)
             diffs = [np.zeros(0, np.uint64)]
             for i, (s, p, both) in enumerate(_set_pairs(sets, batch, kept)):
                 size[i] = len(s)
+                at = s >> np.uint64(55)
+                np.bitwise_xor.at(odd[i], (at >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), at & np.uint64(63)))
                 diffs.append(np.concatenate([np.setdiff1d(s, p, assume_unique=True), p[~both]]))
             ends = np.cumsum([len(x) for x in diffs]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diffs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("p"), pa.array(size), lists], names=["c", "p", "n_shingles", "diff"])
+            words = [pa.array(x) for x in np.ascontiguousarray(odd.T).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("p"), pa.array(size), *words, lists], names=["c", "p", "n_shingles", *ODD, "diff"])
 
     return run
 
@@ -178,22 +185,24 @@ def _first_pairs(signed: DataFrame, pivots: DataFrame, signs_of: DataFrame, perc
 
 def _far_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
     """``members(p, c, comp)`` of large buckets' pivots to pairs ``c, p`` of different components that may be linked."""
-    diffs = _with_texts(members.where("c <> p").select("c", "p"), described).mapInArrow(_differ(sets), "c long, p long, n_shingles long, diff array<long>")
+    diffs = _with_texts(members.where("c <> p").select("c", "p"), described).mapInArrow(_differ(sets), f"c long, p long, n_shingles long, {', '.join(f'{o} long' for o in ODD)}, diff array<long>")
     diffs = scratch.table(diffs.join(members, ["c", "p"]).withColumn("n_diff", F.size("diff").cast("long")), "links_diffs")
-    elements = diffs.select("p", "c", "comp", "n_shingles", "n_diff", F.explode("diff").alias("e"))
+    elements = diffs.select("p", "c", "comp", F.explode("diff").alias("e"))
     common = elements.groupBy("p", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("p", "e", "df")
     matchable = elements.join(common, ["p", "e"])
     # The elements of one difference, rarest first; those that join nothing count as the first of them.
-    listed = matchable.groupBy("p", "c", "comp", "n_shingles", "n_diff").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    listed = matchable.groupBy("p", "c").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es")).join(diffs.drop("diff"), ["p", "c"])
     listed = listed.withColumn("m", F.size("es").cast("long"))
     k = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("n_diff") * percent - F.col("n_shingles") * (100 - percent)) / percent))
     prefix = F.slice("es", F.lit(1), F.greatest(F.lit(0).cast("long"), F.col("m") - k + 1).cast("int"))
-    keys = scratch.table(listed.where(k <= F.col("m")).select("p", "c", "comp", "n_shingles", "n_diff", "m", F.explode(prefix).alias("key")).withColumn("e", F.col("key.e")).drop("key"), "links_keys")
+    keys = scratch.table(listed.where(k <= F.col("m")).select("p", "c", "comp", "n_shingles", "n_diff", "m", *ODD, F.explode(prefix).alias("key")).withColumn("e", F.col("key.e")).drop("key"), "links_keys")
     x, y = keys.alias("x"), keys.alias("y")
     a, b = F.col("x.n_shingles"), F.col("y.n_shingles")
     sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
     twice_k = (F.col("x.n_diff") + F.col("y.n_diff")) * (100 + percent) - (a + b) * (100 - percent)
     enough = F.least("x.m", "y.m") * (2 * (100 + percent)) >= twice_k
+    differ = sum((F.bit_count(F.col(f"x.{o}").bitwiseXOR(F.col(f"y.{o}"))) for o in ODD[1:]), F.bit_count(F.col("x.odd0").bitwiseXOR(F.col("y.odd0"))))
+    enough = enough & (differ * (100 + percent) <= (a + b) * (100 - percent))
     joined = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & sizes & enough)
     return joined.select(*_ordered()).distinct()
 
