@@ -158,7 +158,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_char
         return by_place(docs, places, ["text"], ["wanted"]).mapInArrow(_wanted_lines, "c long, text string")
 
     nodes = units.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands", *SIGNS)
-    comp = set_components(nodes, describe, partial(line_sets, width=width), percent, scratch)
+    comp = set_components(nodes, describe, partial(line_sets, width=width), percent, BINS // ROWS, scratch)
     comp = node_keys(comp.withColumnRenamed("node", "c")).join(comp, F.col("k1") == F.col("node")).select("k1", "k2", "comp")
 
     # The first line of each key, then of each component; lines that share either are the only ones that can go.

@@ -111,7 +111,7 @@ def near_rows(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int
     def describe(wanted: DataFrame) -> DataFrame:
         return by_place(docs, classes.join(wanted, "c"), ["text"], ["c"])
 
-    comp = set_components(full.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("c"), "bands", *SIGNS), describe, partial(shingle_sets, width=width), percent, scratch)
+    comp = set_components(full.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("c"), "bands", *SIGNS), describe, partial(shingle_sets, width=width), percent, bins // rows, scratch)
     comp = comp.join(classes.select("c", "k2"), F.col("node") == F.col("c")).select(F.col("node").alias("k1"), "k2", "comp")
 
     # The first row of each component, and so back to the rows.

@@ -25,6 +25,7 @@ which tell more, but need sets without repeats.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from .components import components
 Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
 #: Members of a bucket that all meet each other, and that do so across components.
 SMALL, MEDIUM = 12, 128
+#: Bands that one exchange moves at most.
+ROUND = 12
 #: Bands that are dealt by member as well.
 COMMON = 10_000
 #: A set's bitmap, and a bound of its size from above.
@@ -79,21 +82,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(kept[0][keep]), pa.array(kept[1][keep])], names=["band", "c"])
 
 
-def _buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> DataFrame:
     """``nodes(c, bands)`` to ``band, c, n`` where ``n > 1`` sets share a band.
 
-    One exchange by band. The most common bands, as a sample shows them, are dealt by ``c`` as well: all their rows
+    An exchange by band for every ``ROUND`` bands, so that no more of them are on disk at once. The most common bands, as a sample shows them, are dealt by ``c`` as well: all their rows
     are shared anyway. There are at most ``COMMON`` of these; every other band holds a smaller part of the rows.
     """
     sample = nodes.sample(0.01, seed=1).select(F.explode("bands").alias("band")).groupBy("band").count()
     common = sample.where("count >= 20").orderBy(F.desc("count"), "band").limit(COMMON).select("band", F.lit(True).alias("common"))
     common = scratch.table(common, "links_common")
-    banded = nodes.select(F.explode("bands").alias("band"), "c").join(F.broadcast(common), "band", "left")
-    banded = banded.select("band", "c", F.coalesce("common", F.lit(False)).alias("common"))
-    dealt = banded.repartition("band", F.when(F.col("common"), F.col("c"))).sortWithinPartitions("band")
-    met = scratch.table(dealt.mapInArrow(_shared, "band long, c long").distinct(), "links_met")
+    rounds = max(1, -(-n_bands // ROUND))
+    step, parts = -(-n_bands // rounds), []
+    for r in range(rounds):
+        banded = nodes.select(F.explode(F.slice("bands", r * step + 1, step)).alias("band"), "c").join(F.broadcast(common), "band", "left")
+        banded = banded.select("band", "c", F.coalesce("common", F.lit(False)).alias("common"))
+        dealt = banded.repartition("band", F.when(F.col("common"), F.col("c"))).sortWithinPartitions("band")
+        parts.append(scratch.table(dealt.mapInArrow(_shared, "band long, c long").distinct(), f"links_met{r}"))
+    met = reduce(DataFrame.unionByName, parts)
     counts = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return scratch.table(met.join(counts, "band"), "links_buckets")
+    buckets = scratch.table(met.join(counts, "band"), "links_buckets")
+    for r in range(rounds):
+        scratch.drop(f"links_met{r}")
+    return buckets
 
 
 # ---- pairs --------------------------------------------------------------------------------------
@@ -207,13 +217,12 @@ def _far_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: in
     return joined.select(*_ordered()).distinct()
 
 
-def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
-    """``nodes(c, bands, *SIGNS)``, a row or more for each set, to ``(node, comp)`` of all sets with links.
+def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, n_bands: int, scratch: Scratch) -> DataFrame:
+    """``nodes(c, bands, *SIGNS)``, a row or more for each set of ``n_bands`` bands, to ``(node, comp)`` of all sets with links.
 
     ``describe`` gives ``c, text`` for the sets of a table ``c``; ``sets`` are the sets of such texts.
     """
-    buckets = _buckets(nodes, scratch)
-    scratch.drop("links_met")
+    buckets = _buckets(nodes, n_bands, scratch)
     weights = buckets.groupBy("c").agg(F.sum("n").alias("weight"))
     signs_of = scratch.table(nodes.select("c", *SIGNS).join(weights.hint("merge"), "c").dropDuplicates(["c"]), "links_signs")
     signed = scratch.table(buckets.join(signs_of, "c"), "links_signed")
