@@ -29,6 +29,25 @@ VIC20 = _rgb(0x000000, 0xFFFFFF, 0xF00000, 0x00F0F0, 0x600060, 0x00A000, 0x0000F
 C64 = _rgb(0x000000, 0xFFFFFF, 0x68372B, 0x70A4B2, 0x6F3D86, 0x588D43, 0x352879, 0xB8C76F, 0x6F4F25, 0x433900, 0x9A6759, 0x444444, 0x6C6C6C, 0x9AD284, 0x6C5EB5, 0x959595)
 BBC = _rgb(0x000000, 0xFF0000, 0x00FF00, 0xFFFF00, 0x0000FF, 0xFF00FF, 0x00FFFF, 0xFFFFFF)
 MSX = _rgb(0x000000, 0x000000, 0x21C842, 0x5EDC78, 0x5455ED, 0x7D76FC, 0xD4524D, 0x42EBF5, 0xFC5554, 0xFF7978, 0xD4C154, 0xE6CE80, 0x21B03B, 0xC95BBA, 0xCCCCCC, 0xFFFFFF)
+# The 8-bit Atari's 128 colours: 16 hues, a line each, of eight luminances.
+ATARI = _rgb(
+    0x000000, 0x1C1C1C, 0x393939, 0x595959, 0x7A7A7A, 0x9C9C9C, 0xBCBCBC, 0xDCDCDC,
+    0x261000, 0x442C00, 0x644C0C, 0x846C2C, 0xA48C4C, 0xC4AC6C, 0xE4CC8C, 0xFFECAC,
+    0x390400, 0x5A2000, 0x7A4000, 0x9A6014, 0xBA8034, 0xDAA054, 0xFAC074, 0xFFE094,
+    0x450000, 0x661400, 0x86340C, 0xA6542C, 0xC6744C, 0xE6946C, 0xFFB48C, 0xFFD4AC,
+    0x4A0008, 0x6A0C18, 0x8A2C38, 0xAA4C58, 0xCA6C78, 0xEA8C98, 0xFFACB8, 0xFFCCD8,
+    0x46002C, 0x660844, 0x862864, 0xA64884, 0xC668A4, 0xE688C4, 0xFFA8E4, 0xFFC8FF,
+    0x3A004C, 0x580468, 0x782488, 0x9844A8, 0xB864C8, 0xD884E8, 0xF8A4FF, 0xFFC4FF,
+    0x260064, 0x420880, 0x6228A0, 0x8248C0, 0xA268E0, 0xC288FF, 0xE2A8FF, 0xFFC8FF,
+    0x100070, 0x28108C, 0x4830AC, 0x6850CC, 0x8870EC, 0xA890FF, 0xC8B0FF, 0xE8D0FF,
+    0x00006C, 0x08188C, 0x2838AC, 0x4858CC, 0x6878EC, 0x8898FF, 0xA8B8FF, 0xC8D8FF,
+    0x00045C, 0x00247C, 0x14449C, 0x3464BC, 0x5484DC, 0x74A4FC, 0x94C4FF, 0xB4E4FF,
+    0x001044, 0x003064, 0x045084, 0x2470A4, 0x4490C4, 0x64B0E4, 0x84D0FF, 0xA4F0FF,
+    0x001C28, 0x003C48, 0x005C68, 0x147C88, 0x349CA8, 0x54BCC8, 0x74DCE8, 0x94FCFF,
+    0x00240C, 0x004424, 0x046444, 0x248464, 0x44A484, 0x64C4A4, 0x84E4C4, 0xA4FFE4,
+    0x002800, 0x0C4804, 0x2C6824, 0x4C8844, 0x6CA864, 0x8CC884, 0xACE8A4, 0xCCFFC4,
+    0x142400, 0x344400, 0x54640C, 0x74842C, 0x94A44C, 0xB4C46C, 0xD4E48C, 0xF4FFAC,
+)
 MONO = _rgb(0xFFFFFF, 0x000000)
 # The TED's 128 colours: eight luminances of 16 hues.
 PLUS4 = _rgb(

@@ -20,10 +20,11 @@ from pixelmill.runtime import ship
 
 # The extensions that decide a family by themselves, in the order in which they are tried.
 MODERN = "png jpg jpeg gif tiff tif heic heif webp".split()
-MSX_EXT = {"msx2": "sc1 sc2 sr2 ge1 ge2".split(), "msx5": "sc5 sr5 sc7 ge5 ge7 gr5".split(), "msx8": "sc8 sr8 ge8".split()}
+MSX_EXT = {"msx1": "sc1 ge1".split(), "msx2": "sc2 sr2 ge2".split(), "msx5": "sc5 sr5 sc7 ge5 ge7 gr5".split(), "msx8": "sc8 sr8 ge8".split()}
 BBC_EXT = {0: "bbm0 mode0", 1: "bbm1 mode1 bbc", 2: "bbm2 mode2", 4: "bbm4 mode4", 5: "bbm5 mode5"}
 COCO_EXT = "max cm3 pi3 mg3 pic pix bin".split()
-ATARI_EXT = {"gr8": "gr8", "gr9": "gr9", "gr11": "gr11", "gr15": "gr15 gr7 gr1 gr2 gr3 gr4 gr6 mic"}
+ATARI_EXT = {"gr8": "gr8", "gr9": "gr9", "gr11": "gr11", "gr10": "gr10", "gr15": "gr15 gr7", "mic": "mic"}
+ATARI_CUT = "gr1 gr2 gr3 gr4 gr6".split()
 DISK_EXT = "2mg hdv po do dsk d64 adf st msa atr ssd dsd trd img xdf".split()
 PRODOS = {"#c00000": "paintworks", "#c00001": "shr_packed", "#c00002": "apf", "#c00003": "apf", "#c08005": "dreamgrafix_packed", "#c10000": "shr", "#c10002": "shr3200", "#c18003": "dreamgrafix"}
 
@@ -36,29 +37,48 @@ def cpc_or_dhgr(b: np.ndarray) -> str:
     return "cpc" if rich > dhgr + 2 else "dhgr"
 
 
+# Fixed values of the PMODE test: transitions and mixed pairs from which a screen is dithered, the share from which a pair
+# value counts as used, the share of solid bytes, and the bytes that are solid.
+DITHERED, MIXED, USED, SOLID, SOLID_BYTES = 0.35, 0.40, 20, 0.30, (0x00, 0xFF, 0xAA, 0x55)
+# Fixed values of the CoCo 3 test: bound of chi-square, nibbles used, share of equal pairs, pairs used, share of bytes near
+# the one above, rows that are compared, and the score of 640 columns.
+CHI, NIBBLES_USED, EQUAL_PAIRS, PAIRS_USED, NEAR, NEAR_ROWS, WIDE = 8000, 12, 0.15, 3, 0.30, 100, 3
+
+
+def _pairs(v: np.ndarray) -> np.ndarray:
+    """How often each two-bit value occurs."""
+    return np.bincount(np.concatenate([v >> s & 3 for s in (6, 4, 2, 0)]), minlength=4)
+
+
 def pmode_3_or_4(b: np.ndarray) -> str:
-    """Two-bit pixels mix their middle values; one-bit ones change more often or stand solid."""
+    """One-bit screens are dithered (many transitions or mixed pairs) or hold two opposite pair values only."""
     v = b[:6144].astype(np.int64)
-    pairs = np.stack([v >> 6 & 3, v >> 4 & 3, v >> 2 & 3, v & 3], 1)
-    mixed = np.isin(pairs, (1, 2)).mean() if len(v) else 0.0
-    changes = np.unpackbits(((v ^ v >> 1) & 127).astype(np.uint8)).mean() if len(v) else 0.0
-    solid = np.isin(v, (0, 255)).mean() if len(v) else 1.0
-    used = (np.bincount(pairs.ravel(), minlength=4) > pairs.size * 0.02).sum()
-    return "pmode3" if used >= 3 and mixed > 0.35 and changes > 0.25 and solid < 0.6 else "pmode4"
+    if not len(v):
+        return "pmode4"
+    n = _pairs(v)
+    used = set(np.flatnonzero(n > n.sum() // USED).tolist())
+    dithered = np.unpackbits(((v ^ v >> 1) & 127).astype(np.uint8)).sum() / (7 * len(v)) > DITHERED or (n[1] + n[2]) / n.sum() > MIXED
+    solid = np.isin(v, SOLID_BYTES).mean() > SOLID and len(used) <= 2
+    return "pmode4" if dithered or solid or used in ({0, 3}, {1, 2}) else "pmode3"
 
 
 def coco3_320_or_640(b: np.ndarray) -> str:
-    """A score over nibble and pair statistics; three of eight points make it 640 columns."""
+    """A table of signals and their weights; enough of them make it 640 columns."""
     v = b[:32000]
-    n = np.bincount(nibbles(v), minlength=16).astype(float)
-    total, score = n.sum(), 0
-    chi = ((n - total / 16) ** 2 / max(1.0, total / 16)).sum()
-    score += 2 * (chi < 8000) + 2 * ((n > total / 100).sum() >= 12) + (n[[0, 5, 10, 15]].sum() > 0.15 * total)
-    pairs = np.bincount(np.stack([v >> 6, v >> 4 & 3, v >> 2 & 3, v & 3], 1).ravel(), minlength=4)
-    score += 2 * ((pairs > 0.02 * pairs.sum()).sum() >= 3)
-    near = np.abs(v[160:].astype(int) - v[:-160].astype(int)) < 64 if len(v) > 160 else np.zeros(1)
-    score += near.mean() > 0.30
-    return "coco3_640" if score >= 3 else "coco3_320"
+    if not len(v):
+        return "coco3_320"
+    n, pairs = np.bincount(nibbles(v), minlength=16).astype(float), _pairs(v.astype(np.int64))
+    even = n.sum() / 16
+    rows = v[: (NEAR_ROWS + 1) * 160].astype(np.int64)
+    near = np.abs(rows[160:] - rows[:-160]) < 64
+    signals = (
+        (2, ((n - even) ** 2).sum() / even < CHI),
+        (2, (n > n.sum() // 100).sum() >= NIBBLES_USED),
+        (1, n[[0, 5, 10, 15]].sum() / n.sum() > EQUAL_PAIRS),
+        (2, (pairs > pairs.sum() // 50).sum() >= PAIRS_USED),
+        (1, len(near) > 0 and near.mean() > NEAR),
+    )
+    return "coco3_640" if sum(weight for weight, holds_true in signals if holds_true) >= WIDE else "coco3_320"
 
 
 def _by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +103,19 @@ def is_disk(name: Column, content: Column) -> Column:
     return extension(name).isin(DISK_EXT) & ~magic
 
 
+def first_match(rules: list[tuple[Column, str | Column]], otherwise: str | None = None) -> Column:
+    """The value of the first rule that holds; ``otherwise`` if none does."""
+    out = F.lit(otherwise).cast("string")
+    for test, value in reversed(rules):
+        out = F.when(test, F.lit(value) if isinstance(value, str) else value).otherwise(out)
+    return out
+
+
+def contains_text(column: Column, part: str) -> Column:
+    """Whether a text holds ``part``, whatever the case."""
+    return F.lower(column).contains(part.lower())
+
+
 def kernel_of(name: Column, content: Column) -> Column:
     """The kernel's name from metadata and signatures; ``?size`` where the content has to decide, null for unknown."""
     ext, size, low = extension(name), F.length(content), F.lower(name)
@@ -94,6 +127,7 @@ def kernel_of(name: Column, content: Column) -> Column:
     coco = F.when(size == 32016, "?32016").when(size >= 24000, "coco3_320").when(size.between(6144, 6145), "?6144").when(size == 1024, "trs80")
     rules += [(ext.isin(COCO_EXT), coco), (ext.isin("pi1", "pi2"), F.lit("degas"))]
     rules += [(ext.isin(e.split()), k) for k, e in ATARI_EXT.items()]
+    rules += [(ext.isin(ATARI_CUT), F.when(size == 7689, "gr10").otherwise("gr15")), ((ext == "neo") & (size == 32128), "neochrome")]
     rules += [
         ((size >= 8) & (starts_with(content, b"\x89PNG") | starts_with(content, b"\xff\xd8") | starts_with(content, b"GIF")), "modern"),
         ((size >= 14) & starts_with(content, b"BM"), "bmp"),
@@ -118,16 +152,16 @@ def kernel_of(name: Column, content: Column) -> Column:
         (size.between(32767, 32768), "shr"), (size >= 38400, "shr3200"), (size.between(8184, 8200), "hgr"),
         ((size >= 546) & paintworks_palette(content), "paintworks"), (size.between(24000, 33000), "coco3_320"), (size.between(20000, 100000), "macpaint"),
     ]
-    out = F.lit(None).cast("string")
-    for test, value in reversed(rules):
-        out = F.when(test, F.lit(value) if isinstance(value, str) else value).otherwise(out)
-    return F.when(size > 0, out)
+    return F.when(size > 0, first_match(rules))
+
 
+def classify(files: DataFrame, kernel: Column | None = None) -> DataFrame:
+    """``files(name, content, ...)`` with the name of the ``kernel`` that decodes each; null if unknown.
 
-def classify(files: DataFrame) -> DataFrame:
-    """``files(name, content, ...)`` with the name of the ``kernel`` that decodes each; null if unknown."""
+    ``kernel`` takes the place of ``kernel_of`` where more is known of the files.
+    """
     ship(files.sparkSession)
-    named = files.withColumn("kernel", kernel_of(F.col("name"), F.col("content")))
+    named = files.withColumn("kernel", kernel_of(F.col("name"), F.col("content")) if kernel is None else kernel)
     rest = [f for f in files.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", kernel string"
     return named.mapInArrow(_by_content, schema)
@@ -135,4 +169,4 @@ def classify(files: DataFrame) -> DataFrame:
 
 def filtered_by_platform(images: DataFrame, platform: str) -> DataFrame:
     """Images whose family holds ``platform``, whatever its case; all for an empty one."""
-    return images.where(F.lower("family").contains(platform.lower())) if platform else images
+    return images.where(contains_text(F.col("family"), platform)) if platform else images

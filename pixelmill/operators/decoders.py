@@ -114,19 +114,51 @@ def plus4(b: np.ndarray) -> Picture | None:
     return _one("Plus4", "Multicolor", np.repeat(index, 2, 1), C.PLUS4)
 
 
+VIC20_SCREEN = 506  # cells, for codes and for colours; 2048 bytes of characters follow
+
+
+def _vic20_start(b: np.ndarray) -> int | None:
+    """Where a program's screen starts: at the end less its size, or where the codes count up from 0, by which colours are valid."""
+    end, size = len(b) - 3060, VIC20_SCREEN
+    if end == 0:
+        return 0
+    color = lambda at: b[at + size : at + 2 * size]
+    counting = [at for at in range(14, min(150, end + 1)) if (b[at : at + 6] == np.arange(6)).all()]
+    at = end
+    if end < 2 or (color(end) < 16).sum() <= 400 and counting and (color(counting[0]) < 16).sum() > 400:
+        at = counting[0] if counting else 61
+    return at if 2 <= at <= end and (color(at) < 24).sum() >= 400 else None
+
+
+def _vic20_stored(b: np.ndarray, at: int, register: int) -> int | None:
+    """The value that the viewer in front of the screen stores in a video register ($90xx)."""
+    for i in range(16, min(at - 3, 70)) if at >= 20 else ():
+        if b[i - 2] == 0xA9 and b[i] == 0x8D and b[i + 1] == register and b[i + 2] == 0x90:
+            return int(b[i - 1])
+    return None
+
+
 def vic20(b: np.ndarray) -> Picture | None:
-    """22 by 23 characters of 8 by 8 from screen codes, colours and a character set, at the file's end."""
+    """22 by 23 characters of 8 by 8 from screen codes, colours and a character set.
+
+    The background and the colours that cells share are those that the viewer stores; black, white and yellow without one.
+    """
     if len(b) < 3060:
         return None
-    body = b[len(b) - 3060 :]
+    start = _vic20_start(b)
+    if start is None:
+        return None
+    ground, aux = _vic20_stored(b, start, 0x0F), _vic20_stored(b, start, 0x0E)
+    back, border = (0, 1) if ground is None else (ground >> 4, ground & 15)
+    body = b[start : start + 3060]
     screen, color, chars = body[:506], body[506:1012], body[1012:3060].reshape(256, 8)
     glyph = chars[screen].reshape(23, 22, 8).transpose(0, 2, 1).reshape(184, 22)
     c = color.reshape(23, 22)
     if (color >= 8).sum() > 250:
         pair, own = bits(glyph, 2), np.repeat(np.repeat(c & 7, 8, 0), 4, 1)
-        index = np.repeat(np.choose(pair, [np.full(pair.shape, 1), np.full(pair.shape, 3), own, np.full(pair.shape, 6)]), 2, 1)
+        index = np.repeat(np.choose(pair, [np.full(pair.shape, back), np.full(pair.shape, border), own, np.full(pair.shape, 7 if aux is None else aux >> 4)]), 2, 1)
         return _one("VIC20", "Multicolor", index, C.VIC20)
-    return _one("VIC20", "HiRes", np.where(bits(glyph, 1), np.repeat(np.repeat(c & 7, 8, 0), 8, 1), 1), C.VIC20)
+    return _one("VIC20", "HiRes", np.where(bits(glyph, 1), np.repeat(np.repeat(c & 7, 8, 0), 8, 1), back), C.VIC20)
 
 
 def cpc(b: np.ndarray) -> Picture | None:
@@ -175,6 +207,16 @@ def msx(b: np.ndarray, screen: int) -> Picture | None:
         palette = next((p for p in (C.msx2(v, 0x7680), lead, C.msx2(v, 27136)) if p is not None), C.MSX)
         pixels = v[32:] if lead is not None and palette is lead else v
         return _one("MSX", "5", bits(pixels[: 212 * 128].reshape(212, 128), 4), palette)
+    if screen == 1:
+        if len(v) < 2048:
+            return None
+        v = np.concatenate([v, np.zeros(max(0, 2816 - len(v)), np.uint8)])
+        names, patterns = v[:768].astype(np.int64), v[768:2816].reshape(256, 8)
+        ink = np.full(32, 0xF1, np.uint8)  # of eight patterns each; white on black where the file ends before
+        ink[: len(v[2816:2848])] = v[2816:2848]
+        own = np.repeat(np.repeat(ink[names // 8].reshape(24, 32), 8, 0), 8, 1)
+        index = np.where(bits(patterns[names].reshape(24, 32, 8).transpose(0, 2, 1).reshape(192, 32), 1), own >> 4, own & 15)
+        return _one("MSX", "1", np.where(index == 0, 1, index), C.MSX)
     if len(v) >= 14336:
         names, patterns, colors = v[0x1800:0x1B00], v[:0x1800], v[0x2000:0x3800]
     elif len(v) >= 12288:
@@ -225,7 +267,9 @@ def pmode(b: np.ndarray, mode: int) -> Picture | None:
     line = b[:6144].reshape(192, 32)
     if mode == 3:
         return _one("CoCo", "PMODE3", np.repeat(bits(line, 2), 2, 1), C.COCO[1:5])
-    return _one("CoCo", "PMODE4", bits(line, 1), C.COCO[[0, 5]])
+    if mode == 4:
+        return _one("CoCo", "PMODE4", bits(line, 1), C.COCO[[0, 5]])
+    return _one("CoCo", "Artifact", np.repeat(bits(line, 2), 2, 1), C.COCO_ARTIFACT)
 
 
 def coco3(b: np.ndarray, wide: bool = False) -> Picture | None:
@@ -242,17 +286,12 @@ def coco3(b: np.ndarray, wide: bool = False) -> Picture | None:
 
 
 def atari_palette(registers: np.ndarray) -> np.ndarray:
-    """Colour registers (hue, luminance) as colours, by the machine's phase wheel."""
-    hue, luma = (registers >> 4).astype(float), (registers >> 1 & 7) / 7.0
-    angle = (hue - 1) * 2 * np.pi / 15 - 0.5
-    amount = np.where(hue == 0, 0.0, 0.25)
-    r = luma + amount * np.cos(angle)
-    g = luma - amount * 0.5 * np.cos(angle) - amount * 0.4 * np.sin(angle)
-    blue = luma + amount * np.sin(angle)
-    return np.clip(np.stack([r, g, blue], -1) * 255, 0, 255).astype(np.uint8)
+    """Colour registers as colours: the hue is the high nibble, the luminance the next three bits."""
+    return C.ATARI[registers.astype(np.int64) >> 1]
 
 
-def atari8(b: np.ndarray, mode: int) -> Picture | None:
+def atari8(b: np.ndarray, mode: int, name: str = "", at_least: int = 4) -> Picture | None:
+    """192 lines of 40 bytes; registers after them give the colours, the hue (mode 9) or the luminance (mode 11)."""
     if len(b) < 7680:
         return None
     line, rest = b[:7680].reshape(192, 40), b[7680:]
@@ -260,14 +299,16 @@ def atari8(b: np.ndarray, mode: int) -> Picture | None:
         ink = rest[:2] if len(rest) >= 2 else np.array([0, 14], np.uint8)
         return _one("Atari8bit", "GR8", bits(line, 1), atari_palette(ink))
     if mode == 15:
-        ink = rest[:4] if len(rest) >= 4 else np.array([0, 0x28, 0xCA, 0x0E], np.uint8)
-        return _one("Atari8bit", "GR15", bits(line, 2), atari_palette(ink))
+        ink = rest[:4] if len(rest) >= at_least else np.array([0, 4, 8, 14], np.uint8)
+        return _one("Atari8bit", name or "GR15", bits(line, 2), atari_palette(ink))
     index = np.repeat(bits(line, 4), 2, 1)
     if mode == 9:
-        return _one("Atari8bit", "GR9", index, atari_palette(np.arange(16, dtype=np.uint8) // 2 * 2))
+        hue = int(rest[0]) >> 4 if len(rest) else 0
+        return _one("Atari8bit", "GR9", index, C.ATARI[hue * 8 + np.arange(16) // 2])
     if mode == 11:
-        return _one("Atari8bit", "GR11", index, atari_palette(np.arange(16, dtype=np.uint8) << 4 | 6))
-    ink = rest[:9] if len(rest) >= 9 else np.arange(9, dtype=np.uint8) * 2
+        luma = int(rest[0]) >> 1 & 7 if len(rest) else 3
+        return _one("Atari8bit", "GR11", index, C.ATARI[np.arange(16) * 8 + luma])
+    ink = rest[:9] if len(rest) >= 9 else np.minimum(np.arange(9, dtype=np.uint8), 7) * 2
     return _one("Atari8bit", "GR10", np.minimum(index, 8), atari_palette(ink))
 
 
@@ -546,9 +587,9 @@ def pcx(b: np.ndarray) -> Picture | None:
 KERNELS: dict[str, Callable[[np.ndarray], Picture | None]] = {
     "zx": zx, "koala": lambda b: c64_multicolor(b, 2, 8002, 9002, 10002, "Koala"), "art_studio": lambda b: c64_multicolor(b, 2, 8002, 9018, 9003, "Multicolor"),
     "art_studio_hires": lambda b: c64_hires(b, "Art Studio Hi-Res"), "c64_hires": lambda b: c64_hires(b, "HIRES"), "plus4": plus4, "vic20": vic20, "cpc": cpc,
-    "msx2": lambda b: msx(b, 2), "msx5": lambda b: msx(b, 5), "msx8": lambda b: msx(b, 8), **{f"bbc{m}": lambda b, m=m: bbc(b, m) for m in (0, 1, 2, 4, 5)},
-    "trs80": trs80_blocks, "pmode3": lambda b: pmode(b, 3), "pmode4": lambda b: pmode(b, 4), "coco3_320": coco3, "coco3_640": lambda b: coco3(b, wide=True),
-    **{f"gr{m}": lambda b, m=m: atari8(b, m) for m in (8, 9, 10, 11, 15)}, "hgr": hgr, "dhgr": dhgr, "shr": shr, "shr3200": lambda b: shr(b, "3200"), "shr3201": shr_3201,
+    "msx1": lambda b: msx(b, 1), "msx2": lambda b: msx(b, 2), "msx5": lambda b: msx(b, 5), "msx8": lambda b: msx(b, 8), **{f"bbc{m}": lambda b, m=m: bbc(b, m) for m in (0, 1, 2, 4, 5)},
+    "trs80": trs80_blocks, "pmode3": lambda b: pmode(b, 3), "pmode4": lambda b: pmode(b, 4), "pmode4_artifact": lambda b: pmode(b, 5), "coco3_320": coco3, "coco3_640": lambda b: coco3(b, wide=True),
+    **{f"gr{m}": lambda b, m=m: atari8(b, m) for m in (8, 9, 10, 11, 15)}, "gr7": lambda b: atari8(b, 15, "GR7"), "mic": lambda b: atari8(b, 15, at_least=40), "hgr": hgr, "dhgr": dhgr, "shr": shr, "shr3200": lambda b: shr(b, "3200"), "shr3201": shr_3201,
     "shr_packed": shr_packed, "paintworks": paintworks, "dreamgrafix_packed": lambda b: dreamgrafix(b, packed=True), "dreamgrafix": lambda b: dreamgrafix(b, packed=False),
     "apf": apf, "macpaint": macpaint, "degas": degas, "neochrome": neochrome, "iff": ilbm, "bmp": bmp, "pcx": pcx,
 }

@@ -1,45 +1,81 @@
-"""Selections, undo and recently used lists as joins and windows over logs."""
+"""Selections, undo, palettes and recently used lists as joins and windows over logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDO_DEPTH, RECENT = 10, 10
 
 
+def _key(seq: str | list[str]) -> Column:
+    """What orders a log: one column, or several as a struct."""
+    return F.struct(*([seq] if isinstance(seq, str) else seq))
+
+
 def selected(images: DataFrame, selection: DataFrame, key: str = "image_id") -> DataFrame:
     return images.join(selection.select(key), key, "left_semi")
 
 
 def selected_or_current(images: DataFrame, selection: DataFrame, current: str | None, key: str = "image_id") -> DataFrame:
     """What an export takes: the selection if there is one, else the current image, else all."""
-    if not selection.isEmpty():
-        return selected(images, selection, key)
-    return images if current is None else images.where(F.col(key) == current)
+    some = selection.select(F.lit(1).alias("_some")).limit(1)
+    rest = images if current is None else images.where(F.col(key) == current)
+    return selected(images, selection, key).unionByName(rest.join(F.broadcast(some), how="left_anti"))
 
 
 def deleted(images: DataFrame, selection: DataFrame, key: str = "image_id") -> DataFrame:
     return images.join(selection.select(key), key, "left_anti")
 
 
+def appended(images: DataFrame, more: DataFrame) -> DataFrame:
+    """Further images behind those that are there, by column name; nothing is compared."""
+    return images.unionByName(more)
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """No images, selections or recent paths, with the columns as they were."""
+    return rows.where(F.lit(False))
+
+
+def first_wins(images: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """Of images with one key the first in order."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return images.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k")
+
+
 def toggled(clicks: DataFrame, key: str = "image_id") -> DataFrame:
     """Ids that were clicked an odd number of times."""
     return clicks.groupBy(key).agg((F.count("*") % 2).alias("odd")).where("odd = 1").select(key)
 
 
-def undo_log(edits: DataFrame, key: str = "image_id", seq: str = "seq") -> DataFrame:
-    """The latest ``UNDO_DEPTH`` edits of each image."""
-    w = Window.partitionBy(key).orderBy(F.desc(seq))
-    return edits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= UNDO_DEPTH).drop("_k")
+def undo_log(edits: DataFrame, key: str = "image_id", seq: str | list[str] = "seq", place: str | None = None) -> DataFrame:
+    """The latest ``UNDO_DEPTH`` edits of each image; ``place`` names their place from the latest, if wanted."""
+    w = Window.partitionBy(key).orderBy(_key(seq).desc())
+    out = edits.withColumn("_k", F.row_number().over(w).cast("long")).where(F.col("_k") <= UNDO_DEPTH)
+    return out.drop("_k") if place is None else out.withColumnRenamed("_k", place)
 
 
-def undone(edits: DataFrame, live: DataFrame, key: str = "image_id", seq: str = "seq") -> DataFrame:
+def undone(edits: DataFrame, live: DataFrame, key: str = "image_id", seq: str | list[str] = "seq") -> DataFrame:
     """The log without each live image's last edit."""
-    last = edits.join(live.select(key), key, "left_semi").groupBy(key).agg(F.max(seq).alias(seq))
-    return edits.join(last, [key, seq], "left_anti")
+    last = edits.join(live.select(key), key, "left_semi").groupBy(key).agg(F.max(_key(seq)).alias("_last"))
+    return edits.withColumn("_last", _key(seq)).join(last, [key, "_last"], "left_anti").drop("_last")
 
 
-def recent(visits: DataFrame, key: str = "path", seq: str = "seq") -> DataFrame:
+def recent(visits: DataFrame, key: str = "path", seq: str | list[str] = "seq") -> DataFrame:
     """The ``RECENT`` keys used last, latest first."""
-    return visits.groupBy(key).agg(F.max(seq).alias(seq)).orderBy(F.desc(seq), key).limit(RECENT)
+    last = visits.groupBy(key).agg(F.max(_key(seq)).alias("_last"))
+    return last.orderBy(F.desc("_last"), key).limit(RECENT).select(key, "_last.*")
+
+
+def pasted(palettes: DataFrame, targets: DataFrame, source: str, key: str = "image_id") -> DataFrame:
+    """``palettes(key, palette)`` with the palette of ``source`` copied to the targets; as they were if it has none."""
+    copied = palettes.where(F.col(key) == source).limit(1).select(F.col("palette").alias("_copied"))
+    marked = palettes.join(targets.select(key).distinct().withColumn("_target", F.lit(True)), key, "left")
+    out = marked.join(F.broadcast(copied), how="left")
+    return out.withColumn("palette", F.when(F.col("_target"), F.coalesce("_copied", "palette")).otherwise(F.col("palette"))).drop("_target", "_copied")
+
+
+def palettes_reset(modified: DataFrame, targets: DataFrame, key: str = "image_id") -> DataFrame:
+    """The palettes that were changed, without those of the targets, which so show their own again."""
+    return deleted(modified, targets, key)

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.operators.pixels import upscale
+from pixelmill.operators.pixels import resize_nearest, upscale
 from pixelmill.runtime import ship
 
 # Fixed values of the slide show: frames a second, and frames of a transition.
 FPS, TRANSITION = 30, 15
+CUTS = 256  # keys at which a whole list is cut for numbering
 TRANSITIONS = "none fade slide_left slide_right slide_up slide_down wipe_left wipe_right zoom_in zoom_out".split()
 
 
@@ -23,10 +26,33 @@ def base_name(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def renamed(images: DataFrame, pattern: str, order: list[str]) -> DataFrame:
-    """``out_name`` from a pattern with ``{n}``, the 1-based place, and ``{name}``, the base name."""
-    n = F.row_number().over(Window.orderBy(*order)).cast("string")
-    return images.withColumn("out_name", F.replace(F.replace(F.lit(pattern), F.lit("{n}"), n), F.lit("{name}"), base_name(F.col("name"))))
+def numbered(images: DataFrame, order: list[str], by: list[str] | None = None, name: str = "n") -> DataFrame:
+    """The 1-based place of each image in its group, or in the whole list.
+
+    The whole list is cut into ranges at ``CUTS`` of its keys, those with the smallest hashes: the ranges are numbered side
+    by side, and each starts after the counts of those before it, so no task sorts the list. Equal keys share a range.
+    """
+    if by:
+        return images.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    keyed = images.withColumn("_key", F.struct(*order))
+    cuts = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(CUTS).agg(F.array_sort(F.collect_set("_key")).alias("_cuts"))
+    ranged = keyed.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts", "_key")
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # over CUTS + 1 rows at most
+    first = ranged.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", F.coalesce(before, F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(first), "_range").withColumn(name, place + F.col("_first")).drop("_range", "_first")
+
+
+def renamed(images: DataFrame, pattern: str, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """``out_name`` from a pattern with ``{n}``, the 1-based place (in its group), and ``{name}``, the base name."""
+    n = F.col("_n").cast("string")
+    named = F.replace(F.replace(F.lit(pattern), F.lit("{n}"), n), F.lit("{name}"), base_name(F.col("name")))
+    return numbered(images, order, by, "_n").withColumn("out_name", named).drop("_n")
+
+
+def screensaver_names(images: DataFrame, order: list[str]) -> DataFrame:
+    """``out_name`` of a screensaver's files: the place in three digits and the name, which sort as they are shown."""
+    return numbered(images, order, name="_n").withColumn("out_name", F.format_string("%03d_%s.png", "_n", base_name(F.col("name")))).drop("_n")
 
 
 def export_plan(images: DataFrame, formats: list[str]) -> DataFrame:
@@ -58,25 +84,110 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def tiff(rgb: np.ndarray) -> bytes:
+    """An uncompressed 8-bit RGB TIFF file of one strip."""
+    h, w = rgb.shape[:2]
+    start = 8 + 2 + 9 * 12 + 4 + 6
+    entries = ((256, 4, 1, w), (257, 4, 1, h), (258, 3, 3, start - 6), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, 1, start), (277, 3, 1, 3), (278, 4, 1, h), (279, 4, 1, w * h * 3))
+    return struct.pack("<2sHIH", b"II", 42, 8, len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<IHHH", 0, 8, 8, 8) + rgb.tobytes()
+
+
+ENCODERS = {"png": png, "tiff": tiff}
+
+
 def png_files(images: DataFrame, factor: int = 1) -> DataFrame:
+    return image_files(images, "png", factor)
+
+
+def image_files(images: DataFrame, kind: str, factor: int = 1) -> DataFrame:
     """``images(name, width, height, pixels)`` to ``name, content``, scaled by nearest neighbour, on the executors."""
     ship(images.sparkSession)
+    encode = ENCODERS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [png(upscale(np.frombuffer(p, np.uint8).reshape(h, w, 3), factor)) for w, h, p in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("pixels").to_pylist())]
+            out = [encode(upscale(np.frombuffer(p, np.uint8).reshape(h, w, 3), factor)) for w, h, p in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("pixels").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
 
     return images.select(base_name(F.col("name")).alias("name"), "width", "height", "pixels").mapInArrow(run, "name string, content binary")
 
 
-def timeline(images: DataFrame, group: list[str], order: list[str], seconds: float, transition: bool = True) -> DataFrame:
-    """Frames that each image is shown and blended to the next, and the first frame of each."""
+def offset_before(size: Column, group: list[str], order: list[str]) -> Column:
+    """The sum of the sizes in front of each row of its group."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long")
+
+
+def save_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes ``files(name, content)`` below ``folder``, a path or address that pyarrow's file systems open, from the executors.
+
+    Gives ``name, bytes`` of what was written; names are unique (see ``export_plan``). A file is moved into place when it is
+    whole, so a task that runs again writes the same file again. Nothing is written before the result is used.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            names = b.column("name").to_pylist()
+            for name, content in zip(names, b.column("content").to_pylist()):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, f"{root}/{name}")
+            sizes = pa.array([len(c) for c in b.column("content").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("name"), sizes], names=["name", "bytes"])
+
+    return files.select("name", "content").mapInArrow(run, "name string, bytes long")
+
+
+def timeline(images: DataFrame, group: list[str], order: list[str], seconds: float, transition: bool = True, key: str | None = None) -> DataFrame:
+    """Frames that each image is shown and blended to the next, and the first frame of each; ``next_key`` is the next's ``key``."""
     w = Window.partitionBy(*group).orderBy(*order)
     change = F.when(F.lead(F.lit(1)).over(w).isNotNull() & F.lit(transition), TRANSITION).otherwise(0)
     shown = images.withColumn("changing", change).withColumn("shown", F.greatest(F.lit(1), F.lit(int(seconds * FPS)) - F.col("changing")))
-    total = F.col("shown") + F.col("changing")
-    return shown.withColumn("first_frame", F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - total)
+    if key is not None:
+        shown = shown.withColumn("next_key", F.lead(key).over(w))
+    return shown.withColumn("first_frame", offset_before(F.col("shown") + F.col("changing"), group, order))
+
+
+def duration_text(seconds: Column) -> Column:
+    """``3m 7s``, or ``7s`` below a minute."""
+    whole = F.floor(seconds).cast("long")
+    rest = F.concat((whole % 60).cast("string"), F.lit("s"))
+    return F.when(whole >= 60, F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), rest)).otherwise(rest)
+
+
+def blend(first: np.ndarray, second: np.ndarray, alpha: float, width: int, height: int) -> np.ndarray:
+    """Both images fitted into a black box by nearest neighbour, the second drawn with ``alpha`` over the first with the rest."""
+    out = np.zeros((height, width, 3))
+    for image, weight in ((first, 1 - alpha), (second, alpha)):
+        k = min(width / image.shape[1], height / image.shape[0])
+        w, h = max(1, int(image.shape[1] * k)), max(1, int(image.shape[0] * k))
+        x, y = (width - w) // 2, (height - h) // 2
+        part = out[y : y + h, x : x + w]
+        part *= 1 - weight
+        part += resize_nearest(image, w, h) * weight
+    return np.round(out).astype(np.uint8)
+
+
+def blended(pairs: DataFrame, width: int, height: int) -> DataFrame:
+    """``pairs(width, height, pixels, next_width, next_height, next_pixels, alpha, ...)`` with one frame in place of the two images."""
+    ship(pairs.sparkSession)
+    used = ("width", "height", "pixels", "next_width", "next_height", "next_pixels", "alpha")
+    kept = [f for f in pairs.schema if f.name not in used]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frames = []
+            for w, h, p, nw, nh, q, alpha in zip(*(b.column(c).to_pylist() for c in used)):
+                frames.append(blend(np.frombuffer(p, np.uint8).reshape(h, w, 3), np.frombuffer(q, np.uint8).reshape(nh, nw, 3), alpha, width, height).tobytes())
+            n = len(frames)
+            cols = [*(b.column(f.name) for f in kept), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array(frames, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in kept), "width", "height", "pixels"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "width int, height int, pixels binary"])
+    return pairs.mapInArrow(run, schema)
 
 
 def transition_frame(kind: Column, t: Column, width: int, height: int) -> Column:

@@ -6,14 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.operators.classify import classify
+from pixelmill.functions.binary import extension
+from pixelmill.operators import pixels as P
+from pixelmill.operators.classify import classify, is_disk
 from pixelmill.operators.decoders import Picture, decode
+from pixelmill.operators.filetypes import entry_kernel, entry_name, without_header
 from pixelmill.runtime import ship
+from pixelmill.sources.disks import disk_entries
+from pixelmill.sources.raw import modern_images, raw_files
 
 IMAGE = "kernel string, family string, mode string, width int, height int, pixels binary, palette array<int>, editable boolean"
+NAMES = tuple(f.split()[0] for f in IMAGE.split(", "))
 
 
 def _image(kernel: str | None, content: bytes | None, palette: list[int] | None = None) -> dict | None:
@@ -39,13 +45,14 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, kind)], names=[*rest, "image"])
 
 
-def decoded(files: DataFrame, modified: Column | None = None) -> DataFrame:
+def decoded(files: DataFrame, modified: Column | None = None, kernel: Column | None = None) -> DataFrame:
     """``files(name, content, ...)`` to one row per file that decodes, with the columns of ``IMAGE``.
 
-    ``modified`` is a palette of 0xRRGGBB numbers to show the index map with instead of the file's own.
+    ``modified`` is a palette of 0xRRGGBB numbers to show the index map with instead of the file's own; ``kernel`` names
+    the kernels of files that the classifier is not asked about. Modern formats are left to ``opened``.
     """
     ship(files.sparkSession)
-    known = classify(files).where("kernel is not null and kernel <> 'modern'")
+    known = classify(files, kernel).where("kernel is not null and kernel <> 'modern'")
     known = known.withColumn("modified", F.lit(None).cast("array<int>") if modified is None else modified)
     rest = [f for f in known.schema if f.name not in ("kernel", "content", "modified")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
@@ -53,6 +60,80 @@ def decoded(files: DataFrame, modified: Column | None = None) -> DataFrame:
     return out.select(*[f"`{f.name}`" for f in rest], "image.*")
 
 
+def imported(entries: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Entries of disk images (``disk_entries``) that decode, as images; only those of ``chosen(disk_path, entry_path)`` if given."""
+    files = entries.where(~F.col("is_directory") & (F.length("content") > 0))
+    if chosen is not None:
+        files = files.join(chosen.select("disk_path", "entry_path").distinct(), ["disk_path", "entry_path"], "left_semi")
+    seen = entry_name(F.col("disk_format"), F.col("name"), F.col("file_type"), F.col("load_address"))
+    files = files.withColumn("content", without_header(F.col("file_type"), F.col("content")))
+    return decoded(files, kernel=entry_kernel(F.col("disk_format"), F.col("disk_name"), seen, F.col("content")))
+
+
+def _as_rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for n, p in zip(b.column("channels").to_pylist(), b.column("pixels")):
+            v = np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, n)
+            out.append((np.repeat(v, 3, 1) if n == 1 else v[:, 2::-1]).tobytes())
+        rest = ["path", "width", "height"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(out, pa.binary())], names=[*rest, "pixels"])
+
+
+def opened(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path, name`` and the columns of ``IMAGE`` of all images below ``paths``: old formats by their kernels, modern ones by
+    the built-in image source, entries of disk images as ``disk!entry``."""
+    ship(spark)
+    files = raw_files(spark, *paths)
+    disk = is_disk(F.col("name"), F.col("content"))
+    old = decoded(files.where(~disk)).select("path", "name", *NAMES)
+    inside = imported(disk_entries(files.where(disk))).select(F.concat("disk_path", F.lit("!"), "entry_path").alias("path"), "name", *NAMES)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    wanted = classify(files.where(~disk)).where("kernel = 'modern'").select(plain("path").alias("path"), "name")
+    pixels = modern_images(spark, *paths).mapInArrow(_as_rgb, "path string, width int, height int, pixels binary").withColumn("path", plain("path"))
+    modern = pixels.join(wanted, "path").select(
+        "path", "name", F.lit("modern").alias("kernel"), F.lit("Modern").alias("family"), F.upper(extension(F.col("name"))).alias("mode"), "width", "height", "pixels",
+        F.lit(None).cast("array<int>").alias("palette"), F.lit(False).alias("editable"),
+    )
+    return old.unionByName(inside).unionByName(modern)
+
+
+def transformed(images: DataFrame, *steps: tuple, where: Column | None = None) -> DataFrame:
+    """``images(width, height, pixels, ...)`` with the steps applied in turn to those that ``where`` chooses (all by default).
+
+    A step is the name of a pixel operator and its arguments: ``("rotate", 1)``, ``("flip", True)``, ``("invert",)``,
+    ``("crop", (x, y), (x, y))``, ``("adjust", brightness, contrast)``, ``("upscale", factor)``. A crop that leaves nothing
+    leaves the image as it is.
+    """
+    ship(images.sparkSession)
+    chosen = images.withColumn("_chosen", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    runs = [(getattr(P, name), args) for name, *args in steps if name in ("rotate", "flip", "invert", "crop", "adjust", "upscale")]
+    if len(runs) < len(steps):
+        raise ValueError("unknown step")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = {c: b.column(c) for c in b.schema.names if c != "_chosen"}
+            w, h, out = cols["width"].to_pylist(), cols["height"].to_pylist(), []
+            for i, (take, p) in enumerate(zip(b.column("_chosen").to_pylist(), cols["pixels"])):
+                v = None if p.as_py() is None else np.frombuffer(p.as_buffer(), np.uint8).reshape(h[i], w[i], 3)
+                for f, args in runs if take and v is not None else ():
+                    changed = f(v, *args)
+                    v = v if changed is None else changed
+                if v is not None:
+                    h[i], w[i] = v.shape[:2]
+                out.append(None if v is None else v.tobytes())
+            cols |= {"width": pa.array(w, pa.int32()), "height": pa.array(h, pa.int32()), "pixels": pa.array(out, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return chosen.mapInArrow(run, images.schema)
+
+
+def hex_color(red: Column, green: Column, blue: Column) -> Column:
+    """``#RRGGBB``."""
+    return F.format_string("#%02X%02X%02X", red, green, blue)
+
+
 def with_color(palette: Column, index: int, rgb: int) -> Column:
     """The palette with one colour replaced; as it was if there is no such index."""
     return F.transform(palette, lambda c, i: F.when(i == index, F.lit(rgb)).otherwise(c))

@@ -13,7 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill.functions import palettes
+from pixelmill.operators import classify, decoders, edits, export, filetypes, images
 from pixelmill.operators import pixels as P
+from pixelmill.sources import disks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,10 +100,10 @@ def top_colors(spark: SparkSession, d: str) -> DataFrame:
     return P.top_colors(_docs(spark, d), "doc_id", P.text_blob(), 16)
 
 
-_same(
-    "type_rollup_counts", "orders",
-    "SELECT o_orderpriority, count(*) AS entries, count(*) FILTER (WHERE o_orderstatus <> 'P') AS files, count(*) FILTER (WHERE o_orderstatus = 'F') AS images FROM {orders} GROUP BY o_orderpriority",
-)
+@_query("SELECT o_orderpriority, count(*) AS entries, count(*) FILTER (WHERE o_orderstatus <> 'P') AS files, count(*) FILTER (WHERE o_orderstatus = 'F') AS images FROM orders GROUP BY o_orderpriority")
+def type_rollup_counts(spark: SparkSession, d: str) -> DataFrame:
+    return disks.rollup_counts(_table(spark, d, "orders"), "o_orderpriority", F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F")
+
 
 # ---- classifier statistics ----------------------------------------------------------------------
 
@@ -140,19 +143,40 @@ def block_distinct_score(spark: SparkSession, d: str) -> DataFrame:
     return P.block_scores(_docs(spark, d), "doc_id", P.text_blob())
 
 
-_same(
-    "first_match_route", "pages documents",
+@_query(
     """SELECT 'page' AS kind, page_id AS id, CASE WHEN lower(url) LIKE '%.png' OR lower(url) LIKE '%.jpg' THEN 'modern' WHEN url LIKE 'http://%/en/%' THEN 'english'
-       WHEN length(html) BETWEEN 5000 AND 10000 THEN 'sized' WHEN substr(html, 1, 2) = '<!' THEN 'markup' ELSE 'unknown' END AS route FROM {pages}
-       UNION ALL SELECT 'document', doc_id, CASE WHEN lang = 'de' THEN 'german' WHEN n_chars BETWEEN 1000 AND 2000 THEN 'sized' WHEN source = 'src0' THEN 'first' ELSE 'unknown' END FROM {documents}""",
-)
-_same(
-    "dimension_default", "events",
+       WHEN length(html) BETWEEN 5000 AND 10000 THEN 'sized' WHEN substr(html, 1, 2) = '<!' THEN 'markup' ELSE 'unknown' END AS route FROM pages
+       UNION ALL SELECT 'document', doc_id, CASE WHEN lang = 'de' THEN 'german' WHEN n_chars BETWEEN 1000 AND 2000 THEN 'sized' WHEN source = 'src0' THEN 'first' ELSE 'unknown' END FROM documents"""
+)
+def first_match_route(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier's ordered rules, over urls and documents."""
+    url, html = F.col("url"), F.col("html")
+    modern = F.lower(url).endswith(".png") | F.lower(url).endswith(".jpg")
+    rules = [(modern, "modern"), (url.like("http://%/en/%"), "english"), (F.length(html).between(5000, 10000), "sized"), (F.substring(html, 1, 2) == "<!", "markup")]
+    pages = _table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), classify.first_match(rules, "unknown").alias("route"))
+    rules = [(F.col("lang") == "de", "german"), (F.col("n_chars").between(1000, 2000), "sized"), (F.col("source") == "src0", "first")]
+    docs = _table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), classify.first_match(rules, "unknown").alias("route"))
+    return edits.appended(pages, docs)
+
+
+@_query(
     """SELECT e.event_type, coalesce(a.label, w.label, '$' || upper(substr(e.event_type, 1, 2))) AS label, count(*) AS n
-       FROM {events} e LEFT JOIN (VALUES ('click', 1, 'odd click')) AS a(event_type, aux, label) ON a.event_type = e.event_type AND a.aux = e.user_id % 2
-       LEFT JOIN (VALUES ('click', 'any click'), ('view', 'look')) AS w(event_type, label) ON w.event_type = e.event_type GROUP BY 1, 2""",
-)
-_same("catalog_filter", "part", "SELECT p_partkey, p_name, p_type FROM {part} WHERE (lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%a%') AND p_size > 10")
+       FROM events e LEFT JOIN (VALUES ('click', 1, 'odd click')) AS a(event_type, aux, label) ON a.event_type = e.event_type AND a.aux = e.user_id % 2
+       LEFT JOIN (VALUES ('click', 'any click'), ('view', 'look')) AS w(event_type, label) ON w.event_type = e.event_type GROUP BY 1, 2"""
+)
+def dimension_default(spark: SparkSession, d: str) -> DataFrame:
+    """A type table's exact row, else its row for any auxiliary type, else the type's code."""
+    types = spark.createDataFrame([("click", 1, "odd click"), ("click", None, "any click"), ("view", None, "look")], "event_type string, aux long, text string")
+    rows = _table(spark, d, "events").select("event_type", (F.col("user_id") % 2).cast("long").alias("aux"))
+    code = F.concat(F.lit("$"), F.upper(F.substring("event_type", 1, 2)))
+    return filetypes.looked_up(rows, types, "event_type", "aux", F.col("text"), "label", code).groupBy("event_type", "label").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT p_partkey, p_name, p_type FROM part WHERE (lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%a%') AND p_size > 10")
+def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
+    found = classify.contains_text(F.col("p_name"), "1") | classify.contains_text(F.col("p_type"), "A")
+    return _table(spark, d, "part").where(found & (F.col("p_size") > 10)).select("p_partkey", "p_name", "p_type")
+
 
 # ---- selection and edits ------------------------------------------------------------------------
 
@@ -160,28 +184,50 @@ _same("catalog_filter", "part", "SELECT p_partkey, p_name, p_type FROM {part} WH
 @_query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def selection_semi(spark: SparkSession, d: str) -> DataFrame:
     chosen = _table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, d, "customer").join(chosen, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    return edits.selected(_table(spark, d, "customer"), chosen, "c_custkey").select("c_custkey", "c_name")
 
 
 @_query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def selection_anti(spark: SparkSession, d: str) -> DataFrame:
     chosen = _table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, d, "customer").join(chosen, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return edits.deleted(_table(spark, d, "customer"), chosen, "c_custkey").select("c_custkey", "c_name")
 
 
-_same("selection_toggle", "events", "SELECT user_id FROM {events} WHERE event_type = 'click' GROUP BY user_id HAVING count(*) % 2 = 1")
-_same("append_union_all", "supplier customer", "SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation FROM {supplier} UNION ALL SELECT c_custkey, c_name, c_nationkey FROM {customer}")
-_same("first_wins_dedup", "documents", "SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM {documents}) WHERE k = 1")
-_same(
-    "recent_top10", "events",
-    "SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events}) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 10",
-)
-_same("undo_window", "events", "SELECT user_id, event_id, CAST(seq AS BIGINT) AS seq FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS seq FROM {events}) WHERE seq <= 10")
-_same(
-    "undo_last", "events",
-    """SELECT user_id, max(event_id) AS restored FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events})
-       WHERE k > 1 GROUP BY user_id""",
-)
+@_query("SELECT user_id FROM events WHERE event_type = 'click' GROUP BY user_id HAVING count(*) % 2 = 1")
+def selection_toggle(spark: SparkSession, d: str) -> DataFrame:
+    return edits.toggled(_table(spark, d, "events").where("event_type = 'click'"), "user_id")
+
+
+@_query("SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer")
+def append_union_all(spark: SparkSession, d: str) -> DataFrame:
+    parts = [_table(spark, d, t).selectExpr(f"{c}_{k}key AS id", f"{c}_name AS name", f"{c}_nationkey AS nation") for t, c, k in (("supplier", "s", "supp"), ("customer", "c", "cust"))]
+    return edits.appended(*parts)
+
+
+@_query("SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def first_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "source", "lang", F.md5("text").alias("digest"))
+    return edits.first_wins(docs, F.col("digest"), ["doc_id"]).drop("digest")
+
+
+@_query("SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 10")
+def recent_top10(spark: SparkSession, d: str) -> DataFrame:
+    return edits.recent(_table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@_query("SELECT user_id, event_id, CAST(seq AS BIGINT) AS seq FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS seq FROM events) WHERE seq <= 10")
+def undo_window(spark: SparkSession, d: str) -> DataFrame:
+    return edits.undo_log(_table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], "seq").drop("ts")
+
+
+@_query(
+    """SELECT user_id, max(event_id) AS restored FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+       WHERE k > 1 GROUP BY user_id"""
+)
+def undo_last(spark: SparkSession, d: str) -> DataFrame:
+    log = _table(spark, d, "events").select("user_id", "event_id", "ts")
+    return edits.undone(log, log, "user_id", ["ts", "event_id"]).groupBy("user_id").agg(F.max("event_id").alias("restored"))
+
 
 # ---- windows ------------------------------------------------------------------------------------
 
@@ -218,17 +264,20 @@ def next_bit_artifact(spark: SparkSession, d: str) -> DataFrame:
     return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "color long, n long")
 
 
-_same(
-    "running_offsets", "part",
-    "SELECT p_partkey, coalesce(sum(p_size * 256) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_byte FROM {part}",
-    "SELECT p_partkey, CAST(coalesce(sum(p_size * 256) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte FROM part",
-)
-_same(
-    "slideshow_timeline", "orders",
-    """WITH s AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key, 3 * 30 AS hold FROM {orders}),
+@_query("SELECT p_partkey, CAST(coalesce(sum(p_size * 256) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte FROM part")
+def running_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select("p_partkey", export.offset_before(F.col("p_size") * 256, ["p_brand"], ["p_partkey"]).alias("first_byte"))
+
+
+@_query(
+    """WITH s AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key, 3 * 30 AS hold FROM orders),
        f AS (SELECT *, hold - CASE WHEN next_key IS NULL THEN 0 ELSE 15 END AS shown, CASE WHEN next_key IS NULL THEN 0 ELSE 15 END AS changing FROM s)
-       SELECT o_orderkey, next_key, shown, changing, CAST(sum(shown + changing) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - shown - changing AS BIGINT) AS first_frame FROM f""",
-)
+       SELECT o_orderkey, next_key, shown, changing, CAST(sum(shown + changing) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - shown - changing AS BIGINT) AS first_frame FROM f"""
+)
+def slideshow_timeline(spark: SparkSession, d: str) -> DataFrame:
+    orders = _table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return export.timeline(orders, ["o_custkey"], ["o_orderkey"], 3.0, key="o_orderkey").drop("o_custkey")
+
 
 # ---- recursion and directories ------------------------------------------------------------------
 
@@ -240,12 +289,17 @@ _same(
           UNION ALL SELECT w.start, f.next, w.step + 1 FROM walk w JOIN {_CHAIN.replace('AS fat', 'AS f')} ON f.cluster = w.cluster WHERE f.next > 0 AND w.step < 5)
         SELECT start, cluster, step FROM walk""",
 )
-_same(
-    "dir_size_rollup", "region nation customer",
-    """SELECT r_name AS directory, n_name AS entry, count(c_custkey) AS files, CAST(coalesce(sum(c_custkey), 0) AS BIGINT) AS size FROM {region} JOIN {nation} ON n_regionkey = r_regionkey
-       LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY r_name, n_name
-       UNION ALL SELECT r_name, '', count(c_custkey), CAST(coalesce(sum(c_custkey), 0) AS BIGINT) FROM {region} JOIN {nation} ON n_regionkey = r_regionkey LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY r_name""",
-)
+
+
+@_query(
+    """SELECT r_name AS directory, n_name AS entry, count(c_custkey) AS files, CAST(coalesce(sum(c_custkey), 0) AS BIGINT) AS size FROM region JOIN nation ON n_regionkey = r_regionkey
+       LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name
+       UNION ALL SELECT r_name, '', count(c_custkey), CAST(coalesce(sum(c_custkey), 0) AS BIGINT) FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name"""
+)
+def dir_size_rollup(spark: SparkSession, d: str) -> DataFrame:
+    tree = _table(spark, d, "region").join(_table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    entries = tree.join(_table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return disks.directory_sizes(entries.select(F.col("r_name").alias("directory"), F.col("n_name").alias("entry"), "c_custkey"), "directory", "entry", "c_custkey", "c_custkey")
 
 
 @_query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey) AS extents, count(*) AS n FROM lineitem GROUP BY 1")
@@ -257,17 +311,14 @@ def group_extents(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- bytes and layouts --------------------------------------------------------------------------
 
-#: File-system sector of each of a track's 16 sectors.
-SECTOR_ORDER = (0, 7, 14, 6, 13, 5, 12, 4, 11, 3, 10, 2, 9, 1, 8, 15)
-_PLACE = "CASE i // 4 % 16 " + " ".join(f"WHEN {a} THEN {b}" for a, b in enumerate(SECTOR_ORDER)) + " END"
+_PLACE = "CASE i // 4 % 16 " + " ".join(f"WHEN {a} THEN {b}" for a, b in enumerate(disks.SECTOR_ORDER)) + " END"
 
 
 @_query(_BYTES + f"""SELECT d.doc_id, count(i) AS bytes, CAST(coalesce(sum(v * ((i // 64 * 64 + {_PLACE} * 4 + i % 4) % 251 + 1)), 0) AS BIGINT) AS weighted
     FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.i < octet_length(encode(d.text)) // 64 * 64 GROUP BY 1""")
 def permute_sectors(spark: SparkSession, d: str) -> DataFrame:
     """Tracks of 16 sectors of 4 bytes put in file-system order; what is left of the text is dropped."""
-    place = np.argsort(SECTOR_ORDER)
-    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.grid(b, 64).reshape(-1, 16, 4)[:, place].reshape(-1))
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: disks.permuted(b, disks.SECTOR_ORDER, 4))
 
 
 @_query(
@@ -283,9 +334,15 @@ def tumbling_slices(spark: SparkSession, d: str) -> DataFrame:
     return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "first_byte long, filled long, number long")
 
 
+GRAY = palettes.gray(16)
+
+
 def _recolored(spark: SparkSession, d: str, palette: np.ndarray) -> DataFrame:
+    """How often each colour is shown when a text's nibbles are an index map."""
+
     def kernel(b: np.ndarray) -> tuple:
-        return np.unique(palette[P.nibbles(b)], return_counts=True)
+        shown = decoders.Picture("", "", decoders.bits(b[None], 4), GRAY[None]).colors(palette[None])[0].astype(np.int64)
+        return np.unique(shown @ (1 << 16, 1 << 8, 1), return_counts=True)
 
     return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "rgb long, n long")
 
@@ -295,13 +352,13 @@ _NIBBLES = _BYTES + ", n AS (SELECT doc_id, v // 16 AS q FROM b UNION ALL SELECT
 
 @_query(_NIBBLES + "SELECT doc_id, q * 17 * 65793 AS rgb, count(*) AS n FROM n GROUP BY 1, 2")
 def palette_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return _recolored(spark, d, np.arange(16) * 17 * 0x010101)
+    return _recolored(spark, d, GRAY)
 
 
 @_query(_NIBBLES + "SELECT doc_id, CASE WHEN q = 6 THEN 16711680 ELSE q * 17 * 65793 END AS rgb, count(*) AS n FROM n GROUP BY 1, 2")
 def palette_recolor(spark: SparkSession, d: str) -> DataFrame:
-    palette = np.arange(16) * 17 * 0x010101
-    palette[6] = 0xFF0000
+    palette = GRAY.copy()
+    palette[6] = (255, 0, 0)
     return _recolored(spark, d, palette)
 
 
@@ -384,21 +441,43 @@ def array_pal_from_used(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- naming and export --------------------------------------------------------------------------
 
-_same(
-    "letterbox_fit", "part",
-    """SELECT p_partkey, round(p_size * least(1920.0D / p_size, 1080.0D / (p_size + 7)), 6) AS w, round((p_size + 7) * least(1920.0D / p_size, 1080.0D / (p_size + 7)), 6) AS h FROM {part}""",
+
+@_query(
     """SELECT p_partkey, round(p_size * least(CAST(1920 AS DOUBLE) / p_size, CAST(1080 AS DOUBLE) / (p_size + 7)), 6) AS w,
-       round((p_size + 7) * least(CAST(1920 AS DOUBLE) / p_size, CAST(1080 AS DOUBLE) / (p_size + 7)), 6) AS h FROM part""",
-)
-_same("rename_pattern", "customer", "SELECT c_custkey, replace(replace('img_{{n}}_{{name}}', '{{n}}', CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS STRING)), '{{name}}', c_name) AS out_name FROM {customer}".replace("{{", "[").replace("}}", "]"))
-_same(
-    "export_cross_product", "region nation",
-    """SELECT out_name, count(*) AS copies FROM (SELECT substr(n_name, 1, 3) || '.' || f.ext AS out_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('png'), ('jpg'), ('gif')) AS f(ext)) GROUP BY 1""",
-)
-_same("hex_color", "part", "SELECT p_partkey, format_string('#%02X%02X%02X', p_size, p_size * 5, 255 - p_size) AS hex FROM {part}", "SELECT p_partkey, printf('#%02X%02X%02X', p_size, p_size * 5, 255 - p_size) AS hex FROM part")
+       round((p_size + 7) * least(CAST(1920 AS DOUBLE) / p_size, CAST(1080 AS DOUBLE) / (p_size + 7)), 6) AS h FROM part"""
+)
+def letterbox_fit(spark: SparkSession, d: str) -> DataFrame:
+    fit = export.letterbox(F.col("p_size"), F.col("p_size") + 7, 1920, 1080)
+    return _table(spark, d, "part").select("p_partkey", F.round(fit["w"], 6).alias("w"), F.round(fit["h"], 6).alias("h"))
+
+
+@_query("SELECT c_custkey, replace(replace('img_[n]_[name]', '[n]', CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS STRING)), '[name]', c_name) AS out_name FROM customer")
+def rename_pattern(spark: SparkSession, d: str) -> DataFrame:
+    images = _table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_name").alias("name"))
+    return export.renamed(images, "img_{n}_{name}", ["c_custkey"], ["c_nationkey"]).select("c_custkey", "out_name")
+
+
+@_query("""SELECT out_name, count(*) AS copies FROM (SELECT substr(n_name, 1, 3) || '.' || f.ext AS out_name FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('png'), ('jpg'), ('gif')) AS f(ext)) GROUP BY 1""")
+def export_cross_product(spark: SparkSession, d: str) -> DataFrame:
+    images = edits.selected(_table(spark, d, "nation"), _table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey")
+    plan = export.export_plan(images.select(F.substring("n_name", 1, 3).alias("name")), ["png", "jpg", "gif"])
+    return plan.select("out_name", F.col("sharing").alias("copies")).distinct()
+
+
+@_query("SELECT p_partkey, printf('#%02X%02X%02X', p_size, p_size * 5, 255 - p_size) AS hex FROM part")
+def hex_color(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    return _table(spark, d, "part").select("p_partkey", images.hex_color(size, size * 5, 255 - size).alias("hex"))
+
+
 _same(
     "size_label", "lineitem",
     "SELECT l_orderkey, max(l_partkey) AS bytes, CASE WHEN max(l_partkey) < 1024 THEN concat(max(l_partkey), ' B') ELSE concat(max(l_partkey) div 1024, ' KB') END AS label FROM {lineitem} GROUP BY l_orderkey",
     "SELECT l_orderkey, max(l_partkey) AS bytes, CASE WHEN max(l_partkey) < 1024 THEN concat(max(l_partkey), ' B') ELSE concat(max(l_partkey) // 1024, ' KB') END AS label FROM lineitem GROUP BY l_orderkey",
 )
-_same("screensaver_names", "nation", "SELECT n_nationkey, format_string('%03d_%s.png', row_number() OVER (ORDER BY n_nationkey), n_name) AS out_name FROM {nation}", "SELECT n_nationkey, printf('%03d_%s.png', row_number() OVER (ORDER BY n_nationkey), n_name) AS out_name FROM nation")
+
+
+@_query("SELECT n_nationkey, printf('%03d_%s.png', row_number() OVER (ORDER BY n_nationkey), n_name) AS out_name FROM nation")
+def screensaver_names(spark: SparkSession, d: str) -> DataFrame:
+    images = _table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    return export.screensaver_names(images, ["n_nationkey"]).select("n_nationkey", "out_name")

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.runtime import ship
@@ -155,14 +156,74 @@ def d64(b: bytes) -> Iterator[Entry]:
 
 # ---- Apple II -----------------------------------------------------------------------------------
 
-# The file-system sector of each sector of a DOS-order track, by pairs the ProDOS blocks.
-DOS_TO_PRODOS = (0, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 15)
+# The place in ProDOS order of each sector of a DOS-order track, and the reversed interleave, which gives
+# the sector that each half of a block is read from.
+SECTOR_ORDER = (0, 7, 14, 6, 13, 5, 12, 4, 11, 3, 10, 2, 9, 1, 8, 15)
+REVERSED = (0, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 15)
+FLOPPY_BLOCKS = 280
+
+
+def permuted(b: np.ndarray, order: tuple[int, ...], size: int = 256) -> np.ndarray:
+    """Sector ``s`` of each track moved to place ``order[s]``; an unfinished last track is dropped."""
+    track = len(order) * size
+    return b[: len(b) // track * track].reshape(-1, len(order), size)[:, np.argsort(order)].reshape(-1)
 
 
 def to_prodos_order(b: bytes) -> bytes:
     _need(len(b) == 143360)
-    sectors = [b[i : i + 256] for i in range(0, len(b), 256)]
-    return b"".join(sectors[t * 16 + s] for t in range(35) for s in DOS_TO_PRODOS)
+    return permuted(np.frombuffer(b, np.uint8), SECTOR_ORDER).tobytes()
+
+
+def to_reversed_order(b: bytes) -> bytes:
+    _need(len(b) == 143360)
+    return np.frombuffer(b, np.uint8).reshape(35, 16, 256)[:, REVERSED].tobytes()
+
+
+def _indexed_file(b: bytes, kind: int, key: int, size: int) -> bytes | None:
+    """A file by its index blocks, of which holes are left out; None where the key block cannot be an index."""
+    block = lambda k: b[k * 512 : k * 512 + 512]
+    numbers = lambda k: [low | high << 8 for low, high in zip(block(k)[:256], block(k)[256:])]
+    if not 0 < key < FLOPPY_BLOCKS:
+        return None
+    if kind == 1:
+        return block(key)[:size] or None
+    index = numbers(key)
+    if kind == 2:
+        if max(index) >= 512 or not any(0 < k < FLOPPY_BLOCKS for k in index):
+            return None
+        data = index
+    else:
+        if max(index[:128]) >= FLOPPY_BLOCKS:
+            return None
+        data = [k for i in index[:128] if i for k in numbers(i)]
+    return b"".join(block(k) for k in data if 0 < k < FLOPPY_BLOCKS)[:size] or None
+
+
+def prodos_in_dos_order(b: bytes) -> Iterator[Entry]:
+    """ProDOS written through a DOS-order image: the directory goes down from sector 11.
+
+    A file is read by the first order in which its index makes sense: reversed, ProDOS, as stored; then as one run of
+    blocks. Of entries with one name the first stands; directories are left out.
+    """
+    views = (to_reversed_order(b), to_prodos_order(b), b)
+    head = b[2816:3072]
+    _need(head[4] >> 4 == 15 and head[4] & 15 > 0 and all(c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789." for c in head[5 : 5 + (head[4] & 15)]) and _le(head, 0x25) < 1000)
+    seen: set[str] = set()
+    for top in range(11, 0, -2):
+        d = b[top * 256 : top * 256 + 256] + b[(top - 1) * 256 : top * 256]
+        for at in range(43 if top == 11 else 4, 512 - 38, 39):
+            e = d[at : at + 39]
+            kind, name = e[0] >> 4, e[1 : 1 + (e[0] & 15)].decode("latin-1")
+            if kind not in (1, 2, 3) or not name or name in seen:
+                continue
+            seen.add(name)
+            key, size = _le(e, 17), _le(e, 21, 3)
+            found = next((f for f in (_indexed_file(v, kind, key, size) for v in views) if f is not None), None)
+            if found is None:
+                found = b[key * 512 : min(FLOPPY_BLOCKS, key + -(-size // 512)) * 512][:size]
+            yield Entry(name, found, size, e[16], _le(e, 31), _le(e, 19))
+        if not _le(d, 2):
+            break
 
 
 def dos33(b: bytes) -> Iterator[Entry]:
@@ -239,11 +300,13 @@ def prodos(b: bytes) -> Iterator[Entry]:
 
 def apple_any_order(b: bytes) -> Iterator[Entry]:
     """ProDOS, DOS 3.3, or ProDOS on a disk in DOS order."""
-    for reader in (prodos, dos33, lambda x: prodos(to_prodos_order(x))):
+    for reader in (prodos, dos33, prodos_in_dos_order, lambda x: prodos(to_prodos_order(x))):
         try:
-            return iter(list(reader(b)))
+            found = list(reader(b))
         except (NotThis, IndexError):
             continue
+        if found:
+            return iter(found)
     raise NotThis
 
 
@@ -427,6 +490,10 @@ READERS: tuple[tuple[str, Callable[[bytes], Iterator[Entry]]], ...] = (
 )
 
 
+#: Formats whose catalogues are shown by name; a directory comes before what it holds.
+BY_NAME = ("CPC", "ATR", "MSX", "Atari ST", "CoCo", "BBC Micro")
+
+
 def catalogue(content: bytes) -> tuple[str, list[Entry]] | None:
     """The format's name and all entries, or None if no reader knows the blob."""
     for name, reader in READERS:
@@ -435,7 +502,7 @@ def catalogue(content: bytes) -> tuple[str, list[Entry]] | None:
         except (NotThis, IndexError):
             continue
         if found:
-            return name, found
+            return name, sorted(found, key=lambda e: (e.parent + e.name).lower().split("/")) if name in BY_NAME else found
     return None
 
 
@@ -467,6 +534,21 @@ def disk_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "name", "content").mapInArrow(run, f"disk_path string, disk_name string, {_SQL}")
 
 
-def counts(entries: DataFrame) -> DataFrame:
-    """Files and directories of each disk, and their bytes."""
-    return entries.groupBy("disk_path").agg(F.count_if(~F.col("is_directory")).alias("files"), F.count_if("is_directory").alias("directories"), F.sum(F.when(~F.col("is_directory"), F.col("size"))).alias("bytes"))
+def rollup_counts(entries: DataFrame, by: str, is_file: Column, is_image: Column) -> DataFrame:
+    """``entries``, ``files`` and ``images`` of each group."""
+    return entries.groupBy(by).agg(F.count("*").alias("entries"), F.count_if(is_file).alias("files"), F.count_if(is_image).alias("images"))
+
+
+def counts(entries: DataFrame, is_image: Column | None = None) -> DataFrame:
+    """Files, directories and images of each disk, and the files' bytes; ``is_image`` is the caller's test, none by default."""
+    is_file = ~F.col("is_directory")
+    image = F.lit(False) if is_image is None else is_image & is_file
+    return entries.groupBy("disk_path").agg(
+        F.count_if(is_file).alias("files"), F.count_if(image).alias("images"), F.count_if("is_directory").alias("directories"), F.sum(F.when(is_file, F.col("size"))).alias("bytes")
+    )
+
+
+def directory_sizes(entries: DataFrame, directory: str, name: str, counted: str, size: str) -> DataFrame:
+    """``files`` and ``size`` of each entry and, with an empty ``name``, of each directory; absent files count as 0."""
+    sums = entries.rollup(directory, name).agg(F.count(counted).alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("size"), F.grouping(directory).alias("_all"), F.grouping(name).alias("_whole"))
+    return sums.where("_all = 0").withColumn(name, F.when(F.col("_whole") == 1, "").otherwise(F.col(name))).drop("_all", "_whole")

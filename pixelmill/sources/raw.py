@@ -22,6 +22,6 @@ def raw_files(spark: SparkSession, *paths: str, pattern: str | None = None) -> D
 
 
 def modern_images(spark: SparkSession, *paths: str) -> DataFrame:
-    """``path, width, height, pixels`` (BGR) by the built-in image source: PNG, JPEG, GIF, BMP."""
-    got = spark.read.format("image").option("dropInvalid", "true").load(list(paths))
-    return got.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.data").alias("pixels"))
+    """``path, width, height, channels, pixels`` (grey, BGR or BGRA) by the built-in image source: PNG, JPEG, GIF, BMP."""
+    got = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(list(paths))
+    return got.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))

@@ -231,7 +231,7 @@ def fat_disk(oem=b"      "):
 def test_fat():
     raw, body = fat_disk()
     name, found = disks.catalogue(raw)
-    assert [e.name for e in found] == ["PICTURE.PI1", "LOOP.BIN"] and found[0].content == body and len(found[1].content) == 1024
+    assert [e.name for e in found] == ["LOOP.BIN", "PICTURE.PI1"] and found[1].content == body and len(found[0].content) == 1024
     assert disks.catalogue(fat_disk(b"MSX   ")[0])[0] == "MSX"
 
 
