@@ -9,7 +9,7 @@ in the document where it stands, and all others go. Candidates share one of 22 b
 a pair at 0.8 with probability 9e-6 and at 0.85 with 1e-7; ``set_links`` verifies and connects them.
 
 All texts are split and sketched once, in blocks of lines; only the lines that share a band are read again, by their
-place. Memory is bounded by an Arrow batch and some 60 times a block, which is half a megabyte or one longer line.
+place. Memory is bounded by an Arrow batch and some 60 times a block, which is a quarter of a megabyte or one longer line.
 
 Edge cases: a null text stays null and an empty one empty, without lines to drop; a document may lose all lines,
 and stays with an empty text; rows with one doc_id count their lines together in the order of their texts; of rows
@@ -144,7 +144,8 @@ def _without(text: str, gone: str, n: str):  # noqa: ANN202
 def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, text_hash, gone``: the numbers of the lines that go, by document."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    units = scratch.table(docs.where("text <> ''").mapInArrow(_units(width, min_chars), _UNITS), "units")
+    sketched = scratch.table(docs.where("text <> ''").mapInArrow(_units(width, min_chars), _UNITS), "sketched")
+    units = scratch.table(sketched.drop("bands", *SIGNS), "units")
 
     # Lines of one key; a node is known by the first word of its key, as classes of documents are in ``near_dups``.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
@@ -157,8 +158,8 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_char
         places = node_keys(wanted).groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
         return by_place(docs, places, ["text"], ["wanted"]).mapInArrow(_wanted_lines, "c long, text string")
 
-    nodes = units.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands", *SIGNS)
-    comp = set_components(nodes, describe, partial(line_sets, width=width), percent, BINS // ROWS, scratch)
+    nodes = sketched.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands", *SIGNS)
+    comp = set_components(nodes, describe, partial(line_sets, width=width), percent, BINS // ROWS, scratch, "sketched")
     comp = node_keys(comp.withColumnRenamed("node", "c")).join(comp, F.col("k1") == F.col("node")).select("k1", "k2", "comp")
 
     # The first line of each key, then of each component; lines that share either are the only ones that can go.

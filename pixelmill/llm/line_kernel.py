@@ -13,7 +13,7 @@ import numpy as np
 
 from .common import LOWER, mix
 
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _MULT = mix(np.arange(21, 21 + 64, dtype=np.uint64)) | np.uint64(1)
 
 # White space as Unicode has it: single bytes, then the encodings of two and three bytes by lead byte.

@@ -100,7 +100,8 @@ def near_rows(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sk = scratch.table(docs.mapInArrow(_sketches(width, bins, rows), _SKETCH), "sketch")
+    sketched = scratch.table(docs.mapInArrow(_sketches(width, bins, rows), _SKETCH), "sketched")
+    sk = scratch.table(sketched.drop("bands", *SIGNS), "sets")
     full = sk.where("n_shingles > 0")
 
     # A class of equal sets is a node, known by the first word of its key; should two classes share that, the one with
@@ -111,7 +112,8 @@ def near_rows(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins: int
     def describe(wanted: DataFrame) -> DataFrame:
         return by_place(docs, classes.join(wanted, "c"), ["text"], ["c"])
 
-    comp = set_components(full.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("c"), "bands", *SIGNS), describe, partial(shingle_sets, width=width), percent, bins // rows, scratch)
+    nodes = sketched.where("n_shingles > 0").select(F.col("k1").alias("c"), "bands", *SIGNS)
+    comp = set_components(nodes, describe, partial(shingle_sets, width=width), percent, bins // rows, scratch, "sketched")
     comp = comp.join(classes.select("c", "k2"), F.col("node") == F.col("c")).select(F.col("node").alias("k1"), "k2", "comp")
 
     # The first row of each component, and so back to the rows.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, mix
 from .components import components
 
 #: A column of texts to (position, sorted distinct hashes) of each.
@@ -41,7 +41,9 @@ Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
 SMALL, MEDIUM = 12, 128
 #: Bands that one exchange moves at most.
 ROUND = 12
-#: Bands that are dealt by member as well.
+#: Rows (band, set) that are dealt, packed or sorted at once.
+GROUP = 1 << 20
+#: Bands that are dealt by member.
 COMMON = 10_000
 #: A set's bitmap, and a bound of its size from above.
 SIGNS = ["most", *[f"b{i}" for i in range(8)]]
@@ -65,39 +67,96 @@ def signs(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
 # ---- buckets ------------------------------------------------------------------------------------
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, c, common) sorted by band, without bands of one row, unless they are known to be common."""
-    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-    left = np.zeros(1, bool)
-    for batch in batches:
-        rows = [np.concatenate([have, new.to_numpy(zero_copy_only=False)]) for have, new in zip(kept, batch.columns)]
-        if not len(rows[0]):
-            continue
-        band, c, common = rows
-        same = band[1:] == band[:-1]
-        keep = np.append(left, same)[:-1] | same | common[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(band[:-1][keep]), pa.array(c[:-1][keep])], names=["band", "c"])
-        kept, left = [x[-1:] for x in rows], np.append(left, same)[-1:]
-    keep = left[: len(kept[0])] | kept[2]
-    yield pa.RecordBatch.from_arrays([pa.array(kept[0][keep]), pa.array(kept[1][keep])], names=["band", "c"])
+_DEALT = "g long, bands binary, cs binary"
+
+
+def _deal(first: int, last: int, common: np.ndarray, bits: int):  # noqa: ANN202
+    """Sets' bands ``first`` to ``last`` and their ids by group ``g``: the first ``bits`` bits of the band or, if it is common, of the id's hash."""
+
+    def flush(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bands, c = np.concatenate([b for b, _ in kept]), np.concatenate([c for _, c in kept])
+        c, once = np.unique(c, return_index=True)
+        width = bands.shape[1]
+        bands, c = bands[once].reshape(-1), np.repeat(c, width)
+        g = bands.view(np.uint64) >> np.uint64(64 - bits)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, bands), len(common) - 1)
+            hot = np.flatnonzero(common[at] == bands)
+            g[hot] = mix(c[hot].view(np.uint64)) >> np.uint64(64 - bits)
+        order = np.argsort(g, kind="stable")
+        g, bands, c = g[order], bands[order], c[order]
+        cuts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        ends = np.append(cuts, len(g)) * 8
+        blobs = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(x)]).cast(pa.binary()) for x in (bands, c)]
+        return pa.RecordBatch.from_arrays([pa.array(g[cuts].view(np.int64)), *blobs], names=["g", "bands", "cs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kept.append((batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)[:, first:last], batch.column("c").to_numpy()))
+                n += batch.num_rows * (last - first)
+            if n >= GROUP:
+                yield flush(kept)
+                kept, n = [], 0
+        if kept:
+            yield flush(kept)
+
+    return run
+
+
+def _shared(common: np.ndarray):  # noqa: ANN202
+    """Rows of ``_deal`` sorted by group to the rows (band, c), once each, of bands of several sets and of common ones."""
+
+    def bucket(bands: list[bytes], cs: list[bytes]) -> pa.RecordBatch:
+        band, c = (np.frombuffer(b"".join(x), np.int64) for x in (bands, cs))
+        order = np.argsort(band)
+        band, c = band[order], c[order]
+        hot = np.isin(band, common)
+        for _ in range(2):  # then without rows that stand twice
+            same = np.append(False, band[1:] == band[:-1])
+            keep = same | np.append(same[1:], False) | hot
+            band, c, hot = band[keep], c[keep], hot[keep]
+            order = np.lexsort((c, band))
+            band, c, hot = band[order], c[order], hot[order]
+            once = np.append(True, (band[1:] != band[:-1]) | (c[1:] != c[:-1]))[: len(band)]
+            band, c, hot = band[once], c[once], hot[once]
+        return pa.RecordBatch.from_arrays([pa.array(band), pa.array(c)], names=["band", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, bands, cs = None, [], []
+        for batch in batches:
+            for g, b, c in zip(batch.column("g").to_pylist(), batch.column("bands"), batch.column("cs")):
+                if g != group and bands:
+                    yield bucket(bands, cs)
+                    bands, cs = [], []
+                group = g
+                bands.append(b.as_py())
+                cs.append(c.as_py())
+        if bands:
+            yield bucket(bands, cs)
+
+    return run
 
 
 def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> DataFrame:
     """``nodes(c, bands)`` to ``band, c, n`` where ``n > 1`` sets share a band.
 
-    An exchange by band for every ``ROUND`` bands, so that no more of them are on disk at once. The most common bands, as a sample shows them, are dealt by ``c`` as well: all their rows
-    are shared anyway. There are at most ``COMMON`` of these; every other band holds a smaller part of the rows.
+    Bands are dealt in groups of about ``GROUP`` rows, packed as arrays of numbers, in an exchange for every ``ROUND``
+    bands, so that no more of them are on disk at once. The most common bands, as a sample shows them, are dealt by
+    ``c`` instead: all their rows are shared anyway. There are at most ``COMMON`` of these; every other band holds a
+    smaller part of the rows.
     """
     sample = nodes.sample(0.01, seed=1).select(F.explode("bands").alias("band")).groupBy("band").count()
-    common = sample.where("count >= 20").orderBy(F.desc("count"), "band").limit(COMMON).select("band", F.lit(True).alias("common"))
-    common = scratch.table(common, "links_common")
+    common = sample.where("count >= 20").orderBy(F.desc("count"), "band").limit(COMMON).select("band").toArrow()
+    common = np.sort(common.column("band").to_numpy())
+    nodes = nodes.select("c", "bands")
     rounds = max(1, -(-n_bands // ROUND))
     step, parts = -(-n_bands // rounds), []
+    bits = max(6, (nodes.count() * step // GROUP).bit_length())
     for r in range(rounds):
-        banded = nodes.select(F.explode(F.slice("bands", r * step + 1, step)).alias("band"), "c").join(F.broadcast(common), "band", "left")
-        banded = banded.select("band", "c", F.coalesce("common", F.lit(False)).alias("common"))
-        dealt = banded.repartition("band", F.when(F.col("common"), F.col("c"))).sortWithinPartitions("band")
-        parts.append(scratch.table(dealt.mapInArrow(_shared, "band long, c long").distinct(), f"links_met{r}"))
+        dealt = nodes.mapInArrow(_deal(r * step, (r + 1) * step, common, bits), _DEALT).repartition("g").sortWithinPartitions("g")
+        parts.append(scratch.table(dealt.mapInArrow(_shared(common), "band long, c long"), f"links_met{r}"))
     met = reduce(DataFrame.unionByName, parts)
     counts = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     buckets = scratch.table(met.join(counts, "band"), "links_buckets")
@@ -217,15 +276,19 @@ def _far_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: in
     return joined.select(*_ordered()).distinct()
 
 
-def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, n_bands: int, scratch: Scratch) -> DataFrame:
+def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, n_bands: int, scratch: Scratch, sketched: str) -> DataFrame:
     """``nodes(c, bands, *SIGNS)``, a row or more for each set of ``n_bands`` bands, to ``(node, comp)`` of all sets with links.
 
+    ``nodes`` reads the scratch table ``sketched``, which is dropped once bands and bitmaps have been taken from it.
+
     ``describe`` gives ``c, text`` for the sets of a table ``c``; ``sets`` are the sets of such texts.
     """
     buckets = _buckets(nodes, n_bands, scratch)
     weights = buckets.groupBy("c").agg(F.sum("n").alias("weight"))
     signs_of = scratch.table(nodes.select("c", *SIGNS).join(weights.hint("merge"), "c").dropDuplicates(["c"]), "links_signs")
+    scratch.drop(sketched)
     signed = scratch.table(buckets.join(signs_of, "c"), "links_signed")
+    scratch.drop("links_buckets")
     pivots = signed.where(F.col("n") > SMALL).groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
     pivots = scratch.table(pivots.select("band", F.col("p0.c").alias("p0"), "p1"), "links_pivots")
 
