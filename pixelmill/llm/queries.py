@@ -16,6 +16,7 @@ from .toxicity import toxicity
 from .unit_dups import UNSPACED, unit_report
 from .url_filter import url_verdicts
 from .vector_search import nearest
+from .whitening import whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +73,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``whitening``."""
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity, op13_embedding_whitening)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sentence ends of ``unit_dups``.
