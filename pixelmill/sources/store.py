@@ -8,6 +8,7 @@ or run twice, and a job that runs again leaves the same files.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -33,6 +34,12 @@ class Staged(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """A folder's file system, and its path there."""
+    store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+    return store, root.rstrip("/")
+
+
 def _checked(name: str | None) -> str:
     if not name or name.startswith("/") or "\\" in name or any(part in ("", ".", "..") for part in name.split("/")):
         raise ValueError(f"not a file name below the folder: {name!r}")
@@ -46,8 +53,7 @@ class FileWriter(DataSourceArrowWriter):
         self.folder, self.overwrite, self.job = folder, overwrite, f"_staging-{uuid.uuid4().hex}"
 
     def _store(self) -> tuple[fs.FileSystem, str]:
-        store, root = fs.FileSystem.from_uri(self.folder)
-        return store, root.rstrip("/")
+        return _opened(self.folder)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, root = self._store()
@@ -133,6 +139,6 @@ def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> None:
 def files_in(spark, folder: str) -> DataFrame:  # noqa: ANN001
     """``name, size, content`` of the files below ``folder`` that are not empty; without ``content`` in what follows no file is opened."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(folder)
-    root = fs.FileSystem.from_uri(folder)[1].rstrip("/") + "/"
+    root = _opened(folder)[1] + "/"
     name = F.substring_index("path", root, -1)
     return got.select(name.alias("name"), F.col("length").alias("size"), "content").where(~F.col("name").startswith("_staging-"))
