@@ -9,6 +9,7 @@ or run twice, and a job that runs again leaves the same files.
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -58,7 +59,7 @@ class FileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, root = self._store()
         place = f"{root}/{self.job}/{uuid.uuid4().hex}"
-        store.create_dir(place, recursive=True)
+        store.create_dir(place, recursive=False)  # fails once the job's folder is gone, so that a task that outlives its job leaves nothing
         files: list[tuple[str, str]] = []
         out = None
         try:
@@ -106,12 +107,28 @@ class FileWriter(DataSourceArrowWriter):
                 for source, target in reversed(done):
                     store.move(target, source)
                 raise
-        store.delete_dir(f"{root}/{self.job}")
+        self._clear()
 
     def abort(self, messages: list[Staged | None]) -> None:
+        self._clear()
+
+    def begin(self) -> FileWriter:
+        """Makes the job's staging folder, on the driver."""
+        store, root = self._store()
+        store.create_dir(f"{root}/{self.job}", recursive=True)
+        return self
+
+    def _clear(self) -> None:
         store, root = self._store()
-        if store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/{self.job}")
+        for wait in (0.1, 0.5, 2.0, None):  # tasks that still run may be writing there
+            try:
+                if store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+                    store.delete_dir(f"{root}/{self.job}")
+                return
+            except OSError:
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 class FileSink(DataSource):
@@ -125,7 +142,7 @@ class FileSink(DataSource):
         return "name string, content binary"
 
     def writer(self, schema: object, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["path"], overwrite)
+        return FileWriter(self.options["path"], overwrite).begin()
 
 
 def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> None:
