@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, cut
 from .exact_dups import exact_duplicates
+from .hard_negatives import hard_negatives
 from .line_dups import dropped_lines
 from .mixing import mixture
 from .near_dups import near_duplicates
@@ -74,6 +75,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``hard_negatives``. A seventh of the labels moves on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), is_anchor=F.col("vec_id") % 100 == 0)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge cases: those of ``token_files``."""
     import public_tokenizers
@@ -86,7 +93,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity, op12_token_files, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity, op11_hard_negatives, op12_token_files, op13_embedding_whitening)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sentence ends of ``unit_dups``.
@@ -171,4 +178,22 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(greatest(0, least(size, (SELECT floor(sum(source_size) * CAST(1.5 AS DOUBLE) + 0.5) FROM per) - before))) AS BIGINT) AS taken
         FROM mixed GROUP BY ALL
     """,
+    "op11_hard_negatives": """
+        WITH t AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NOT NULL AND isfinite(c)]) = len(embedding)),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+            FROM t a JOIN t b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k
+            FROM scores WHERE same),
+        ranked AS (
+            SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id
+            WHERE k <= 5 AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+    """,
 }
