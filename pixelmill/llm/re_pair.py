@@ -2,7 +2,7 @@
 
 ``Block`` holds documents as symbols: an id below ``base`` stands for itself, ``base + k`` for the two symbols of rule k.
 Building it repeats: count all pairs of neighbours within documents, take the most frequent ones, and replace each of
-their occurrences that does not overlap a better one by a new symbol. A round takes all pairs at least a quarter as
+their occurrences that does not overlap a better one by a new symbol. A round takes all pairs at least a 64th as
 frequent as the first, so that a block costs a few sorts. It ends when no pair occurs ``MIN_COUNT`` times, which is when
 a rule would cost more than it saves, or symbols of the block's width are used up.
 
@@ -20,7 +20,7 @@ import numpy as np
 MAGIC = b"REPAIR01"
 #: Magic, bytes of the block with the head, base, bytes of a symbol, documents, rules, symbols, tokens.
 HEAD = struct.Struct("<8sQIIQQQQ")
-MIN_COUNT, SHARE, MOST_ROUNDS = 8, 4, 40
+MIN_COUNT, SHARE, MOST_ROUNDS = 8, 64, 40
 #: Bits of the table that rules most pairs out before they are looked up.
 FILTER_BITS = 22
 
@@ -41,9 +41,12 @@ def _slots(codes: np.ndarray) -> np.ndarray:
     return (codes * kind(0x9E3779B1)) >> kind(codes.dtype.itemsize * 8 - FILTER_BITS)
 
 
-def _frequent(codes: np.ndarray, most: int) -> np.ndarray:
-    """The pairs that a round replaces, most frequent first."""
+def _frequent(codes: np.ndarray, none: int, most: int) -> np.ndarray:
+    """The pairs that a round replaces, most frequent first; ``none`` is no pair."""
     codes = np.sort(codes)
+    codes = codes[: np.searchsorted(codes, none)]
+    if not len(codes):
+        return codes
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     counts = np.diff(np.append(first, len(codes)))
     enough = counts >= max(MIN_COUNT, -(-int(counts.max()) // SHARE))
@@ -90,19 +93,17 @@ class Block:
         last = np.zeros(len(seq), bool)
         last[starts[1:] - 1] = True
         rules = np.zeros((0, 2), np.int64)
-        room = (1 << 8 * width) - base
+        room = (1 << 8 * width) - 1 - base  # the last symbol stands for no pair
+        none = np.iinfo(np.uint32 if width == 2 else np.uint64).max
         for _ in range(MOST_ROUNDS):
             if len(seq) < 2 or len(rules) >= room:
                 break
             codes = _pairs(seq, width)
-            inner = np.flatnonzero(~last[:-1])
-            codes = codes[inner]
-            if not len(codes):
-                break
-            chosen = _frequent(codes, room - len(rules))
+            codes[last[:-1]] = none
+            chosen = _frequent(codes, none, room - len(rules))
             if not len(chosen):
                 break
-            at, rank = _occurrences_within(codes, inner, chosen)
+            at, rank = _occurrences(codes, chosen)
             used = np.bincount(rank, minlength=len(chosen)) >= MIN_COUNT // 2
             if not used.any():
                 break
@@ -207,13 +208,3 @@ class Block:
                     left, right = self.rules[s - self.base].tolist()
                     stack += [right, left]
         return np.array(out[head : head + last - first], np.uint32)
-
-
-def _occurrences_within(codes: np.ndarray, inner: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``_occurrences`` of pairs that do not cross documents, as places of the whole sequence.
-
-    Neighbours among ``codes`` that a document's end separates do not touch, and so could only lose an occurrence to
-    each other, never overlap.
-    """
-    at, rank = _occurrences(codes, chosen)
-    return inner[at], rank

@@ -18,6 +18,7 @@ table gives no files and an empty result.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,18 +35,53 @@ from .common import Scratch, blocks, cut, text_bytes
 from .re_pair import Block
 
 END_ID = 1
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Bytes of ids in a file: at least and, beyond three files for each core, at most about so many.
 LEAST_BYTES, MOST_BYTES = 4 << 20, 64 << 20
-#: Words, and characters of them, whose ids a worker remembers.
-MOST_WORDS, MOST_CHARS = 400_000, 32_000_000
+#: Words, and characters of them, whose ids a worker remembers, and words that are tokenised at once.
+MOST_WORDS, MOST_CHARS, CHUNK = 250_000, 32_000_000, 2000
 #: Files whose totals are added up in one group.
 VOLUME = 1024
-_BLANKS = str.maketrans("\n\t\r", "   ")
+
+
+class _Numbers(dict):
+    """Word to its number; a new word gets the next one and waits for its ids."""
+
+    def __init__(self, waiting: list[str]) -> None:
+        self.waiting, self.first = waiting, 1
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = self.first + len(self.waiting)
+        self.waiting.append(word)
+        return k
+
+
+class _Ids:
+    """Lists of ids by number, as one array and where each begins."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a sequence of numbers, and how many each has."""
+        first = self.starts[numbers]
+        count = self.starts[numbers + 1] - first
+        stop = np.cumsum(count)
+        return self.flat[np.repeat(first - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)], count
+
+
+def _tail(word: str) -> int:
+    """Where a word's closing punctuation begins that the vocabulary always takes apart: behind a Latin letter."""
+    head = word.rstrip(string.punctuation)
+    return len(head) if head and head[-1].isalpha() and head[-1] < "\u0250" and head[-1] != "\u0130" and "<|" not in word else len(word)
 
 
 class WordIds:
-    """Ids of whole texts, by tokenising each distinct word once."""
+    """Ids of whole texts, by tokenising each distinct word, and of words that differ in closing marks the part before, once."""
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,41 +89,78 @@ class WordIds:
 
         self.model, self.end_id = Tokenizer.from_file(path), end_id
         self.size = max(self.model.get_vocab_size(with_added_tokens=True), end_id + 1)
-        probe = "It's a probe:\t1234 Äö  你好,\n\r\nnaïvé ́x --- WORDS'll do.<|endoftext|> ΣΣ "
+        self.closes = np.zeros(self.size, bool)  # ids that end a word
+        for token, i in self.model.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+        probe = "It's a probe:\t1234 Äö  你好,\n\r\nnaïvé ́x --- WORDS'll do.<|endoftext|> ΣΣ İ, i, <|endoftext|>! word\u0301, "
         self._clear()
         if self.encode([probe])[0].tolist()[:-1] != self.model.encode(probe, add_special_tokens=False).ids:
             raise ValueError(f"{path} does not tokenise word by word")
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.stops, self.chars = [np.array([self.end_id], np.uint32)], [1], 0
+        self.new_words: list[str] = []
+        self.new_parts: list[str] = []
+        self.words, self.parts, self.chars = _Numbers(self.new_words), _Numbers(self.new_parts), 0
+        self.word_ids, self.part_ids = _Ids(), _Ids()
+        self.word_ids.add(np.array([self.end_id]), np.array([1]))  # number 0 is the end
+        self.part_ids.add(np.zeros(0), np.array([0]))
+
+    def _separate(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, and how many each has."""
+        got = [e.ids for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def _add_parts(self) -> None:
+        waiting = self.new_parts[:]
+        plain = [p.isascii() and p.isalpha() for p in waiting]
+        order = sorted(range(len(waiting)), key=plain.__getitem__)
+        k = len(order) - sum(plain)
+        flats, sizes = [np.zeros(0, np.uint32)], np.zeros(len(order), np.int64)
+        for lo, hi in [*((i, min(i + CHUNK, k)) for i in range(0, k, CHUNK)), *((i, min(i + CHUNK, len(order))) for i in range(k, len(order), CHUNK))]:
+            chunk = [waiting[i] for i in order[lo:hi]]
+            flat = None
+            if lo >= k:  # letters only are one word each, which can be told apart again when they are joined
+                joined = np.array(self.model.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.closes[joined]) + 1
+                if len(ends) == len(chunk):
+                    flat, size = joined, np.diff(ends, prepend=0)
+            if flat is None:
+                flat, size = self._separate(chunk)
+            flats.append(flat)
+            sizes[lo:hi] = size
+        own = _Ids()
+        own.add(np.concatenate(flats), sizes)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.part_ids.add(*own.take(back))
+        self.parts.first += len(waiting)
+        self.new_parts.clear()
+
+    def _add_words(self) -> None:
+        numbers = []
+        for w in self.new_words:
+            at = _tail(w)
+            numbers += (self.parts[w[:at]], self.parts[w[at:]])
+        self._add_parts()
+        flat, sizes = self.part_ids.take(np.array(numbers, np.int64))
+        self.word_ids.add(flat, sizes.reshape(-1, 2).sum(1))
+        self.chars += sum(map(len, self.new_words))
+        self.words.first += len(self.new_words)
+        self.new_words.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end id after each, and the ``len + 1`` offsets of the texts."""
-        if len(self.known) > MOST_WORDS or self.chars > MOST_CHARS:
+        if len(self.words) > MOST_WORDS or self.chars > MOST_CHARS:
             self._clear()
-        words = [t.translate(_BLANKS).split(" ") for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        if new:
-            got = self.model.encode_batch_fast(new, add_special_tokens=False)
-            sizes = np.fromiter((len(e) for e in got), np.int64, len(new))
-            self.known.update(zip(new, range(len(self.stops), len(self.stops) + len(new))))
-            self.flat.append(np.fromiter((i for e in got for i in e.ids), np.uint32, int(sizes.sum())))
-            self.stops.extend((np.cumsum(sizes) + self.stops[-1]).tolist())
-            self.chars += sum(map(len, new))
-        if len(self.flat) > 1:
-            self.flat = [np.concatenate(self.flat)]
-        find, numbers, ends = self.known.__getitem__, [], [0]
-        for ws in words:
-            numbers.extend(map(find, ws))
+        find, numbers, ends = self.words.__getitem__, [], [0]
+        for t in texts:
+            numbers.extend(map(find, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
             numbers.append(0)
             ends.append(len(numbers))
-        num, stops = np.array(numbers, np.int64), np.array(self.stops, np.int64)
-        first = np.where(num > 0, stops[num - 1], 0)
-        count = stops[num] - first
-        stop = np.cumsum(count)
-        ids = self.flat[0][np.repeat(first - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
-        return ids, np.concatenate([[0], stop])[np.array(ends)]
+        if self.new_words:
+            self._add_words()
+        ids, count = self.word_ids.take(np.array(numbers, np.int64))
+        return ids, np.concatenate([[0], np.cumsum(count)])[np.array(ends)]
 
 
 @lru_cache(maxsize=1)
@@ -114,11 +187,11 @@ def _tokenised(path: str, end_id: int):  # noqa: ANN202
     return run
 
 
-def _compressed(path: str, end_id: int):  # noqa: ANN202
-    """A sorted partition's documents to the blocks of its file."""
+def _compressed(base: int):  # noqa: ANN202
+    """A sorted partition's documents to the blocks of its file; ids are below ``base``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _words(path, end_id).size
+        _words.cache_clear()  # the words of an earlier task of this worker
         kind = "<u2" if base <= 1 << 16 else "<u4"
         name = f"part-{TaskContext.get().partitionId():06d}.rpr"
         docs: list[int | None] = []
@@ -158,7 +231,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     placed = ids.withColumn("none", F.col("doc_id").isNull()).withColumn("place", F.monotonically_increasing_id())
     order = ["none", "doc_id", "crc", "place"]
     ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    write_files(ranged.mapInArrow(_compressed(tokenizer_path, end_id), "name string, content binary"), folder, overwrite)
+    write_files(ranged.mapInArrow(_compressed(WordIds(tokenizer_path, end_id).size), "name string, content binary"), folder, overwrite)
     scratch.drop()
 
 
