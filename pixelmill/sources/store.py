@@ -35,7 +35,7 @@ class Staged(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
     """A folder's file system, and its path there."""
     store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
     return store, root.rstrip("/")
@@ -54,7 +54,7 @@ class FileWriter(DataSourceArrowWriter):
         self.folder, self.overwrite, self.job = folder, overwrite, f"_staging-{uuid.uuid4().hex}"
 
     def _store(self) -> tuple[fs.FileSystem, str]:
-        return _opened(self.folder)
+        return opened(self.folder)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, root = self._store()
@@ -153,9 +153,18 @@ def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> None:
     files.select("name", "content").write.format(FORMAT).mode("overwrite" if overwrite else "append").save(folder)
 
 
+def _scan(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(~F.col("path").contains("/_staging-"))
+
+
+def paths_in(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    """``path`` of the files below ``folder`` that are not empty, for readers that open them (``opened``) and take them in parts."""
+    return _scan(spark, folder).select("path")
+
+
 def files_in(spark, folder: str) -> DataFrame:  # noqa: ANN001
     """``name, size, content`` of the files below ``folder`` that are not empty; without ``content`` in what follows no file is opened."""
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(folder)
-    root = _opened(folder)[1] + "/"
+    got = _scan(spark, folder)
+    root = opened(folder)[1] + "/"
     name = F.substring_index("path", root, -1)
-    return got.select(name.alias("name"), F.col("length").alias("size"), "content").where(~F.col("name").startswith("_staging-"))
+    return got.select(name.alias("name"), F.col("length").alias("size"), "content")
