@@ -56,7 +56,7 @@ class _Words(dict):
         return k
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The public byte-level spelling: printable Latin-1 characters stand for themselves, the rest for 256 and up."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
@@ -80,7 +80,7 @@ class WordTokenizer:
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        model, byte = Tokenizer.from_file(path), _byte_of_char()
+        model, byte = Tokenizer.from_file(path), byte_of_char()
         added = model.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
             raise ValueError(f"{path} has added tokens that do not stand for themselves alone")

@@ -4,7 +4,7 @@
 Building it repeats: count all pairs of neighbours within documents, take the most frequent ones, and replace each of
 their occurrences that does not overlap a better one by a new symbol. A round takes all pairs at least a 64th as
 frequent as the first, so that a block costs a few sorts. It ends when no pair occurs ``MIN_COUNT`` times, which is when
-a rule would cost more than it saves, or symbols of the block's width are used up.
+a rule would cost more than it saves, when symbols of the block's width are used up, or after ``MOST_ROUNDS``.
 
 A block is stored as its head, document ids, symbol and token starts of documents, rules, expansion lengths, symbols.
 Lengths allow random access: ``Block.tokens`` finds the symbols that cover a range of a document and expands those alone.
@@ -20,7 +20,7 @@ import numpy as np
 MAGIC = b"REPAIR01"
 #: Magic, bytes of the block with the head, base, bytes of a symbol, documents, rules, symbols, tokens.
 HEAD = struct.Struct("<8sQIIQQQQ")
-MIN_COUNT, SHARE, MOST_ROUNDS = 8, 64, 40
+MIN_COUNT, SHARE, MOST_ROUNDS = 8, 64, 12
 #: Bits of the table that rules most pairs out before they are looked up.
 FILTER_BITS = 22
 
@@ -149,12 +149,17 @@ class Block:
         ids, null = take("<i8", n), take("u1", n)
         return cls(base, [None if z else int(d) for d, z in zip(ids, null)], take("<i8", n + 1), take("<i8", n + 1), take(kind, 2 * n_rules).reshape(-1, 2).astype(np.int64), take("<u4", n_rules).astype(np.int64), take(kind, n_symbols))
 
+    @staticmethod
+    def size_of(head: bytes | memoryview, at: int = 0) -> int:
+        """Bytes of the block whose head is at ``at``."""
+        return HEAD.unpack_from(head, at)[1]
+
     @classmethod
     def all_in(cls, data: bytes | memoryview) -> Iterator[Block]:
         """The blocks of a file, one after the other."""
         view, at = memoryview(data), 0
         while at < len(view):
-            size = HEAD.unpack_from(view, at)[1]
+            size = cls.size_of(view, at)
             yield cls.from_bytes(view[at : at + size])
             at += size
 

@@ -18,7 +18,7 @@ table gives no files and an empty result.
 from __future__ import annotations
 
 import os
-import string
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,15 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelmill.sources.store import files_in, write_files
+from pixelmill.sources.store import opened, paths_in, write_files
 
 from .common import Scratch, blocks, cut, text_bytes
-from .re_pair import Block
+from .packing import byte_of_char
+from .re_pair import HEAD, Block
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-#: Bytes of ids in a file: at least and, beyond three files for each core, at most about so many.
-LEAST_BYTES, MOST_BYTES = 4 << 20, 64 << 20
+#: Bytes of ids in a file, and, beyond ``MANY`` files, in each of more.
+FILE_BYTES, LARGE_BYTES, MANY = 16 << 20, 128 << 20, 4096
 #: Words, and characters of them, whose ids a worker remembers, and words that are tokenised at once.
 MOST_WORDS, MOST_CHARS, CHUNK = 250_000, 32_000_000, 2000
 #: Files whose totals are added up in one group.
@@ -74,76 +75,76 @@ class _Ids:
         return self.flat[np.repeat(first - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)], count
 
 
-def _tail(word: str) -> int:
-    """Where a word's closing punctuation begins that the vocabulary always takes apart: behind a Latin letter."""
-    head = word.rstrip(string.punctuation)
-    return len(head) if head and head[-1].isalpha() and head[-1] < "\u0250" and head[-1] != "\u0130" and "<|" not in word else len(word)
+#: Words of these alone are cut and tokenised many at a time: ASCII but for the apostrophe, and Latin-1 letters.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LETTER, _DIGIT, _MARK = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
 
 
 class WordIds:
-    """Ids of whole texts, by tokenising each distinct word, and of words that differ in closing marks the part before, once."""
+    """Ids of whole texts, by tokenising each distinct word once.
+
+    The vocabulary lower-cases words and takes them apart into runs of letters, single digits and runs of marks, each of
+    which is merged by itself and ends in an id of its own kind. Plain words are cut so with a fixed number of array
+    passes, and tiktoken, with an end mark for the end of a run, merges them by the same ranks. All others (other scripts,
+    apostrophes, added tokens, control characters) go to the tokenizers library one by one. A probe compares the two.
+    """
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model, self.end_id = Tokenizer.from_file(path), end_id
         self.size = max(self.model.get_vocab_size(with_added_tokens=True), end_id + 1)
-        self.closes = np.zeros(self.size, bool)  # ids that end a word
-        for token, i in self.model.get_vocab().items():
-            self.closes[i] = token.endswith("</w>")
-        probe = "It's a probe:\t1234 Äö  你好,\n\r\nnaïvé ́x --- WORDS'll do.<|endoftext|> ΣΣ İ, i, <|endoftext|>! word\u0301, "
+        self.closes = np.zeros(self.size, bool)  # ids that end a run
+        byte, ranks = byte_of_char(), {}
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            body = token.removesuffix("</w>") or token
+            self.closes[i] = body != token
+            ranks[bytes(byte[c] for c in body) + b"\x01" * (body != token)] = i
+        self.engine = tiktoken.Encoding("runs", pat_str="[^\x01]*\x01", mergeable_ranks=ranks, special_tokens={})
+        probe = "It's a probe:\t1234 Äö  你好,\n\r\nnaïvé ́x --- WORDS'll do.<|endoftext|> ΣΣ İ, i, <|endoftext|>! word\u0301, ÀÉ$$$99.5%ß ª \x01 "
         self._clear()
-        if self.encode([probe])[0].tolist()[:-1] != self.model.encode(probe, add_special_tokens=False).ids:
-            raise ValueError(f"{path} does not tokenise word by word")
+        for _ in range(2):  # new words, and known ones
+            if self.encode([probe])[0].tolist()[:-1] != self.model.encode(probe, add_special_tokens=False).ids:
+                raise ValueError(f"{path} does not tokenise word by word")
 
     def _clear(self) -> None:
         self.new_words: list[str] = []
-        self.new_parts: list[str] = []
-        self.words, self.parts, self.chars = _Numbers(self.new_words), _Numbers(self.new_parts), 0
-        self.word_ids, self.part_ids = _Ids(), _Ids()
-        self.word_ids.add(np.array([self.end_id]), np.array([1]))  # number 0 is the end
-        self.part_ids.add(np.zeros(0), np.array([0]))
-
-    def _separate(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of parts, and how many each has."""
-        got = [e.ids for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
-        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
-
-    def _add_parts(self) -> None:
-        waiting = self.new_parts[:]
-        plain = [p.isascii() and p.isalpha() for p in waiting]
-        order = sorted(range(len(waiting)), key=plain.__getitem__)
-        k = len(order) - sum(plain)
-        flats, sizes = [np.zeros(0, np.uint32)], np.zeros(len(order), np.int64)
-        for lo, hi in [*((i, min(i + CHUNK, k)) for i in range(0, k, CHUNK)), *((i, min(i + CHUNK, len(order))) for i in range(k, len(order), CHUNK))]:
-            chunk = [waiting[i] for i in order[lo:hi]]
-            flat = None
-            if lo >= k:  # letters only are one word each, which can be told apart again when they are joined
-                joined = np.array(self.model.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.flatnonzero(self.closes[joined]) + 1
-                if len(ends) == len(chunk):
-                    flat, size = joined, np.diff(ends, prepend=0)
-            if flat is None:
-                flat, size = self._separate(chunk)
-            flats.append(flat)
-            sizes[lo:hi] = size
-        own = _Ids()
-        own.add(np.concatenate(flats), sizes)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.part_ids.add(*own.take(back))
-        self.parts.first += len(waiting)
-        self.new_parts.clear()
+        self.words, self.chars, self.ids = _Numbers(self.new_words), 0, _Ids()
+        self.ids.add(np.array([self.end_id]), np.array([1]))  # number 0 is the end
+
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, and how many each has."""
+        chars = np.frombuffer(" ".join(["", *words, ""]).lower().encode("latin-1"), np.uint8)
+        kind = _KIND[chars]
+        ends = np.flatnonzero((kind[:-1] > 0) & ((kind[:-1] != kind[1:]) | (kind[:-1] == _DIGIT)))
+        marked = np.insert(chars, ends + 1, 1)
+        flat = np.array(self.engine.encode_ordinary(marked[marked != 0x20].tobytes().decode("latin-1")), np.uint32)
+        runs = np.diff(np.searchsorted(ends, np.flatnonzero(chars == 0x20)))
+        stops = np.concatenate([[0], np.flatnonzero(self.closes[flat]) + 1])
+        return flat, np.diff(stops[np.concatenate([[0], np.cumsum(runs)])])
+
+    def _other_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [], []
+        for k in range(0, len(words), CHUNK):
+            got = [e.ids for e in self.model.encode_batch_fast(words[k : k + CHUNK], add_special_tokens=False)]
+            flat += [i for ids in got for i in ids]
+            sizes += map(len, got)
+        return np.array(flat, np.uint32), np.array(sizes, np.int64)
 
     def _add_words(self) -> None:
-        numbers = []
-        for w in self.new_words:
-            at = _tail(w)
-            numbers += (self.parts[w[:at]], self.parts[w[at:]])
-        self._add_parts()
-        flat, sizes = self.part_ids.take(np.array(numbers, np.int64))
-        self.word_ids.add(flat, sizes.reshape(-1, 2).sum(1))
+        plain = [_PLAIN.fullmatch(w) is not None and "<|" not in w for w in self.new_words]
+        own = _Ids()
+        own.add(*self._other_ids([w for w, p in zip(self.new_words, plain) if not p]))
+        own.add(*self._plain_ids([w for w, p in zip(self.new_words, plain) if p]))
+        back = np.empty(len(plain), np.int64)
+        back[np.argsort(plain, kind="stable")] = np.arange(len(plain))
+        self.ids.add(*own.take(back))
         self.chars += sum(map(len, self.new_words))
         self.words.first += len(self.new_words)
         self.new_words.clear()
@@ -159,7 +160,7 @@ class WordIds:
             ends.append(len(numbers))
         if self.new_words:
             self._add_words()
-        ids, count = self.word_ids.take(np.array(numbers, np.int64))
+        ids, count = self.ids.take(np.array(numbers, np.int64))
         return ids, np.concatenate([[0], np.cumsum(count)])[np.array(ends)]
 
 
@@ -225,8 +226,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = scratch.table(texts.mapInArrow(_tokenised(tokenizer_path, end_id), "doc_id long, crc long, ids binary"), "ids")
     size = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
-    wide = 3 * spark.sparkContext.defaultParallelism
-    parts = max(1, min(-(-size // LEAST_BYTES), max(wide, -(-size // MOST_BYTES))))
+    parts = max(1, min(-(-size // FILE_BYTES), max(MANY, -(-size // LARGE_BYTES))))
     # Rows that repeat an id, a third of all perhaps, are dealt by checksum and place, so that no range has to hold them all.
     placed = ids.withColumn("none", F.col("doc_id").isNull()).withColumn("place", F.monotonically_increasing_id())
     order = ["none", "doc_id", "crc", "place"]
@@ -235,17 +235,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     scratch.drop()
 
 
+def blocks_of(path: str) -> Iterator[Block]:
+    """The blocks of a file, read one after the other."""
+    store, place = opened(path)
+    with store.open_input_file(place) as file:
+        while head := file.read(HEAD.size):
+            yield Block.from_bytes(memoryview(head + file.read(Block.size_of(head) - HEAD.size)))
+
+
 _READ = "file string, at long, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
 def _read(with_ids: bool):  # noqa: ANN202
-    """Files to a row for each document: its place in the file, and what is before it there."""
+    """Files by their paths to a row for each document: its place in the file, and what is before it there.
+
+    A task holds one block at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
-                at, before = 0, 0
-                for block in Block.all_in(memoryview(content.as_buffer())):
+            for path in batch.column("path").to_pylist():
+                name, at, before = path.rpartition("/")[2], 0, 0
+                for block in blocks_of(path):
                     ids, starts = np.ascontiguousarray(block.ids(), "<u4"), block.token_starts
                     n = len(block.doc_ids)
                     crc = np.fromiter((zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])), np.int64, n)
@@ -263,7 +274,7 @@ def _read(with_ids: bool):  # noqa: ANN202
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """Documents of the files in ``folder``: ``file, at`` (the place there), ``doc_id, before, n_tokens, ids_crc32`` and, if asked for, ``ids``."""
     schema = _READ + ", ids array<int>" * with_ids
-    return files_in(spark, folder).select("name", "content").mapInArrow(_read(with_ids), schema)
+    return paths_in(spark, folder).mapInArrow(_read(with_ids), schema)
 
 
 def with_starts(found: DataFrame) -> DataFrame:

@@ -71,13 +71,13 @@ def test_token_files(spark, rows, monkeypatch):
         want.append((doc is None, doc, zlib.crc32(ids.tobytes()), len(ids)))
     want.sort(key=lambda r: (r[0], r[1] or 0, r[2]))
     starts = np.concatenate([[0], np.cumsum([w[3] for w in want])])
-    monkeypatch.setattr(token_files, "LEAST_BYTES", 20_000)
+    monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
     got = token_files.token_files(spark.createDataFrame(rows, SCHEMA).repartition(5), PATH).collect()
     assert sorted((r["start"], r["doc_id"] is None, r["doc_id"], r["ids_crc32"], r["n_tokens"]) for r in got) == [(int(s), *w) for s, w in zip(starts, want)]
 
 
 def test_files_are_shared_out_and_read_with_ids(spark, rows, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "LEAST_BYTES", 20_000)
+    monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
     docs = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
     token_files.write_token_files(docs, PATH, str(tmp_path))
     names = sorted(p.name for p in tmp_path.iterdir())
