@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.operators.export import in_ranges
+
 UNDO_DEPTH, RECENT = 10, 10
 
 
@@ -70,7 +72,7 @@ def recent(visits: DataFrame, key: str = "path", seq: str | list[str] = "seq") -
 
 def pasted(palettes: DataFrame, targets: DataFrame, source: str, key: str = "image_id") -> DataFrame:
     """``palettes(key, palette)`` with the palette of ``source`` copied to the targets; as they were if it has none."""
-    copied = palettes.where(F.col(key) == source).limit(1).select(F.col("palette").alias("_copied"))
+    copied = palettes.where(F.col(key) == source).agg(F.min("palette").alias("_copied"))  # the least, if it has several
     marked = palettes.join(targets.select(key).distinct().withColumn("_target", F.lit(True)), key, "left")
     out = marked.join(F.broadcast(copied), how="left")
     return out.withColumn("palette", F.when(F.col("_target"), F.coalesce("_copied", "palette")).otherwise(F.col("palette"))).drop("_target", "_copied")
@@ -79,3 +81,33 @@ def pasted(palettes: DataFrame, targets: DataFrame, source: str, key: str = "ima
 def palettes_reset(modified: DataFrame, targets: DataFrame, key: str = "image_id") -> DataFrame:
     """The palettes that were changed, without those of the targets, which so show their own again."""
     return deleted(modified, targets, key)
+
+
+def palettes_at(pictures: DataFrame, edits: DataFrame, key: str, picture: str, time: str = "ts", seq: str = "seq", slot: str = "slot", color: str = "rgb") -> DataFrame:
+    """``picture, slot, color``: the colours set by the last of the ``edits(key, time, seq, slot, color)`` up to each picture's time.
+
+    ``pictures(picture, key, time)`` are ids of their own. Of edits at one time the last by ``seq`` wins; an edit at a
+    picture's very time counts. A slot that was not edited by then has no row, and neither has a picture without any.
+
+    Times are cut into ranges. Each range starts with what the last edits before it have left of each slot, and inside a
+    range a picture takes the latest of that and of the range's own edits: a key with a third of all edits is sorted in
+    parts, by range and slot, and what is carried over is a row for each range and slot at most.
+    """
+    names = {key: "key", time: "time", seq: "seq", slot: "slot", color: "color"}
+    own = edits.select(*[F.col(a).alias(b) for a, b in names.items()]).withColumn("picture", F.lit(None))
+    asks = pictures.select(F.col(key).alias("key"), F.col(time).alias("time"), F.col(picture).alias("picture"))
+    both = in_ranges(own.unionByName(asks, allowMissingColumns=True).withColumn("ask", F.col("picture").isNotNull()), ["time"], "range")
+    own, asks = both.where(~F.col("ask")), both.where("ask").select("key", "range", "time", "picture")
+
+    slots = own.select("key", "slot").distinct()
+    left = own.groupBy("key", "range", "slot").agg(F.max_by("color", F.struct("time", "seq")).alias("color")).withColumn("kind", F.lit(1))
+    opened = asks.select("key", "range").distinct().join(slots, "key").withColumn("kind", F.lit(0))
+    carry = F.last("color", ignorenulls=True).over(Window.partitionBy("key", "slot").orderBy("range", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    carried = left.unionByName(opened, allowMissingColumns=True).withColumn("color", F.when(F.col("kind") == 0, carry)).where("kind = 0 and color is not null")
+
+    rows = carried.select("key", "range", "slot", "color", "kind")
+    rows = rows.unionByName(own.select("key", "range", "slot", "color", "time", "seq", F.lit(1).alias("kind")), allowMissingColumns=True)
+    rows = rows.unionByName(asks.join(slots, "key").select("key", "range", "slot", "time", "picture", F.lit(2).alias("kind")), allowMissingColumns=True)
+    latest = F.last("color", ignorenulls=True).over(Window.partitionBy("key", "range", "slot").orderBy(F.col("kind") != 0, "time", "kind", "seq"))
+    seen = rows.withColumn("color", F.when(F.col("kind") == 2, latest)).where("kind = 2 and color is not null")
+    return seen.select(F.col("picture").alias(picture), F.col("slot").alias(slot), F.col("color").alias(color))

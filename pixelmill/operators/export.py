@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.operators.pixels import resize_nearest, upscale
-from pixelmill.runtime import ship
+from pixelmill.runtime import settled, ship, unused
+from pixelmill.sources.store import files_in, write_files
 
 # Fixed values of the slide show: frames a second, and frames of a transition.
 FPS, TRANSITION = 30, 15
@@ -26,21 +27,80 @@ def base_name(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def numbered(images: DataFrame, order: list[str], by: list[str] | None = None, name: str = "n") -> DataFrame:
+def in_ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with the number of the range of ``order`` that each is in.
+
+    Ranges are cut at ``CUTS`` keys, those with the smallest hashes. Equal keys share a range.
+    """
+    key, cuts = unused(rows, "key", "cuts")
+    keyed = rows.withColumn(key, F.struct(*order))
+    at = keyed.select(key).orderBy(F.xxhash64(key), key).limit(CUTS).agg(F.array_sort(F.collect_set(key)).alias(cuts))
+    return keyed.crossJoin(F.broadcast(at)).withColumn(name, F.size(F.filter(cuts, lambda c: c < F.col(key)))).drop(cuts, key)
+
+
+def numbered(images: DataFrame, order: list[str], by: list[str] | None = None, name: str = "n", large: bool = False) -> DataFrame:
     """The 1-based place of each image in its group, or in the whole list.
 
-    The whole list is cut into ranges at ``CUTS`` of its keys, those with the smallest hashes: the ranges are numbered side
-    by side, and each starts after the counts of those before it, so no task sorts the list. Equal keys share a range.
+    The whole list, and groups too if they may be ``large``, are cut into ranges that are numbered side by side; each
+    starts after the counts of those before it, so no task sorts a list. The rows and their order have to be stable.
     """
-    if by:
+    if by and not large:
         return images.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    keyed = images.withColumn("_key", F.struct(*order))
-    cuts = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(CUTS).agg(F.array_sort(F.collect_set("_key")).alias("_cuts"))
-    ranged = keyed.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts", "_key")
-    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # over CUTS + 1 rows at most
-    first = ranged.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", F.coalesce(before, F.lit(0)).alias("_first"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.join(F.broadcast(first), "_range").withColumn(name, place + F.col("_first")).drop("_range", "_first")
+    by = by or []
+    part, size, first, *keys = unused(images, "range", "size", "first", *[f"by{i}" for i in range(len(by))])
+    ranged = in_ranges(images, order, part)
+    before = F.sum(size).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # over CUTS + 1 rows of a group at most
+    firsts = ranged.groupBy(*by, part).agg(F.count("*").alias(size)).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(part).alias(size), F.coalesce(before, F.lit(0)).alias(first))
+    place = F.row_number().over(Window.partitionBy(*by, part).orderBy(*order))
+    same = F.col(part) == F.col(size)
+    for b, k in zip(by, keys):
+        same = same & F.col(b).eqNullSafe(F.col(k))
+    joined = ranged.join(firsts if by else F.broadcast(firsts), same)
+    return joined.withColumn(name, (place + F.col(first)).cast("long")).drop(part, size, first, *keys)
+
+
+_COUNTED = r"^(.*) \(([1-9][0-9]{0,17})\)$"
+#: Places of a name's copies whose numbers are told from one list.
+SPAN = 1024
+
+
+def unique_names(files: DataFrame, order: list[str], name: str = "out_name", taken: DataFrame | None = None) -> DataFrame:
+    """``files`` with every ``name`` made unique: the first of equal names, in order, keeps it, the k-th becomes ``stem (k).ext``.
+
+    Numbers are passed over whose name another file has by itself, or a file of ``taken(name)``, say of the folder that is
+    written to; a name that is taken is not kept. Names are compared as they are. Runs on the same rows agree.
+
+    Names with a number differ from those that others get: a text ends in one `` (k)`` only, so equal ones come from one
+    name and one k. They can only meet names that are there from the start, and those are left out beforehand: the j-th
+    file of a name gets the j-th number that is free. With the numbers that are not free, b_1 < b_2 < ..., that is j plus
+    how many i have ``b_i - i < j``. These are looked up by spans of j, so that a name which a third of all files have, or
+    of which a third of all numbers are taken, is dealt over tasks.
+    """
+    j, span, steps, above, stem, ext, key, at = unused(files, "j", "span", "steps", "above", "stem", "ext", "key", "at")
+    placed = numbered(files, order, [name], j, large=True).withColumn(span, F.floor((F.col(j) - 1) / SPAN))
+
+    there = files.select(F.col(name).alias("n")).distinct().withColumn("fresh", F.lit(False))
+    if taken is not None:
+        there = there.unionByName(taken.select(F.col(taken.columns[0]).alias("n"), F.lit(True).alias("fresh"))).groupBy("n").agg(F.max("fresh").alias("fresh"))
+    there = there.withColumn("stem", base_name(F.col("n")))
+    suffix = F.expr("substring(n, length(stem) + 1)")
+    counted = there.select(F.concat(F.regexp_extract("stem", _COUNTED, 1), suffix).alias("of"), F.regexp_extract("stem", _COUNTED, 2).alias("k")).where("k <> '' and k <> '1'")
+    blocked = counted.select("of", F.col("k").cast("long").alias("k")).unionByName(there.where("fresh").select(F.col("n").alias("of"), F.lit(1).cast("long").alias("k")))
+    groups = files.groupBy(F.col(name).alias("of")).agg(F.count("*").alias("many"))
+    # Steps: from j > edge on, at least ``passed`` numbers are passed over.
+    ranked = numbered(blocked.join(groups, "of"), ["k"], ["of"], "i", large=True).withColumn("edge", F.col("k") - F.col("i")).where("edge < many")
+    edges = ranked.groupBy("of", "edge", "many").agg(F.max("i").alias("passed")).withColumn("span", F.floor(F.col("edge") / SPAN))
+    lists = edges.groupBy("of", "span", "many").agg(F.array_sort(F.collect_list(F.struct("edge", "passed"))).alias("list"), F.max("passed").alias("most"))  # SPAN edges at most
+    spans = edges.select("of", "many").distinct().select("of", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / SPAN))).alias("span"))
+    before = F.max("most").over(Window.partitionBy("of").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    lookup = spans.join(lists.drop("many"), ["of", "span"], "left").select(F.col("of").alias(key), F.col("span").alias(at), F.col("list").alias(steps), F.coalesce(before, F.lit(0)).alias(above))
+
+    joined = placed.join(lookup, (F.col(name) == F.col(key)) & (F.col(span) == F.col(at)), "left")
+    inside = F.array_max(F.transform(F.filter(steps, lambda s: s["edge"] < F.col(j)), lambda s: s["passed"]))
+    number = F.col(j) + F.coalesce(inside, F.col(above), F.lit(0))
+    named = joined.withColumn(stem, base_name(F.col(name))).withColumn(ext, F.expr(f"substring(`{name}`, length(`{stem}`) + 1)"))
+    out = F.when(number == 1, F.col(name)).otherwise(F.concat(F.col(stem), F.lit(" ("), number.cast("string"), F.lit(")"), F.col(ext)))
+    return named.withColumn(name, F.when(F.col(name).isNotNull(), out)).select(*[f"`{c}`" for c in files.columns])
 
 
 def renamed(images: DataFrame, pattern: str, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -118,27 +178,44 @@ def offset_before(size: Column, group: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long")
 
 
-def save_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes ``files(name, content)`` below ``folder``, a path or address that pyarrow's file systems open, from the executors.
+def save_files(files: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """Writes ``files(name, content)`` below ``folder``, all of them or none (``sources.store``), and gives ``name, bytes`` of what then lies there."""
+    write_files(files, folder, overwrite)
+    return files_in(files.sparkSession, folder).select("name", F.col("size").alias("bytes"))
 
-    Gives ``name, bytes`` of what was written; names are unique (see ``export_plan``). A file is moved into place when it is
-    whole, so a task that runs again writes the same file again. Nothing is written before the result is used.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        for b in batches:
-            names = b.column("name").to_pylist()
-            for name, content in zip(names, b.column("content").to_pylist()):
-                part = f"{root}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
-                    out.write(content)
-                store.move(part, f"{root}/{name}")
-            sizes = pa.array([len(c) for c in b.column("content").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("name"), sizes], names=["name", "bytes"])
+def export_images(images: DataFrame, folder: str, kinds: list[str], order: list[str], factor: int = 1, overwrite: bool = False) -> None:
+    """Writes ``images(name, width, height, pixels)`` in each of ``kinds`` under names that are unique and, without ``overwrite``, new in ``folder``."""
+    named = unique_names(export_plan(images, kinds).drop("sharing"), [*order, "format"], taken=None if overwrite else _names_in(images, folder))
+    parts = [image_files(named.where(F.col("format") == kind).withColumn("name", F.concat("out_name", F.lit(".x"))), kind, factor) for kind in kinds]
+    write_files(reduce(DataFrame.unionByName, parts), folder, overwrite)
+
+
+def _names_in(df: DataFrame, folder: str) -> DataFrame | None:
+    try:
+        return settled(files_in(df.sparkSession, folder).select("name"))  # as it is before anything is written
+    except AnalysisException:
+        return None  # there is no such folder yet
+
+
+# Extensions of catalogue entries without one, by file type.
+ENTRY_EXT = {0x00: "txt", 0x01: "txt", 0x02: "bas", 0x04: "bin", 0x06: "bin", 0xFA: "bas", 0xFC: "bas"}
+
+
+def entry_file_name(name: Column, file_type: Column) -> Column:
+    """The name that a catalogue entry is written under: its own or, without a dot, with an extension for its type."""
+    ext = F.lit("dat")
+    for kind, text in ENTRY_EXT.items():
+        ext = F.when(file_type == kind, text).otherwise(ext)
+    return F.when(name.contains("."), name).otherwise(F.concat(name, F.lit("."), ext))
 
-    return files.select("name", "content").mapInArrow(run, "name string, bytes long")
+
+def export_entries(entries: DataFrame, chosen: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Writes the files among the chosen ``(disk_path, entry_path)`` of ``entries`` (``sources.disks``), each under a name of its own."""
+    files = entries.where(~F.col("is_directory")).join(chosen.select("disk_path", "entry_path").distinct(), ["disk_path", "entry_path"], "left_semi")
+    named = files.withColumn("out_name", F.replace(entry_file_name(F.col("name"), F.col("file_type")), F.lit("/"), F.lit(":")))
+    named = unique_names(named, ["disk_path", "entry_path", "ord"], taken=None if overwrite else _names_in(entries, folder))
+    write_files(named.select(F.col("out_name").alias("name"), "content"), folder, overwrite)
 
 
 def timeline(images: DataFrame, group: list[str], order: list[str], seconds: float, transition: bool = True, key: str | None = None) -> DataFrame:
@@ -151,6 +228,47 @@ def timeline(images: DataFrame, group: list[str], order: list[str], seconds: flo
     return shown.withColumn("first_frame", offset_before(F.col("shown") + F.col("changing"), group, order))
 
 
+#: Frames of a bucket of the join of frames with what is shown.
+BUCKET = 4096
+
+
+def frame_numbers(times: DataFrame, group: list[str], every: int = 1) -> DataFrame:
+    """``group, frame``: every ``every``-th frame of each movie of a ``timeline``, from the first."""
+    length = times.groupBy(*group).agg(F.max(F.col("first_frame") + F.col("shown") + F.col("changing")).alias("n"))
+    return length.select(*group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(every).cast("long"))).alias("frame"))
+
+
+def frames_at(wanted: DataFrame, times: DataFrame, group: list[str], key: str) -> DataFrame:
+    """``wanted(group, frame)`` with ``key``, the image shown, and ``next_key, alpha`` while it is blended to the next, else null and 0.
+
+    Frames outside the movie have no row. Both sides meet by buckets of frames, so that a long movie is many groups, and a
+    row of the time line is repeated only for the buckets it reaches over.
+    """
+    end = F.col("first_frame") + F.col("shown") + F.col("changing")
+    bucket = F.floor(F.col("first_frame") / BUCKET)
+    spread = times.withColumn("end", end).withColumn("bucket", F.explode(F.sequence(bucket, F.floor((end - 1) / BUCKET))))
+    asked = wanted.select(*group, "frame").withColumn("bucket", F.floor(F.col("frame") / BUCKET))
+    met = asked.join(spread, [*group, "bucket"]).where((F.col("frame") >= F.col("first_frame")) & (F.col("frame") < F.col("end")))
+    t = F.col("frame") - F.col("first_frame") - F.col("shown") + 1
+    blending = t > 0
+    alpha = F.when(blending, t.cast("double") / TRANSITION).otherwise(0.0)
+    return met.select(*group, "frame", F.col(key), F.when(blending, F.col("next_key")).alias("next_key"), alpha.alias("alpha"))
+
+
+def rendered(frames: DataFrame, images: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """The pictures of ``frames_at``: ``key, next_key, alpha, width, height, pixels``, each that several frames show once.
+
+    ``images(key, width, height, pixels)`` are joined to pictures, not to frames.
+    """
+    shown = frames.select(key, "next_key", "alpha").distinct()
+    first = images.select(key, "width", "height", "pixels")
+    second = images.select(F.col(key).alias("next_key"), F.col("width").alias("w2"), F.col("height").alias("h2"), F.col("pixels").alias("p2"))
+    both = shown.join(first, key).join(second, "next_key", "left")
+    both = both.select(key, "next_key", "alpha", "width", "height", "pixels", F.coalesce("w2", "width").alias("next_width"), F.coalesce("h2", "height").alias("next_height"), F.coalesce("p2", "pixels").alias("next_pixels"))
+    drawn = blended(both.withColumn("kept_alpha", F.col("alpha")), width, height)
+    return drawn.withColumnRenamed("kept_alpha", "alpha").select(key, "next_key", "alpha", "width", "height", "pixels")
+
+
 def duration_text(seconds: Column) -> Column:
     """``3m 7s``, or ``7s`` below a minute."""
     whole = F.floor(seconds).cast("long")

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelmill.functions import palettes
-from pixelmill.operators import classify, decoders, edits, export, filetypes, images
+from pixelmill.operators import chains, classify, decoders, edits, export, filetypes, images, trees
 from pixelmill.operators import pixels as P
+from pixelmill.runtime import settled
 from pixelmill.sources import disks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,19 +56,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", "text")
 
 
-def _same(name: str, tables: str, sql: str, duck: str | None = None) -> None:
-    """A query whose text both engines run; ``duck`` where their dialects differ."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return spark.sql(sql.replace("\\", "\\\\"), **{t: _table(spark, d, t) for t in tables.split()})
-
-    QUERIES[name] = run
-    out = duck or sql
-    for t in tables.split():
-        out = out.replace("{" + t + "}", t)
-    ORACLE_SQL[name] = out
-
-
 # ---- aggregates ---------------------------------------------------------------------------------
 
 
@@ -279,16 +267,51 @@ def slideshow_timeline(spark: SparkSession, d: str) -> DataFrame:
     return export.timeline(orders, ["o_custkey"], ["o_orderkey"], 3.0, key="o_orderkey").drop("o_custkey")
 
 
+@_query(
+    """WITH s AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key FROM orders),
+       f AS (SELECT *, 90 - CASE WHEN next_key IS NULL THEN 0 ELSE 15 END AS shown, CASE WHEN next_key IS NULL THEN 0 ELSE 15 END AS changing FROM s),
+       t AS (SELECT *, CAST(sum(shown + changing) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - shown - changing AS BIGINT) AS first_frame FROM f),
+       n AS (SELECT o_custkey, CAST(sum(shown + changing) AS BIGINT) AS n FROM t GROUP BY 1),
+       w AS (SELECT o_custkey, unnest(range(0, n, 7)) AS frame FROM n)
+    SELECT w.o_custkey, w.frame, o_orderkey, CASE WHEN w.frame - first_frame >= shown THEN next_key END AS next_key,
+           CASE WHEN w.frame - first_frame >= shown THEN CAST(w.frame - first_frame - shown + 1 AS DOUBLE) / 15 ELSE 0 END AS alpha
+    FROM w JOIN t ON t.o_custkey = w.o_custkey AND w.frame >= first_frame AND w.frame < first_frame + shown + changing"""
+)
+def movie_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh frame of each customer's slide show: the image, the next while it is blended in, and how far."""
+    times = export.timeline(_table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 3.0, key="o_orderkey")
+    return export.frames_at(export.frame_numbers(times, ["o_custkey"], 7), times, ["o_custkey"], "o_orderkey")
+
+
 # ---- recursion and directories ------------------------------------------------------------------
 
-_CHAIN = "(VALUES (2, 5), (3, 0), (5, 7), (7, 3), (9, 11), (11, 9)) AS fat(cluster, next)"
-_same(
-    "pointer_walk", "nation",
-    f"""WITH RECURSIVE walk(start, cluster, step) AS (
-          SELECT n_nationkey, n_nationkey, 0 FROM {{nation}} WHERE n_nationkey IN (2, 9)
-          UNION ALL SELECT w.start, f.next, w.step + 1 FROM walk w JOIN {_CHAIN.replace('AS fat', 'AS f')} ON f.cluster = w.cluster WHERE f.next > 0 AND w.step < 5)
-        SELECT start, cluster, step FROM walk""",
-)
+_CELLS = """SELECT o_custkey % 8 AS disk, o_orderkey AS cell,
+      CASE WHEN o_orderkey % 501 = 7 THEN first_value(o_orderkey) OVER w WHEN o_orderkey % 313 <> 5 THEN lead(o_orderkey) OVER w END AS next
+    FROM orders WINDOW w AS (PARTITION BY o_custkey % 40 ORDER BY o_orderkey)"""
+
+
+@_query(
+    f"""WITH RECURSIVE cells AS (SELECT disk, cell, next FROM ({_CELLS})),
+    linked AS (SELECT c.disk, c.cell, t.cell AS next FROM cells c LEFT JOIN cells t ON t.disk = c.disk AND t.cell = c.next),
+    walk(disk, start, cell, position, path) AS (
+        SELECT disk, cell, cell, 0, [cell] FROM linked c WHERE NOT EXISTS (SELECT 1 FROM linked p WHERE p.disk = c.disk AND p.next = c.cell)
+        UNION ALL
+        SELECT w.disk, w.start, l.next, w.position + 1, list_append(w.path, l.next) FROM walk w JOIN linked l ON l.disk = w.disk AND l.cell = w.cell
+        WHERE l.next IS NOT NULL AND NOT list_contains(w.path, l.next)),
+    ends AS (SELECT w.disk, w.start, l.next IS NOT NULL AS loops FROM walk w JOIN linked l ON l.disk = w.disk AND l.cell = w.cell
+             WHERE l.next IS NULL OR list_contains(w.path, l.next))
+    SELECT w.disk, w.start, CAST(w.position AS BIGINT) AS position, w.cell, e.loops FROM walk w JOIN ends e ON e.disk = w.disk AND e.start = w.start
+    UNION ALL SELECT disk, NULL, NULL, cell, TRUE FROM linked l WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.disk = l.disk AND w.cell = l.cell)"""
+)
+def pointer_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of orders as an allocation table: some end early, some lead back into another chain, some are closed circles."""
+    w = Window.partitionBy(F.col("o_custkey") % 40).orderBy("o_orderkey")
+    key = F.col("o_orderkey")
+    to = F.when(key % 501 == 7, F.first("o_orderkey").over(w)).when(key % 313 != 5, F.lead("o_orderkey").over(w))
+    cells = settled(_table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("disk"), key.alias("cell"), to.alias("next")))
+    found = settled(chains.followed(cells))
+    circles = chains.unreached(cells, found).withColumn("loops", F.lit(True))
+    return found.unionByName(circles, allowMissingColumns=True)
 
 
 @_query(
@@ -302,6 +325,34 @@ def dir_size_rollup(spark: SparkSession, d: str) -> DataFrame:
     return disks.directory_sizes(entries.select(F.col("r_name").alias("directory"), F.col("n_name").alias("entry"), "c_custkey"), "directory", "entry", "c_custkey", "c_custkey")
 
 
+@_query(
+    """WITH p AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, length(html) AS size FROM pages),
+    f AS (SELECT list_slice(string_split(coalesce(path, ''), '/'), 1, len(string_split(coalesce(path, ''), '/')) - 1) AS dir, coalesce(size, 0) AS size FROM p),
+    a AS (SELECT dir, size, list_slice(dir, 1, n) AS above FROM (SELECT dir, size, unnest(range(len(dir) + 1)) AS n FROM f)),
+    s AS (SELECT above, count(*) FILTER (WHERE dir = above) AS own_files, count(*) AS files, CAST(sum(size) AS BIGINT) AS size FROM a GROUP BY above),
+    b AS (SELECT list_slice(above, 1, n) AS above, count(*) - 1 AS below FROM (SELECT above, unnest(range(len(above) + 1)) AS n FROM s) GROUP BY 1),
+    r AS (SELECT s.*, below, row_number() OVER (ORDER BY s.above) AS first FROM s JOIN b ON b.above = s.above)
+    SELECT array_to_string(above, '/') AS directory, len(above) AS depth, own_files, files, size, first, first + below AS last FROM r"""
+)
+def tree_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts and paths of pages as directories of any depth."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return trees.tree_sizes(_table(spark, d, "pages").select(path.alias("path"), F.length("html").alias("size")))
+
+
+@_query(
+    """WITH e AS (SELECT user_id, ts, event_id, event_id % 16 AS slot, event_id * 7919 % 16777216 AS rgb FROM events WHERE event_type <> 'error'),
+    p AS (SELECT event_id AS picture, user_id, ts FROM events WHERE event_type = 'error')
+    SELECT picture, slot, arg_max(rgb, (e.ts, e.event_id)) AS rgb FROM p JOIN e ON e.user_id = p.user_id AND e.ts <= p.ts GROUP BY picture, slot"""
+)
+def palette_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as edits of a palette of 16; errors are pictures that are shown with what it was by then."""
+    events, i = _table(spark, d, "events"), F.col("event_id")
+    log = events.where("event_type <> 'error'").select("user_id", "ts", "event_id", (i % 16).alias("slot"), (i * 7919 % 16777216).alias("rgb"))
+    pictures = events.where("event_type = 'error'").select(i.alias("picture"), "user_id", "ts")
+    return edits.palettes_at(pictures, log, "user_id", "picture", seq="event_id")
+
+
 @_query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey) AS extents, count(*) AS n FROM lineitem GROUP BY 1")
 def group_extents(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
@@ -464,17 +515,39 @@ def export_cross_product(spark: SparkSession, d: str) -> DataFrame:
     return plan.select("out_name", F.col("sharing").alias("copies")).distinct()
 
 
+@_query(
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' (' || p_size || ').png' ELSE p_name || '.png' END AS name FROM part),
+    t AS (SELECT DISTINCT p_name || '.png' AS name FROM part WHERE p_size = 3 UNION SELECT DISTINCT p_name || ' (4).png' FROM part WHERE p_size > 40),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS j FROM p),
+    k AS (SELECT name, unnest(range(1, count(*) + 1 + (SELECT count(*) FROM (SELECT DISTINCT name FROM p UNION SELECT name FROM t)))) AS k FROM p GROUP BY name),
+    c AS (SELECT name, k, CASE WHEN k = 1 THEN name ELSE left(name, length(name) - 4) || ' (' || k || ').png' END AS out_name FROM k),
+    f AS (SELECT name, out_name, row_number() OVER (PARTITION BY name ORDER BY k) AS j FROM c
+          WHERE out_name NOT IN (SELECT name FROM t) AND (k = 1 OR out_name NOT IN (SELECT name FROM p)))
+    SELECT p_partkey, r.name, out_name FROM r JOIN f ON f.name = r.name AND f.j = r.j"""
+)
+def unique_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts as files, many of one name and some that look like a copy's, next to files that are there already."""
+    part, name = _table(spark, d, "part"), F.col("p_name")
+    own = F.when(F.col("p_partkey") % 7 == 0, F.concat(name, F.lit(" ("), F.col("p_size"), F.lit(").png"))).otherwise(F.concat(name, F.lit(".png")))
+    taken = part.where("p_size = 3").select(F.concat(name, F.lit(".png")).alias("name")).union(part.where("p_size > 40").select(F.concat(name, F.lit(" (4).png"))))
+    files = part.select("p_partkey", own.alias("name")).withColumn("out_name", F.col("name"))
+    return export.unique_names(files, ["p_partkey"], taken=taken)
+
+
 @_query("SELECT p_partkey, printf('#%02X%02X%02X', p_size, p_size * 5, 255 - p_size) AS hex FROM part")
 def hex_color(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size")
     return _table(spark, d, "part").select("p_partkey", images.hex_color(size, size * 5, 255 - size).alias("hex"))
 
 
-_same(
-    "size_label", "lineitem",
-    "SELECT l_orderkey, max(l_partkey) AS bytes, CASE WHEN max(l_partkey) < 1024 THEN concat(max(l_partkey), ' B') ELSE concat(max(l_partkey) div 1024, ' KB') END AS label FROM {lineitem} GROUP BY l_orderkey",
-    "SELECT l_orderkey, max(l_partkey) AS bytes, CASE WHEN max(l_partkey) < 1024 THEN concat(max(l_partkey), ' B') ELSE concat(max(l_partkey) // 1024, ' KB') END AS label FROM lineitem GROUP BY l_orderkey",
-)
+@_query(
+    """SELECT l_orderkey, max(l_partkey) * 97 AS bytes, CASE WHEN max(l_partkey) * 97 < 1024 THEN concat(max(l_partkey) * 97, ' B')
+       WHEN max(l_partkey) * 97 < 1048576 THEN printf('%.1f KB', max(l_partkey) * 97 / CAST(1024 AS DOUBLE)) ELSE printf('%.1f MB', max(l_partkey) * 97 / CAST(1048576 AS DOUBLE)) END AS label
+       FROM lineitem GROUP BY l_orderkey"""
+)
+def size_label(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.max("l_partkey") * 97).alias("bytes"))
+    return sizes.withColumn("label", export.size_label(F.col("bytes")))
 
 
 @_query("SELECT n_nationkey, printf('%03d_%s.png', row_number() OVER (ORDER BY n_nationkey), n_name) AS out_name FROM nation")
