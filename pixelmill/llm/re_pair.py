@@ -2,7 +2,7 @@
 
 ``Block`` holds documents as symbols: an id below ``base`` stands for itself, ``base + k`` for the two symbols of rule k.
 Building it repeats: count all pairs of neighbours within documents, take the most frequent ones, and replace each of
-their occurrences that does not overlap a better one by a new symbol. A round takes all pairs at least a 64th as
+their occurrences that does not overlap a better one by a new symbol. A round takes all pairs at least a 256th as
 frequent as the first, so that a block costs a few sorts. It ends when no pair occurs ``MIN_COUNT`` times, which is when
 a rule would cost more than it saves, when symbols of the block's width are used up, or after ``MOST_ROUNDS``.
 
@@ -20,9 +20,9 @@ import numpy as np
 MAGIC = b"REPAIR01"
 #: Magic, bytes of the block with the head, base, bytes of a symbol, documents, rules, symbols, tokens.
 HEAD = struct.Struct("<8sQIIQQQQ")
-MIN_COUNT, SHARE, MOST_ROUNDS = 8, 64, 12
+MIN_COUNT, SHARE, MOST_ROUNDS = 8, 256, 6
 #: Bits of the table that rules most pairs out before they are looked up.
-FILTER_BITS = 22
+FILTER_BITS = 20
 
 
 def symbol_width(base: int) -> int:
@@ -95,6 +95,7 @@ class Block:
         rules = np.zeros((0, 2), np.int64)
         room = (1 << 8 * width) - 1 - base  # the last symbol stands for no pair
         none = np.iinfo(np.uint32 if width == 2 else np.uint64).max
+        rounds = [0]
         for _ in range(MOST_ROUNDS):
             if len(seq) < 2 or len(rules) >= room:
                 break
@@ -111,14 +112,15 @@ class Block:
             at, rank = at[used[rank]], rank[used[rank]]
             kinds = chosen[used].astype(np.int64)
             rules = np.concatenate([rules, np.stack([kinds >> 8 * width, kinds & ((1 << 8 * width) - 1)], 1)])
+            rounds.append(len(rules))
             seq[at] = number[rank]
             last[at] = last[at + 1]
             keep = np.ones(len(seq), bool)
             keep[at + 1] = False
             seq, last = seq[keep], last[keep]
         lengths = np.ones(base + len(rules), np.int64)
-        for k, (a, b) in enumerate(rules.tolist(), base):
-            lengths[k] = lengths[a] + lengths[b]
+        for lo, hi in zip(rounds[:-1], rounds[1:]):  # a round's rules are of symbols of earlier ones
+            lengths[base + lo : base + hi] = lengths[rules[lo:hi]].sum(1)
         return cls(base, doc_ids, np.concatenate([[0], np.flatnonzero(last) + 1]), starts, rules, lengths[base:], seq)
 
     # ---- bytes ----
