@@ -1,9 +1,8 @@
 """Fuzzy line dedup: character shingles, sketches, banding, exact verification and connected components.
 
 A line is what stands between line feeds. It is compared with A-Z lower-cased and runs of white space made one
-blank; empty lines then take no part and stay. Lines of fewer than ``min_chars`` characters, such as list marks and
-headings, are linked if they are equal: they are known by a 128-bit digest and have no bands. Of a longer line, the
-set is its distinct runs of ``WIDTH`` characters. Linked are those with
+blank; empty lines then take no part and stay. A line's set is its distinct runs of ``WIDTH`` characters, of a shorter
+line the whole of it. Linked are those with
 ``100 * |A and B| >= percent * |A or B|``; of each component the line that comes first by (doc_id, number) stays,
 in the document where it stands, and all others go. Candidates share one of 22 bands of 4 sketch bins, which misses
 a pair at 0.8 with probability 9e-6 and at 0.85 with 1e-7; ``set_links`` verifies and connects them.
@@ -36,7 +35,7 @@ from .near_dups import band_lists, sketch
 from .set_links import SIGNS, SIGNS_SCHEMA, set_components, signs
 
 WIDTH, BINS, ROWS = 6, 88, 4
-MIN_CHARS = 16
+FEW = 11  # shingles of a line known by its digest
 _BLANKS = re.compile(r"\s+")
 _AZ = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -64,10 +63,11 @@ def _digest(line: np.ndarray) -> bytes:
     return hashlib.blake2b(line.tobytes(), digest_size=16).digest()
 
 
-def _units(width: int, min_chars: int):  # noqa: ANN202
-    """All lines that take part with their key, and the bands of those that have a set, once a block for equal lines.
+def _units(width: int):  # noqa: ANN202
+    """All lines with their key, and their bands, once a block for equal lines.
 
-    The key of a line with a set is a hash of its shingles with repeats: lines of one key have one set.
+    The key of a line is a hash of its shingles with repeats or, where these are few, a digest of the line: lines of one
+    key have one set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,19 +76,17 @@ def _units(width: int, min_chars: int):  # noqa: ANN202
             for lines in line_blocks(data, offs):
                 hashes, cuts = lines.shingles(width)
                 size = np.diff(cuts)
-                full = size + width - 1 >= min_chars
                 k1 = mix(np.add.reduceat(hashes, cuts[:-1])).view(np.int64)
                 again = hashes >> np.uint64(29)
                 again ^= hashes
                 again *= np.uint64(0x9E3779B97F4A7C15)
                 k2 = mix(np.add.reduceat(again, cuts[:-1])).view(np.int64)
-                short = np.flatnonzero(~full)
+                short = np.flatnonzero(size < FEW)
                 if len(short):
                     digests = b"".join(_digest(lines.data[lines.cuts[i] : lines.cuts[i + 1]]) for i in short.tolist())
                     k1[short], k2[short] = np.frombuffer(digests, np.int64).reshape(-1, 2).T
                 fresh = np.zeros(len(k1), bool)
                 fresh[np.unique(k1, return_index=True)[1]] = True
-                fresh &= full
                 number = np.cumsum(fresh) - 1
                 take = np.repeat(fresh, size)
                 sk = np.zeros((len(k1), BINS), np.uint64)
@@ -141,10 +139,10 @@ def _without(text: str, gone: str, n: str):  # noqa: ANN202
     return run
 
 
-def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
+def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, text_hash, gone``: the numbers of the lines that go, by document."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sketched = scratch.table(docs.where("text <> ''").mapInArrow(_units(width, min_chars), _UNITS), "sketched")
+    sketched = scratch.table(docs.where("text <> ''").mapInArrow(_units(width), _UNITS), "sketched")
     units = scratch.table(sketched.drop("bands", *SIGNS), "units")
 
     # Lines of one key; a node is known by the first word of its key, as classes of documents are in ``near_dups``.
@@ -170,14 +168,14 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, min_char
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))  # no more than a document's lines
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS, count: str = "n_dropped") -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, count: str = "n_dropped") -> DataFrame:
     """``docs`` with near-duplicate lines dropped from ``text``, and their number as a column ``count`` that ``docs`` lacks.
 
     The result reads a small table of dropped lines in the shared folder.
     """
     scratch = Scratch(docs.sparkSession)
     doc, text_hash, lines = unused(docs, "doc", "hash", "gone")
-    gone = cut(dropped_lines(docs.select("doc_id", "text"), scratch, percent, min_chars))
+    gone = cut(dropped_lines(docs.select("doc_id", "text"), scratch, percent))
     scratch.drop()
     gone = gone.withColumnsRenamed({"doc_id": doc, "text_hash": text_hash, "gone": lines})
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left").drop(doc, text_hash)

@@ -4,7 +4,7 @@ Linked are sets with ``100 * |A and B| >= percent * |A or B|``, which is ``|A xo
 ``c = (100 - percent) / (100 + percent)``. A pair is looked at if it shares a band, and decided over the full sets:
 
 1. Members of a bucket of at most ``SMALL`` sets meet each other, those of a larger one meet two pivots of it. One
-   pivot is the set that meets the most others, as a text does that many copies were made from. Bitmaps (below) rule
+   pivot is the set that meets the most others in such buckets, as a text does that many copies were made from. Bitmaps (below) rule
    pairs out before their texts are fetched.
 2. Links make components. Where a bucket then still holds several, pairs of members of different components meet,
    again behind their bitmaps, if it has at most ``MEDIUM`` members. In a larger one each member is described by its
@@ -106,22 +106,36 @@ def _deal(first: int, last: int, common: np.ndarray, bits: int):  # noqa: ANN202
 
 
 def _shared(common: np.ndarray):  # noqa: ANN202
-    """Rows of ``_deal`` sorted by group to the rows (band, c), once each, of bands of several sets and of common ones."""
+    """Rows of ``_deal`` sorted by group to rows ``a, b, n``: pairs of sets of small buckets (n 0), the band and a set of
+    larger buckets of n sets, and those of common bands (n -1), whose sets are in several groups."""
 
     def bucket(bands: list[bytes], cs: list[bytes]) -> pa.RecordBatch:
         band, c = (np.frombuffer(b"".join(x), np.int64) for x in (bands, cs))
         order = np.argsort(band)
         band, c = band[order], c[order]
         hot = np.isin(band, common)
-        for _ in range(2):  # then without rows that stand twice
-            same = np.append(False, band[1:] == band[:-1])
-            keep = same | np.append(same[1:], False) | hot
-            band, c, hot = band[keep], c[keep], hot[keep]
-            order = np.lexsort((c, band))
-            band, c, hot = band[order], c[order], hot[order]
-            once = np.append(True, (band[1:] != band[:-1]) | (c[1:] != c[:-1]))[: len(band)]
-            band, c, hot = band[once], c[once], hot[once]
-        return pa.RecordBatch.from_arrays([pa.array(band), pa.array(c)], names=["band", "c"])
+        same = np.append(False, band[1:] == band[:-1])
+        keep = same | np.append(same[1:], False) | hot
+        band, c, hot = band[keep], c[keep], hot[keep]
+        order = np.lexsort((c, band))
+        band, c, hot = band[order], c[order], hot[order]
+        once = np.append(True, (band[1:] != band[:-1]) | (c[1:] != c[:-1]))[: len(band)]
+        band, c, hot = band[once], c[once], hot[once]
+        first = np.flatnonzero(np.append(True, band[1:] != band[:-1])[: len(band)])
+        many = np.diff(np.append(first, len(band)))
+        n = np.repeat(many, many)
+        small = (n <= SMALL) & ~hot
+        found_a, found_b, found_n = [], [], []
+        for d in range(1, SMALL):
+            at = np.flatnonzero(small[: len(band) - d] & (band[: len(band) - d] == band[d:])) if len(band) > d else first[:0]
+            if not len(at):
+                break
+            found_a.append(c[at + d])
+            found_b.append(c[at])
+            found_n.append(np.zeros(len(at), np.int32))
+        rest = ~small
+        cols = [[*found_a, band[rest]], [*found_b, c[rest]], [*found_n, np.where(hot, -1, n)[rest].astype(np.int32)]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bands, cs = None, [], []
@@ -139,13 +153,13 @@ def _shared(common: np.ndarray):  # noqa: ANN202
     return run
 
 
-def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> DataFrame:
-    """``nodes(c, bands)`` to ``band, c, n`` where ``n > 1`` sets share a band.
+def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``nodes(c, bands)`` to the pairs ``c, p`` of small buckets, and ``band, c, n`` where a band has ``n > SMALL`` sets.
 
     Bands are dealt in groups of about ``GROUP`` rows, packed as arrays of numbers, in an exchange for every ``ROUND``
-    bands, so that no more of them are on disk at once. The most common bands, as a sample shows them, are dealt by
-    ``c`` instead: all their rows are shared anyway. There are at most ``COMMON`` of these; every other band holds a
-    smaller part of the rows.
+    bands, so that no more of them are on disk at once; pairs of small buckets are made where a group is. The most common
+    bands, as a sample shows them, are dealt by ``c`` instead, and count as larger. There are at most ``COMMON`` of these;
+    every other band holds a smaller part of the rows.
     """
     sample = nodes.sample(0.01, seed=1).select(F.explode("bands").alias("band")).groupBy("band").count()
     common = sample.where("count >= 20").orderBy(F.desc("count"), "band").limit(COMMON).select("band").toArrow()
@@ -156,13 +170,16 @@ def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> DataFrame:
     bits = max(6, (nodes.count() * step // GROUP).bit_length())
     for r in range(rounds):
         dealt = nodes.mapInArrow(_deal(r * step, (r + 1) * step, common, bits), _DEALT).repartition("g").sortWithinPartitions("g")
-        parts.append(scratch.table(dealt.mapInArrow(_shared(common), "band long, c long"), f"links_met{r}"))
+        parts.append(scratch.table(dealt.mapInArrow(_shared(common), "a long, b long, n int"), f"links_met{r}"))
     met = reduce(DataFrame.unionByName, parts)
-    counts = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.table(met.join(counts, "band"), "links_buckets")
+    pairs = scratch.table(met.where("n = 0").select(F.col("a").alias("c"), F.col("b").alias("p")).distinct(), "links_small")
+    large = met.where("n <> 0").select(F.col("a").alias("band"), F.col("b").alias("c"), F.col("n").cast("long").alias("n"))
+    counts = large.where("n < 0").groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    large = large.where("n > 0").unionByName(large.where("n < 0").drop("n").join(counts, "band"))
+    large = scratch.table(large, "links_large")
     for r in range(rounds):
         scratch.drop(f"links_met{r}")
-    return buckets
+    return pairs, large
 
 
 # ---- pairs --------------------------------------------------------------------------------------
@@ -244,12 +261,13 @@ def _within(members: DataFrame, percent: int, other: Column) -> DataFrame:
     return x.join(y, (F.col("x.band") == F.col("y.band")) & other & _may_link("x", "y", percent)).select(*_ordered())
 
 
-def _first_pairs(signed: DataFrame, pivots: DataFrame, signs_of: DataFrame, percent: int) -> DataFrame:
-    """All pairs ``c, p`` of small buckets and each member with the pivots of larger ones, where a link is possible."""
-    within = _within(signed.where(F.col("n") <= SMALL), percent, F.col("x.c") > F.col("y.c"))
-    larger = signed.where(F.col("n") > SMALL).join(pivots, "band").select("c", *SIGNS, F.explode(F.array("p0", "p1")).alias("p")).where("c <> p").distinct()
-    met = larger.alias("x").join(signs_of.alias("y"), (F.col("x.p") == F.col("y.c")) & _may_link("x", "y", percent)).select(*_ordered("x.c", "x.p"))
-    return within.unionByName(met).distinct()
+def _first_pairs(small: DataFrame, signed: DataFrame, pivots: DataFrame, signs_of: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``c, p`` of small buckets, and of each member with the pivots of larger ones, where a link is possible."""
+    larger = signed.join(pivots, "band").select("c", F.explode(F.array("p0", "p1")).alias("p")).where("c <> p")
+    pairs = small.unionByName(larger.select(*_ordered("c", "p"))).distinct().alias("s")
+    x, y = signs_of.alias("x"), signs_of.alias("y")
+    met = pairs.join(x, F.col("s.c") == F.col("x.c")).join(y, F.col("s.p") == F.col("y.c"))
+    return met.where(_may_link("x", "y", percent)).select("s.c", "s.p")
 
 
 def _far_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
@@ -283,27 +301,26 @@ def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
 
     ``describe`` gives ``c, text`` for the sets of a table ``c``; ``sets`` are the sets of such texts.
     """
-    buckets = _buckets(nodes, n_bands, scratch)
-    weights = buckets.groupBy("c").agg(F.sum("n").alias("weight"))
-    signs_of = scratch.table(nodes.select("c", *SIGNS).join(weights.hint("merge"), "c").dropDuplicates(["c"]), "links_signs")
+    small, large = _buckets(nodes, n_bands, scratch)
+    weights = large.groupBy("c").agg(F.sum("n").alias("weight"))
+    met = small.select("c").union(small.select(F.col("p").alias("c"))).union(large.select("c")).distinct()
+    signs_of = scratch.table(nodes.select("c", *SIGNS).join(met.hint("merge"), "c").dropDuplicates(["c"]), "links_signs")
     scratch.drop(sketched)
-    signed = scratch.table(buckets.join(signs_of, "c"), "links_signed")
-    scratch.drop("links_buckets")
-    pivots = signed.where(F.col("n") > SMALL).groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
+    pivots = large.join(weights, "c").groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
     pivots = scratch.table(pivots.select("band", F.col("p0.c").alias("p0"), "p1"), "links_pivots")
 
     def needed(pairs: DataFrame) -> DataFrame:
         return pairs.select("c").union(pairs.select("p")).distinct()
 
-    pairs = scratch.table(_first_pairs(signed, pivots, signs_of, percent), "links_pairs")
+    pairs = scratch.table(_first_pairs(small, large, pivots, signs_of, percent), "links_pairs")
     described = scratch.table(describe(needed(pairs)), "links_described")
     comp = scratch.table(components(_verified(pairs, described, sets, percent), scratch, "first"), "comp")
 
     # Larger buckets that still hold several components.
     own = F.coalesce("comp", "c").alias("comp")
-    at = signed.where(F.col("n") > SMALL).join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "n", "c", *SIGNS, own)
+    at = large.join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "n", "c", own)
     several = at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    open_ = scratch.table(at.join(several, "band"), "links_open")
+    open_ = scratch.table(at.join(several, "band").join(signs_of, "c"), "links_open")
     rest = _within(open_.where(F.col("n") <= MEDIUM), percent, F.col("x.comp") < F.col("y.comp")).distinct()
     members = open_.where(F.col("n") > MEDIUM).join(pivots.select("band", F.col("p0").alias("p")), "band").select("p", "c", "comp").distinct()
     members = scratch.table(members, "links_members")
