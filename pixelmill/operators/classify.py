@@ -7,16 +7,16 @@ taken by one kernel, only for the sizes that need them. The first match wins, an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pixelmill.functions.binary import extension, holds, starts_with
 from pixelmill.operators.pixels import nibbles
-from pixelmill.runtime import ship
+from pixelmill.runtime import ship, unused
 
 # The extensions that decide a family by themselves, in the order in which they are tried.
 MODERN = "png jpg jpeg gif tiff tif heic heif webp".split()
@@ -81,15 +81,17 @@ def coco3_320_or_640(b: np.ndarray) -> str:
     return "coco3_640" if sum(weight for weight, holds_true in signals if holds_true) >= WIDE else "coco3_320"
 
 
-def _by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tests = {"?16384": cpc_or_dhgr, "?6144": pmode_3_or_4, "?32016": coco3_320_or_640}
-    for batch in batches:
-        kinds = batch.column("kernel").to_pylist()
-        for i, k in enumerate(kinds):
-            if k in tests:
-                kinds[i] = tests[k](np.frombuffer(batch.column("content")[i].as_buffer(), np.uint8))
-        rest = [c for c in batch.schema.names if c != "kernel"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(kinds, pa.string())], names=[*rest, "kernel"])
+_TESTS = {"?16384": cpc_or_dhgr, "?6144": pmode_3_or_4, "?32016": coco3_320_or_640}
+
+
+@F.arrow_udf(StringType())
+def _tested(kernel: pa.Array, content: pa.Array) -> pa.Array:
+    """The kernel that the content of an undecided file tells; what is decided comes without content and goes as it came."""
+    kinds = kernel.to_pylist()
+    for i, k in enumerate(kinds):
+        if k in _TESTS:
+            kinds[i] = _TESTS[k](np.frombuffer(content[i].as_buffer(), np.uint8))
+    return pa.array(kinds, pa.string())
 
 
 def paintworks_palette(content: Column) -> Column:
@@ -158,13 +160,14 @@ def kernel_of(name: Column, content: Column) -> Column:
 def classify(files: DataFrame, kernel: Column | None = None) -> DataFrame:
     """``files(name, content, ...)`` with the name of the ``kernel`` that decodes each; null if unknown.
 
-    ``kernel`` takes the place of ``kernel_of`` where more is known of the files.
+    ``kernel`` takes the place of ``kernel_of`` where more is known of the files. Python gets the names of kernels, and
+    the bytes of files alone whose size leaves the kernel open.
     """
     ship(files.sparkSession)
-    named = files.withColumn("kernel", kernel_of(F.col("name"), F.col("content")) if kernel is None else kernel)
-    rest = [f for f in files.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", kernel string"
-    return named.mapInArrow(_by_content, schema)
+    (first,) = unused(files, "kernel")
+    named = files.withColumn(first, kernel_of(F.col("name"), F.col("content")) if kernel is None else kernel)
+    undecided = F.col(first).startswith("?")
+    return named.withColumn("kernel", _tested(F.col(first), F.when(undecided, F.col("content")))).drop(first)
 
 
 def filtered_by_platform(images: DataFrame, platform: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelmill.functions import palettes
-from pixelmill.operators import chains, classify, decoders, edits, export, filetypes, images, trees
+from pixelmill.operators import chains, classify, decoders, edits, export, filetypes, images, median_cut, trees
 from pixelmill.operators import pixels as P
 from pixelmill.runtime import settled
 from pixelmill.sources import disks
@@ -88,6 +88,27 @@ def top_colors(spark: SparkSession, d: str) -> DataFrame:
     return P.top_colors(_docs(spark, d), "doc_id", P.text_blob(), 16)
 
 
+def _median_cut_sql(levels: int) -> str:
+    parts = [_PIXELS.rstrip(), "colors0 AS MATERIALIZED (SELECT r * 65536 + g * 256 + b AS rgb, count(*) AS n, 0 AS box FROM p GROUP BY 1)"]
+    for k in range(levels):
+        parts += [
+            f"bins{k} AS (SELECT box, channel, value, sum(n) AS n FROM (SELECT box, c AS channel, (rgb >> (16 - 8 * c)) & 255 AS value, n FROM colors{k}, (VALUES (0), (1), (2)) v(c)) GROUP BY ALL)",
+            f"up{k} AS (SELECT *, sum(n) OVER (PARTITION BY box, channel ORDER BY value) AS up, sum(n) OVER (PARTITION BY box, channel) AS whole FROM bins{k})",
+            f"""each{k} AS (SELECT box, channel, max(value) - min(value) AS length, least(min(value) FILTER (WHERE up * 2 >= whole), coalesce(max(value) FILTER (WHERE up < whole), 255)) AS last
+                FROM up{k} GROUP BY box, channel)""",
+            f"cut{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY box ORDER BY length DESC, channel) AS place FROM each{k}) WHERE place = 1)",
+            f"colors{k + 1} AS MATERIALIZED (SELECT rgb, n, box * 2 + CAST((rgb >> (16 - 8 * channel)) & 255 > last AS INTEGER) AS box FROM colors{k} JOIN cut{k} USING (box))",
+        ]
+    mean = lambda shift: f"CAST((2 * sum(n * ((rgb >> {shift}) & 255)) + sum(n)) // (2 * sum(n)) AS BIGINT)"
+    return ", ".join(parts) + f" SELECT box, {mean(16)} * 65536 + {mean(8)} * 256 + {mean(0)} AS rgb, CAST(sum(n) AS BIGINT) AS n, count(*) AS colors FROM colors{levels} GROUP BY box"
+
+
+@_query(_median_cut_sql(8))
+def global_palette(spark: SparkSession, d: str) -> DataFrame:
+    """256 colours for all pictures together."""
+    return median_cut.global_palette(median_cut.color_table(_docs(spark, d), "doc_id", P.text_blob()))[0]
+
+
 @_query("SELECT o_orderpriority, count(*) AS entries, count(*) FILTER (WHERE o_orderstatus <> 'P') AS files, count(*) FILTER (WHERE o_orderstatus = 'F') AS images FROM orders GROUP BY o_orderpriority")
 def type_rollup_counts(spark: SparkSession, d: str) -> DataFrame:
     return disks.rollup_counts(_table(spark, d, "orders"), "o_orderpriority", F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F")
