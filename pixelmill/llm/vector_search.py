@@ -8,7 +8,8 @@ distance of the k-th found so far; factor one restores exact search, smaller one
 
 Each visit answers a block's k best of that shard, and a grouped rank takes the k best of those. Equal vectors
 are one point of the tree with their ids in order, so that a vector that many rows share is one distance. Scores
-are inner products of the original vectors in double precision; ties go to the smaller id.
+are inner products of the original vectors in double precision; ties go to the smaller id, in the tree, too: what may
+tie with the k-th is compared by its exact score, and branches at the k-th's distance are visited.
 
 Edge cases: vectors that are null, empty, zero, of another length than ``dim``, or hold null or non-finite
 components take no part, and neither do rows with a null id; rows that repeat an id are candidates of their own;
@@ -17,7 +18,7 @@ with fewer than k candidates all are returned; an empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .common import Scratch, cut
 
 SHARD_ROWS, BLOCK_ROWS, TASK_BLOCKS, LEAF = 16384, 1024, 32, 256
 FACTOR = 0.35
+#: What rounding may add to a distance, as a part of the largest one.
+SLACK = 1e-7
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -44,6 +47,7 @@ class Tree:
 
     def __init__(self, points: np.ndarray, seed: int = 0) -> None:
         self.points, self.rng = points, np.random.default_rng(seed)
+        self.square = float((points * points).sum(1).max(initial=0))  # R^2, which all points have
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, at: np.ndarray) -> tuple:
@@ -64,21 +68,19 @@ class Tree:
         return vantage, (inner.min(), inner.max()), (outer.min(), outer.max()), self._build(at[near]), self._build(at[~near])
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the distances and rows of its ``k`` nearest points found (all, if there are fewer)."""
+        """For each query (q, 0) the inner products and rows of its ``k`` best points found (all, if there are fewer), best
+        first, and of equal ones the smaller row. With factor one they are the best of all."""
         n, k = len(queries), min(k, len(self.points))
-        best, who = np.full((n, k), np.inf), np.zeros((n, k), np.int64)
-        self._visit(self.root, queries, np.arange(n), best, who, factor)
-        return best, who
+        norm = (queries * queries).sum(1)
+        found = _Found(queries[:, :-1], np.full((n, k), -np.inf), np.full((n, k), len(self.points)), norm, self.square + norm)
+        self._visit(self.root, queries, np.arange(n), found, factor)
+        return found.score, found.who
 
-    def _visit(self, node: tuple, queries: np.ndarray, group: np.ndarray, best: np.ndarray, who: np.ndarray, factor: float) -> None:
+    def _visit(self, node: tuple, queries: np.ndarray, group: np.ndarray, found: _Found, factor: float) -> None:
         if not len(group):
             return
         if len(node) == 1:
-            at, k = node[0], best.shape[1]
-            d = np.concatenate([best[group], _distances(queries[group], self.points[at])], 1)
-            w = np.concatenate([who[group], np.broadcast_to(at, (len(group), len(at)))], 1)
-            pick = np.argpartition(d, k - 1, axis=1)[:, :k]
-            best[group], who[group] = np.take_along_axis(d, pick, 1), np.take_along_axis(w, pick, 1)
+            found.add(group, node[0], self.points[node[0], :-1])
             return
         vantage, inside, outside, near, far = node
         d = _distances(queries[group], self.points[[vantage]])[:, 0]
@@ -88,8 +90,41 @@ class Tree:
                 dist = d[first_near] if one is near else d[~first_near]
                 for child, (low, high) in ((one, its), (other, others)):
                     beyond = np.maximum(np.maximum(low - dist, dist - high), 0)
-                    go = beyond <= factor * best[own].max(axis=1) + 1e-12
-                    self._visit(child, queries, own[go], best, who, factor)
+                    reach, slack = found.reach(own)
+                    self._visit(child, queries, own[beyond <= factor * reach + slack], found, factor)
+
+
+@dataclass
+class _Found:
+    """The best points of each query so far, by exact inner product and then row."""
+
+    q: np.ndarray
+    score: np.ndarray
+    who: np.ndarray
+    norm: np.ndarray
+    total: np.ndarray  # R^2 + |q|^2
+
+    def reach(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distance of the last one kept, and what rounding may add to distances: points at that very distance are to be met."""
+        return np.sqrt(np.maximum(self.total[own] - 2 * self.score[own, -1], 0)), SLACK * np.sqrt(self.total[own])
+
+    def add(self, group: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+        """Takes points into the lists of a group of queries. Matrix products tell which may get in; exact ones decide."""
+        k, q = self.score.shape[1], self.q[group]
+        about = q @ x.T
+        least = self.score[group, -1]
+        if len(rows) >= k:
+            least = np.maximum(least, np.partition(about, len(rows) - k, axis=1)[:, len(rows) - k])
+        error = 8 * x.shape[1] * np.finfo(float).eps * np.sqrt(self.norm[group] * (x * x).sum(1).max(initial=0))
+        at, of = np.nonzero(about >= (least - error)[:, None])
+        many = np.bincount(at, minlength=len(group))
+        place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        score = np.full((len(group), k + int(many.max(initial=0))), -np.inf)
+        who = np.full(score.shape, np.iinfo(np.int64).max)
+        score[:, :k], who[:, :k] = self.score[group], self.who[group]
+        score[at, k + place], who[at, k + place] = (x[of] * q[at]).sum(1), rows[of]
+        best = np.lexsort((who, -score), axis=1)[:, :k]
+        self.score[group], self.who[group] = np.take_along_axis(score, best, 1), np.take_along_axis(who, best, 1)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,28 +150,25 @@ def _answers(k: int, factor: float, radius: float):  # noqa: ANN202
         points, group = np.unique(x, axis=0, return_inverse=True)
         by_group = np.argsort(group.reshape(-1), kind="stable")  # ids ascend within a group
         starts = np.searchsorted(group.reshape(-1)[by_group], np.arange(len(points) + 1))
+        # Points by their smallest ids, so that of equal scores the smaller id's point is found.
+        rank = np.argsort(ids[by_group[starts[:-1]]], kind="stable")
+        points, first, last = points[rank], starts[:-1][rank], starts[1:][rank]
         tree = Tree(np.concatenate([points, np.sqrt(np.maximum(radius**2 - (points**2).sum(1), 0))[:, None]], 1))
         out_q, out_v, out_s = [], [], []
         for q_ids, q_flat in zip(blocks.column("ids").to_pylist(), blocks.column("vectors").to_pylist()):
             q_ids, q = np.array(q_ids), np.array(q_flat).reshape(len(q_ids), -1)
-            _, who = tree.search(np.concatenate([q, np.zeros((len(q), 1))], 1), k + 1, factor)  # one more, for itself
+            scores, who = tree.search(np.concatenate([q, np.zeros((len(q), 1))], 1), k + 1, factor)  # one more, for itself
             for i in range(len(q)):
-                at = who[i]
-                score = (points[at] * q[i]).sum(1)
-                left, v, s = k + 1, [], []
-                ranked = np.argsort(-score, kind="stable")
-                for value in np.unique(score)[::-1]:  # equal scores: smaller ids first
-                    same = np.sort(np.concatenate([ids[by_group[starts[p] : min(starts[p + 1], starts[p] + k + 1)]] for p in at[ranked][score[ranked] == value]]))
-                    same = same[same != q_ids[i]][:left]
-                    v.append(same)
-                    s.append(np.full(len(same), value))
-                    left -= len(same)
-                    if left <= 0:
-                        break
-                v, s = np.concatenate(v)[:k], np.concatenate(s)[:k]
-                out_q.append(np.full(len(v), q_ids[i]))
-                out_v.append(v)
-                out_s.append(s)
+                at = who[i][np.isfinite(scores[i])]
+                of = [by_group[first[p] : min(last[p], first[p] + k + 1)] for p in at]
+                v = ids[np.concatenate(of)]
+                s = np.repeat(scores[i][: len(at)], [len(o) for o in of])
+                own = v != q_ids[i]
+                v, s = v[own], s[own]
+                best = np.lexsort((v, -s))[:k]
+                out_q.append(np.full(len(best), q_ids[i]))
+                out_v.append(v[best])
+                out_s.append(s[best])
         if not out_q:
             return empty
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})

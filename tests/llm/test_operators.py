@@ -355,6 +355,44 @@ def test_vectors(spark):
     assert vector_search.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def best_of_all(rows, every, k):
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for i in ids[ids % every == 0].tolist():
+        score = (x * x[ids == i][0]).sum(1)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+        yield i, [(int(ids[j]), float(score[j])) for j in order]
+
+
+def found_for(spark, rows, k, **how):
+    got = defaultdict(list)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for r in vector_search.nearest(df, F.col("vec_id") % 20 == 0, k, **how).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_nearest_with_ties_everywhere(spark, monkeypatch):
+    """Vectors of small whole numbers: many distinct ones share an inner product with a query."""
+    monkeypatch.setattr(vector_search, "SHARD_ROWS", 700)
+    monkeypatch.setattr(vector_search, "LEAF", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-3, 4, (2000, 4)).astype(float)) if v.any()]
+    got = found_for(spark, rows, 20, factor=1.0)
+    for query, want in best_of_all(rows, 20, 20):
+        assert got[query] == want
+
+
+def test_recall_of_relaxed_search(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "LEAF", 32)
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (3000, 24)) + rng.normal(0, 1, (30, 24))[rng.integers(30, size=3000)])]
+    got, hits, total = found_for(spark, rows, 20), 0, 0
+    for query, want in best_of_all(rows, 20, 20):
+        hits += len(set(got[query]) & set(want))
+        total += len(want)
+    assert hits >= 0.9 * total and len(got) == 150
+
+
 # ---- op8 ----
 
 
