@@ -9,6 +9,9 @@ Texts are equal when identical after lower-casing A-Z; of equal texts the row wi
    their shard's filter. Negatives are sure to be new; positives join the exact digest buckets.
 4. Within each bucket of more than one row, the normalised bytes themselves are compared with the keeper's.
 
+``exact_duplicates`` takes both from one table and writes the snapshot for itself; ``save_snapshot`` keeps one in a
+folder, and ``batch_duplicates`` holds any number of later batches against it with the filters that are there.
+
 Groups are counted before any shuffle by digest, and joins back to rows are plain equi-joins that Spark splits
 when a digest is hot, so a text that a third of all rows share is no single task.
 
@@ -27,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelmill.runtime import ship
+
 from .common import Scratch, cut, mix
 
 #: Digests of a shard on average.
@@ -100,7 +105,7 @@ def fuse_contains(filter_: bytes, keys: np.ndarray) -> np.ndarray:
     return (mix(h, 9) & np.uint64(255)).astype(np.uint8) == table[a] ^ table[b] ^ table[c]
 
 
-# ---- the operator -------------------------------------------------------------------------------
+# ---- digests and filters ------------------------------------------------------------------------
 
 
 def _digests(with_text: bool):  # noqa: ANN202
@@ -130,6 +135,69 @@ def _probe(key: tuple, fresh: pa.Table, filters: pa.Table) -> pa.Table:
     return fresh.select(["sha"]).filter(pa.array(hit))
 
 
+# ---- snapshots ----------------------------------------------------------------------------------
+
+
+def _shard(shards: Column | int) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring("sha", 9, 6)), 16, 10).cast("long"), shards if isinstance(shards, Column) else F.lit(shards)).cast("int")
+
+
+def _write_snapshot(groups: DataFrame, folder: str) -> None:
+    """Writes ``groups(sha, keep_id, n)`` by shard, and a filter for each shard, below ``folder``."""
+    spark = groups.sparkSession
+    shards = max(1, -(-groups.count() // SHARD_KEYS))
+    groups.withColumn("shard", _shard(shards)).write.parquet(f"{folder}/groups")
+    kept = spark.read.parquet(f"{folder}/groups")
+    filters = kept.select("shard", "sha").groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+    filters.withColumn("shards", F.lit(shards)).write.parquet(f"{folder}/filters")
+
+
+def save_snapshot(docs: DataFrame, folder: str) -> None:
+    """Writes the digests of ``docs(doc_id, text)`` and their filters to ``folder``, once for all batches to come.
+
+    A snapshot does not change: a later one is written elsewhere, from its documents.
+    """
+    ship(docs.sparkSession)
+    digests = docs.select("doc_id", F.lit(False).alias("is_new"), "text").mapInArrow(_digests(False), "doc_id long, is_new boolean, sha binary")
+    _write_snapshot(digests.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").cast("long").alias("n")), folder)
+
+
+def _met(fresh: DataFrame, folder: str) -> DataFrame:
+    """Of ``fresh(sha)``, distinct digests of a batch, those of the snapshot, with ``k, m``, its group's keep_id and rows.
+
+    Filters are read as they were saved. What they let through meets the exact buckets.
+    """
+    spark = fresh.sparkSession
+    filters = spark.read.parquet(f"{folder}/filters")
+    first = filters.select("shards").first()
+    sharded = fresh.select("sha").withColumn("shard", _shard(first["shards"] if first else 1))
+    positive = sharded.groupBy("shard").cogroup(filters.select("shard", "filter").groupBy("shard")).applyInArrow(_probe, "sha binary")
+    groups = spark.read.parquet(f"{folder}/groups").select("sha", F.col("keep_id").alias("k"), F.col("n").alias("m"))
+    return positive.join(groups, "sha")
+
+
+def batch_duplicates(batch: DataFrame, folder: str) -> DataFrame:
+    """``batch(doc_id, text)`` to ``doc_id, keep_id, group_size, kept, text_sha256`` within the batch and the snapshot in ``folder``.
+
+    The batch is digested and grouped; nothing of the snapshot is built again, and of its groups only those are read
+    whose digests its filters let through. ``kept`` tells that no row of the snapshot or the batch is to stay instead.
+    """
+    spark = batch.sparkSession
+    scratch = Scratch(spark)
+    rows = batch.select("doc_id", F.lit(True).alias("is_new"), "text").mapInArrow(_digests(False), "doc_id long, is_new boolean, sha binary")
+    rows = scratch.table(rows, "digests")
+    groups = scratch.table(rows.groupBy("sha").agg(F.max("doc_id").alias("own"), F.count("*").alias("n")), "groups")
+    both = groups.join(_met(groups, folder), "sha", "left")
+    decided = both.select("sha", F.greatest("own", "k").alias("keep_id"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("group_size"))
+    out = rows.join(decided, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = cut(out)
+    scratch.drop()
+    return out
+
+
+# ---- the operator -------------------------------------------------------------------------------
+
+
 def exact_duplicates(docs: DataFrame, is_new: Column) -> DataFrame:
     """``docs(doc_id, text)`` to one row per row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -142,16 +210,13 @@ def exact_duplicates(docs: DataFrame, is_new: Column) -> DataFrame:
 
     groups = digests.groupBy("sha", "is_new").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     groups = scratch.table(groups, "groups")
-    shards = max(1, -(-groups.count() // SHARD_KEYS))
-    shard = F.pmod(F.conv(F.hex(F.substring("sha", 9, 6)), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    sharded = groups.withColumn("shard", shard)
-    old, fresh = sharded.where("not is_new"), sharded.where("is_new")
-    filters = scratch.table(old.select("shard", "sha").groupBy("shard").applyInArrow(_build, "shard int, filter binary"), "filters")
-    positive = fresh.select("shard", "sha").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_probe, "sha binary")
+    old, fresh = groups.where("not is_new").drop("is_new"), groups.where("is_new").drop("is_new")
+    snapshot = f"{scratch.root}/snapshot"
+    _write_snapshot(old, snapshot)
 
     # Positives meet the exact buckets; what does not is new, and grouped with its own batch only.
-    met = positive.join(old.select("sha", F.col("keep_id").alias("k"), F.col("n").alias("m")), "sha")
-    with_old = fresh.drop("is_new", "shard").join(met, "sha", "left").select("sha", F.greatest("keep_id", "k").alias("keep_id"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("group_size"))
+    met = _met(fresh, snapshot)
+    with_old = fresh.join(met, "sha", "left").select("sha", F.greatest("keep_id", "k").alias("keep_id"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("group_size"))
     only_old = old.join(met.select("sha"), "sha", "left_anti").select("sha", "keep_id", F.col("n").alias("group_size"))
     decided = scratch.table(with_old.unionByName(only_old), "decided")
 

@@ -321,6 +321,27 @@ def test_exact(spark, corpus, empty):
     assert exact_dups.exact_duplicates(empty, F.lit(True)).count() == 0
 
 
+def test_batches_against_a_saved_snapshot(spark, corpus, monkeypatch, tmp_path):
+    df, rows = corpus
+    monkeypatch.setattr(exact_dups, "SHARD_KEYS", 7)
+    old, folder = [r for r in rows if r[0] is None or r[0] % 3], str(tmp_path / "snapshot")
+    exact_dups.save_snapshot(spark.createDataFrame(old, SCHEMA), folder)
+    monkeypatch.setattr(exact_dups, "fuse_build", None)  # a batch builds no filter
+    before = {p: p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    for batch in ([r for r in rows if r[0] is not None and r[0] % 3 == 0] + [(9999, rows[1][1], None, None, None), (9998, "quite new", None, None, None), (9998, "quite new", None, None, None)], [(7, "alone", None, None, None)], []):
+        groups = defaultdict(list)
+        for r in old + batch:
+            groups[lower(r[1])].append(r[0])
+        want = []
+        for r in batch:
+            same = groups[lower(r[1])]
+            keep = max(i for i in same if i is not None)
+            want.append((r[0], keep, len(same), r[0] == keep, hashlib.sha256(lower(r[1]).encode()).hexdigest()))
+        got = exact_dups.batch_duplicates(spark.createDataFrame(batch, SCHEMA), folder).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert before == {p: p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 50, 3000])
 def test_fuse(n):
     rng = np.random.default_rng(n)
