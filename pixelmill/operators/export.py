@@ -127,8 +127,10 @@ def export_plan(images: DataFrame, formats: list[str]) -> DataFrame:
 
 
 def size_label(size: Column) -> Column:
+    """``512 B``, ``1.5 KB`` or ``2.0 MB``; of a tie the even digit is shown."""
     kb, mb = F.lit(1024), F.lit(1024 * 1024)
-    return F.when(size < kb, F.concat(size, F.lit(" B"))).when(size < mb, F.format_string("%.1f KB", size / kb)).otherwise(F.format_string("%.1f MB", size / mb))
+    shown = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(size / unit, 1))
+    return F.when(size < kb, F.concat(size, F.lit(" B"))).when(size < mb, shown(kb, "KB")).otherwise(shown(mb, "MB"))
 
 
 def name_with_type(name: Column, file_type: Column, aux: Column) -> Column:

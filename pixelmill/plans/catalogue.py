@@ -168,6 +168,43 @@ def first_match_route(spark: SparkSession, d: str) -> DataFrame:
     return edits.appended(pages, docs)
 
 
+#: Made-up files out of documents: sizes that formats have, starts of contents, and ends of names.
+_SIZES = [0, 128, 700, 1024, 3100, 6144, 6912, 7680, 7689, 8190, 9002, 9009, 10001, 10003, 10007, 10018, 14336, 16384, 16512, 20480, 22000, 24000, 27136, 32000, 32016, 32034, 32128, 32768, 34000, 38400, 54272]
+_STARTS = ["", "BM", "FORM", "GIF8", "\n", "....\x04MAIN", "\x01\x02"]
+_ENDS = ".png .sc2 .ge7 .gr5 .mode2 .BBC .pi3 .bin .pi1 .gr9 .gr7 .mic .gr3 .neo .scr .2mg .mac .pntg .xyz - #c00000 #c00001 #c00002 #c08005 #C10000 #c10002 .3201".replace("-", "").split(" ")
+_in = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+@_query(
+    f"""WITH m AS (SELECT doc_id, {_SIZES!r}[doc_id % {len(_SIZES)} + 1] AS size, [{", ".join(" || ".join(f"chr({ord(c)})" for c in x) or "''" for x in _STARTS)}][doc_id % {len(_STARTS)} + 1] AS start,
+        'Pic' || doc_id || {_ENDS!r}[doc_id % {len(_ENDS)} + 1] AS name, regexp_replace(coalesce(text, ''), '[^ -~]', '_', 'g') AS text FROM documents),
+    f AS (SELECT doc_id, name, lower(name) AS low, CASE WHEN contains(name, '.') THEN lower(string_split(name, '.')[-1]) ELSE '' END AS ext, size, left(rpad(start || text, greatest(size, 1), '_'), size) AS body FROM m),
+    b AS (SELECT *, unicode(body) AS one, unicode(substr(body, 2)) AS two FROM f)
+    SELECT doc_id, size, CASE WHEN size = 0 THEN NULL WHEN ext IN {_in(classify.MODERN)} THEN 'modern'
+      {" ".join(f"WHEN ext IN {_in(e)} THEN '{k}'" for k, e in classify.MSX_EXT.items())} {" ".join(f"WHEN ext IN {_in(e.split())} THEN 'bbc{k}'" for k, e in classify.BBC_EXT.items())}
+      WHEN ext IN {_in(classify.COCO_EXT)} THEN CASE WHEN size = 32016 THEN '?32016' WHEN size >= 24000 THEN 'coco3_320' WHEN size IN (6144, 6145) THEN '?6144' WHEN size = 1024 THEN 'trs80' END
+      WHEN ext IN ('pi1', 'pi2') THEN 'degas' {" ".join(f"WHEN ext IN {_in(e.split())} THEN '{k}'" for k, e in classify.ATARI_EXT.items())}
+      WHEN ext IN {_in(classify.ATARI_CUT)} THEN CASE WHEN size = 7689 THEN 'gr10' ELSE 'gr15' END WHEN ext = 'neo' AND size = 32128 THEN 'neochrome'
+      WHEN size >= 8 AND starts_with(body, 'GIF') THEN 'modern' WHEN size >= 14 AND starts_with(body, 'BM') THEN 'bmp' WHEN size >= 128 AND one = 10 THEN 'pcx'
+      {" ".join(f"WHEN contains(low, '{t}') AND size >= {dict(shr=32000, shr3200=38400).get(k, 0)} THEN '{k}'" for t, k in classify.PRODOS.items())}
+      WHEN contains(low, '.3201') THEN 'shr3201' WHEN substr(body, 5, 5) = chr(4) || 'MAIN' THEN 'apf' WHEN size >= 12 AND starts_with(body, 'FORM') THEN 'iff'
+      WHEN size IN (10000, 10001) THEN 'plus4' WHEN size BETWEEN 10002 AND 10004 THEN 'plus4' WHEN size BETWEEN 10003 AND 10010 THEN 'koala' WHEN size = 10018 THEN 'art_studio'
+      WHEN size = 9009 THEN 'c64_hires' WHEN size = 9002 THEN 'art_studio_hires' WHEN size = 6912 THEN 'zx' WHEN size BETWEEN 3060 AND 3500 THEN 'vic20'
+      WHEN size = 16384 THEN CASE WHEN ext = 'scr' THEN 'cpc' WHEN ext IN ('2mg', 'po', 'dsk') THEN 'dhgr' ELSE '?16384' END WHEN size = 16512 THEN 'cpc'
+      WHEN size BETWEEN 54272 AND 54279 THEN 'msx8' WHEN size BETWEEN 27136 AND 27143 THEN 'msx5' WHEN size BETWEEN 14336 AND 14343 THEN 'msx2' WHEN size IN (20480, 20736) THEN 'bbc1'
+      WHEN size IN (10240, 10496) THEN 'bbc4' WHEN size = 7680 THEN 'gr8' WHEN size = 1024 THEN 'trs80' WHEN size = 6144 THEN '?6144' WHEN size = 32000 THEN 'coco3_320'
+      WHEN ext IN ('mac', 'pntg') AND size >= 512 THEN 'macpaint' WHEN size IN (32034, 32066) AND one = 0 AND two <= 2 THEN 'degas' WHEN size IN (32767, 32768) THEN 'shr'
+      WHEN size >= 38400 THEN 'shr3200' WHEN size BETWEEN 8184 AND 8200 THEN 'hgr' WHEN size BETWEEN 24000 AND 33000 THEN 'coco3_320' WHEN size BETWEEN 20000 AND 100000 THEN 'macpaint' END AS kernel FROM b"""
+)
+def classified_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as files of many sizes, starts and names: the kernel that metadata and signatures tell, or the size whose content is to decide."""
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values)).cast("int"))
+    text = F.concat(pick(_STARTS), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "_"))
+    files = _docs(spark, d).select("doc_id", pick(_SIZES).alias("size"), F.concat(F.lit("Pic"), "doc_id", pick(_ENDS)).alias("name"), text.alias("text"))
+    files = files.withColumn("content", F.encode(F.expr("substring(rpad(text, greatest(size, 1), '_'), 1, size)"), "UTF-8"))
+    return files.select("doc_id", "size", classify.kernel_of(F.col("name"), F.col("content")).alias("kernel"))
+
+
 @_query(
     """SELECT e.event_type, coalesce(a.label, w.label, '$' || upper(substr(e.event_type, 1, 2))) AS label, count(*) AS n
        FROM events e LEFT JOIN (VALUES ('click', 1, 'odd click')) AS a(event_type, aux, label) ON a.event_type = e.event_type AND a.aux = e.user_id % 2
@@ -457,6 +494,9 @@ def _weighted(place: str, value: str = "v", where: str = "true") -> str:
     SELECT s.doc_id, count(v) AS bytes, CAST(coalesce(sum({value} * (({place}) % 251 + 1)), 0) AS BIGINT) AS weighted FROM s LEFT JOIN (SELECT * FROM g WHERE {where}) g ON g.doc_id = s.doc_id GROUP BY 1"""
 
 
+# The layouts below see a text as rows of 32 bytes; what fills no row is no part of the picture.
+
+
 @_query(_weighted("(31 - x) * g.rows + y"))
 def geom_rotate(spark: SparkSession, d: str) -> DataFrame:
     return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.rotate(P.grid(b, 32)).reshape(-1))
@@ -476,14 +516,18 @@ def geom_crop(spark: SparkSession, d: str) -> DataFrame:
     return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), change)
 
 
-@_query(_weighted("y * 32 + x", "(255 - v)"))
+def _in_place(value: str) -> str:
+    return _BYTES + f"SELECT d.doc_id, count(i) AS bytes, CAST(coalesce(sum({value} * (i % 251 + 1)), 0) AS BIGINT) AS weighted FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY 1"
+
+
+@_query(_in_place("(255 - v)"))
 def invert(spark: SparkSession, d: str) -> DataFrame:
-    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.invert(P.grid(b, 32)).reshape(-1))
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), P.invert)
 
 
-@_query(_weighted("y * 32 + x", "CAST(least(255, greatest(0, trunc((v - 128) * CAST(2.5 AS DOUBLE) + 128 + 255 * CAST(0.1 AS DOUBLE)))) AS BIGINT)"))
+@_query(_in_place("CAST(least(255, greatest(0, trunc((v - 128) * CAST(2.5 AS DOUBLE) + 128 + 255 * CAST(0.1 AS DOUBLE)))) AS BIGINT)"))
 def tone_adjust(spark: SparkSession, d: str) -> DataFrame:
-    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.adjust(P.grid(b, 32), 0.1, 0.5).reshape(-1))
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.adjust(b, 0.1, 0.5))
 
 
 @_query(_BYTES + """, s AS (SELECT doc_id, length(x) // 64 AS rows FROM h), g AS (SELECT b.doc_id, i // 32 AS y, i % 32 AS x, v, rows FROM b JOIN s ON s.doc_id = b.doc_id WHERE i // 32 < rows),
