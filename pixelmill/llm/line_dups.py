@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_place, cut, distinct, mix, text_bytes, unused
-from .line_kernel import Lines, line_blocks
+from .common import Scratch, blocks, by_place, cut, distinct, mix, text_bytes, unused
+from .line_kernel import BLOCK, Lines, line_blocks
 from .near_dups import band_lists, sketch
 from .set_links import SIGNS, SIGNS_SCHEMA, set_components, signs
 
@@ -48,8 +48,8 @@ def normal_lines(text: str) -> list[str]:
 def line_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """The sorted distinct shingle hashes of each line of a column of normalised lines."""
     data, offs = text_bytes(column)
-    for lo in range(0, len(offs) - 1, 1000):
-        cuts = offs[lo : lo + 1001]
+    for lo, hi in blocks(offs, BLOCK):
+        cuts = offs[lo : hi + 1]
         lines = Lines(np.arange(len(cuts) - 1), np.zeros(len(cuts) - 1, np.int64), data[cuts[0] : cuts[-1]], cuts - cuts[0])
         hashes, cuts = distinct(*lines.shingles(width))
         for i in range(len(cuts) - 1):
