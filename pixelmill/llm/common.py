@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.runtime import ship
+from pixelmill.runtime import settled as cut
+from pixelmill.runtime import shared_folder, ship, unused
 
 #: Bytes of text that a kernel works on at once; a longer document is worked on alone.
 BLOCK_BYTES = 2_000_000
@@ -25,23 +26,6 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # ---- lineage ------------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pixelmill"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: for small tables that a returned plan still reads."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def by_place(docs: DataFrame, places: DataFrame, columns: list[str], wanted: list[str]) -> DataFrame:
     """``columns`` of ``docs(doc_id, text_hash, ...)`` and ``wanted`` of those ``places(doc_id, text_hash, ...)`` that are
     there, once each: of rows that repeat a place one is taken. A null id is a place's, too.
@@ -60,7 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         ship(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/pixelmill-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/pixelmill-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -86,15 +70,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Names like ``names`` that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
-    prefix = "_"
-    while any(f"{prefix}{n}" in taken for n in names):
-        prefix += "_"
-    return [f"{prefix}{n}" for n in names]
-
-
 # ---- bytes --------------------------------------------------------------------------------------
 
 
@@ -253,4 +228,4 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
             yield lo + i, hashes[cuts[i] : cuts[i + 1]]
 
 
-__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "blocks", "by_place", "cut", "distinct", "mix", "set_keys", "shared_dir", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "unused", "word_sets", "word_spans"]
+__all__ = ["BLOCK_BYTES", "LOWER", "Scratch", "blocks", "by_place", "cut", "distinct", "mix", "set_keys", "shared_folder", "shingle_hashes", "shingle_sets", "span_hashes", "text_bytes", "unused", "word_sets", "word_spans"]

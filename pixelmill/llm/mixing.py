@@ -29,6 +29,8 @@ from .common import Scratch, cut, unused
 WEIGHTS, BUDGET, REPEATS = (5, 2, 1), 1.5, 2
 #: Rows of a hash range on average; running sums within a range are one task's sort.
 RANGE_ROWS = 4096
+#: Ranges whose words are added up in one group.
+VOLUME = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
@@ -82,8 +84,12 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: floa
     copies = scratch.table(copies, "copies")
 
     total = targets.agg(F.floor(F.sum("source_size") * F.lit(float(budget)) + 0.5).cast("long").alias("total"))
-    spans = copies.groupBy("range").agg(F.sum("size").alias("words"))
-    spans = spans.select("range", (F.sum("words").over(Window.orderBy("range")) - F.col("words")).alias("words_before")).crossJoin(total)  # one row
+    spans = copies.groupBy("range").agg(F.sum("size").alias("words")).withColumn("volume", F.floor(F.col("range") / VOLUME))
+    volumes = spans.groupBy("volume").agg(F.sum("words").alias("volume_words"))
+    volumes = volumes.select("volume", (F.sum("volume_words").over(Window.orderBy("volume")) - F.col("volume_words")).alias("above"))  # a row for VOLUME * RANGE_ROWS copies
+    inside = F.sum("words").over(Window.partitionBy("volume").orderBy("range")) - F.col("words")
+    spans = spans.select("range", "volume", inside.alias("inside")).join(volumes, "volume")
+    spans = spans.select("range", (F.col("inside") + F.col("above")).alias("words_before")).crossJoin(total)  # one row
     spans = spans.withColumn("behind", F.col("words_before") >= F.col("total"))
     mix = copies.join(spans, "range")
     salt = F.when(F.col("behind"), F.pmod(F.xxhash64("shuffled"), F.lit(1 << 16))).otherwise(0)
