@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.operators.export import in_ranges
+from pixelmill.runtime import unused
 
 UNDO_DEPTH, RECENT = 10, 10
 
@@ -43,7 +44,8 @@ def cleared(rows: DataFrame) -> DataFrame:
 def first_wins(images: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """Of images with one key the first in order."""
     w = Window.partitionBy(key).orderBy(*order)
-    return images.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k")
+    (k,) = unused(images, "k")
+    return images.withColumn(k, F.row_number().over(w)).where(F.col(k) == 1).drop(k)
 
 
 def toggled(clicks: DataFrame, key: str = "image_id") -> DataFrame:
@@ -54,14 +56,16 @@ def toggled(clicks: DataFrame, key: str = "image_id") -> DataFrame:
 def undo_log(edits: DataFrame, key: str = "image_id", seq: str | list[str] = "seq", place: str | None = None) -> DataFrame:
     """The latest ``UNDO_DEPTH`` edits of each image; ``place`` names their place from the latest, if wanted."""
     w = Window.partitionBy(key).orderBy(_key(seq).desc())
-    out = edits.withColumn("_k", F.row_number().over(w).cast("long")).where(F.col("_k") <= UNDO_DEPTH)
-    return out.drop("_k") if place is None else out.withColumnRenamed("_k", place)
+    (k,) = unused(edits, "k")
+    out = edits.withColumn(k, F.row_number().over(w).cast("long")).where(F.col(k) <= UNDO_DEPTH)
+    return out.drop(k) if place is None else out.withColumnRenamed(k, place)
 
 
 def undone(edits: DataFrame, live: DataFrame, key: str = "image_id", seq: str | list[str] = "seq") -> DataFrame:
     """The log without each live image's last edit."""
-    last = edits.join(live.select(key), key, "left_semi").groupBy(key).agg(F.max(_key(seq)).alias("_last"))
-    return edits.withColumn("_last", _key(seq)).join(last, [key, "_last"], "left_anti").drop("_last")
+    (at,) = unused(edits, "last")
+    last = edits.join(live.select(key), key, "left_semi").groupBy(key).agg(F.max(_key(seq)).alias(at))
+    return edits.withColumn(at, _key(seq)).join(last, [key, at], "left_anti").drop(at)
 
 
 def recent(visits: DataFrame, key: str = "path", seq: str | list[str] = "seq") -> DataFrame:
@@ -72,10 +76,11 @@ def recent(visits: DataFrame, key: str = "path", seq: str | list[str] = "seq") -
 
 def pasted(palettes: DataFrame, targets: DataFrame, source: str, key: str = "image_id") -> DataFrame:
     """``palettes(key, palette)`` with the palette of ``source`` copied to the targets; as they were if it has none."""
-    copied = palettes.where(F.col(key) == source).agg(F.min("palette").alias("_copied"))  # the least, if it has several
-    marked = palettes.join(targets.select(key).distinct().withColumn("_target", F.lit(True)), key, "left")
+    own, target = unused(palettes, "copied", "target")
+    copied = palettes.where(F.col(key) == source).agg(F.min("palette").alias(own))  # the least, if it has several
+    marked = palettes.join(targets.select(key).distinct().withColumn(target, F.lit(True)), key, "left")
     out = marked.join(F.broadcast(copied), how="left")
-    return out.withColumn("palette", F.when(F.col("_target"), F.coalesce("_copied", "palette")).otherwise(F.col("palette"))).drop("_target", "_copied")
+    return out.withColumn("palette", F.when(F.col(target), F.coalesce(own, "palette")).otherwise(F.col("palette"))).drop(target, own)
 
 
 def palettes_reset(modified: DataFrame, targets: DataFrame, key: str = "image_id") -> DataFrame:

@@ -105,14 +105,16 @@ def unique_names(files: DataFrame, order: list[str], name: str = "out_name", tak
 
 def renamed(images: DataFrame, pattern: str, order: list[str], by: list[str] | None = None) -> DataFrame:
     """``out_name`` from a pattern with ``{n}``, the 1-based place (in its group), and ``{name}``, the base name."""
-    n = F.col("_n").cast("string")
+    (place,) = unused(images, "n")
+    n = F.col(place).cast("string")
     named = F.replace(F.replace(F.lit(pattern), F.lit("{n}"), n), F.lit("{name}"), base_name(F.col("name")))
-    return numbered(images, order, by, "_n").withColumn("out_name", named).drop("_n")
+    return numbered(images, order, by, place).withColumn("out_name", named).drop(place)
 
 
 def screensaver_names(images: DataFrame, order: list[str]) -> DataFrame:
     """``out_name`` of a screensaver's files: the place in three digits and the name, which sort as they are shown."""
-    return numbered(images, order, name="_n").withColumn("out_name", F.format_string("%03d_%s.png", "_n", base_name(F.col("name")))).drop("_n")
+    (place,) = unused(images, "n")
+    return numbered(images, order, name=place).withColumn("out_name", F.format_string("%03d_%s.png", place, base_name(F.col("name")))).drop(place)
 
 
 def export_plan(images: DataFrame, formats: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pixelmill.operators import pixels as P
 from pixelmill.operators.classify import classify, is_disk
 from pixelmill.operators.decoders import Picture, decode
 from pixelmill.operators.filetypes import entry_kernel, entry_name, without_header
-from pixelmill.runtime import ship
+from pixelmill.runtime import ship, unused
 from pixelmill.sources.disks import disk_entries
 from pixelmill.sources.raw import modern_images, raw_files
 
@@ -106,16 +106,17 @@ def transformed(images: DataFrame, *steps: tuple, where: Column | None = None) -
     leaves the image as it is.
     """
     ship(images.sparkSession)
-    chosen = images.withColumn("_chosen", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    (mark,) = unused(images, "chosen")
+    chosen = images.withColumn(mark, F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
     runs = [(getattr(P, name), args) for name, *args in steps if name in ("rotate", "flip", "invert", "crop", "adjust", "upscale")]
     if len(runs) < len(steps):
         raise ValueError("unknown step")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {c: b.column(c) for c in b.schema.names if c != "_chosen"}
+            cols = {c: b.column(c) for c in b.schema.names if c != mark}
             w, h, out = cols["width"].to_pylist(), cols["height"].to_pylist(), []
-            for i, (take, p) in enumerate(zip(b.column("_chosen").to_pylist(), cols["pixels"])):
+            for i, (take, p) in enumerate(zip(b.column(mark).to_pylist(), cols["pixels"])):
                 v = None if p.as_py() is None else np.frombuffer(p.as_buffer(), np.uint8).reshape(h[i], w[i], 3)
                 for f, args in runs if take and v is not None else ():
                     changed = f(v, *args)

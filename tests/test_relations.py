@@ -222,3 +222,22 @@ def test_palettes_at(spark, monkeypatch, cuts):
     pictures = spark.createDataFrame(shown, "picture long, image string, ts long")
     assert {tuple(r) for r in edits.palettes_at(pictures, edit_rows, "image", "picture").collect()} == want
     assert edits.palettes_at(pictures, edit_rows.where("seq < 0"), "image", "picture").count() == 0
+
+
+# ---- columns of any name ----
+
+
+def test_columns_with_helpers_names(spark):
+    from pixelmill.operators import images
+
+    names = ["_k", "_n", "_last", "_copied", "_target", "_chosen", "_key", "_cuts", "_range", "_size", "_first", "_some"]
+    rows = [(i, f"n{i % 3}.png", i * 2, [i], 1, 1, bytearray(b"abc"), *range(len(names))) for i in range(6)]
+    df = spark.createDataFrame(rows, "image_id long, name string, seq long, palette array<int>, width int, height int, pixels binary, " + ", ".join(f"{n} int" for n in names))
+    some = df.select("image_id").where("image_id < 2")
+    outs = [
+        edits.first_wins(df, F.col("name"), ["seq"]), edits.undo_log(df), edits.undone(df, some), edits.pasted(df, some, 3), edits.selected(df, some), edits.selected_or_current(df, some, None),
+        export.numbered(df, ["seq"]), export.renamed(df, "{n}-{name}", ["seq"]), export.screensaver_names(df, ["seq"]), export.export_plan(df, ["png"]), images.transformed(df, ("invert",)),
+    ]
+    for out in outs:
+        assert out.columns[: len(df.columns)] == df.columns
+        assert out.count() and all(r[n] == k for r in out.collect() for k, n in enumerate(names))
