@@ -218,6 +218,43 @@ def dimension_default(spark: SparkSession, d: str) -> DataFrame:
     return filetypes.looked_up(rows, types, "event_type", "aux", F.col("text"), "label", code).groupBy("event_type", "label").agg(F.count("*").alias("n"))
 
 
+def _types_sql() -> str:
+    lines = [line.split(" ", 4) for line in filetypes.PRODOS_TYPES.strip().splitlines()]
+    q = lambda text: "'" + text.replace("'", "''") + "'"
+    return ", ".join(f"({int(kind, 16)}, {'NULL' if aux == '*' else int(aux, 16)}, {q(short)}, {q(category)}, {q(text)})" for kind, aux, short, category, text in lines)
+
+
+@_query(
+    f"""WITH t(file_type, aux, short_name, category, description) AS (VALUES {_types_sql()}),
+    e AS (SELECT o_orderkey, CAST(o_orderkey % 256 AS INTEGER) AS file_type, [0, 1, 2, 3, 16384, 16385, 32769, 32773, 8192][o_custkey % 9 + 1] AS aux FROM orders),
+    n AS (SELECT *, CASE WHEN category = 'Graphics' AND file_type NOT IN ({", ".join(str(k) for k in sorted(filetypes.NOT_IMAGES))}) THEN TRUE ELSE FALSE END AS is_graphics FROM t)
+    SELECT e.o_orderkey, CASE WHEN x.file_type IS NOT NULL THEN x.short_name WHEN w.file_type IS NOT NULL THEN w.short_name ELSE printf('$%02X', e.file_type) END AS short_name,
+           CASE WHEN x.file_type IS NOT NULL THEN x.category WHEN w.file_type IS NOT NULL THEN w.category ELSE 'Unknown' END AS category,
+           CASE WHEN x.file_type IS NOT NULL THEN x.description WHEN w.file_type IS NOT NULL THEN w.description ELSE printf('Type $%02X', e.file_type) END AS description,
+           coalesce(x.is_graphics, w.is_graphics, FALSE) AS is_graphics
+    FROM e LEFT JOIN n x ON x.file_type = e.file_type AND x.aux = e.aux LEFT JOIN n w ON w.file_type = e.file_type AND w.aux IS NULL"""
+)
+def prodos_types_of(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as directory entries: what the whole ProDOS table says of their types and auxiliary types."""
+    aux = F.get(F.array(*[F.lit(v) for v in (0, 1, 2, 3, 16384, 16385, 32769, 32773, 8192)]), (F.col("o_custkey") % 9).cast("int"))
+    entries = _table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 256).cast("int").alias("file_type"), aux.alias("aux"))
+    return filetypes.with_prodos_type(entries).select("o_orderkey", "type_info.*")
+
+
+@_query(
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || '.PIC' ELSE p_name END AS name, [0, 1, 2, 4, 6, 250, 252, 15, 193][p_size % 9 + 1] AS kind FROM part),
+    n AS (SELECT p_partkey, name, CASE WHEN contains(name, '.') THEN name WHEN kind IN (0, 1) THEN name || '.txt' WHEN kind IN (2, 250, 252) THEN name || '.bas' WHEN kind IN (4, 6) THEN name || '.bin' ELSE name || '.dat' END AS file FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY p_partkey) AS j FROM n)
+    SELECT p_partkey, CASE WHEN j = 1 THEN file ELSE left(file, length(file) - 4) || ' (' || j || ')' || right(file, 4) END AS out_name FROM r"""
+)
+def entry_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as catalogue entries: the file that each is written to, by its type, no two to one."""
+    kind = F.get(F.array(*[F.lit(v) for v in (0, 1, 2, 4, 6, 250, 252, 15, 193)]), (F.col("p_size") % 9).cast("int"))
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(".PIC"))).otherwise(F.col("p_name"))
+    files = _table(spark, d, "part").select("p_partkey", export.entry_file_name(name, kind).alias("out_name"))
+    return export.unique_names(files, ["p_partkey"])
+
+
 @_query("SELECT p_partkey, p_name, p_type FROM part WHERE (lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%a%') AND p_size > 10")
 def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
     found = classify.contains_text(F.col("p_name"), "1") | classify.contains_text(F.col("p_type"), "A")
