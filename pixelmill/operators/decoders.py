@@ -14,6 +14,7 @@ import numpy as np
 
 from pixelmill.functions import codecs
 from pixelmill.functions import palettes as C
+from pixelmill.operators.pixels import artifact_colors
 
 
 @dataclass
@@ -320,11 +321,7 @@ def hgr(b: np.ndarray) -> Picture | None:
     if len(b) < 8184:
         return None
     line = _interleaved(np.concatenate([b, np.zeros(max(0, 8192 - len(b)), np.uint8)]))
-    on = ((line[:, :, None] >> np.arange(7, dtype=np.uint8)) & 1).reshape(192, 280)
-    after = np.concatenate([on[:, 1:], np.zeros((192, 1), np.uint8)], 1)
-    high, odd = np.repeat(line >> 7, 7, 1), np.arange(280) % 2
-    lone = np.where(high, np.where(odd == on, 4, 5), np.where(odd == on, 2, 3))
-    return _one("HGR", "", np.where(on == after, on, lone), C.HGR)
+    return _one("HGR", "", artifact_colors(line), C.HGR)
 
 
 def dhgr(b: np.ndarray) -> Picture | None:

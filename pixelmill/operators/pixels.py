@@ -180,6 +180,66 @@ def block_scores(df: DataFrame, key: str, blob: Column, block: int = 2048, head:
     return per_blob(df, key, blob, kernel, "rich_blocks long, early_zeros long")
 
 
+# ---- colours from bits and cells ----------------------------------------------------------------
+
+
+def artifact_colors(line: np.ndarray) -> np.ndarray:
+    """Hi-res colours of lines of bytes, seven columns a byte: 0 and 1 where a bit is as the next one of its line, else one of 2
+    to 5 by bit, column parity and the byte's high bit. Behind a line's end bits are 0."""
+    on = ((line[:, :, None] >> np.arange(7, dtype=np.uint8)) & 1).reshape(len(line), -1)
+    after = np.concatenate([on[:, 1:], np.zeros((len(line), 1), np.uint8)], 1)
+    high, odd = np.repeat(line >> 7, 7, 1), np.arange(on.shape[1]) % 2
+    lone = np.where(high, np.where(odd == on, 4, 5), np.where(odd == on, 2, 3))
+    return np.where(on == after, on, lone)
+
+
+def _artifact_table() -> np.ndarray:
+    """How often each colour comes out of a byte, by parity of its place, next bit and value."""
+    value, bit = np.repeat(np.arange(256, dtype=np.uint8), 2), np.tile(np.arange(2, dtype=np.uint8), 256)
+    shown = [artifact_colors(np.stack([np.zeros_like(value)] * k + [value, bit], 1))[:, 7 * k : 7 * k + 7] for k in range(2)]
+    return np.concatenate([(x[:, :, None] == np.arange(6)).sum(1) for x in shown])
+
+
+def artifact_counts(df: DataFrame, key: str, blob: Column, width: int = 40) -> DataFrame:
+    """``color, n`` of each blob as lines of ``width`` bytes, an even number, of which the last may be short."""
+    table = _artifact_table()
+
+    def kernel(b: np.ndarray) -> tuple:
+        at = np.arange(len(b))
+        bit = np.append(b[1:] & 1, np.zeros(1, np.uint8))[: len(b)] * (at % width != width - 1)
+        n = np.bincount((at & 1) * 512 + b.astype(np.int64) * 2 + bit, minlength=1024) @ table
+        return np.flatnonzero(n), n[n > 0]
+
+    return per_blob(df, key, blob, kernel, "color long, n long")
+
+
+def cell_inks(df: DataFrame, key: str, blob: Column, cell: int) -> DataFrame:
+    """Cells of ``cell`` bytes whose first is the attribute that gives each other one of two colours of three bits: by
+    attribute how many bytes have it, and the sum of their colours."""
+
+    def kernel(b: np.ndarray) -> tuple:
+        v, at = b.astype(np.int64), np.arange(len(b))
+        a = v[at // cell * cell]
+        keep = at % cell > 0
+        ink = np.where(v >= a, a % 8, a // 8 % 8)[keep]
+        n = np.bincount(a[keep], minlength=256)
+        return np.flatnonzero(n), n[n > 0], np.bincount(a[keep], ink, 256)[n > 0].astype(np.int64)
+
+    return per_blob(df, key, blob, kernel, "attribute long, n long, ink long")
+
+
+def used_nibbles(df: DataFrame, key: str, blob: Column) -> DataFrame:
+    """The palette indices that a blob of two pixels a byte uses, as text in the order of their decimal spelling."""
+    return per_blob(df, key, blob, lambda b: ([",".join(sorted(str(v) for v in np.flatnonzero(np.bincount(nibbles(b), minlength=16))))],), "used string")
+
+
+def filled_slices(b: np.ndarray, size: int, blank: tuple[int, ...], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the whole slices of ``size`` bytes with more than ``least`` that are not ``blank``, and how many these are."""
+    filled = (~np.isin(grid(b, size), blank)).sum(1)
+    at = np.flatnonzero(filled > least)
+    return at * size, filled[at]
+
+
 # ---- geometry and tone --------------------------------------------------------------------------
 
 

@@ -330,21 +330,12 @@ def hold_and_modify(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     _BYTES + """, k2 AS (SELECT doc_id, i, v, unnest(range(7)) AS j FROM b), bits AS (SELECT doc_id, i * 7 + j AS x, i // 40 AS y, v >= 128 AS high, (v >> j) % 2 AS bit FROM k2),
     n AS (SELECT *, lead(bit, 1, 0) OVER (PARTITION BY doc_id, y ORDER BY x) AS nxt FROM bits),
-    c AS (SELECT doc_id, CASE WHEN bit = 0 THEN 0 WHEN nxt = 1 THEN 3 WHEN x % 280 % 2 = 0 THEN CASE WHEN high THEN 5 ELSE 2 END ELSE CASE WHEN high THEN 4 ELSE 1 END END AS color FROM n)
+    c AS (SELECT doc_id, CASE WHEN bit = nxt THEN bit WHEN high THEN CASE WHEN x % 280 % 2 = bit THEN 4 ELSE 5 END ELSE CASE WHEN x % 280 % 2 = bit THEN 2 ELSE 3 END END AS color FROM n)
     SELECT doc_id, CAST(color AS BIGINT) AS color, count(*) AS n FROM c GROUP BY 1, 2"""
 )
 def next_bit_artifact(spark: SparkSession, d: str) -> DataFrame:
     """Colours from each bit, the next one in its row of 40 bytes, the column's parity and the byte's high bit."""
-
-    def kernel(b: np.ndarray) -> tuple:
-        bits = ((b[:, None] >> np.arange(7, dtype=np.uint8)) & 1).reshape(-1).astype(np.int64)
-        x, high = np.arange(len(bits)) % 280, np.repeat(b >= 128, 7)
-        nxt = np.concatenate([bits[1:], [0]])[: len(bits)]
-        nxt[x == 279] = 0
-        color = np.where(bits == 0, 0, np.where(nxt == 1, 3, np.where(x % 2 == 0, np.where(high, 5, 2), np.where(high, 4, 1))))
-        return np.unique(color, return_counts=True)
-
-    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "color long, n long")
+    return P.artifact_counts(_docs(spark, d), "doc_id", P.text_blob())
 
 
 @_query("SELECT p_partkey, CAST(coalesce(sum(p_size * 256) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte FROM part")
@@ -450,9 +441,7 @@ def palette_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey) AS extents, count(*) AS n FROM lineitem GROUP BY 1")
 def group_extents(spark: SparkSession, d: str) -> DataFrame:
-    pairs = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["l_linenumber"], p["l_partkey"])), " ")
-    return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(text.alias("extents"), F.count("*").alias("n"))
+    return disks.extents(_table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
 
 
 # ---- bytes and layouts --------------------------------------------------------------------------
@@ -473,9 +462,8 @@ def permute_sectors(spark: SparkSession, d: str) -> DataFrame:
 )
 def tumbling_slices(spark: SparkSession, d: str) -> DataFrame:
     def kernel(b: np.ndarray) -> tuple:
-        filled = ((P.grid(b, 512) != 32) & (P.grid(b, 512) != 101)).sum(1)
-        at = np.flatnonzero(filled > 100)
-        return at * 512, filled[at], np.arange(1, len(at) + 1)
+        at, filled = P.filled_slices(b, 512, (32, 101), 100)
+        return at, filled, np.arange(1, len(at) + 1)
 
     return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "first_byte long, filled long, number long")
 
@@ -515,15 +503,7 @@ def palette_recolor(spark: SparkSession, d: str) -> DataFrame:
 def cell_attribute_join(spark: SparkSession, d: str) -> DataFrame:
     """Cells of 64 bytes whose first is the attribute that gives the others one of two colours."""
 
-    def kernel(b: np.ndarray) -> tuple:
-        v, at = b.astype(np.int64), np.arange(len(b))
-        a = v[at // 64 * 64]
-        keep = at % 64 > 0
-        ink = np.where(v >= a, a % 8, a // 8 % 8)[keep]
-        kinds, inverse = np.unique(a[keep], return_inverse=True)
-        return kinds, np.bincount(inverse, minlength=len(kinds)), np.bincount(inverse, ink, len(kinds)).astype(np.int64)
-
-    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), kernel, "attribute long, n long, ink long")
+    return P.cell_inks(_docs(spark, d), "doc_id", P.text_blob(), 64)
 
 
 def _weighted(place: str, value: str = "v", where: str = "true") -> str:
@@ -589,7 +569,7 @@ def be_le_ints(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_NIBBLES + "SELECT d.doc_id, coalesce(string_agg(DISTINCT CAST(q AS VARCHAR), ',' ORDER BY CAST(q AS VARCHAR)), '') AS used FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1")
 def array_pal_from_used(spark: SparkSession, d: str) -> DataFrame:
-    return P.per_blob(_docs(spark, d), "doc_id", P.text_blob(), lambda b: ([",".join(sorted(str(v) for v in np.unique(P.nibbles(b))))],), "used string")
+    return P.used_nibbles(_docs(spark, d), "doc_id", P.text_blob())
 
 
 # ---- naming and export --------------------------------------------------------------------------

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelmill.operators.pixels import filled_slices
 from pixelmill.runtime import ship
 
 
@@ -431,10 +432,8 @@ def atr(b: bytes) -> Iterator[Entry]:
             content = body(_le(at, 3), _le(at, 1))
             yield Entry(f"{stem}.{ext}" if ext else stem, content, len(content), at[0], blocks=_le(at, 1))
     if not found:  # no directory: whole screens
-        for n, at in enumerate(range(16, len(b) - 7679, 7680)):
-            piece = b[at : at + 7680]
-            if len(piece) - piece.count(0) > 100:
-                yield Entry(f"SCREEN{n + 1}.GR8", piece, 7680)
+        for at in filled_slices(np.frombuffer(b, np.uint8)[16:], 7680, (0,), 100)[0].tolist():
+            yield Entry(f"SCREEN{at // 7680 + 1}.GR8", b[16 + at : 16 + at + 7680], 7680)
 
 
 def dfs(b: bytes) -> Iterator[Entry]:
@@ -534,6 +533,13 @@ def disk_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "name", "content").mapInArrow(run, f"disk_path string, disk_name string, {_SQL}")
 
 
+def extents(pairs: DataFrame, file: str, order: str, block: str) -> DataFrame:
+    """``extents``, a file's blocks in order as ``order:block``, and ``n``, their number."""
+    listed = F.sort_array(F.collect_list(F.struct(order, block)))
+    text = F.array_join(F.transform(listed, lambda p: F.concat_ws(":", p[order], p[block])), " ")
+    return pairs.groupBy(file).agg(text.alias("extents"), F.count("*").alias("n"))
+
+
 def rollup_counts(entries: DataFrame, by: str, is_file: Column, is_image: Column) -> DataFrame:
     """``entries``, ``files`` and ``images`` of each group."""
     return entries.groupBy(by).agg(F.count("*").alias("entries"), F.count_if(is_file).alias("files"), F.count_if(is_image).alias("images"))
