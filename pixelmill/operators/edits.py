@@ -68,6 +68,18 @@ def undone(edits: DataFrame, live: DataFrame, key: str = "image_id", seq: str |
     return edits.withColumn(at, _key(seq)).join(last, [key, at], "left_anti").drop(at)
 
 
+def pending(log: DataFrame, is_reset: Column, key: str = "image_id", seq: str | list[str] = "seq") -> DataFrame:
+    """The edits since the last reset of each image, such as adjustments that are previewed; all where there was none.
+
+    Resets are found first, one for each image, and joined to the log: no image's edits come together in a task.
+    """
+    at, reset, own = unused(log, "reset", "is_reset", "key")
+    marked = log.withColumn(reset, F.coalesce(is_reset, F.lit(False)))
+    last = marked.where(reset).groupBy(F.col(key).alias(own)).agg(F.max(_key(seq)).alias(at))
+    edits = marked.where(~F.col(reset)).join(last, F.col(key).eqNullSafe(F.col(own)), "left")
+    return edits.where(F.col(at).isNull() | (_key(seq) > F.col(at))).drop(at, reset, own)
+
+
 def recent(visits: DataFrame, key: str = "path", seq: str | list[str] = "seq") -> DataFrame:
     """The ``RECENT`` keys used last, latest first."""
     last = visits.groupBy(key).agg(F.max(_key(seq)).alias("_last"))

@@ -312,6 +312,16 @@ def undo_last(spark: SparkSession, d: str) -> DataFrame:
     return edits.undone(log, log, "user_id", ["ts", "event_id"]).groupBy("user_id").agg(F.max("event_id").alias("restored"))
 
 
+@_query(
+    """WITH r AS (SELECT user_id, max((ts, event_id)) AS at FROM events WHERE event_type = 'error' GROUP BY user_id)
+       SELECT e.user_id, event_id, value FROM events e LEFT JOIN r ON r.user_id = e.user_id WHERE event_type <> 'error' AND (r.at IS NULL OR (e.ts, e.event_id) > r.at)"""
+)
+def pending_adjustments(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events since the last error, which resets what was adjusted."""
+    log = _table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return edits.pending(log, F.col("event_type") == "error", "user_id", ["ts", "event_id"]).select("user_id", "event_id", "value")
+
+
 # ---- windows ------------------------------------------------------------------------------------
 
 
@@ -554,6 +564,20 @@ def upscale_nn(spark: SparkSession, d: str) -> DataFrame:
     return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), lambda b: P.upscale(P.grid(b, 32), 2).reshape(-1))
 
 
+@_query(_BYTES + """, s AS (SELECT doc_id, length(x) // 64 AS rows FROM h),
+    t AS (SELECT s.doc_id, y, x, y * rows // 19 * 32 + x * 32 // 28 AS i FROM s, (SELECT unnest(range(19)) AS y), (SELECT unnest(range(28)) AS x) WHERE rows > 0)
+    SELECT s.doc_id, count(v) AS bytes, CAST(coalesce(sum(v * ((y * 28 + x) % 251 + 1)), 0) AS BIGINT) AS weighted
+    FROM s LEFT JOIN (SELECT t.doc_id, y, x, v FROM t JOIN b ON b.doc_id = t.doc_id AND b.i = t.i) u ON u.doc_id = s.doc_id GROUP BY 1""")
+def scale_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of 32 columns and any number of rows drawn into 28 by 19."""
+
+    def change(b: np.ndarray) -> np.ndarray:
+        image = P.grid(b, 32)
+        return P.resize_nearest(image, 28, 19).reshape(-1) if len(image) else np.zeros(0, np.uint8)
+
+    return P.checksums(_docs(spark, d), "doc_id", P.text_blob(), change)
+
+
 @_query(
     """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)
     SELECT doc_id, CASE WHEN length(x) >= 8 THEN CAST('0x' || substr(x, 1, 8) AS BIGINT) ELSE 0 END AS be32,
