@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from pixelmill.runtime import settled as cut
 from pixelmill.runtime import shared_folder, ship, unused
@@ -26,13 +27,23 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # ---- lineage ------------------------------------------------------------------------------------
 
 
+#: Places, and entries of their lists, up to which they are sent to the texts instead of the texts to them.
+FEW_PLACES, FEW_ENTRIES = 100_000, 500_000
+
+
 def by_place(docs: DataFrame, places: DataFrame, columns: list[str], wanted: list[str]) -> DataFrame:
     """``columns`` of ``docs(doc_id, text_hash, ...)`` and ``wanted`` of those ``places(doc_id, text_hash, ...)`` that are
     there, once each: of rows that repeat a place one is taken. A null id is a place's, too.
+
+    Few places are broadcast, after a look at their number, so that no other text is shuffled for them.
     """
     keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash")]
     names = ["_id", "_none", "_hash"]
-    found = docs.select(*keys, *columns).join(places.select(*keys, *wanted), names)
+    places = cut(places.select(*keys, *wanted))
+    lists = [F.sum(F.size(f.name)) for f in places.schema if isinstance(f.dataType, ArrayType)]
+    n, *entries = places.agg(F.count("*"), *lists).first()
+    few = n <= FEW_PLACES and all((e or 0) <= FEW_ENTRIES for e in entries)
+    found = docs.select(*keys, *columns).join(F.broadcast(places) if few else places, names)
     return found.groupBy(*names).agg(*[F.first(c).alias(c) for c in [*columns, *wanted]]).drop(*names)
 
 
