@@ -26,15 +26,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``url_filter``."""
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``substring_dups``."""
     return without_repeats(_table(spark, sf_dir, "documents"), length=200)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that go, by document; documents without such lines have an empty list."""
+    """The lines that go, by document; documents without such lines have an empty list. Edge cases: those of ``line_dups``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark)
     gone = cut(dropped_lines(docs, scratch)).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.array_sort("gone").alias("gone"))
@@ -45,33 +47,42 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``unit_dups``."""
     return unit_report(_table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``near_dups``."""
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A quarter of the rows, by a hash of their id, plays the batch that meets the snapshot of the others.
+    """A quarter of the rows, by a hash of their id, plays the batch that meets the snapshot of the others.
+
+    Edge cases: those of ``exact_dups``.
+    """
     return exact_duplicates(_table(spark, sf_dir, "documents"), is_new=F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
 
 
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``vector_search``."""
     return nearest(_table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``packing``."""
     import public_tokenizers
 
     return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``mixing``."""
     return mixture(_table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases: those of ``toxicity``."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
 
 

@@ -11,8 +11,9 @@ removed. Results keep the original character offsets; a line that goes is one sp
 A line of one sentence is one unit, as line and sentence are equal then. Partial counts go before the shuffle by
 digest, and the join back to units is a plain equi-join that Spark splits where a unit is hot.
 
-Edge cases: null and empty texts have no units; rows with one doc_id rank by their text's hash; null doc_ids rank
-last and are reported with a null doc_id; a text may lose all its units; other columns are ignored; an empty
+Edge cases: null and empty texts have no units; rows with one doc_id rank by their text's hash; rows that repeat doc_id
+and text lose no unit to each other, and ``n_units`` counts those of all of them; null doc_ids rank last and are reported
+with a null doc_id; a text may lose all its units; other columns are ignored; an empty
 table gives an empty result.
 """
 
