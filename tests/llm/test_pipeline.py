@@ -1,11 +1,16 @@
 """The pipeline's stages, each on what the one before has kept, against brute-force versions."""
 
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pixelmill.llm import near_dups, toxicity
+from pixelmill.llm import line_dups, near_dups, toxicity
 
-from tests.llm.test_operators import brute_near
+from tests.llm.test_operators import brute_mix, brute_near, union_find
 
 D = "/root/testdata/sf0.001"
 
@@ -24,16 +29,61 @@ def test_stages(spark, tmp_path):
     scored = toxicity.toxicity(before, spark.read.parquet(f"{D}/labels.parquet"))
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in scored.where("predicted = 0").collect()}
     before, after = seen["line_dedup"]
-    assert before.count() == after.count()
+    assert {r["doc_id"]: r["text"] for r in after.collect()} == brute_lines({r["doc_id"]: r["text"] for r in before.collect()})
     before, after = seen["minhash_near_dedup"]
     rows = sorted(before.collect(), key=lambda r: r["doc_id"])
     _, roots = brute_near([r["text"] for r in rows], 80)
     assert {r["doc_id"] for r in after.collect()} == {rows[i]["doc_id"] for i in set(roots)}
     before, after = seen["source_mixing"]
-    words = lambda df: df.selectExpr("sum(regexp_count(text, '[^ \\\\t-\\\\r]+')) AS n").first()["n"]
-    assert 1.3 < words(after) / words(before) < 1.7
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in before.collect()]
+    whole = brute_mix(rows)[4]
+    assert Counter(r["doc_id"] for r in after.collect()) == Counter({rows[i][0]: n for i, n in whole.items() if n})
     before, after = seen["best_fit_packing"]
-    assert after.where("piece = 0").count() == before.count()
+    packed(before.collect(), after.collect())
+
+
+def brute_lines(texts):
+    """Texts without the lines that come later than another of their component."""
+    n = line_dups.WIDTH
+    units = [(i, k, line) for i in sorted(texts) for k, line in enumerate(line_dups.normal_lines(texts[i] or "")) if line]
+    sets = [frozenset(u[2][j : j + n] for j in range(max(1, len(u[2]) - n + 1))) for u in units]
+    kinds = sorted(set(sets), key=len)
+    by_shingle, links = defaultdict(set), []
+    for a, own in enumerate(kinds):
+        shared = Counter(b for shingle in own for b in by_shingle[shingle])
+        links += [(a, b) for b, both in shared.items() if 100 * both >= 80 * (len(own) + len(kinds[b]) - both)]
+        for shingle in own:
+            by_shingle[shingle].add(a)
+    place = {s: k for k, s in enumerate(kinds)}
+    roots, seen, gone = union_find(len(kinds), links), set(), defaultdict(set)
+    for (i, k, _), s in zip(units, sets):
+        root = roots[place[s]]
+        if root in seen:
+            gone[i].add(k)
+        seen.add(root)
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items()}
+
+
+def packed(docs, pieces):
+    """Pieces are the library's ids, in full sequences but for few, without gap or overlap."""
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for d in docs:
+        ids = [*model.encode(d["text"] or "", add_special_tokens=False).ids, 0]
+        head, at, k = (len(ids) - 1) % 2048 + 1, 0, 0
+        while at < len(ids):
+            stop = head if k == 0 else at + 2048
+            want[d["doc_id"], k, at, stop - at, zlib.crc32(np.array(ids[at:stop], "<u4").tobytes())] += 1
+            at, k = stop, k + 1
+    assert Counter((p["doc_id"], p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in pieces) == want
+    spans = defaultdict(list)
+    for p in pieces:
+        spans[p["sequence_id"]].append((p["offset"], p["length"]))
+    for own in spans.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and own[-1][0] + own[-1][1] <= 2048
+    least = -(-sum(p["length"] for p in pieces) // 2048)
+    assert least <= len(spans) <= least * 1.02 + 1
 
 
 def test_near_bands_at_threshold():
