@@ -15,7 +15,7 @@ from .packing import best_fit_packing
 from .substring_dups import without_repeats
 from .token_files import token_files
 from .toxicity import toxicity
-from .unit_dups import UNSPACED, unit_report
+from .unit_dups import CLAUSE_ENDS, LEAST_WORDS, UNSPACED, passage_report
 from .url_filter import url_verdicts
 from .vector_search import nearest
 from .whitening import whitened
@@ -48,7 +48,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge cases: those of ``unit_dups``."""
-    return unit_report(_table(spark, sf_dir, "documents"))
+    return passage_report(_table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +107,6 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_line_dedup, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_vector_search, op8_best_fit_packing, op9_source_mixing, op10_toxicity, op11_hard_negatives, op12_token_files, op13_embedding_whitening)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sentence ends of ``unit_dups``.
-_ENDS = ".!?\u3002\uff01\uff1f\uff61"
-
-
-def _unit_sql(column: str) -> str:
-    return f"trim(regexp_replace(translate({column}, '{_UPPER}', '{_LOWER}'), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ')"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,37 +114,26 @@ ORACLE_SQL: dict[str, str] = {
         WITH lines AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
         placed AS (
-            SELECT doc_id, k, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(line) - 1 AS head,
-                   {_unit_sql("line")} AS whole
-            FROM lines),
+            SELECT doc_id, k, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(line) - 1 AS head FROM lines),
         parts AS (
-            SELECT doc_id, k, head, whole, unnest(regexp_extract_all(line, '[^{_ENDS}]+[{_ENDS}]*|[{_ENDS}]+')) AS part,
-                   generate_subscripts(regexp_extract_all(line, '[^{_ENDS}]+[{_ENDS}]*|[{_ENDS}]+'), 1) AS j
-            FROM placed WHERE whole <> ''),
-        sentences AS (
-            SELECT doc_id, k, whole, part, head + CAST(sum(length(part)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
-                   {_unit_sql("part")} AS unit
+            SELECT doc_id, k, head, unnest(regexp_extract_all(line, '[^{CLAUSE_ENDS}]+[{CLAUSE_ENDS}]*|[{CLAUSE_ENDS}]+')) AS part,
+                   generate_subscripts(regexp_extract_all(line, '[^{CLAUSE_ENDS}]+[{CLAUSE_ENDS}]*|[{CLAUSE_ENDS}]+'), 1) AS j
+            FROM placed),
+        cut AS (
+            SELECT doc_id, k, j, part, head + CAST(sum(length(part)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+                   trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' {CLAUSE_ENDS}') AS unit
             FROM parts),
-        counted AS (
-            SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 AS words, len(regexp_extract_all(unit, '{UNSPACED.pattern}')) AS dense
-            FROM sentences WHERE NOT regexp_full_match(part, '[{_ENDS}]+')),
-        enough AS (SELECT * FROM counted WHERE words >= 6 OR words + dense - 1 >= 6),
         units AS (
-            SELECT doc_id, k, stop - length(part) AS start, stop, FALSE AS whole_line, TRUE AS sentence, unit FROM enough WHERE unit <> whole
-            UNION ALL
-            SELECT p.doc_id, p.k, head, head + length(line), TRUE, a.k IS NOT NULL, whole
-            FROM placed p LEFT JOIN (SELECT DISTINCT doc_id, k FROM enough WHERE unit = whole) a ON p.doc_id IS NOT DISTINCT FROM a.doc_id AND p.k = a.k
-            WHERE whole <> ''),
+            SELECT doc_id, stop - length(part) AS start, stop, unit, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS place,
+                   greatest(length(unit) - length(replace(unit, ' ', '')) + 1, length(unit) - length(replace(unit, ' ', '')) + len(regexp_extract_all(unit, '{UNSPACED.pattern}'))) AS words
+            FROM cut WHERE unit <> ''),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS LAST, start) > 1 AS gone FROM units),
-        spans AS (SELECT *, bool_or(gone AND whole_line) OVER (PARTITION BY doc_id, k) AS line_gone FROM ranked),
-        per AS (
-            SELECT doc_id, count(*) FILTER (WHERE sentence) AS n_units, count(*) FILTER (WHERE gone AND (whole_line OR NOT line_gone)) AS n_removed,
-                   CAST(sum(stop - start) FILTER (WHERE gone AND (whole_line OR NOT line_gone)) AS BIGINT) AS chars,
-                   string_agg(CASE WHEN gone AND (whole_line OR NOT line_gone) THEN start || '-' || stop END, ',' ORDER BY start) AS removed
-            FROM spans GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
-               coalesce(chars, 0) AS removed_chars, coalesce(removed, '') AS removed
-        FROM documents d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id
+        runs AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM ranked WHERE gone),
+        spans AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM runs GROUP BY doc_id, run HAVING sum(words) >= {LEAST_WORDS}),
+        per AS (SELECT doc_id, count(*) AS n_removed, CAST(sum(stop - start) AS BIGINT) AS chars, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM spans GROUP BY doc_id),
+        counted AS (SELECT doc_id, count(*) AS n_units FROM units GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars, 0) AS removed_chars, coalesce(removed, '') AS removed
+        FROM documents d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id LEFT JOIN counted c ON d.doc_id IS NOT DISTINCT FROM c.doc_id
     """,
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body FROM documents)

@@ -11,6 +11,10 @@ removed. Results keep the original character offsets; a line that goes is one sp
 A line of one sentence is one unit, as line and sentence are equal then. Partial counts go before the shuffle by
 digest, and the join back to units is a plain equi-join that Spark splits where a unit is hot.
 
+``passage_report`` and ``without_passages`` take finer units and longer spans: clauses (runs between sentence ends, commas,
+colons and semicolons), compared without the marks around them, go only in a run of neighbours that repeat, of
+``least_words`` words together. A chance repeat of a few words then stays, and a passage goes wherever it stands.
+
 Edge cases: null and empty texts have no units; rows with one doc_id rank by their text's hash; rows that repeat doc_id
 and text lose no unit to each other, and ``n_units`` counts those of all of them; null doc_ids rank last and are reported
 with a null doc_id; a text may lose all its units; other columns are ignored; an empty
@@ -35,6 +39,10 @@ BLANKS = re.compile(r"[ \t\r\f\v]+")
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana and ideographs, which are written without blanks.
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 MIN_WORDS = 6
+#: Words of a repeated passage at least, and what ends a clause.
+LEAST_WORDS = 20
+CLAUSE_ENDS = ".!?,;:\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\uff61"
+CLAUSE = re.compile(f"[^{CLAUSE_ENDS}\n]+[{CLAUSE_ENDS}]*")
 _AZ = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -128,10 +136,16 @@ def unit_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_units(docs: DataFrame, min_words: int = MIN_WORDS, removed_as: str = "removed") -> DataFrame:
     """``docs`` with the removed units cut out of ``text`` and their original offsets in a column ``removed_as`` that ``docs`` lacks."""
     scratch = Scratch(docs.sparkSession)
-    doc, text_hash = unused(docs, "doc", "hash")
     _, removed = repeated_units(docs.select("doc_id", "text"), scratch, min_words)
-    spans = cut(removed_spans(removed)).withColumnsRenamed({"doc_id": doc, "text_hash": text_hash, "spans": removed_as})
+    spans = cut(removed_spans(removed))
     scratch.drop()
+    return _without(docs, spans, removed_as)
+
+
+def _without(docs: DataFrame, spans: DataFrame, removed_as: str) -> DataFrame:
+    """``docs`` without the ``spans(doc_id, text_hash, spans)`` of their texts."""
+    doc, text_hash = unused(docs, "doc", "hash")
+    spans = spans.withColumnsRenamed({"doc_id": doc, "text_hash": text_hash, "spans": removed_as})
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left").drop(doc, text_hash)
     # What stays lies between the removed spans.
     stop = F.length("text").cast("long")
@@ -139,3 +153,69 @@ def without_units(docs: DataFrame, min_words: int = MIN_WORDS, removed_as: str =
     starts = F.concat(F.col(f"`{removed_as}`.start"), F.array(stop))
     kept = F.array_join(F.zip_with(edges, starts, lambda a, b: F.substring("text", a.cast("int") + 1, (b - a).cast("int"))), "")
     return joined.withColumn("text", F.when(F.col(f"`{removed_as}`").isNull(), F.col("text")).otherwise(kept))
+
+
+# ---- passages -----------------------------------------------------------------------------------
+
+
+def text_clauses(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """Start, stop, words and unit of each clause that is more than marks and blanks."""
+    for m in CLAUSE.finditer(text):
+        unit = BLANKS.sub(" ", m[0]).strip(" " + CLAUSE_ENDS)
+        if unit:
+            n = unit.count(" ") + 1
+            yield m.start(), m.end(), n if unit.isascii() else max(n, n + len(UNSPACED.findall(unit)) - 1), unit
+
+
+def _clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["place", "start", "stop", "words", "k1", "k2"]
+    for batch in batches:
+        rows, cols = [], {n: [] for n in names}
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            for place, (start, stop, n, unit) in enumerate(text_clauses(text or "")):
+                digest = hashlib.blake2b(unit.translate(_AZ).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                rows.append(row)
+                for name, v in zip(names, (place, start, stop, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))):
+                    cols[name].append(v)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *(pa.array(c, pa.int64()) for c in cols.values())], names=["doc_id", "text_hash", *names])
+
+
+def repeated_passages(docs: DataFrame, scratch: Scratch, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """All clauses of ``docs(doc_id, text)``, and ``doc_id, text_hash, spans`` of the passages that go."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    units = scratch.table(docs.mapInArrow(_clauses, "doc_id long, text_hash long, place long, start long, stop long, words long, k1 long, k2 long"), "units")
+    where = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "start")
+    groups = units.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = units.join(groups, ["k1", "k2"]).where(~where.eqNullSafe(F.col("first")))
+    clause = F.struct("place", "start", "stop", "words")
+    per = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(clause)).alias("clauses"))  # no more than a document's clauses
+    runs = per.select("doc_id", "text_hash", F.posexplode("clauses").alias("k", "c"))
+    runs = runs.groupBy("doc_id", "text_hash", (F.col("c.place") - F.col("k")).alias("run")).agg(F.min("c.start").alias("start"), F.max("c.stop").alias("stop"), F.sum("c.words").alias("words"))
+    spans = runs.where(F.col("words") >= least_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    return units, spans
+
+
+def passage_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_units, n_removed, removed_chars, removed`` (``start-stop,...``): clauses, and the passages that go."""
+    scratch = Scratch(docs.sparkSession)
+    units, spans = repeated_passages(docs, scratch, least_words)
+    per = units.groupBy("doc_id", "text_hash").agg(F.countDistinct("place").alias("n_units"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    as_other = {"doc_id": "_doc", "text_hash": "_hash"}
+    per = cut(per.join(spans.withColumnsRenamed(as_other), same, "left").drop("_doc", "_hash")).withColumnsRenamed(as_other)
+    scratch.drop()
+    joined = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(per, same, "left")
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    chars, zero = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]), F.lit(0).cast("long")
+    columns = (("n_units", F.col("n_units")), ("n_removed", F.size("spans").cast("long")), ("removed_chars", chars))
+    return joined.select("doc_id", *(F.coalesce(c, zero).alias(n) for n, c in columns), F.coalesce(text, F.lit("")).alias("removed"))
+
+
+def without_passages(docs: DataFrame, least_words: int = LEAST_WORDS, removed_as: str = "removed") -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text`` and their original offsets in a column ``removed_as`` that ``docs`` lacks."""
+    scratch = Scratch(docs.sparkSession)
+    _, spans = repeated_passages(docs.select("doc_id", "text"), scratch, least_words)
+    spans = cut(spans)
+    scratch.drop()
+    return _without(docs, spans, removed_as)

@@ -207,6 +207,45 @@ def test_units(spark, corpus, empty):
     assert unit_dups.unit_report(empty).count() == 0
 
 
+def brute_passages(texts, least):
+    """Spans of each text's runs of clauses that an earlier text, or an earlier place, has."""
+    seen, out, ends = set(), [], " " + unit_dups.CLAUSE_ENDS
+    for text in texts:
+        spans, run, words = [], [], 0
+        units = [(m.span(), lower(unit_dups.BLANKS.sub(" ", m[0])).strip(ends)) for m in unit_dups.CLAUSE.finditer(text or "")]
+        for span, unit in [u for u in units if u[1]] + [((0, 0), None)]:
+            if unit is not None and unit in seen:
+                run.append(span)
+                words += max(len(unit.split(" ")), len(unit.split(" ")) - 1 + len(unit_dups.UNSPACED.findall(unit)))
+                continue
+            if words >= least:
+                spans.append((run[0][0], run[-1][1]))
+            run, words = [], 0
+            seen.add(unit)
+        out.append(spans)
+    return out
+
+
+def test_passages(spark, corpus, empty):
+    rng = random.Random(17)
+    clause = lambda: words(rng, rng.randint(1, 6)) + rng.choice([",", ".", ";", "!? ", "\u3002", "\n", ", and:"])
+    passage = "".join(clause() + " " for _ in range(9))
+    texts = [f"{clause()} {passage} {clause()}", f"new words {re.sub('[a-z]', lambda m: m[0].upper(), passage)}\n{clause()}", passage[:60] + "!", None, "", "...", "a, b. a, b. " * 30, "\u6625\u7720\u4e0d\u89c9\u6653\u3002" * 9]
+    texts += [" ".join(rng.choice(["yes,", "no.", "so it is;", "here we go."]) for _ in range(6)) for _ in range(5)] + [r[1] for r in corpus[1]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, removed string").repartition(4)
+    want = brute_passages(texts, unit_dups.LEAST_WORDS)
+    got = {r["doc_id"]: r for r in unit_dups.passage_report(df).collect()}
+    left = {r["doc_id"]: r["text"] for r in unit_dups.without_passages(df, removed_as="spans").collect()}
+    assert want[1] and want[6] and want[7] and not any(want[8:13])
+    for i, t in enumerate(texts):
+        assert (got[i]["removed"], got[i]["n_removed"], got[i]["removed_chars"]) == (",".join(f"{a}-{b}" for a, b in want[i]), len(want[i]), sum(b - a for a, b in want[i]))
+        kept = t
+        for a, b in reversed(want[i]):
+            kept = kept[:a] + kept[b:]
+        assert left[i] == kept
+    assert unit_dups.passage_report(empty).count() == 0
+
+
 def test_units_are_whole_lines_too(spark):
     short, dense, dense_sentence = "Yes. No. I see. So be it.", "\u6625\u7720\u4e0d\u89c9\u6653", "\u5904\u5904\u95fb\u557c\u9e1f\u591c\u6765\u3002"
     texts = [f"{short}\nA first line.\n{dense}", f"Before.\n  {short.upper()} \nAfter, yes.\n\n{dense}\n", f"Yes. No.\n\u6211{dense_sentence}{dense_sentence}\u5b8c\u3002", f"\u4f60\u3002{dense_sentence}", "One. Two. A sentence of more than six words.\nOne. Two. A sentence of more than six words."]
@@ -281,7 +320,7 @@ def test_clashing_columns(spark):
         got = out.collect()
         assert out.columns[: len(df.columns)] == df.columns and got
         assert all(r[n] == k for r in got for k, n in enumerate(names))
-    for run in (near_dups.near_duplicates, exact_dups_of, mixing.mixture, unit_dups.unit_report, substring_dups.without_repeats):
+    for run in (near_dups.near_duplicates, exact_dups_of, mixing.mixture, unit_dups.unit_report, unit_dups.passage_report, substring_dups.without_repeats):
         assert run(df).count() == 5
 
 
