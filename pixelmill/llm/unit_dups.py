@@ -27,11 +27,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, unused
+from .screens import passes, screen
 
 LINE = re.compile(r"[^\n]+")
 UNIT = re.compile(r"[^.!?\u3002\uff01\uff1f\uff61\n]+[.!?\u3002\uff01\uff1f\uff61]*")
@@ -167,40 +170,79 @@ def text_clauses(text: str) -> Iterator[tuple[int, int, int, str]]:
             yield m.start(), m.end(), n if unit.isascii() else max(n, n + len(UNSPACED.findall(unit)) - 1), unit
 
 
+_CLAUSES = "doc_id long, text_hash long, k1 array<bigint>, k2 array<bigint>, start array<int>, stop array<int>, words array<int>"
+_PLACES = "doc_id long, text_hash long, place long, start int, stop int, words int, k1 long, k2 long"
+
+
 def _clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["place", "start", "stop", "words", "k1", "k2"]
+    """A row for each text with clauses, which it lists: digests of units, offsets and words."""
     for batch in batches:
-        rows, cols = [], {n: [] for n in names}
+        rows, ends, cols = [], [0], [[], [], []]
+        digests: list[bytes] = []
         for row, text in enumerate(batch.column("text").to_pylist()):
-            for place, (start, stop, n, unit) in enumerate(text_clauses(text or "")):
-                digest = hashlib.blake2b(unit.translate(_AZ).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            for start, stop, n, unit in text_clauses(text or ""):
+                digests.append(hashlib.blake2b(unit.translate(_AZ).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                for c, v in zip(cols, (start, stop, n)):
+                    c.append(v)
+            if len(digests) > ends[-1]:
                 rows.append(row)
-                for name, v in zip(names, (place, start, stop, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))):
-                    cols[name].append(v)
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *(pa.array(c, pa.int64()) for c in cols.values())], names=["doc_id", "text_hash", *names])
+                ends.append(len(digests))
+        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        at, cuts = pa.array(rows, pa.int64()), pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(k))) for k in keys] + [pa.ListArray.from_arrays(cuts, pa.array(c, pa.int32())) for c in cols]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *lists], names=[c.split()[0] for c in _CLAUSES.split(", ")])
+
+
+def _clauses_that_pass(bitmap: Broadcast, least_words: int):  # noqa: ANN202
+    """Clauses whose key the screen lets pass, a row each: of ``_CLAUSES`` to ``_PLACES``. Those in runs of fewer than ``least_words`` words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column("k1").offsets.to_numpy())
+            k1, k2, start, stop, words = (batch.column(c).flatten().to_numpy() for c in ("k1", "k2", "start", "stop", "words"))
+            text = np.repeat(np.arange(batch.num_rows), size)
+            place = np.arange(len(k1)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.flatnonzero(passes(bitmap.value, k1))
+            if len(at) and least_words:
+                head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])]))
+                long = np.add.reduceat(words[at].astype(np.int64), head) >= least_words
+                at = at[np.repeat(long, np.diff(np.append(head, len(at))))]
+            who = pa.array(text[at])
+            cols = [batch.column("doc_id").take(who), batch.column("text_hash").take(who), *(pa.array(c[at]) for c in (place, start, stop, words, k1, k2))]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _PLACES.split(", ")])
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """All clauses of ``docs(doc_id, text)``, and ``doc_id, text_hash, spans`` of the passages that go."""
+    """``doc_id, text_hash, n`` with the clauses of each text of ``docs(doc_id, text)`` that has some, and ``doc_id, text_hash,
+    spans`` of the passages that go.
+
+    Clauses are listed by text. Only those whose keys occur twice, and so in a row that they make a long run, are looked at
+    further; for their keys alone the first places are then found, among all clauses. Keys pass screens of fixed size.
+    """
+    sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    units = scratch.table(docs.mapInArrow(_clauses, "doc_id long, text_hash long, place long, start long, stop long, words long, k1 long, k2 long"), "units")
+    units = scratch.table(docs.mapInArrow(_clauses, _CLAUSES), "units")
+    twice = units.select(F.explode("k1").alias("k1")).groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
+    near = scratch.table(units.mapInArrow(_clauses_that_pass(sc.broadcast(screen(twice)), least_words), _PLACES), "near")
+    asked = sc.broadcast(screen(near.select("k1")))
     where = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "start")
-    groups = units.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = units.join(groups, ["k1", "k2"]).where(~where.eqNullSafe(F.col("first")))
+    groups = units.mapInArrow(_clauses_that_pass(asked, 0), _PLACES).groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = near.join(groups, ["k1", "k2"]).where(~where.eqNullSafe(F.col("first")))
     clause = F.struct("place", "start", "stop", "words")
     per = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(clause)).alias("clauses"))  # no more than a document's clauses
     runs = per.select("doc_id", "text_hash", F.posexplode("clauses").alias("k", "c"))
     runs = runs.groupBy("doc_id", "text_hash", (F.col("c.place") - F.col("k")).alias("run")).agg(F.min("c.start").alias("start"), F.max("c.stop").alias("stop"), F.sum("c.words").alias("words"))
-    spans = runs.where(F.col("words") >= least_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return units, spans
+    spans = runs.where(F.col("words") >= least_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("spans"))
+    return units.select("doc_id", "text_hash", F.size("k1").cast("long").alias("n")), spans
 
 
 def passage_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_units, n_removed, removed_chars, removed`` (``start-stop,...``): clauses, and the passages that go."""
     scratch = Scratch(docs.sparkSession)
     units, spans = repeated_passages(docs, scratch, least_words)
-    per = units.groupBy("doc_id", "text_hash").agg(F.countDistinct("place").alias("n_units"))
+    per = units.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n_units"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
     as_other = {"doc_id": "_doc", "text_hash": "_hash"}
     per = cut(per.join(spans.withColumnsRenamed(as_other), same, "left").drop("_doc", "_hash")).withColumnsRenamed(as_other)
