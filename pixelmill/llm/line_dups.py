@@ -63,8 +63,18 @@ def _digest(line: np.ndarray) -> bytes:
     return hashlib.blake2b(line.tobytes(), digest_size=16).digest()
 
 
+def _once(hashes: np.ndarray, lines: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each of ``n`` lines, sorted, without the last bits that the line's number takes, and their offsets."""
+    bits = np.uint64(n.bit_length())
+    own = hashes >> bits
+    own |= lines.astype(np.uint64) << (np.uint64(64) - bits)
+    own.sort()
+    own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
+    return own << bits, np.searchsorted(own, np.arange(n + 1, dtype=np.uint64) << (np.uint64(64) - bits))
+
+
 def _units(width: int):  # noqa: ANN202
-    """All lines with their key, and their bands, once a block for equal lines.
+    """All lines with their key and, once a block for equal lines, bands and bitmap.
 
     The key of a line is a hash of its shingles with repeats or, where these are few, a digest of the line: lines of one
     key have one set.
@@ -90,8 +100,10 @@ def _units(width: int):  # noqa: ANN202
                 number = np.cumsum(fresh) - 1
                 take = np.repeat(fresh, size)
                 sk = np.zeros((len(k1), BINS), np.uint64)
-                sk[fresh] = sketch(hashes[take], np.repeat(number, size)[take], int(fresh.sum()), BINS)
-                bits = signs(hashes, cuts)
+                own, line, n = hashes[take], np.repeat(number, size)[take], int(fresh.sum())
+                sk[fresh] = sketch(own, line, n, BINS)
+                at = pa.array(number, mask=~fresh)
+                bits = [x.take(at) for x in signs(*_once(own, line, n))]
                 who = pa.array(lines.rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(lines.numbers.astype(np.int32)), pa.array(k1), pa.array(k2), band_lists(sk, ROWS, fresh), *bits],

@@ -6,9 +6,10 @@ Linked are sets with ``100 * |A and B| >= percent * |A or B|``, which is ``|A xo
 1. Members of a bucket of at most ``SMALL`` sets meet each other, those of a larger one meet two pivots of it. One
    pivot is the set that meets the most others in such buckets, as a text does that many copies were made from. Bitmaps (below) rule
    pairs out before their texts are fetched.
-2. Links make components. Where a bucket then still holds several, pairs of members of different components meet,
-   again behind their bitmaps, if it has at most ``MEDIUM`` members. In a larger one each member is described by its
-   difference ``D`` to the bucket's first pivot. Sets of different components are linked only if
+2. Links make components. Where a bucket then still holds several, members outside its largest component meet those of
+   other components, again behind their bitmaps, if there are at most ``MEDIUM`` of them: work that grows as the bucket,
+   and rows only for pairs that stay. Where there are more, each member is described by its difference ``D`` to the
+   bucket's first pivot. Sets of different components are linked only if
    ``|Da and Db| >= k = (|Da| + |Db| - c * (|A| + |B|)) / 2``, and then ``k >= 1``: with ``k <= 0`` both would be
    linked with the pivot. So differences are joined on their rarest elements (prefix filter): as ``|B| <= |A| / p``
    and ``|Db| >= |Da| - c * (|A| + |B|)``, ``k`` is at least ``|Da| - |A| * (100 - percent) / percent``, and of any
@@ -17,9 +18,9 @@ Linked are sets with ``100 * |A and B| >= percent * |A or B|``, which is ``|A xo
 
 No pair is lost but those that share no band, and no bucket is capped or expanded into all its pairs.
 
-A set's bitmap is 512 bits, each telling whether an element falls there. Two of them differ in at most ``|A xor B|``
-bits, so that more of them than a link allows rule it out for certain. So do the parities of the sets of step 2,
-which tell more, but need sets without repeats.
+A set's bitmap is 512 bits, each telling whether an odd number of elements falls there. Two of them differ in at most
+``|A xor B|`` bits, so that more of them than a link allows rule it out for certain. Unrelated sets differ in about 256,
+which tells of sizes up to some 1000 each; sets of ``LONG`` elements have a second bitmap of 2048 bits.
 """
 
 from __future__ import annotations
@@ -37,31 +38,46 @@ from .components import components
 
 #: A column of texts to (position, sorted distinct hashes) of each.
 Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
-#: Members of a bucket that all meet each other, and that do so across components.
-SMALL, MEDIUM = 12, 128
+#: Members of a bucket that all meet each other, and members outside its largest component that meet the other components.
+SMALL, MEDIUM = 12, 2048
 #: Bands that one exchange moves at most.
-ROUND = 12
+ROUND = 8
 #: Rows (band, set) that are dealt, packed or sorted at once.
 GROUP = 1 << 20
 #: Bands that are dealt by member.
 COMMON = 10_000
-#: A set's bitmap, and a bound of its size from above.
-SIGNS = ["most", *[f"b{i}" for i in range(8)]]
-#: A set's parity: 512 bits, each telling whether an odd number of elements falls there.
+#: Elements from which a set has the wide bitmap.
+LONG = 800
+#: A set's size, its bitmap, and the wide one or null.
+BITS = [f"b{i}" for i in range(8)]
+SIGNS = ["size", *BITS, "wide"]
+#: The bitmap of a set of step 2, made from its text.
 ODD = [f"odd{i}" for i in range(8)]
-SIGNS_SCHEMA = ", ".join(f"{name} long" for name in SIGNS)
+SIGNS_SCHEMA = ", ".join(f"{name} {'array<long>' if name == 'wide' else 'long'}" for name in SIGNS)
 
 
-def signs(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
-    """The columns ``SIGNS`` of the sets of ``hashes[cuts[i]:cuts[i + 1]]``, which may repeat elements."""
+def _odd_bits(hashes: np.ndarray, cuts: np.ndarray, bits: int) -> np.ndarray:
+    """For each set ``hashes[cuts[i]:cuts[i + 1]]`` of sorted elements ``2**bits`` bits in words: where an odd number of elements falls."""
     n, size = len(cuts) - 1, np.diff(cuts)
-    out = np.zeros(n * 8, np.uint64)
-    at = hashes >> np.uint64(55)
-    word = at >> np.uint64(6)
-    word += np.repeat(np.arange(n, dtype=np.uint64) * np.uint64(8), size)
-    at &= np.uint64(63)
-    np.bitwise_or.at(out, word.view(np.int64), np.left_shift(np.uint64(1), at))
-    return [pa.array(size), *[pa.array(x) for x in np.ascontiguousarray(out.reshape(n, 8).T).view(np.int64)]]
+    out = np.zeros(n << (bits - 6), np.uint64)
+    place = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(bits), size) | hashes >> np.uint64(64 - bits)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+    odd = place[first[np.diff(np.append(first, len(place))) & 1 == 1]]
+    word = (odd >> np.uint64(6)).view(np.int64)
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+    if len(first):
+        out[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (odd & np.uint64(63)), first)
+    return out.view(np.int64).reshape(n, 1 << (bits - 6))
+
+
+def signs(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """The columns ``SIGNS`` of the sets ``hashes[cuts[i]:cuts[i + 1]]``, each sorted and without repeats."""
+    size = np.diff(cuts)
+    long = size >= LONG
+    wide = _odd_bits(hashes[np.repeat(long, size)], np.concatenate([[0], np.cumsum(size[long])]), 11)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * 32), pa.array(wide.reshape(-1)))
+    wide = lists.take(pa.array(np.cumsum(long) - 1, mask=~long))
+    return [pa.array(size), *[pa.array(x) for x in np.ascontiguousarray(_odd_bits(hashes, cuts, 9).T)], wide]
 
 
 # ---- buckets ------------------------------------------------------------------------------------
@@ -246,18 +262,26 @@ def _verified(pairs: DataFrame, described: DataFrame, sets: Sets, percent: int)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
-    """Whether the bitmaps of two rows leave a link possible."""
-    differ = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in SIGNS[2:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
-    return differ * (100 + percent) <= (F.col(f"{x}.most") + F.col(f"{y}.most")) * (100 - percent)
+    """Whether the sizes and bitmaps of two rows leave a link possible."""
+    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+    most = (a + b) * (100 - percent)
+    differ = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in BITS[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+    wide = F.aggregate(F.zip_with(f"{x}.wide", f"{y}.wide", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return sizes & (differ * (100 + percent) <= most) & F.coalesce(wide * (100 + percent) <= most, F.lit(True))
 
 
 def _ordered(x: str = "x.c", y: str = "y.c") -> list[Column]:
     return [F.greatest(x, y).alias("c"), F.least(x, y).alias("p")]
 
 
-def _within(members: DataFrame, percent: int, other: Column) -> DataFrame:
-    """Pairs ``c, p`` of members of a band that may be linked and are ``other`` to each other."""
-    x, y = members.alias("x"), members.alias("y")
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``c, p`` of members of a band that are in different components and may be linked.
+
+    One of them is not in the band's largest component ``major``: few rows, which wait for all others to pass.
+    """
+    x, y = members.alias("x"), members.where("comp <> major").alias("y")
+    other = (F.col("x.comp") == F.col("x.major")) | (F.col("x.comp") < F.col("y.comp"))
     return x.join(y, (F.col("x.band") == F.col("y.band")) & other & _may_link("x", "y", percent)).select(*_ordered())
 
 
@@ -318,11 +342,11 @@ def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
 
     # Larger buckets that still hold several components.
     own = F.coalesce("comp", "c").alias("comp")
-    at = large.join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "n", "c", own)
-    several = at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    open_ = scratch.table(at.join(several, "band").join(signs_of, "c"), "links_open")
-    rest = _within(open_.where(F.col("n") <= MEDIUM), percent, F.col("x.comp") < F.col("y.comp")).distinct()
-    members = open_.where(F.col("n") > MEDIUM).join(pivots.select("band", F.col("p0").alias("p")), "band").select("p", "c", "comp").distinct()
+    at = large.join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "c", own)
+    several = at.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), (F.sum("k") - F.max("k")).alias("others"))
+    open_ = scratch.table(at.join(several.where("others > 0"), "band").join(signs_of, "c"), "links_open")
+    rest = _within(open_.where(F.col("others") <= MEDIUM), percent).distinct()
+    members = open_.where(F.col("others") > MEDIUM).join(pivots.select("band", F.col("p0").alias("p")), "band").select("p", "c", "comp").distinct()
     members = scratch.table(members, "links_members")
     if not members.isEmpty():
         described = scratch.table(describe(needed(members)), "links_described2")

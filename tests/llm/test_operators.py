@@ -615,3 +615,21 @@ def test_maximal_segments():
             assert s == v[a:b].sum() > 0
             # No proper part of a maximal segment scores more.
             assert all(v[x:y].sum() <= s for x in range(a, b) for y in range(x + 1, b + 1))
+
+
+def test_bitmaps_of_long_sets(spark):
+    """Unrelated sets of any size are ruled out, linked ones never; bits are parities of the distinct elements."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (300, 1000, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        near = np.concatenate([a[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)])
+        sets += [np.unique(x) for x in (a, near, rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))]
+    columns = set_links.signs(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(zip(*[c.to_pylist() for c in columns]))], "c long, " + set_links.SIGNS_SCHEMA)
+    x, y = df.alias("x"), df.alias("y")
+    met = x.join(y, (F.col("x.c") < F.col("y.c")) & set_links._may_link("x", "y", 80)).select("x.c", "y.c")
+    assert {tuple(r) for r in met.collect()} == {(0, 1), (3, 4), (6, 7)}
+    word, bit = int(sets[0][0] >> np.uint64(55)) // 64, int(sets[0][0] >> np.uint64(55)) % 64
+    odd = sum(int(h) >> 55 == word * 64 + bit for h in sets[0]) % 2
+    assert (columns[1 + word][0].as_py() >> bit) & 1 == odd
