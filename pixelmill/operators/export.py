@@ -246,13 +246,14 @@ def frames_at(wanted: DataFrame, times: DataFrame, group: list[str], key: str) -
     """``wanted(group, frame)`` with ``key``, the image shown, and ``next_key, alpha`` while it is blended to the next, else null and 0.
 
     Frames outside the movie have no row. Both sides meet by buckets of frames, so that a long movie is many groups, and a
-    row of the time line is repeated only for the buckets it reaches over.
+    row of the time line is repeated only for the buckets it reaches over. Neither side is broadcast: the size that Spark
+    expects of the frames does not know how many ``frame_numbers`` makes of a row.
     """
     end = F.col("first_frame") + F.col("shown") + F.col("changing")
     bucket = F.floor(F.col("first_frame") / BUCKET)
     spread = times.withColumn("end", end).withColumn("bucket", F.explode(F.sequence(bucket, F.floor((end - 1) / BUCKET))))
     asked = wanted.select(*group, "frame").withColumn("bucket", F.floor(F.col("frame") / BUCKET))
-    met = asked.join(spread, [*group, "bucket"]).where((F.col("frame") >= F.col("first_frame")) & (F.col("frame") < F.col("end")))
+    met = asked.hint("merge").join(spread.hint("merge"), [*group, "bucket"]).where((F.col("frame") >= F.col("first_frame")) & (F.col("frame") < F.col("end")))
     t = F.col("frame") - F.col("first_frame") - F.col("shown") + 1
     blending = t > 0
     alpha = F.when(blending, t.cast("double") / TRANSITION).otherwise(0.0)

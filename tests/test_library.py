@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,12 @@ def test_palettes_are_copied_and_reset(spark):
     assert got == {"a": [1, 2], "b": [1, 2], "c": [5, 6]}
     assert {r["image_id"]: r["palette"] for r in edits.pasted(own, to, "none").collect()}["b"] == [3, 4]
     assert edits.palettes_reset(own, to).count() == 2 and edits.cleared(own).count() == 0
+
+
+def test_frames_are_not_broadcast(spark):
+    """A few rows of a time line make many frames, which Spark's estimate of their size does not show."""
+    rows = spark.createDataFrame([(i // 3, i) for i in range(30)], "movie long, picture long")
+    times = export.timeline(rows, ["movie"], ["picture"], 3.0, key="picture")
+    frames = export.frames_at(export.frame_numbers(times, ["movie"], 7), times, ["movie"], "picture")
+    assert "Broadcast" not in frames._jdf.queryExecution().executedPlan().toString()
+    assert frames.count() == 10 * len(range(0, 270, 7))
