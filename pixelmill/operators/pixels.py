@@ -16,12 +16,42 @@ from pyspark.sql import functions as F
 from pixelmill.runtime import ship
 
 Kernel = Callable[[np.ndarray], tuple]
+#: Rows of a kernel's output that are kept before they are handed on.
+ROWS = 1 << 16
+
+
+def _over_blobs(kernel: Kernel, names: list[str], types: list[pa.DataType]):  # noqa: ANN202
+    """Batches ``key, blob`` to those of the key and the kernel's columns, of about ``ROWS`` rows each."""
+
+    def joined(keys: pa.Array, at: list[np.ndarray], parts: list[list]) -> pa.RecordBatch:
+        flat = [pa.array([x for c in p for x in c], t) if pa.types.is_nested(t) or pa.types.is_string(t) or pa.types.is_binary(t) else pa.array(np.concatenate(p)).cast(t) for p, t in zip(parts, types)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(at))), *flat], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, parts, held = batch.column("key"), [], [[] for _ in types], 0
+            for i, v in enumerate(batch.column("blob")):
+                data = np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid else np.zeros(0, np.uint8)
+                cols = kernel(data)
+                n = len(cols[0])
+                at.append(np.full(n, i))
+                for p, c in zip(parts, cols):
+                    p.append(c)
+                held += n
+                if held >= ROWS:
+                    yield joined(keys, at, parts)
+                    at, parts, held = [], [[] for _ in types], 0
+            if at:
+                yield joined(keys, at, parts)
+
+    return run
 
 
 def per_blob(df: DataFrame, key: str, blob: Column, kernel: Kernel, schema: str) -> DataFrame:
     """``kernel(bytes) -> equally long columns`` over each row's ``blob``; ``key`` is repeated for each output row.
 
-    Null blobs count as empty; ``schema`` names the kernel's columns.
+    Null blobs count as empty; ``schema`` names the kernel's columns. A task holds ``ROWS`` rows of output, or those of one
+    blob, besides a batch of blobs.
     """
     ship(df.sparkSession)
     key_type = df.schema[key].dataType.simpleString()
@@ -32,23 +62,7 @@ def per_blob(df: DataFrame, key: str, blob: Column, kernel: Kernel, schema: str)
     arrow = [to_arrow_type(k) for k in kinds]
     names = [f.name for f in out]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, parts = [], [[] for _ in names]
-            for i, v in enumerate(batch.column("blob")):
-                data = np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid else np.zeros(0, np.uint8)
-                cols = kernel(data)
-                n = len(cols[0])
-                at.append(np.full(n, i))
-                for p, c in zip(parts, cols):
-                    p.append(c)
-            if not at:
-                continue
-            keys = batch.column("key").take(pa.array(np.concatenate(at)))
-            flat = [pa.array([x for c in p for x in c], t) if pa.types.is_nested(t) or pa.types.is_string(t) or pa.types.is_binary(t) else pa.array(np.concatenate(p)).cast(t) for p, t in zip(parts, arrow)]
-            yield pa.RecordBatch.from_arrays([keys, *flat], names=[key, *names])
-
-    return df.select(F.col(key).alias("key"), blob.alias("blob")).mapInArrow(run, f"`{key}` {key_type}, {schema}")
+    return df.select(F.col(key).alias("key"), blob.alias("blob")).mapInArrow(_over_blobs(kernel, [key, *names], arrow), f"`{key}` {key_type}, {schema}")
 
 
 def text_blob(name: str = "text") -> Column:

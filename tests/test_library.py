@@ -239,3 +239,12 @@ def test_frames_are_not_broadcast(spark):
     frames = export.frames_at(export.frame_numbers(times, ["movie"], 7), times, ["movie"], "picture")
     assert "Broadcast" not in frames._jdf.queryExecution().executedPlan().toString()
     assert frames.count() == 10 * len(range(0, 270, 7))
+
+
+def test_kernels_hand_on_bounded_batches(monkeypatch):
+    monkeypatch.setattr(P, "ROWS", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([bytes(range(30))] * 50)], names=["key", "blob"])
+    run = P._over_blobs(lambda b: (b.astype(np.int64),), ["key", "v"], [pa.int64()])
+    got = list(run(iter([batch])))
+    assert [b.num_rows for b in got] == [120] * 12 + [60]
+    assert [k for b in got for k in b.column("key").to_pylist()] == [k for k in range(50) for _ in range(30)]
