@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import chains, edits, export, trees
 from pixelmill.operators import pixels as P
+from pixelmill.runtime import settled
 
 
 # ---- chains ----
@@ -62,6 +63,29 @@ def test_a_chain_of_ten_thousand_links(spark):
     assert got == order
 
 
+@pytest.mark.parametrize("block", [64, chains.BLOCK])
+def test_neighbours_are_followed_without_a_round_for_each_doubling(spark, monkeypatch, block):
+    nexts = {c: c + 1 for c in range(3_000)} | {499: None, 999: 0, 1999: 1000, 2500: 2500, 2999: 5}
+    written = []
+
+    def count(df):
+        out = settled(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(chains, "settled", count)
+    monkeypatch.setattr(chains, "BLOCK", block)
+    cells = spark.createDataFrame([(4, c, n) for c, n in nexts.items()], "disk long, cell long, next long").repartition(5)
+    heads = set(nexts) - set(nexts.values())
+    for own in (heads, {500, 1200, 2501}):
+        written.clear()
+        starts = None if own is heads else spark.createDataFrame([(4, c) for c in own], "disk long, cell long")
+        got = {tuple(r) for r in chains.followed(cells, starts).collect()}
+        paths = {h: walk(nexts, h) for h in own}
+        assert got == {(4, h, k, c, loops) for h, (path, loops) in paths.items() for k, c in enumerate(path)}
+        assert sum(written) < 2 * len(nexts)
+
+
 def test_no_cells(spark):
     assert chains.followed(spark.createDataFrame([], "disk long, cell long, next long")).count() == 0
 
