@@ -56,7 +56,7 @@ def line_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, hashes[cuts[i] : cuts[i + 1]]
 
 
-_UNITS = "doc_id long, text_hash long, line int, k1 long, k2 long, bands array<long>, " + SIGNS_SCHEMA
+_UNITS = "doc_id long, text_hash long, line int, k1 long, k2 long, bands binary, " + SIGNS_SCHEMA
 
 
 def _digest(line: np.ndarray) -> bytes:
@@ -159,24 +159,29 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
 
     # Lines of one key; a node is known by the first word of its key, as classes of documents are in ``near_dups``.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
-    keys = scratch.table(units.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "keys")
 
-    def node_keys(nodes: DataFrame) -> DataFrame:
-        return keys.join(nodes.withColumnRenamed("c", "k1"), "k1").groupBy("k1").agg(F.min(F.struct("k2", "first")).alias("at")).select("k1", "at.*")
+    def node_keys(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        own = rows.join(nodes.withColumnRenamed("c", "k1"), "k1", "left_semi")
+        return own.groupBy("k1").agg(F.min(F.struct("k2", place.alias("first"))).alias("at")).select("k1", "at.*")
 
     def describe(wanted: DataFrame) -> DataFrame:
-        places = node_keys(wanted).groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
+        places = node_keys(units, wanted).groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
         return by_place(docs, places, ["text"], ["wanted"]).mapInArrow(_wanted_lines, "c long, text string")
 
-    nodes = sketched.where(F.size("bands") > 0).select(F.col("k1").alias("c"), "bands", *SIGNS)
+    nodes = sketched.where(F.length("bands") > 0).select(F.col("k1").alias("c"), "bands", *SIGNS)
     comp = set_components(nodes, describe, partial(line_sets, width=width), percent, BINS // ROWS, scratch, "sketched")
-    comp = node_keys(comp.withColumnRenamed("node", "c")).join(comp, F.col("k1") == F.col("node")).select("k1", "k2", "comp")
 
-    # The first line of each key, then of each component; lines that share either are the only ones that can go.
+    # Lines whose key has more than one or is linked are the only ones that can go.
+    again = units.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
+    some = scratch.table(units.join(again.union(comp.select("node")).distinct(), "k1", "left_semi"), "some")
+    comp = node_keys(some, comp.select(F.col("node").alias("c"))).join(comp, F.col("k1") == F.col("node")).select("k1", "k2", "comp")
+
+    # The first line of each key, then of each component.
+    keys = scratch.table(some.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "keys")
     keyed = keys.join(comp, ["k1", "k2"], "left").where("n > 1 or comp is not null")
     stays = keyed.where("comp is not null").groupBy("comp").agg(F.min("first").alias("stays"))
     keyed = keyed.join(stays, "comp", "left").select("k1", "k2", F.coalesce("stays", "first").alias("stays"))
-    gone = units.select("k1", "k2", "doc_id", "text_hash", "line").join(keyed, ["k1", "k2"]).where(~place.eqNullSafe(F.col("stays")))
+    gone = some.select("k1", "k2", "doc_id", "text_hash", "line").join(keyed, ["k1", "k2"]).where(~place.eqNullSafe(F.col("stays")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))  # no more than a document's lines
 
 

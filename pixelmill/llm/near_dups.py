@@ -67,14 +67,14 @@ def _bands(sk: np.ndarray, rows: int) -> np.ndarray:
     return acc + np.arange(t // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-_SKETCH = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>, " + SIGNS_SCHEMA
+_SKETCH = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands binary, " + SIGNS_SCHEMA
 
 
 def band_lists(sk: np.ndarray, rows: int, has: np.ndarray) -> pa.Array:
-    """The bands of each sketch, and an empty list where ``has`` is false."""
-    bands = _bands(sk, rows).view(np.int64)
-    ends = np.concatenate([[0], np.cumsum(np.where(has, bands.shape[1], 0))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[has].reshape(-1)))
+    """The bands of each sketch, packed, and nothing where ``has`` is false."""
+    bands = _bands(sk[has], rows)
+    ends = np.concatenate([[0], np.cumsum(np.where(has, bands.shape[1] * 8, 0))]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(bands)])
 
 
 def _sketches(width: int, bins: int, rows: int):  # noqa: ANN202

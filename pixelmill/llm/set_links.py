@@ -86,6 +86,19 @@ def signs(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
 _DEALT = "g long, bands binary, cs binary"
 
 
+def _band_rows(column: pa.Array) -> np.ndarray:
+    """Packed bands, the same number of each set, as rows."""
+    offs, data = (np.frombuffer(b, t) for b, t in zip(column.buffers()[1:], (np.int32, np.uint8)))
+    lo, hi = offs[column.offset], offs[column.offset + len(column)]
+    return data[lo:hi].view(np.int64).reshape(len(column), -1)
+
+
+def _single_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(_band_rows(batch.column("bands")).reshape(-1))], names=["band"])
+
+
 def _deal(first: int, last: int, common: np.ndarray, bits: int):  # noqa: ANN202
     """Sets' bands ``first`` to ``last`` and their ids by group ``g``: the first ``bits`` bits of the band or, if it is common, of the id's hash."""
 
@@ -110,7 +123,7 @@ def _deal(first: int, last: int, common: np.ndarray, bits: int):  # noqa: ANN202
         kept, n = [], 0
         for batch in batches:
             if batch.num_rows:
-                kept.append((batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)[:, first:last], batch.column("c").to_numpy()))
+                kept.append((_band_rows(batch.column("bands"))[:, first:last], batch.column("c").to_numpy()))
                 n += batch.num_rows * (last - first)
             if n >= GROUP:
                 yield flush(kept)
@@ -177,7 +190,7 @@ def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> tuple[DataFram
     bands, as a sample shows them, are dealt by ``c`` instead, and count as larger. There are at most ``COMMON`` of these;
     every other band holds a smaller part of the rows.
     """
-    sample = nodes.sample(0.01, seed=1).select(F.explode("bands").alias("band")).groupBy("band").count()
+    sample = nodes.sample(0.01, seed=1).select("bands").mapInArrow(_single_bands, "band long").groupBy("band").count()
     common = sample.where("count >= 20").orderBy(F.desc("count"), "band").limit(COMMON).select("band").toArrow()
     common = np.sort(common.column("band").to_numpy())
     nodes = nodes.select("c", "bands")
@@ -203,10 +216,12 @@ def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> tuple[DataFram
 
 def _set_pairs(sets: Sets, batch: pa.RecordBatch, kept: list[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each pair both sets, and which elements of the pivot's the other has; ``kept`` holds the last pivot's set."""
-    pivots, texts = batch.column("p").to_numpy(), batch.column("pivot_text")
+    pivots = batch.column("p").to_numpy()
+    new = np.append(not kept or kept[0][0] != pivots[0], pivots[1:] != pivots[:-1]) if len(pivots) else np.zeros(0, bool)
+    fresh = sets(batch.column("pivot_text").filter(pa.array(new)))
     for i, s in sets(batch.column("text")):
-        if not kept or kept[0][0] != pivots[i]:
-            kept[:] = [(pivots[i], next(sets(texts.slice(i, 1)))[1])]
+        if new[i]:
+            kept[:] = [(pivots[i], next(fresh)[1])]
         pivot = kept[0][1]
         at = np.searchsorted(s, pivot)
         at[at == len(s)] = 0
@@ -318,6 +333,16 @@ def _far_pairs(members: DataFrame, described: DataFrame, sets: Sets, percent: in
     return joined.select(*_ordered()).distinct()
 
 
+def _joined(comp: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components ``comp(node, comp)`` with the links ``edges(a, b)`` besides: rounds over components, not over nodes."""
+    for end in ("a", "b"):
+        own = comp.select(F.col("node").alias(end), F.col("comp").alias("own"))
+        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    more = scratch.table(components(edges, scratch, "last"), "links_last").select("node", F.col("comp").alias("least"))
+    old = comp.join(more.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    return old.unionByName(more.join(comp, "node", "left_anti").select("node", F.col("least").alias("comp")))
+
+
 def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, n_bands: int, scratch: Scratch, sketched: str) -> DataFrame:
     """``nodes(c, bands, *SIGNS)``, a row or more for each set of ``n_bands`` bands, to ``(node, comp)`` of all sets with links.
 
@@ -328,7 +353,7 @@ def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
     small, large = _buckets(nodes, n_bands, scratch)
     weights = large.groupBy("c").agg(F.sum("n").alias("weight"))
     met = small.select("c").union(small.select(F.col("p").alias("c"))).union(large.select("c")).distinct()
-    signs_of = scratch.table(nodes.select("c", *SIGNS).join(met.hint("merge"), "c").dropDuplicates(["c"]), "links_signs")
+    signs_of = scratch.table(nodes.select("c", *SIGNS).join(met.hint("shuffle_hash"), "c").dropDuplicates(["c"]), "links_signs")
     scratch.drop(sketched)
     pivots = large.join(weights, "c").groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
     pivots = scratch.table(pivots.select("band", F.col("p0.c").alias("p0"), "p1"), "links_pivots")
@@ -356,7 +381,7 @@ def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
         described = scratch.table(describe(needed(rest)), "links_described3")
         more = scratch.table(_verified(rest, described, sets, percent), "links_more")
         if not more.isEmpty():
-            comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "last"), "comp_last")
+            comp = scratch.table(_joined(comp, more, scratch), "comp_last")
     for name in [name for name in scratch.names if name.startswith("links_")]:
         scratch.drop(name)
     return comp

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -303,6 +304,32 @@ def test_links_of_larger_buckets(spark, monkeypatch, small, medium):
     assert 5 < len(set(roots)) < len(texts)
 
 
+def test_pivots_of_a_batch_are_read_at_once():
+    calls = []
+
+    def sets(column):
+        calls.append(len(column))
+        yield from line_dups.line_sets(column, 6)
+
+    texts = [f"line {i} of a text with some words" for i in range(40)]
+    pivots = [i // 3 for i in range(40)]
+    names = ["c", "p", "text", "pivot_text"]
+    table = pa.table([list(range(40)), pivots, texts, [texts[p] for p in pivots]], names=names)
+    got = pa.Table.from_batches(set_links._verify(sets)(iter(table.to_batches(max_chunksize=16)))).to_pylist()
+    own = [set(h.tolist()) for _, h in line_dups.line_sets(pa.array(texts), 6)]
+    assert got == [{"c": i, "p": p, "n_both": len(own[i] & own[p]), "n_union": len(own[i] | own[p])} for i, p in enumerate(pivots)]
+    assert len(calls) <= 2 * 3
+
+
+def test_components_with_more_links(spark):
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 3), (5, 5), (6, 5)], "node long, comp long")
+    more = spark.createDataFrame([(4, 9), (9, 0), (8, 2), (11, 12), (2, 1)], "a long, b long")
+    scratch = Scratch(spark)
+    got = {tuple(r) for r in set_links._joined(comp, more, scratch).collect()}
+    scratch.drop()
+    assert got == {(n, 0) for n in (0, 1, 2, 3, 4, 8, 9)} | {(5, 5), (6, 5), (11, 11), (12, 11)}
+
+
 def test_near_rows(spark):
     text = words(random.Random(3), 30)
     rows = [(5, text), (5, text), (None, text), (None, text), (None, "other words"), (None, "other words"), (7, ""), (7, "")]
