@@ -58,13 +58,14 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/pixelmill-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+        """``df`` written and read again; columns of hashes, which hardly repeat, are written sooner without a ``dictionary``."""
         path = f"{self.root}/{name}"
         conf = self.spark.conf
         before = conf.get(CLEANUP)
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         finally:
             conf.set(CLEANUP, before)
         self.names.add(name)

@@ -67,7 +67,7 @@ def _once(hashes: np.ndarray, lines: np.ndarray, n: int) -> tuple[np.ndarray, np
     """The distinct hashes of each of ``n`` lines, sorted, without the last bits that the line's number takes, and their offsets."""
     bits = np.uint64(n.bit_length())
     own = hashes >> bits
-    own |= lines.astype(np.uint64) << (np.uint64(64) - bits)
+    own |= lines.view(np.uint64) << (np.uint64(64) - bits)
     own.sort()
     own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
     return own << bits, np.searchsorted(own, np.arange(n + 1, dtype=np.uint64) << (np.uint64(64) - bits))
@@ -154,7 +154,7 @@ def _without(text: str, gone: str, n: str):  # noqa: ANN202
 def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, text_hash, gone``: the numbers of the lines that go, by document."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sketched = scratch.table(docs.where("text <> ''").mapInArrow(_units(width), _UNITS), "sketched")
+    sketched = scratch.table(docs.where("text <> ''").mapInArrow(_units(width), _UNITS), "sketched", dictionary=False)
     units = scratch.table(sketched.drop("bands", *SIGNS), "units")
 
     # Lines of one key; a node is known by the first word of its key, as classes of documents are in ``near_dups``.
@@ -168,17 +168,17 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
         places = node_keys(units, wanted).groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("first.line", "k1")).alias("wanted"))
         return by_place(docs, places, ["text"], ["wanted"]).mapInArrow(_wanted_lines, "c long, text string")
 
-    nodes = sketched.where(F.length("bands") > 0).select(F.col("k1").alias("c"), "bands", *SIGNS)
+    nodes = sketched.where("size is not null").select(F.col("k1").alias("c"), "bands", *SIGNS)
     comp = set_components(nodes, describe, partial(line_sets, width=width), percent, BINS // ROWS, scratch, "sketched")
 
     # Lines whose key has more than one or is linked are the only ones that can go.
     again = units.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
     some = scratch.table(units.join(again.union(comp.select("node")).distinct(), "k1", "left_semi"), "some")
-    comp = node_keys(some, comp.select(F.col("node").alias("c"))).join(comp, F.col("k1") == F.col("node")).select("k1", "k2", "comp")
 
     # The first line of each key, then of each component.
     keys = scratch.table(some.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "keys")
-    keyed = keys.join(comp, ["k1", "k2"], "left").where("n > 1 or comp is not null")
+    comp = keys.join(comp, F.col("k1") == F.col("node")).groupBy("k1").agg(F.min("k2").alias("k2"), F.min("comp").alias("comp"))
+    keyed = scratch.table(keys.join(comp, ["k1", "k2"], "left").where("n > 1 or comp is not null"), "keyed")
     stays = keyed.where("comp is not null").groupBy("comp").agg(F.min("first").alias("stays"))
     keyed = keyed.join(stays, "comp", "left").select("k1", "k2", F.coalesce("stays", "first").alias("stays"))
     gone = some.select("k1", "k2", "doc_id", "text_hash", "line").join(keyed, ["k1", "k2"]).where(~place.eqNullSafe(F.col("stays")))

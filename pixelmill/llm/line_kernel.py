@@ -11,16 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import LOWER, mix
+from .common import mix
 
 BLOCK = 1 << 18
+_BASE = int(mix(np.array([20], np.uint64))[0]) | 1
 _MULT = mix(np.arange(21, 21 + 64, dtype=np.uint64)) | np.uint64(1)
 
-# White space as Unicode has it: single bytes, then the encodings of two and three bytes by lead byte.
-_SPACE = np.zeros(256, bool)
-_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
-_LEADS = np.zeros(256, bool)
-_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+# White space as Unicode has it: single bytes, then the encodings of two and three bytes, whose lead bytes are 0xC2 and
+# beyond.
 _WIDE = sorted([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
@@ -34,8 +32,10 @@ _WIDE3 = np.array([_packed(chr(c)) for c in _WIDE if c >= 0x800], np.uint32)
 
 def _white(part: np.ndarray) -> np.ndarray:
     """Which bytes belong to white space."""
-    white = _SPACE[part]
-    at = np.flatnonzero(_LEADS[part])
+    white = part - np.uint8(0x09) < 5
+    white |= part - np.uint8(0x1C) < 5
+    at = np.flatnonzero(part >= 0xC2)
+    at = at[part[at] <= 0xE3]
     for width, codes in ((2, _WIDE2), (3, _WIDE3)):
         at = at[at + width <= len(part)]
         code = np.zeros(len(at), np.uint32)
@@ -61,27 +61,34 @@ class Lines:
         if not len(self.data) or self.data.max() < 0x80:
             return self.data.astype(np.uint64), self.cuts
         follow = (self.data & 0xC0) == 0x80
-        starts = np.flatnonzero(~follow)
-        codes = self.data[starts].astype(np.uint64)
-        length = np.diff(np.append(starts, len(self.data)))
-        for k in range(1, 4):
-            more = np.flatnonzero(length > k)
-            codes[more] |= self.data[starts[more] + k].astype(np.uint64) << np.uint64(8 * k)
-        return codes, np.searchsorted(starts, self.cuts)
+        codes, at = self.data.astype(np.uint64), np.flatnonzero(follow)
+        gone = np.searchsorted(at, self.cuts)
+        more = at[at > 0]
+        for k in range(1, 4):  # the bytes that follow at distance k
+            near = ~follow[more - k]
+            codes[more[near] - k] |= self.data[more[near]].astype(np.uint64) << np.uint64(8 * k)
+            more = more[~near]
+            more = more[more > k]
+        return codes[~follow], self.cuts - gone
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``width`` characters (of the whole line, if shorter), and the lines' offsets."""
         codes, cuts = self.characters()
         n = len(codes)
-        acc, step = (codes + np.uint64(1)) * _MULT[0], np.empty(n, np.uint64)
-        for k in range(1, min(width, n)):
-            np.add(codes[k:], np.uint64(1), out=step[: n - k])
-            step[: n - k] *= _MULT[k]
-            acc[: n - k] += step[: n - k]
+        codes += np.uint64(1)
+        # Runs of twice the length are two runs, the second one times a power of the base.
+        acc, done, run, long = np.zeros(n, np.uint64), 0, codes.copy(), 1
+        while done < min(width, n):
+            if width & long:
+                acc[: n - done] += run[done:] * np.uint64(pow(_BASE, done, 1 << 64)) if done else run
+                done += long
+            if 2 * long <= min(width, n):
+                run[: n - long] += run[long:] * np.uint64(pow(_BASE, long, 1 << 64))
+            long *= 2
         size = np.diff(cuts)
         short = np.flatnonzero(size < width)
         for i in short.tolist():
-            own = codes[cuts[i] : cuts[i + 1]] + np.uint64(1)
+            own = codes[cuts[i] : cuts[i + 1]]
             acc[cuts[i]] = (own * _MULT[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))
         keep = np.ones(n, bool)
         for k in range(1, width):
@@ -106,7 +113,8 @@ def line_blocks(data: np.ndarray, offs: np.ndarray, block: int = BLOCK) -> Itera
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + block, "right")))
         base = starts[lo]
-        part = LOWER[data[base : ends[hi - 1]]]
+        part = data[base : ends[hi - 1]]
+        part = part + ((part - np.uint8(0x41) < 26).view(np.uint8) << 5)
         white = _white(part)
         # Of each run of white space inside a line its first byte stays, as a blank.
         blank = white.copy()

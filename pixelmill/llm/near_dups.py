@@ -28,6 +28,7 @@ from .set_links import SIGNS, SIGNS_SCHEMA, set_components, signs
 
 WIDTH, BINS, ROWS = 5, 100, 5
 _FULL = np.uint64(2**64 - 1)
+MANY = 1 << 15  # elements of a round, or of several together
 
 
 def sketch(hashes: np.ndarray, docs: np.ndarray, n_docs: int, t: int = BINS) -> np.ndarray:
@@ -36,19 +37,27 @@ def sketch(hashes: np.ndarray, docs: np.ndarray, n_docs: int, t: int = BINS) ->
     flat = out.reshape(-1)
     h, d = hashes, docs.astype(np.int64)
     at, rest, still = d * t, np.arange(n_docs), np.zeros(n_docs, bool)
-    for i in range(2 * t):
-        if not len(h):
-            break
-        x = mix(h, i) if i else h  # hashes come mixed: the high half chooses the bin, the low half is the value
-        if i < t:
-            bins = x >> np.uint64(32)
-            bins *= np.uint64(t)
-            bins >>= np.uint64(32)
-            place = bins.view(np.int64)
-            place += at
-        else:
-            place = at + (i - t)
-        np.minimum.at(flat, place, (x & np.uint64(0xFFFFFFFF)) | np.uint64(i << 32))
+    step = mix(np.arange(2 * t, dtype=np.uint64)) | np.uint64(1)
+    i = 0
+    while i < 2 * t and len(h):
+        # Few elements take several rounds at once: of a bin's values that of the earliest round is the least.
+        last = min(2 * t, i + max(1, MANY // len(h)) if i else 1)
+        rounds = np.arange(i, last, dtype=np.uint64)[:, None]
+        x = h * step[i:last, None] if i else h[None]  # hashes come mixed: the high half chooses the bin, the low half is the value
+        bins = x >> np.uint64(32)
+        bins *= np.uint64(t)
+        bins >>= np.uint64(32)
+        bins[max(t - i, 0) :] = rounds[max(t - i, 0) :] - np.uint64(t)
+        place = bins.view(np.int64)
+        place += at
+        value = x & np.uint64(0xFFFFFFFF)
+        value |= rounds << np.uint64(32)
+        place, value = place.reshape(-1), value.reshape(-1)
+        if i:  # what is full has a value of an earlier round
+            empty = np.flatnonzero(flat[place] == _FULL)
+            place, value = place[empty], value[empty]
+        np.minimum.at(flat, place, value)
+        i = last
         full = (out[rest] != _FULL).all(axis=1)
         if full.any():
             rest = rest[~full]

@@ -41,7 +41,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     gone = cut(dropped_lines(docs, scratch)).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.array_sort("gone").alias("gone"))
     scratch.drop()
-    ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+    ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_size(F.split("text", "\n")).cast("long").alias("n_lines"))
     joined = ids.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     return joined.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("dropped"))
 

@@ -48,6 +48,8 @@ GROUP = 1 << 20
 COMMON = 10_000
 #: Elements from which a set has the wide bitmap.
 LONG = 800
+#: Sets whose bitmaps are made at once.
+PACKED = 1 << 10
 #: A set's size, its bitmap, and the wide one or null.
 BITS = [f"b{i}" for i in range(8)]
 SIGNS = ["size", *BITS, "wide"]
@@ -57,17 +59,17 @@ SIGNS_SCHEMA = ", ".join(f"{name} {'array<long>' if name == 'wide' else 'long'}"
 
 
 def _odd_bits(hashes: np.ndarray, cuts: np.ndarray, bits: int) -> np.ndarray:
-    """For each set ``hashes[cuts[i]:cuts[i + 1]]`` of sorted elements ``2**bits`` bits in words: where an odd number of elements falls."""
+    """For each set ``hashes[cuts[i]:cuts[i + 1]]`` of distinct elements ``2**bits`` bits in words: where an odd number of them falls."""
     n, size = len(cuts) - 1, np.diff(cuts)
-    out = np.zeros(n << (bits - 6), np.uint64)
-    place = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(bits), size) | hashes >> np.uint64(64 - bits)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
-    odd = place[first[np.diff(np.append(first, len(place))) & 1 == 1]]
-    word = (odd >> np.uint64(6)).view(np.int64)
-    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
-    if len(first):
-        out[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (odd & np.uint64(63)), first)
-    return out.view(np.int64).reshape(n, 1 << (bits - 6))
+    out = np.zeros((n, 1 << (bits - 3)), np.uint8)
+    for lo in range(0, n, PACKED):
+        hi = min(n, lo + PACKED)
+        place = hashes[cuts[lo] : cuts[hi]] >> np.uint64(64 - bits)
+        place |= np.repeat(np.arange(hi - lo, dtype=np.uint64) << np.uint64(bits), size[lo:hi])
+        many = np.bincount(place.view(np.int64), minlength=(hi - lo) << bits).astype(np.uint8)
+        many &= 1
+        out[lo:hi] = np.packbits(many, bitorder="little").reshape(hi - lo, -1)
+    return out.view(np.int64)
 
 
 def signs(hashes: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
@@ -99,8 +101,8 @@ def _single_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(_band_rows(batch.column("bands")).reshape(-1))], names=["band"])
 
 
-def _deal(first: int, last: int, common: np.ndarray, bits: int):  # noqa: ANN202
-    """Sets' bands ``first`` to ``last`` and their ids by group ``g``: the first ``bits`` bits of the band or, if it is common, of the id's hash."""
+def _deal(common: np.ndarray, bits: int):  # noqa: ANN202
+    """Sets' bands and their ids by group ``g``: the first ``bits`` bits of the band or, if it is common, of the id's hash."""
 
     def flush(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         bands, c = np.concatenate([b for b, _ in kept]), np.concatenate([c for _, c in kept])
@@ -123,8 +125,8 @@ def _deal(first: int, last: int, common: np.ndarray, bits: int):  # noqa: ANN202
         kept, n = [], 0
         for batch in batches:
             if batch.num_rows:
-                kept.append((_band_rows(batch.column("bands"))[:, first:last], batch.column("c").to_numpy()))
-                n += batch.num_rows * (last - first)
+                kept.append((_band_rows(batch.column("bands")), batch.column("c").to_numpy()))
+                n += kept[-1][0].size
             if n >= GROUP:
                 yield flush(kept)
                 kept, n = [], 0
@@ -198,10 +200,11 @@ def _buckets(nodes: DataFrame, n_bands: int, scratch: Scratch) -> tuple[DataFram
     step, parts = -(-n_bands // rounds), []
     bits = max(6, (nodes.count() * step // GROUP).bit_length())
     for r in range(rounds):
-        dealt = nodes.mapInArrow(_deal(r * step, (r + 1) * step, common, bits), _DEALT).repartition("g").sortWithinPartitions("g")
-        parts.append(scratch.table(dealt.mapInArrow(_shared(common), "a long, b long, n int"), f"links_met{r}"))
+        own = nodes.select("c", F.substring("bands", 8 * r * step + 1, 8 * step).alias("bands"))
+        dealt = own.mapInArrow(_deal(common, bits), _DEALT).repartition("g").sortWithinPartitions("g")
+        parts.append(scratch.table(dealt.mapInArrow(_shared(common), "a long, b long, n int"), f"links_met{r}", dictionary=False))
     met = reduce(DataFrame.unionByName, parts)
-    pairs = scratch.table(met.where("n = 0").select(F.col("a").alias("c"), F.col("b").alias("p")).distinct(), "links_small")
+    pairs = scratch.table(met.where("n = 0").select(F.col("a").alias("c"), F.col("b").alias("p")).distinct(), "links_small", dictionary=False)
     large = met.where("n <> 0").select(F.col("a").alias("band"), F.col("b").alias("c"), F.col("n").cast("long").alias("n"))
     counts = large.where("n < 0").groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     large = large.where("n > 0").unionByName(large.where("n < 0").drop("n").join(counts, "band"))
@@ -304,7 +307,7 @@ def _first_pairs(small: DataFrame, signed: DataFrame, pivots: DataFrame, signs_o
     """The pairs ``c, p`` of small buckets, and of each member with the pivots of larger ones, where a link is possible."""
     larger = signed.join(pivots, "band").select("c", F.explode(F.array("p0", "p1")).alias("p")).where("c <> p")
     pairs = small.unionByName(larger.select(*_ordered("c", "p"))).distinct().alias("s")
-    x, y = signs_of.alias("x"), signs_of.alias("y")
+    x, y = (signs_of.hint("shuffle_hash").alias(k) for k in "xy")
     met = pairs.join(x, F.col("s.c") == F.col("x.c")).join(y, F.col("s.p") == F.col("y.c"))
     return met.where(_may_link("x", "y", percent)).select("s.c", "s.p")
 
@@ -353,7 +356,7 @@ def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
     small, large = _buckets(nodes, n_bands, scratch)
     weights = large.groupBy("c").agg(F.sum("n").alias("weight"))
     met = small.select("c").union(small.select(F.col("p").alias("c"))).union(large.select("c")).distinct()
-    signs_of = scratch.table(nodes.select("c", *SIGNS).join(met.hint("shuffle_hash"), "c").dropDuplicates(["c"]), "links_signs")
+    signs_of = scratch.table(nodes.select("c", *SIGNS).join(met.hint("shuffle_hash"), "c").dropDuplicates(["c"]), "links_signs", dictionary=False)
     scratch.drop(sketched)
     pivots = large.join(weights, "c").groupBy("band").agg(F.max(F.struct("weight", "c")).alias("p0"), F.min("c").alias("p1"))
     pivots = scratch.table(pivots.select("band", F.col("p0.c").alias("p0"), "p1"), "links_pivots")
@@ -361,7 +364,7 @@ def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
     def needed(pairs: DataFrame) -> DataFrame:
         return pairs.select("c").union(pairs.select("p")).distinct()
 
-    pairs = scratch.table(_first_pairs(small, large, pivots, signs_of, percent), "links_pairs")
+    pairs = scratch.table(_first_pairs(small, large, pivots, signs_of, percent), "links_pairs", dictionary=False)
     described = scratch.table(describe(needed(pairs)), "links_described")
     comp = scratch.table(components(_verified(pairs, described, sets, percent), scratch, "first"), "comp")
 
@@ -369,7 +372,7 @@ def set_components(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
     own = F.coalesce("comp", "c").alias("comp")
     at = large.join(comp.withColumnRenamed("node", "c"), "c", "left").select("band", "c", own)
     several = at.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), (F.sum("k") - F.max("k")).alias("others"))
-    open_ = scratch.table(at.join(several.where("others > 0"), "band").join(signs_of, "c"), "links_open")
+    open_ = scratch.table(at.join(several.where("others > 0"), "band").join(signs_of, "c"), "links_open", dictionary=False)
     rest = _within(open_.where(F.col("others") <= MEDIUM), percent).distinct()
     members = open_.where(F.col("others") > MEDIUM).join(pivots.select("band", F.col("p0").alias("p")), "band").select("p", "c", "comp").distinct()
     members = scratch.table(members, "links_members")

@@ -660,3 +660,22 @@ def test_bitmaps_of_long_sets(spark):
     word, bit = int(sets[0][0] >> np.uint64(55)) // 64, int(sets[0][0] >> np.uint64(55)) % 64
     odd = sum(int(h) >> 55 == word * 64 + bit for h in sets[0]) % 2
     assert (columns[1 + word][0].as_py() >> bit) & 1 == odd
+
+
+def test_sketch_rounds_together(monkeypatch):
+    """Few elements take several rounds at once, with no hashing of all elements in each, and bins as one round after the other fills them."""
+    t, calls = 24, []
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (1, 2, 5, 30, 300)]
+    step = near_dups.mix(np.arange(2 * t, dtype=np.uint64)) | np.uint64(1)
+    expected = np.full((len(sets), t), 2**64 - 1, np.uint64)
+    for row, own in zip(expected, sets):
+        for i in range(2 * t):
+            for x in (own * step[i] if i else own).tolist():
+                k = i - t if i >= t else ((x >> 32) * t) >> 32
+                row[k] = min(int(row[k]), i << 32 | x & 0xFFFFFFFF)
+    plain = near_dups.mix
+    monkeypatch.setattr(near_dups, "mix", lambda h, seed=0: calls.append(len(h)) or plain(h, seed))
+    found = near_dups.sketch(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets), t)
+    assert (found == expected).all()
+    assert calls == [2 * t]
